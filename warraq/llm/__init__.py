@@ -10,13 +10,13 @@ from importlib import import_module
 
 #: Module of each operator, by its number.
 MODULES = {
-    # 1: "mixture",
+    1: "mixture",
     # 2: "shingle_join",
-    # 3: "phrase_print",
-    # 4: "secret_scan",
-    # 5: "packing",
+    3: "phrase_print",
+    4: "secret_scan",
+    5: "packing",
     # 6: "ppm",
-    # 7: "quality",
+    7: "quality",
     8: "token_count",
     9: "exact_dedup",
     10: "shards",

@@ -150,17 +150,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the largest id; all columns stay."""
     verdict = exact_duplicates(docs)
-    dropped = written(verdict.where(~F.col("kept")).select("doc_id", "text_sha256", "repeat"), "dropped")
-    key = F.struct(F.col("doc_id"), F.sha2(text_of().cast("binary"), 256).alias("sha"))
-    kept = docs.join(
-        dropped.where("repeat = 0").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("_gone")).distinct(),
-        key.eqNullSafe(F.col("_gone")),
-        "left_anti",
-    )
-    if dropped.where("repeat > 0").isEmpty():
-        return kept
-    again = Window.partitionBy(key).orderBy(F.lit(0))
-    return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    gone = written(verdict.where(~F.col("kept")).select("doc_id", "text_sha256", "repeat"), "dropped")
+    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.sha2(text_of().cast("binary"), 256).alias("sha")).alias("key"))
+    dropped = gone.where("repeat = 0").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("gone"))
+    kept = rows.join(dropped, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    if not gone.where("repeat > 0").isEmpty():
+        again = Window.partitionBy("key").orderBy(F.lit(0))
+        kept = kept.withColumn("again", F.row_number().over(again)).where("again = 1")
+    return kept.select("row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
