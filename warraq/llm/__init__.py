@@ -11,7 +11,7 @@ from importlib import import_module
 #: Module of each operator, by its number.
 MODULES = {
     1: "mixture",
-    # 2: "shingle_join",
+    2: "shingle_join",
     3: "phrase_print",
     4: "secret_scan",
     5: "packing",

@@ -71,3 +71,40 @@ def thinned(df: DataFrame, column: str, words: DataFrame, bits: int = FILTER_BIT
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row a key, with the number of rows it has as ``size``).
+
+    Groups with over a thousandth of all rows are at most 1000 and go by broadcast, so that the
+    shuffle join that takes the rest has no large group."""
+    hot = F.col(size) > max(1000, total // 1000)
+    large = groups.where(hot).select(*keys, F.struct(*(c for c in groups.columns if c not in keys)).alias("_large"))
+    marked = rows.join(F.broadcast(large), keys, "left")
+    rest = [c for c in groups.columns if c not in keys]
+    found = marked.where("_large is not null").select(*rows.columns, *(F.col(f"_large.{c}").alias(c) for c in rest))
+    return found.unionByName(marked.where("_large is null").drop("_large").join(groups.where(~hot), keys, "left").select(*rows.columns, *rest))
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """Rows (node, component) for the nodes of ``edges`` (a, b): the smallest node that each can reach.
+
+    Alternating large-star and small-star steps: each sends a node's larger (then smaller)
+    neighbours to the smallest one, so hubs thin out and the rounds grow with the logarithm of the
+    longest path.  Edges stay in Spark; a round's edges are a written table."""
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = None
+    for _ in range(rounds):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        e = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+        e = written(e, "edges")
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == state:
+            break
+        state = now
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
