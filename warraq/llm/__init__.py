@@ -15,7 +15,7 @@ MODULES = {
     3: "phrase_print",
     4: "secret_scan",
     5: "packing",
-    # 6: "ppm",
+    6: "ppm",
     7: "quality",
     8: "token_count",
     9: "exact_dedup",
