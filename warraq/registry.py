@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from warraq.bindings import Tables, with_views
 
 #: Modules that register queries.
-MODULES = ["functions.queries"]
+MODULES = ["functions.queries", "operators.analytics", "operators.graph"]
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
