@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from warraq.bindings import Tables, with_views
 
 #: Modules that register queries.
-MODULES = ["functions.queries", "operators.analytics", "operators.graph"]
+MODULES = [
+    "functions.queries", "operators.rules", "operators.segment", "operators.chains", "operators.joins", "operators.analytics",
+    "operators.search", "operators.graph", "operators.maintenance", "operators.datasets", "sources.queries", "plans.workloads",
+]
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
