@@ -39,7 +39,7 @@ def repaired_csv(lines: DataFrame) -> DataFrame:
     part = lambda k: F.regexp_extract("value", RECORD, k)
     long = part(3)
     inner = F.when(long.rlike(r'(?s)^".*"$'), F.replace(F.substring(long, F.lit(2), F.length(long) - 2), F.lit('""'), F.lit('"'))).otherwise(long)
-    segments = F.filter(F.transform(F.split(inner, "\r"), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(inner, "\r"), lambda s: F.trim(s)), lambda s: s != "")
     return lines.where(F.col("value").rlike(RECORD) & (F.trim("value") != "")).select(part(1).alias("hno"), part(2).alias("id"), segments.alias("segments"), part(4).alias("page"), part(5).alias("part"))
 
 
