@@ -33,6 +33,11 @@ def strip_tashkeel(t):
     return t.passages.select("passage_id", A.has_tashkeel(F.col("text_raw")).alias("marked"), A.strip_tashkeel(F.col("text_raw")).alias("bare"))
 
 
+@query("strip_tashkeel", f"SELECT passage_id, regexp_replace(text_raw, '[{A.VOWELS}]', '', 'g') AS bare FROM passages")
+def _(t):
+    return t.passages.select("passage_id", A.strip_tashkeel(F.col("text_raw")).alias("bare"))
+
+
 @query(
     "vocal_density",
     f"""SELECT passage_id, round(len(regexp_extract_all(text_raw, '[{A.VOWELS}]')) / nullif(len(regexp_extract_all(text_raw, '[ء-غف-ي]')), 0), 6) AS density FROM passages""",
@@ -116,6 +121,12 @@ def _(t):
     return rows.select("passage_id", (M.apply_marks(F.col("x.bare"), F.col("x.classes")) == F.col("text_raw")).alias("same"))
 
 
+@query("apply_marks", "SELECT passage_id, text_raw AS marked FROM passages")
+def _(t):
+    rows = t.passages.select("passage_id", M.split_marks(F.col("text_raw")).alias("x"))
+    return rows.select("passage_id", M.apply_marks(F.col("x.bare"), F.col("x.classes")).alias("marked"))
+
+
 @query("transplant_marks", "SELECT passage_id, text_raw AS marked FROM passages")
 def _(t):
     return t.passages.select("passage_id", M.transplant_marks(A.strip_tashkeel(F.col("text_raw")), F.col("text_raw")).alias("marked"))
