@@ -4,9 +4,11 @@
    copies is one row a task).  A count sketch of fixed size gives all shingles one global order,
    rare ones first; ties go by hash.
 2. Two sets that reach the threshold share a shingle of their prefixes (the first
-   n - ceil(0.75 n) + 1 in that order).  Prefixes are dealt by shingle; sets that share one and
-   are of compatible size are joined to the first of them, never pair by pair, and connected
-   components of these star edges are families: every link lies within a family.
+   n - ceil(0.75 n) + 1 in that order).  Prefixes are dealt by shingle; of sets that share one,
+   those whose sizes and places allow the threshold are joined, a part sends a spanning forest of
+   them and not the pairs, and its components are families: every link lies within a family.
+   Parity bitmaps of the members, an eighth of a byte for each shingle, then show which pairs
+   cannot be linked, and families fall apart into those whose texts are worth sending.
 3. A family (in blocks, when large: each block meets each other one of compatible size) is stored
    as a prefix tree of its globally ordered sets.  One walk carries the partial overlaps with all
    sets at once, so sets below a node share them, and a subtree is left as soon as the overlap so
@@ -26,17 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warraq.llm.common import components, documents, filter_words, joined_by_size, partitions, text_of, thinned, written
+from warraq.llm.common import components, documents, filter_words, joined_by_size, text_of, thinned, written
 from warraq.llm.shingles import shingle_sets
 
 #: Links have NUMERATOR / DENOMINATOR of their union in common, at least.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Bits of a shingle's place in the sketch, and places of a chunk of it.
-SKETCH_BITS, CHUNK_BITS = 20, 14
-#: Documents of a block of a family.
-BLOCK = 512
-#: Postings that a task gathers before it sends them on.
-SEND = 1_000_000
+SKETCH_BITS, CHUNK_BITS = 22, 16
+#: Shingles of a block of a family; a document counts as SMALL at least, so that a block has at most BLOCK / SMALL.
+BLOCK, SMALL = 1_000_000, 1_000
+#: Bits of a set's parity bitmap, at most.
+MOST_BITS = 1 << 16
+#: Postings that a task gathers before it sends them on, and those of a part, about.
+SEND, PART = 500_000, 1_000_000
+#: Postings of one shingle whose pairs are looked at one by one.
+LARGE = 4096
 
 
 def prefix_length(n: int) -> int:
@@ -58,7 +64,7 @@ def _sized(batches):
     """For each text its set's size and signature, and at the end the task's share of the sketch."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     names = ["doc_id", "n_shingles", "s1", "s2", "chunk", "counts"]
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     for batch in batches:
         n, s1, s2 = [], [], []
         for s in shingle_sets(batch.column(1).to_pylist()):
@@ -73,7 +79,7 @@ def _sized(batches):
                 sketch += np.bincount(places, minlength=len(sketch))
         none = pa.nulls(len(n))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-    chunks = sketch.astype(np.uint32).reshape(-1, 1 << CHUNK_BITS)
+    chunks = np.minimum(sketch, 0xFFFF).astype(np.uint16).reshape(-1, 1 << CHUNK_BITS)
     k = len(chunks)
     yield pa.RecordBatch.from_arrays([*(pa.nulls(k).cast(t) for t in kinds[:4]), pa.array(range(k), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names=names)
 
@@ -82,7 +88,7 @@ def _summed(batches):
     sums = {}
     for batch in batches:
         for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint16).astype(np.uint64)
     for chunk, s in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes()])], names=["chunk", "counts"])
 
@@ -94,14 +100,13 @@ def ordered(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(batches, sketch, parts):
-    """A task's prefixes, dealt by shingle: rows (part, ids, sizes, set of each posting, shingles)."""
+    """A task's prefixes, dealt by shingle: rows (part, ids, sizes, set and place of each posting, shingles)."""
 
     def sent():
-        order = np.concatenate(shingles)
-        of = np.concatenate(owner)
+        order, of, place = map(np.concatenate, (shingles, owner, places))
         part = (order % np.uint64(parts)).astype(np.int64)
         by = np.argsort(part, kind="stable")
-        order, of, part = order[by], of[by], part[by]
+        order, of, place, part = order[by], of[by], place[by], part[by]
         edges = np.searchsorted(part, np.arange(parts + 1))
         every_id, every_n = np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int32)
         rows = []
@@ -109,10 +114,10 @@ def _prefixes(batches, sketch, parts):
             a, b = edges[p], edges[p + 1]
             if b > a:
                 own, local = np.unique(of[a:b], return_inverse=True)
-                rows.append((p, every_id[own].tobytes(), every_n[own].tobytes(), local.astype(np.int32).tobytes(), order[a:b].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], names=["part", "ids", "sizes", "of", "shingles"])
+                rows.append((p, every_id[own].tobytes(), every_n[own].tobytes(), local.astype(np.int32).tobytes(), place[a:b].tobytes(), order[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=["part", "ids", "sizes", "of", "places", "shingles"])
 
-    ids, sizes, owner, shingles, n, seen = [], [], [], [], 0, {}
+    ids, sizes, owner, places, shingles, n, seen = [], [], [], [], [], 0, {}
     for batch in batches:
         for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())):
             if len(s) and doc_id is not None:
@@ -123,55 +128,198 @@ def _prefixes(batches, sketch, parts):
                 seen[same] = len(ids)
                 first = ordered(s, sketch)[: prefix_length(len(s))]
                 owner.append(np.full(len(first), len(ids), dtype=np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
                 shingles.append(first)
                 ids.append(doc_id)
                 sizes.append(len(s))
                 n += len(first)
                 if n >= SEND:
                     yield sent()
-                    ids, sizes, owner, shingles, n, seen = [], [], [], [], 0, {}
+                    ids, sizes, owner, places, shingles, n, seen = [], [], [], [], [], 0, {}
     if n:
         yield sent()
 
 
+def possible(n1, p1, n2, p2):
+    """Whether sets of these sizes, with a common shingle at these places, can reach the threshold:
+    before it they share no more than the lesser place, after it no more than the lesser rest."""
+    n1, n2 = n1.astype(np.int64), n2.astype(np.int64)
+    reach = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
+    return (DENOMINATOR * np.minimum(n1, n2) >= NUMERATOR * np.maximum(n1, n2)) & (reach >= needed(n1, n2))
+
+
+def joined_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number that each of n can reach over the edges."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def group_pairs(start: np.ndarray, length: np.ndarray, n: np.ndarray, p: np.ndarray):
+    """Arrays (i, j) of the possible pairs of each group of postings (equal shingle, in order of
+    size); a group beyond LARGE is joined in a row, which keeps together all that could be pairs."""
+    for k in np.unique(length[(length > 1) & (length <= 32)]).tolist():
+        at, (x, y) = start[length == k], np.triu_indices(k, 1)
+        step = max(1, 200_000 // len(x))
+        for c in range(0, len(at), step):
+            i, j = (at[c : c + step, None] + x).ravel(), (at[c : c + step, None] + y).ravel()
+            ok = possible(n[i], p[i], n[j], p[j])
+            yield i[ok], j[ok]
+    for at, k in zip(start[length > 32].tolist(), length[length > 32].tolist()):
+        if k > LARGE:
+            i = np.arange(at, at + k - 1)
+            near = DENOMINATOR * n[i].astype(np.int64) >= NUMERATOR * n[i + 1].astype(np.int64)
+            yield i[near], i[near] + 1
+            continue
+        for r in range(0, k, 128):
+            i, j = np.arange(at + r, min(at + r + 128, at + k))[:, None], np.arange(at + r, at + k)[None, :]
+            x, y = np.nonzero((i < j) & possible(n[i], p[i], n[j], p[j]))
+            yield at + r + x, at + r + y
+
+
 def _stars(batches):
-    """Edges of each set to the first that shares a prefix shingle with it and can be large enough."""
-    ids, sizes, owner, shingles, at = [], [], [], [], 0
+    """Edges from each set to the first of those that it may be linked with, directly or by others."""
+    ids, sizes, owner, places, shingles, at = [], [], [], [], [], 0
     for batch in batches:
-        for i, n, of, s in zip(*(batch.column(c).to_pylist() for c in range(1, 5))):
+        for i, n, of, p, s in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
             ids.append(np.frombuffer(i, np.int64))
             sizes.append(np.frombuffer(n, np.int32))
-            owner.append(np.frombuffer(of, np.int32).astype(np.int64) + at)
+            owner.append(np.frombuffer(of, np.int32) + np.int32(at))
+            places.append(np.frombuffer(p, np.int32))
             shingles.append(np.frombuffer(s, np.uint64))
             at += len(ids[-1])
     if not ids:
         return
-    ids, sizes, owner, shingles = map(np.concatenate, (ids, sizes, owner, shingles))
-    by = np.lexsort((ids[owner], sizes[owner], shingles))
-    owner, shingles = owner[by], shingles[by]
-    n = sizes[owner].astype(np.int64)
-    # a run: equal shingle, and each size within reach of the one before
-    new = np.ones(len(n), dtype=bool)
-    new[1:] = (shingles[1:] != shingles[:-1]) | (NUMERATOR * n[1:] > DENOMINATOR * n[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    a, b = ids[owner[first]], ids[owner]
-    pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
-def trie_links(sets: list[np.ndarray], probes: np.ndarray, stored: np.ndarray):
+    ids, sizes, owner, places, shingles = map(np.concatenate, (ids, sizes, owner, places, shingles))
+    by = np.argsort(shingles, kind="stable")
+    again = np.zeros(len(by), dtype=bool)
+    again[1:] = shingles[by[1:]] == shingles[by[:-1]]
+    again[:-1] |= again[1:]
+    by = by[again]  # shingles of one set alone join nothing
+    by = by[np.lexsort((sizes[owner[by]], shingles[by]))]
+    owner, places, shingles = owner[by], places[by], shingles[by]
+    n, p = sizes[owner], places
+    start = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(by) else np.empty(0, np.int64)
+    length = np.diff(np.append(start, len(by)))
+    _, number = np.unique(ids, return_inverse=True)  # a set that came in two blocks is one
+    label, a, b, held = np.arange(len(ids)), [], [], 0
+    first = np.full(len(ids), len(ids))
+    np.minimum.at(first, number, np.arange(len(ids)))
+    own = first[number][owner]
+    for i, j in group_pairs(start, length, n, p):
+        a.append(own[i])
+        b.append(own[j])
+        held += len(i)
+        if held > 1_000_000:
+            label = joined_labels(np.concatenate([*a, np.arange(len(ids))]), np.concatenate([*b, label]), len(ids))
+            a, b, held = [], [], 0
+    label = joined_labels(np.concatenate([*a, np.arange(len(ids))]), np.concatenate([*b, label]), len(ids))
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[label[moved]]), pa.array(ids[moved])], names=["a", "b"])
+
+
+def bit_length(n: int) -> int:
+    """Bits of the bitmap of a set of n: the next power of two."""
+    return min(MOST_BITS, max(64, 1 << (n - 1).bit_length()))
+
+
+def _bitmaps(batches):
+    """Rows (doc_id, body) as (doc_id, bits): bit b is the parity of the shingles that fall on it."""
+    for batch in batches:
+        bits = []
+        for s in shingle_sets(batch.column(1).to_pylist()):
+            b = bit_length(len(s))
+            odd = np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
+            bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["doc_id", "bits"])
+
+
+def near_bitmaps(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Arrays (i, j) of the pairs of left and right sets that may be linked: where bitmaps differ,
+    sets differ, so their overlap is at most half of their sizes less the bits that differ."""
+    by_width: dict[int, np.ndarray] = {}
+    for of in (left, right):
+        for w in {len(bits[i]) for i in of}:
+            by_width.setdefault(w, None)
+
+    def rows(of, width):
+        """The bitmaps folded to ``width`` bytes."""
+        out = np.empty((len(of), width // 8), dtype=np.uint64)
+        for r, i in enumerate(of):
+            words = np.frombuffer(bits[i], dtype=np.uint64)
+            out[r] = np.bitwise_xor.reduce(words.reshape(-1, width // 8), axis=0)
+        return out
+
+    for w in by_width:
+        a = np.array([i for i in left if len(bits[i]) == w], dtype=np.int64)
+        for v in by_width:
+            b = np.array([i for i in right if len(bits[i]) == v], dtype=np.int64)
+            if not len(a) or not len(b) or not w // 2 <= v <= w * 2:
+                continue
+            width = min(v, w)
+            x, y = rows(a, width), rows(b, width)
+            for r in range(len(a)):
+                differ = np.bitwise_count(y ^ x[r]).sum(axis=1, dtype=np.int64)
+                n1, n2 = n[a[r]], n[b]
+                ok = (DENOMINATOR * np.minimum(n1, n2) >= NUMERATOR * np.maximum(n1, n2)) & ((n1 + n2 - differ) // 2 >= needed(n1, n2)) & (b != a[r])
+                if ok.any():
+                    yield np.full(int(ok.sum()), a[r]), b[ok]
+
+
+def by_block(batches, done):
+    """``done`` of the rows of each block; rows come sorted by block, which is the first column."""
+    held, block = [], None
+    for batch in batches:
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns))):
+            if key != block and held:
+                yield from done(held)
+                held = []
+            block = key
+            held.append(row)
+    if held:
+        yield from done(held)
+
+
+def _refined(batches):
+    """Rows (block, side, doc_id, n_shingles, bits) by block: a forest of the pairs that may be linked."""
+
+    def done(rows):
+        sides, ids, n, bits = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
+        within = sides.min() == sides.max()
+        left, right = (np.arange(len(rows)),) * 2 if within else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
+        pairs = list(near_bitmaps(bits, n, left, right))
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs))
+            label = joined_labels(a, b, len(rows))
+            moved = np.flatnonzero(label != np.arange(len(rows)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[label[moved]]), pa.array(ids[moved])], names=["a", "b"])
+
+    yield from by_block(batches, done)
+
+
+def trie_links(sets: list[np.ndarray], size: np.ndarray, probes: np.ndarray, stored: np.ndarray):
     """Linked pairs (probe, stored set), by a walk of the prefix tree of the stored sets.
 
-    sets: arrays of token numbers, in the global order; probes, stored: indexes of sets."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    # postings of the probes: the probes that hold each token
+    sets: the tokens of each that others have too, as numbers, in the global order; size: of the
+    whole sets; probes, stored: indexes of sets."""
+    shared = np.array([len(s) for s in sets], dtype=np.int64)
     token = np.concatenate([sets[p] for p in probes])
-    holder = np.repeat(np.arange(len(probes)), size[probes])
+    holder = np.repeat(np.arange(len(probes)), shared[probes])
     by = np.argsort(token, kind="stable")
     holder = holder[by]
-    edge = np.searchsorted(token[by], np.arange(int(max(token.max(), max(int(sets[s].max()) for s in stored))) + 2))
-    n = size[probes]
-    listed = sorted(stored.tolist(), key=lambda i: sets[i].tolist())
+    # postings of the probes: those that hold token t are holder[edge[t]:edge[t + 1]]
+    edge = np.searchsorted(token[by], np.arange(max((int(s.max()) for s in sets if len(s)), default=-1) + 2))
+    n, most = size[probes], shared[probes]
+    least_any = -(-NUMERATOR * n // DENOMINATOR)  # needed with the smallest set that can be linked
+    listed = sorted(stored.tolist(), key=lambda i: sets[i].astype(">u4").tobytes())
     common = [0] * len(listed)  # shared with the set before in the list
     for j in range(1, len(listed)):
         a, b = sets[listed[j - 1]], sets[listed[j]]
@@ -184,34 +332,27 @@ def trie_links(sets: list[np.ndarray], probes: np.ndarray, stored: np.ndarray):
         while stack[-1][0] > common[j]:
             stack.pop()
         depth, alive, overlap = stack[-1]
-        own, length = sets[i], size[i]
+        length = int(shared[i])
         # nodes end where a later set of the list branches off
-        ends, least = [], length
-        for later in common[j + 1 :]:
-            least = min(least, later)
+        ends, least = {length}, length
+        for later in range(j + 1, min(j + 65, len(listed))):
+            least = min(least, common[later])
             if least <= depth:
                 break
-            if not ends or ends[-1] != least:
-                ends.append(least)
-            if len(ends) > 64:
-                break
-        ends = sorted(set(ends) - {length}) + [length]
-        for end in ends:
-            if end > depth:
-                chain = own[depth:end]
-                lists = [holder[edge[t] : edge[t + 1]] for t in chain.tolist()]
-                gained = np.bincount(np.concatenate(lists), minlength=len(probes))
-                overlap = overlap + gained[alive]
-                # what the rest of the set and of each probe can add at most; of any set below a
-                # node that others share, no more than each probe's own rest
-                rest = n[alive] - overlap
-                reach = overlap + (np.minimum(rest, length - end) if end == length else rest)
-                least_needed = needed(n[alive], length) if end == length else needed(n[alive], end)
-                keep = reach >= least_needed
-                alive, overlap, depth = alive[keep], overlap[keep], end
-                if end < length:
-                    stack.append((depth, alive, overlap))
-        for p in alive[overlap >= needed(n[alive], length)].tolist():
+            ends.add(least)
+        for end in sorted(ends):
+            if end <= depth:
+                continue
+            lists = [holder[edge[t] : edge[t + 1]] for t in sets[i][depth:end].tolist()]
+            overlap = overlap + np.bincount(np.concatenate(lists), minlength=len(probes))[alive]
+            # what the rest of each probe, and at a leaf of the set, can still add; below a node
+            # that others share the set may be any that is large enough
+            rest = most[alive] - overlap
+            keep = overlap + np.minimum(rest, length - end) >= needed(n[alive], size[i]) if end == length else overlap + rest >= least_any[alive]
+            alive, overlap, depth = alive[keep], overlap[keep], end
+            if end < length:
+                stack.append((depth, alive, overlap))
+        for p in alive[overlap >= needed(n[alive], size[i])].tolist():
             yield int(probes[p]), i
 
 
@@ -227,8 +368,8 @@ def _verified(batches, sketch):
         numbers, shared = numbers.astype(np.int64), counts > 1
         cuts = np.cumsum([0, *(len(s) for s in raw)])
         sets = [numbers[a:b] for a, b in zip(cuts, cuts[1:])]
-        # unshared tokens go last in each set: then common parts stay together in the tree
-        sets = [np.concatenate([s[shared[s]], s[~shared[s]]]) for s in sets]
+        size = np.array([len(s) for s in sets])
+        sets = [s[shared[s]] for s in sets]
         within = sides.min() == sides.max()
         stored, probes = (np.arange(len(rows)),) * 2 if within else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
         links, parent, out = [0] * len(rows), list(range(len(rows))), []
@@ -239,7 +380,7 @@ def _verified(batches, sketch):
                 x = parent[x]
             return x
 
-        for a, b in trie_links(sets, probes, stored):
+        for a, b in trie_links(sets, size, probes, stored):
             if a == b or within and a > b:
                 continue
             links[a] += copies[b]
@@ -250,57 +391,58 @@ def _verified(batches, sketch):
                 out.append((ids[a], ids[b], None))
         out += [(i, None, k) for i, k in zip(ids, links) if k]
         if out:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "links"])
 
-    held, block = [], None
-    for batch in batches:
-        for key, *row in zip(*(batch.column(c).to_pylist() for c in range(5))):
-            if key != block and held:
-                found = done(held)
-                if found is not None:
-                    yield found
-                held = []
-            block = key
-            held.append(row)
-    if held:
-        found = done(held)
-        if found is not None:
-            yield found
+    yield from by_block(batches, done)
+
+
+def seated(families: DataFrame, reps: DataFrame, weight: F.Column, limit: int) -> DataFrame:
+    """The representatives of each family in blocks of ``limit`` by ``weight``, in order of size, once
+    for each block that theirs can have links with: rows (node, n_shingles, copies, block, side)."""
+    members = families.join(reps, "node").select("node", F.col("component").alias("family"), "n_shingles", "copies")
+    so_far = Window.partitionBy("family").orderBy("n_shingles", "node").rowsBetween(Window.unboundedPreceding, 0)
+    members = written(members.withColumn("b", F.floor((F.sum(weight).over(so_far) - 1) / limit).cast("long")), "members")
+    blocks = members.groupBy("family", "b").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.count("*").alias("size"))
+    other = blocks.select("family", F.col("b").alias("b2"), F.col("lo").alias("lo2"))
+    meets = blocks.join(other, "family").where((F.col("b") < F.col("b2")) & (F.col("hi") * DENOMINATOR >= F.col("lo2") * NUMERATOR) | (F.col("b") == F.col("b2")) & (F.col("size") > 1))
+    key = F.concat_ws("-", "family", "b", "b2")
+    sides = meets.select("family", "b", key.alias("block"), F.lit(0).alias("side")).unionByName(meets.where("b <> b2").select("family", F.col("b2").alias("b"), key.alias("block"), F.lit(1).alias("side")))
+    return written(members.join(sides, ["family", "b"]).select("node", "n_shingles", "copies", "block", "side"), "seats")
+
+
+def wanted_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be among the nodes; a join with them must follow."""
+    words = written(filter_words(nodes.select(F.xxhash64("node").alias("h")), "h"), "wanted")
+    return thinned(rows.withColumn("h", F.xxhash64("doc_id")), "h", words)
 
 
 def shingle_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
-    parts = partitions(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
     first = written(rows.mapInArrow(_sized, "doc_id long, n_shingles long, s1 long, s2 long, chunk int, counts binary"), "sized")
     chunks = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary")
-    summed = {r[0]: np.frombuffer(r[1], dtype=np.uint32) for r in chunks.collect()}  # 4 MB, whatever the input
+    summed = {r[0]: np.frombuffer(r[1], dtype=np.uint32) for r in chunks.collect()}  # 16 MB, whatever the input
     sketch = spark.sparkContext.broadcast(np.concatenate([summed[i] for i in sorted(summed)]) if summed else np.zeros(1 << SKETCH_BITS, np.uint32))
 
     sized = first.where("chunk is null").select("doc_id", "n_shingles", "s1", "s2")
     keys = ["n_shingles", "s1", "s2"]
     classes = written(sized.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    sent = rows.mapInArrow(lambda batches: _prefixes(batches, sketch.value, parts), "part int, ids binary, sizes binary, of binary, shingles binary")
+    postings = classes.agg(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUMERATOR / DENOMINATOR) + 1)).first()[0] or 0
+    parts = max(4, -(-postings // PART))
+    sent = rows.mapInArrow(lambda batches: _prefixes(batches, sketch.value, parts), "part int, ids binary, sizes binary, of binary, places binary, shingles binary")
     stars = sent.repartitionById(parts, F.col("part")).mapInArrow(_stars, "a long, b long")
     families = components(written(stars, "stars"))
-    # one family may hold copies of one class: only its representative goes on
+    # a family may hold several ids of one class: only its representative goes on
     reps = classes.select(F.col("rep").alias("node"), "n_shingles", "copies")
-    members = families.join(reps, "node").select("node", F.col("component").alias("family"), "n_shingles", "copies")
-    rank = Window.partitionBy("family").orderBy("n_shingles", "node")
-    members = members.withColumn("b", F.floor((F.row_number().over(rank) - 1) / BLOCK).cast("long"))
-    members = written(members, "members")
-    blocks = members.groupBy("family", "b").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.count("*").alias("size"))
-    other = blocks.select("family", F.col("b").alias("b2"), F.col("lo").alias("lo2"), F.col("size").alias("size2"))
-    meets = blocks.join(other, "family").where((F.col("b") < F.col("b2")) & (F.col("hi") * DENOMINATOR >= F.col("lo2") * NUMERATOR) | (F.col("b") == F.col("b2")) & (F.col("size") > 1))
-    key = F.concat_ws("-", "family", "b", "b2")
-    sides = meets.select("family", "b", key.alias("block"), F.lit(0).alias("side")).unionByName(meets.where("b <> b2").select("family", F.col("b2").alias("b"), key.alias("block"), F.lit(1).alias("side")))
-    seats = written(members.join(sides, ["family", "b"]).select("node", "copies", "block", "side"), "seats")
+    seats = seated(families, reps, F.greatest("n_shingles", F.lit(SMALL)), 8 * BLOCK)
+    bits = wanted_rows(rows, seats).select("doc_id", "body").mapInArrow(_bitmaps, "doc_id long, bits binary")
+    placed = bits.join(seats, F.col("doc_id") == F.col("node")).select("block", "side", "doc_id", "n_shingles", "bits").repartition("block").sortWithinPartitions("block", "side", "doc_id")
+    families = components(written(placed.mapInArrow(_refined, "a long, b long"), "refined"))
 
-    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
-    wanted = thinned(hashed, "h", written(filter_words(seats.select(F.xxhash64("node").alias("h")), "h"), "wanted"))
-    texts = wanted.join(seats, F.col("doc_id") == F.col("node")).select("block", "side", "doc_id", "copies", "body")
+    seats = seated(families, reps, F.greatest("n_shingles", F.lit(SMALL)), BLOCK)
+    texts = wanted_rows(rows, seats).join(seats, F.col("doc_id") == F.col("node")).select("block", "side", "doc_id", "copies", "body")
     texts = texts.repartition("block").sortWithinPartitions("block", "side", "doc_id")
     found = written(texts.mapInArrow(lambda batches: _verified(batches, sketch.value), "a long, b long, links long"), "links")
     joined = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "least"})
