@@ -122,12 +122,26 @@ def with_views(sql: str) -> str:
     return f"WITH {', '.join(heads)} {sql}"
 
 
+_persisted: dict[tuple[str, str], DataFrame] = {}
+
+
 class Tables:
     """The supplied tables and the views over them, as attributes."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
+    def _stored(self, name: str, make) -> DataFrame:
+        """The passages are a table with their normalised text, not an expression of every query: they
+        are persisted once for a session and folder (spilling to disk, and recomputed if lost)."""
+        if name != "passages":
+            return make()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _persisted:
+            _persisted.clear()
+            _persisted[key] = make().persist()
+        return _persisted[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -136,7 +150,7 @@ class Tables:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in SPARK_VIEWS:
                 sql = SPARK_VIEWS[name]
-                self._made[name] = self.spark.sql(sql, **{x: getattr(self, x) for x in set(re.findall(r"[{](\w+)[}]", sql))})
+                self._made[name] = self._stored(name, lambda: self.spark.sql(sql, **{x: getattr(self, x) for x in set(re.findall(r"[{](\w+)[}]", sql))}))
             else:
                 raise AttributeError(name)
         return self._made[name]

@@ -13,13 +13,19 @@ from warraq.operators.rules import heading_classify, heading_level, lines_of, nu
 from warraq.registry import query
 
 
+def heading_lines(pages: DataFrame) -> DataFrame:
+    """The heading lines of pages, with kind and title.  ``inline`` keeps the filter above the rules,
+    which are then evaluated once a line and not once more to filter."""
+    lines = lines_of(pages).where(F.length(F.trim("line")) <= 160)
+    return lines.select("*", F.inline(F.array(heading_classify(F.col("line"))))).where("kind is not null and title <> ''")
+
+
 def toc_nodes(pages: DataFrame) -> DataFrame:
     """Nodes (edition_id, ord, passage_id, kind, title, parent_ord, depth) of the headings of
     (passage_id, edition_id, seq, text_raw), in reading order.
 
     What is open is the last node of a kind since the last of a wider kind: windows, no loop."""
-    lines = lines_of(pages).select("*", heading_classify(F.col("line")).alias("h")).where("h is not null and h.title <> ''")
-    heads = lines.select("edition_id", "seq", "passage_id", "line_no", "h.kind", F.left("h.title", F.lit(200)).alias("title"))
+    heads = heading_lines(pages).select("edition_id", "seq", "passage_id", "line_no", "kind", F.left("title", F.lit(200)).alias("title"))
     reading = Window.partitionBy("edition_id").orderBy("seq", "line_no")
     nodes = heads.withColumn("ord", F.row_number().over(reading))
     before = Window.partitionBy("edition_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
