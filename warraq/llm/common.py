@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the broadcast filter that thins a scan before an exact step; 2**22 bits are 0.5 MB.
 FILTER_BITS = 22
+#: Texts of an Arrow batch.
+ARROW_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most ARROW_ROWS texts in an Arrow batch from now on: a batch of whole texts is some MB then,
+    in the worker as in the buffers of the executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm.common import documents, filter_words, remainder, text_of, thinned, written
+from warraq.llm.common import documents, filter_words, remainder, small_batches, text_of, thinned, written
 
 #: Weight of the pooled covariance, and then of its diagonal, in a class's own.
 POOLED, DIAGONAL = 0.1, 0.05
@@ -82,6 +82,7 @@ def _measured(batches):
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
     return rows.mapInArrow(_measured, "doc_id long, x array<double>")
 

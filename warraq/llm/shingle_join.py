@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warraq.llm.common import components, documents, filter_words, joined_by_size, text_of, thinned, written
+from warraq.llm.common import components, documents, filter_words, joined_by_size, small_batches, text_of, thinned, written
 from warraq.llm.shingles import shingle_sets
 
 #: Links have NUMERATOR / DENOMINATOR of their union in common, at least.
@@ -36,7 +36,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Bits of a shingle's place in the sketch, and places of a chunk of it.
 SKETCH_BITS, CHUNK_BITS = 22, 16
 #: Shingles of a block of a family; a document counts as SMALL at least, so that a block has at most BLOCK / SMALL.
-BLOCK, SMALL = 1_000_000, 1_000
+BLOCK, SMALL = 500_000, 1_000
 #: Bits of a set's parity bitmap, at most.
 MOST_BITS = 1 << 16
 #: Postings that a task gathers before it sends them on, and those of a part, about.
@@ -419,6 +419,7 @@ def wanted_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def shingle_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
     first = written(rows.mapInArrow(_sized, "doc_id long, n_shingles long, s1 long, s2 long, chunk int, counts binary"), "sized")
     chunks = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary")
