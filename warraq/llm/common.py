@@ -79,6 +79,20 @@ def thinned(df: DataFrame, column: str, words: DataFrame, bits: int = FILTER_BIT
     )
 
 
+def without(rows: DataFrame, key: Column, gone: DataFrame, gone_key: Column) -> DataFrame:
+    """``rows`` whose key (null-safe) is not among those of ``gone``.
+
+    A bounded filter over the keys that go tells most rows apart where they lie; only those that it
+    can't clear are shuffled to the exact anti-join."""
+    hashed = gone.select(gone_key.alias("_gone"), F.xxhash64(gone_key).alias("_h"))
+    words = written(filter_words(hashed, "_h"), "filter")
+    place = F.pmod(F.col("_h"), F.lit(1 << FILTER_BITS))
+    marked = rows.withColumns({"_key": key, "_h": F.xxhash64(key)}).join(F.broadcast(words), F.shiftright(place, 6) == F.col("_word"), "left")
+    may_go = F.expr(f"coalesce(shiftright(_mask, cast(pmod(pmod(_h, {1 << FILTER_BITS}L), 64) as int)) & 1 = 1, false)")
+    doubtful = marked.where(may_go).join(hashed.select("_gone"), F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.where(~may_go).unionByName(doubtful).drop("_key", "_h", "_word", "_mask")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warraq.llm.common import documents, filter_words, text_of, thinned, written
+from warraq.llm.common import documents, filter_words, text_of, thinned, without, written
 
 #: Distinct fingerprints of an owner, about: the number of owners follows the rows.
 OWNER_ROWS = 50_000
@@ -152,8 +152,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     verdict = exact_duplicates(docs)
     gone = written(verdict.where(~F.col("kept")).select("doc_id", "text_sha256", "repeat"), "dropped")
     rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.sha2(text_of().cast("binary"), 256).alias("sha")).alias("key"))
-    dropped = gone.where("repeat = 0").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("gone"))
-    kept = rows.join(dropped, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    kept = without(rows, F.col("key"), gone.where("repeat = 0"), F.struct("doc_id", F.col("text_sha256").alias("sha")))
     if not gone.where("repeat > 0").isEmpty():
         again = Window.partitionBy("key").orderBy(F.lit(0))
         kept = kept.withColumn("again", F.row_number().over(again)).where("again = 1")

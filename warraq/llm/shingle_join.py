@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warraq.llm.common import components, documents, filter_words, joined_by_size, small_batches, text_of, thinned, written
+from warraq.llm.common import components, documents, filter_words, joined_by_size, small_batches, text_of, thinned, without, written
 from warraq.llm.shingles import shingle_sets
 
 #: Links have NUMERATOR / DENOMINATOR of their union in common, at least.
@@ -40,7 +40,7 @@ BLOCK, SMALL = 500_000, 1_000
 #: Bits of a set's parity bitmap, at most.
 MOST_BITS = 1 << 16
 #: Postings that a task gathers before it sends them on, and those of a part, about.
-SEND, PART = 500_000, 1_000_000
+SEND, PART = 250_000, 1_000_000
 #: Postings of one shingle whose pairs are looked at one by one.
 LARGE = 4096
 
@@ -457,7 +457,7 @@ def shingle_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns stay."""
     gone = written(shingle_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "gone")
-    return docs.select(F.struct("*").alias("row"), "doc_id").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*")
+    return without(docs.select(F.struct("*").alias("row"), "doc_id"), F.col("doc_id").cast("long"), gone, F.col("gone")).select("row.*")
 
 
 def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
