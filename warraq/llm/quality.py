@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm.common import documents, filter_words, remainder, small_batches, text_of, thinned, written
+from warraq.llm.common import documents, filter_words, give_back, released, remainder, small_batches, text_of, thinned, written
 
 #: Weight of the pooled covariance, and then of its diagonal, in a class's own.
 POOLED, DIAGONAL = 0.1, 0.05
@@ -84,7 +84,7 @@ def _measured(batches):
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    return rows.mapInArrow(_measured, "doc_id long, x array<double>")
+    return rows.mapInArrow(released(_measured), "doc_id long, x array<double>")
 
 
 def _moments(batches):
@@ -132,7 +132,7 @@ def fitted(x: DataFrame, labels: DataFrame, label: str = "quality") -> Discrimin
     """The discriminant of rows (doc_id, x) by ``labels`` (doc_id, label); every labelled row counts."""
     votes = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     votes = votes.agg((F.avg(F.col(label).cast("double")) > 0.5).cast("int").alias("class"))
-    sums = x.join(votes, "doc_id").select("class", "x").mapInArrow(_moments, "class int, products array<double>")
+    sums = x.join(votes, "doc_id").select("class", "x").mapInArrow(released(_moments), "class int, products array<double>")
     # summed in Spark: (D + 1)**2 numbers of each class come back
     total = sums.select("class", F.posexplode("products")).groupBy("class", "pos").agg(F.sum("col").alias("s")).collect()
     products = {}
@@ -177,6 +177,7 @@ def _predicted(bodies, model, threshold):
     import pandas as pd
 
     rows = np.asarray([statistics(t) for t in bodies], dtype=np.float64).reshape(-1, D)
+    give_back()
     return pd.Series(model.scores(rows) >= threshold)
 
 

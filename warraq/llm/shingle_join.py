@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warraq.llm.common import components, documents, filter_words, joined_by_size, small_batches, text_of, thinned, without, written
+from warraq.llm.common import components, documents, filter_words, joined_by_size, released, small_batches, text_of, thinned, without, written
 from warraq.llm.shingles import shingle_sets
 
 #: Links have NUMERATOR / DENOMINATOR of their union in common, at least.
@@ -421,7 +421,7 @@ def shingle_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    first = written(rows.mapInArrow(_sized, "doc_id long, n_shingles long, s1 long, s2 long, chunk int, counts binary"), "sized")
+    first = written(rows.mapInArrow(released(_sized), "doc_id long, n_shingles long, s1 long, s2 long, chunk int, counts binary"), "sized")
     chunks = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary")
     summed = {r[0]: np.frombuffer(r[1], dtype=np.uint32) for r in chunks.collect()}  # 16 MB, whatever the input
     sketch = spark.sparkContext.broadcast(np.concatenate([summed[i] for i in sorted(summed)]) if summed else np.zeros(1 << SKETCH_BITS, np.uint32))
@@ -432,20 +432,20 @@ def shingle_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     postings = classes.agg(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUMERATOR / DENOMINATOR) + 1)).first()[0] or 0
     parts = max(4, -(-postings // PART))
-    sent = rows.mapInArrow(lambda batches: _prefixes(batches, sketch.value, parts), "part int, ids binary, sizes binary, of binary, places binary, shingles binary")
-    stars = sent.repartitionById(parts, F.col("part")).mapInArrow(_stars, "a long, b long")
+    sent = rows.mapInArrow(released(lambda batches: _prefixes(batches, sketch.value, parts)), "part int, ids binary, sizes binary, of binary, places binary, shingles binary")
+    stars = sent.repartitionById(parts, F.col("part")).mapInArrow(released(_stars), "a long, b long")
     families = components(written(stars, "stars"))
     # a family may hold several ids of one class: only its representative goes on
     reps = classes.select(F.col("rep").alias("node"), "n_shingles", "copies")
     seats = seated(families, reps, F.greatest("n_shingles", F.lit(SMALL)), 8 * BLOCK)
-    bits = wanted_rows(rows, seats).select("doc_id", "body").mapInArrow(_bitmaps, "doc_id long, bits binary")
+    bits = wanted_rows(rows, seats).select("doc_id", "body").mapInArrow(released(_bitmaps), "doc_id long, bits binary")
     placed = bits.join(seats, F.col("doc_id") == F.col("node")).select("block", "side", "doc_id", "n_shingles", "bits").repartition("block").sortWithinPartitions("block", "side", "doc_id")
-    families = components(written(placed.mapInArrow(_refined, "a long, b long"), "refined"))
+    families = components(written(placed.mapInArrow(released(_refined), "a long, b long"), "refined"))
 
     seats = seated(families, reps, F.greatest("n_shingles", F.lit(SMALL)), BLOCK)
     texts = wanted_rows(rows, seats).join(seats, F.col("doc_id") == F.col("node")).select("block", "side", "doc_id", "copies", "body")
     texts = texts.repartition("block").sortWithinPartitions("block", "side", "doc_id")
-    found = written(texts.mapInArrow(lambda batches: _verified(batches, sketch.value), "a long, b long, links long"), "links")
+    found = written(texts.mapInArrow(released(lambda batches: _verified(batches, sketch.value)), "a long, b long, links long"), "links")
     joined = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "least"})
     links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     labelled = written(classes.join(joined, "rep", "left").join(links, "rep", "left").select(*keys, "copies", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labelled")
