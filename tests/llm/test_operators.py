@@ -353,6 +353,43 @@ def test_corpus_scores(docs, local, none):
     assert ppm.corpus_scores(none).collect() == []
 
 
+def test_scores_are_of_all_contexts(spark):
+    """Contexts that occur once in a corpus of over 2^18 bytes count, as in a plain count of everything."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    local = [(i, " ".join(rng.choice(vocabulary) for _ in range(300))) for i in range(200)]
+    got = {r.doc_id: r for r in ppm.corpus_scores(spark.createDataFrame(local, "doc_id long, text string").repartition(4)).collect()}
+    event = lambda t: b"\xff" * ppm.ORDER + t.encode() + b"\xff"
+    counts = defaultdict(Counter)
+    for i, t in local:
+        if not got[i].held_out:
+            e = event(t)
+            for at in range(ppm.ORDER, len(e)):
+                for j in range(ppm.ORDER + 1):
+                    counts[e[at - j : at]][e[at]] += 1
+    assert sum(counts[b""].values()) > 1 << 18
+    tried = [i for i, _ in local if got[i].held_out][:3] + [i for i, _ in local if not got[i].held_out][:3]
+    for i in tried:
+        e, score = event(local[i][1]), 0.0
+        for at in range(ppm.ORDER, len(e)):
+            excluded = set()
+            for j in range(ppm.ORDER, -1, -1):
+                seen = counts.get(e[at - j : at])
+                if not seen:
+                    continue
+                left = {x: n for x, n in seen.items() if x not in excluded}
+                mass = sum(left.values())
+                if e[at] in left:
+                    score += math.log10((left[e[at]] - 0.5) / mass)
+                    break
+                if mass:
+                    score += math.log10(len(left) / 2 / mass)
+                excluded |= set(seen)
+            else:
+                score -= math.log10(256 - len(excluded))
+        assert math.isclose(got[i].score, score, rel_tol=1e-6)
+
+
 def test_long_texts_are_scored_in_pieces(monkeypatch):
     words = [b"abc", b"de"] * 400
     whole = ppm.grams_of(list(ppm.segments(words)))[0]

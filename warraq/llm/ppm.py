@@ -1,17 +1,19 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts up to ORDER, pretrained on the documents that are not held
-out.  All (ORDER + 1)-grams of all training texts are counted (distinct ones summed in the task
-before the shuffle); shorter contexts are their margins.  A context is in the trie if it makes up
-at least MIN_SHARE of all positions, and a symbol below it if it makes up LEAF of that: shares of
-the corpus, the same rule at every size, which bounds the trie (at most 1 / MIN_SHARE contexts an
-order, 1 / (MIN_SHARE * LEAF) symbols) so that it may be broadcast.
-
-The probability of a byte is found from its longest context in the trie: the symbol's count, or an
-escape (half a count from each distinct symbol, and the counts of those left out of the trie) to the next shorter context, from which all symbols of the longer one are excluded; in the
-end all bytes left are equally likely.  0xFF, which no text contains, is the end of a text and
-stands before its start.  A text is scored as its lower-cased words with single spaces between
-and the end, so that the score is a probability of the same event as the base score.
+The model is all byte contexts up to ORDER, pretrained on the documents that are not held out: no
+context and no symbol is left out, so the model grows with the corpus and stays in Spark.  Texts are
+dealt into blocks of about BLOCK bytes.  A block asks once for each of its distinct (ORDER + 1)-grams
+and says how often its training texts have them; the requests go to the owner of the gram's last
+three context bytes, who so holds all contexts of orders 3 to ORDER that end in them, adds the counts
+up and answers each block with its grams' logarithms, from which the block sums its texts' scores.
+Contexts of orders 0 to 2 have at most 2^24 symbols whatever the corpus, and are broadcast.
+
+The probability of a byte is found from its longest context in the model: the symbol's count, or an
+escape (half a count from each distinct symbol) to the next shorter context, from which all symbols
+of the longer one are excluded; in the end all bytes left are equally likely.  0xFF, which no text
+contains, is the end of a text and stands before its start.  A text is scored as its lower-cased
+words with single spaces between and the end, so that the score is a probability of the same event
+as the base score.  Logarithms travel as 32-bit floats.
 
 The base score needs the count of every word: words with over 1 / HEAD of all tokens are few and
 go by broadcast, the others are joined by shuffle, summed for each document first.
@@ -30,11 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm.common import documents, remainder, text_of, written
+from warraq.llm.common import documents, partitions, released, remainder, text_of, written
 
 #: Bytes of the longest context.
 ORDER = 5
-MIN_SHARE, LEAF = 2.0**-17, 2.0**-6
+#: Bits of an order-3 context, and of the number of the buckets that these are dealt into; an odd factor and its inverse.
+NEAR, BUCKET = 24, 10
+MIX = 0x9E3779
+BACK = pow(MIX, -1, 1 << NEAR)
+#: Bytes of texts of a block.
+BLOCK = 1 << 24
 #: Words with over 1 / HEAD of all tokens are broadcast: fewer than HEAD.
 HEAD = 1 << 17
 #: Bytes that are turned into grams at once, and distinct grams or words that a task holds.
@@ -69,40 +76,102 @@ def grams_of(pieces: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nd
     return codes[own], sizes - order
 
 
-def _counted_grams(batches):
-    import pandas as pd
+def dealt(codes: np.ndarray) -> np.ndarray:
+    """Codes with the (mixed) order-3 context first, so that a bucket is a range: bijective."""
+    near = (codes >> 8) & ((1 << NEAR) - 1)
+    return ((near * MIX) & ((1 << NEAR) - 1)) << 24 | (codes >> 32) << 8 | (codes & 0xFF)
 
-    def merged(held):
-        codes, counts = (np.concatenate(x) for x in zip(*held))
-        distinct, of = np.unique(codes, return_inverse=True)
-        return distinct, np.bincount(of, counts).astype(np.int64)
 
-    def row(held):
-        codes, counts = merged(held)
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+def code_of(keys: np.ndarray) -> np.ndarray:
+    near = ((keys >> 24) * BACK) & ((1 << NEAR) - 1)
+    return ((keys >> 8) & 0xFFFF) << 32 | near << 8 | (keys & 0xFF)
 
-    def add(pieces):
-        of, distinct = pd.factorize(grams_of(pieces)[0])
-        held.append((distinct, np.bincount(of, minlength=len(distinct))))
 
-    held, pieces, size = [], [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for piece in segments(tokens_of(text)):
-                pieces.append(piece)
-                size += len(piece)
-                if size >= CHUNK:
-                    add(pieces)
-                    pieces, size = [], 0
-                    if sum(len(c) for c, _ in held) >= 2 * HELD:
-                        held = [merged(held)]
-                        if len(held[0][0]) >= HELD:
-                            yield row(held)
-                            held = []
+def packed(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte by byte, compressed."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, width: int, dtype=np.int64) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
+    out = np.zeros((size, np.dtype(dtype).itemsize), np.uint8)
+    out[:, :width] = planes.reshape(width, size).T
+    return out.view(dtype).ravel()
+
+
+def keys_of(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, size, 6))
+
+
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*held))
+    distinct, of = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(of, counts, len(distinct)).astype(np.int64)
+
+
+def chunked(events: list[bytes]):
+    """Of about CHUNK bytes at a time: the pieces, and the text that each is of."""
+    pieces, owners, size = [], [], 0
+    for i, event in enumerate(events):
+        for piece in segments([event]):
+            pieces.append(piece)
+            owners.append(i)
+            size += len(piece)
+            if size >= CHUNK:
+                yield pieces, np.array(owners)
+                pieces, owners, size = [], [], 0
     if pieces:
-        add(pieces)
-    if held:
-        yield row(held)
+        yield pieces, np.array(owners)
+
+
+REQUEST = "block long, bucket int, size long, keys binary, counts binary, rid array<long>, doc_id array<long>, held_out array<boolean>, texts binary"
+#: Buckets of the rows that hold a block's texts, and its counts of order 2.
+TEXTS, LOW = -1, -2
+
+
+def _requests(batches):
+    import pandas as pd
+
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()]
+
+    def block(rids, ids, out, events):
+        train, held = ~np.array(out, dtype=bool), []
+        for pieces, owners in chunked(events):
+            codes, sizes = grams_of(pieces)
+            of, distinct = pd.factorize(codes)
+            held.append((dealt(distinct), np.bincount(of, np.repeat(train[owners], sizes), len(distinct))))
+            if sum(len(k) for k, _ in held) >= 4 * HELD:
+                held = [merged(held)]
+        keys, counts = merged(held)
+        low, low_n = merged([(code_of(keys) & ((1 << NEAR) - 1), counts)])
+        low, low_n = low[low_n > 0], low_n[low_n > 0]
+        whole = b"\xff".join(events)
+        rows = [(rids[0], TEXTS, len(whole), None, None, rids, ids, out, pa.compress(whole, codec="zstd", asbytes=True)), (rids[0], LOW, len(low), packed(low, 3), packed(low_n, 8)) + (None,) * 4]
+        bounds = np.searchsorted(keys, np.arange((1 << BUCKET) + 1) << (48 - BUCKET))
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if a < b:
+                rows.append((rids[0], i, b - a, packed(np.diff(keys[a:b], prepend=0), 6), packed(counts[a:b], 8)) + (None,) * 4)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[c.split()[0] for c in REQUEST.split(", ")])
+
+    held, size = ([], [], [], []), 0
+    for batch in batches:
+        for rid, doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns)):
+            event = b" ".join(tokens_of(text))
+            for column, value in zip(held, (rid, doc_id, out, event)):
+                column.append(value)
+            size += len(event) + 1
+            if size >= BLOCK:
+                yield block(*held)
+                held, size = ([], [], [], []), 0
+    if held[0]:
+        yield block(*held)
+
+
+def _low_counts(batches):
+    for batch in batches:
+        for size, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(keys, size, 3)), pa.array(unpacked(counts, size, 8))], names=["code", "n"])
 
 
 def _counted_words(batches):
@@ -124,10 +193,10 @@ def _counted_words(batches):
 class Trie:
     """Contexts by order, as sorted arrays, with what an escape and an exclusion need."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        """orders[j]: codes and counts of the symbols, codes and totals of the contexts, of order j."""
-        self.orders = []
-        for j, (code, n, context, total) in enumerate(orders):
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], below: Trie | None = None):
+        """orders[j]: codes and counts of the symbols, codes and totals of the contexts, of order j, after those of ``below``."""
+        self.orders = list(below.orders) if below else []
+        for j, (code, n, context, total) in enumerate(orders, len(self.orders)):
             by, at = np.argsort(code), np.argsort(context)
             code, n, context, total = code[by], n[by].astype(float), context[at], total[at].astype(float)
             of = np.searchsorted(context, code >> 8)
@@ -168,22 +237,31 @@ class Trie:
         return out
 
 
-def trained(train: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, leaf: float = LEAF) -> Trie:
-    """The trie of rows (body)."""
-    grams = train.select("body").mapInArrow(_counted_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    orders, total = [], None
-    for j in range(order, -1, -1):
-        grams = written(grams, f"grams-{j}")
-        if total is None:
-            total = grams.agg(F.sum("n")).first()[0] or 0
-        contexts = grams.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") >= min_share * total)
-        contexts = written(contexts, f"contexts-{j}")
-        kept = grams.where(F.col("n") >= min_share * leaf * total).join(contexts, F.shiftright("code", 8) == F.col("context"), "left_semi").toPandas()
-        whole = contexts.toPandas()
-        orders.append((kept["code"].to_numpy(np.int64), kept["n"].to_numpy(np.int64), whole["context"].to_numpy(np.int64), whole["total"].to_numpy(np.int64)))
-        if j:
-            grams = grams.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * j) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-    return Trie(orders[::-1])
+def levels(codes: np.ndarray, counts: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What Trie takes for the orders, from the codes of the longest (or a longer) one."""
+    out = []
+    for j in reversed(orders):
+        codes, counts = merged([(codes & ((1 << 8 * (j + 1)) - 1), counts)])
+        out.append((codes, counts, *merged([(codes >> 8, counts)])))
+    return out[::-1]
+
+
+def _answers(below):
+    def answered(table: pa.Table) -> pa.Table:
+        sizes = table.column("size").to_pylist()
+        held = []
+        for size, keys, counts in zip(sizes, table.column("keys"), table.column("counts")):
+            held.append((keys_of(keys.as_py(), size), unpacked(counts.as_py(), size, 8)))
+            if sum(len(k) for k, _ in held) >= 4 * HELD:
+                held = [merged(held)]
+        distinct, n = merged(held)
+        codes, held = code_of(distinct), None
+        trie = Trie(levels(codes[n > 0], n[n > 0], range(3, ORDER + 1)), below.value)
+        logs = trie.log10(codes).astype(np.float32)
+        own = [packed(logs[np.searchsorted(distinct, keys_of(keys.as_py(), size))], 4) for size, keys in zip(sizes, table.column("keys"))]
+        return pa.table([table.column("block"), table.column("bucket"), table.column("size"), table.column("keys"), pa.array(own, pa.binary())], names=["block", "bucket", "size", "keys", "logs"])
+
+    return answered
 
 
 def corpus_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,52 +275,48 @@ def corpus_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     tokens, distinct = tokens + ends, distinct + (ends > 0)
     head = words.where(F.col("c") > tokens / HEAD).toPandas()
     known = spark.sparkContext.broadcast(dict(zip(map(bytes, head["word"]), head["c"].tolist())))
-    trie = spark.sparkContext.broadcast(trained(train))
+    blocks = written(rows.mapInArrow(released(_requests), REQUEST), "blocks")
+    low = blocks.where(F.col("bucket") == LOW).select("size", "keys", "counts").mapInArrow(_low_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    below = spark.sparkContext.broadcast(Trie(levels(low["code"].to_numpy(np.int64), low["n"].to_numpy(np.int64), range(3))))
+    asked = blocks.where("bucket >= 0").select("block", "bucket", "size", "keys", "counts").repartition(partitions(spark), "bucket")
+    answers = asked.groupBy("bucket").applyInArrow(_answers(below), "block long, bucket int, size long, keys binary, logs binary")
     level = float(np.log10(tokens + 0.5 * (distinct + 1)))
     end_log = float(np.log10(ends + 0.5))
 
-    def scored(batches):
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
         import pandas as pd
 
-        logs = {w: float(np.log10(c + 0.5)) for w, c in known.value.items()}
-        model = trie.value
-
-        def summed(pieces, owners, n):
+        heads = {w: float(np.log10(c + 0.5)) for w, c in known.value.items()}
+        parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("size").to_pylist(), answers.column("keys").to_pylist(), answers.column("logs").to_pylist()))
+        keys = np.concatenate([keys_of(k, size) for _, size, k, _ in parts])
+        logs = np.concatenate([unpacked(x, size, 4, np.float32) for _, size, _, x in parts]).astype(float)
+        rids, ids, out, size, whole = (texts.column(c)[0].as_py() for c in ("rid", "doc_id", "held_out", "size", "texts"))
+        events = pa.decompress(whole, decompressed_size=size, codec="zstd", asbytes=True).split(b"\xff")
+        score = np.zeros(len(events))
+        for pieces, owners in chunked(events):
             codes, sizes = grams_of(pieces)
-            of, distinct_codes = pd.factorize(codes)
-            each = model.log10(distinct_codes)[of]
-            parts = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            return np.bincount(owners, parts, n)
-
-        for batch in batches:
-            bodies = batch.column(3).to_pylist()
-            n = len(bodies)
-            score, pieces, owners, size = np.zeros(n), [], [], 0
-            count, seen, base, tail, times = [], [], [], [], []
-            for i, body in enumerate(bodies):
-                own = tokens_of(body)
-                for piece in segments(own):
-                    pieces.append(piece)
-                    owners.append(i)
-                    size += len(piece)
-                if size >= CHUNK:
-                    score += summed(pieces, owners, n)
-                    pieces, owners, size = [], [], 0
-                tally = Counter(own)
-                rest = tally.keys() - logs.keys()
-                count.append(len(own) + 1)
-                base.append(end_log + sum(logs[w] * k for w, k in tally.items() if w in logs))
-                seen.append(len(own) - sum(tally[w] for w in rest) + (ends > 0))
-                tail.append(list(rest))
-                times.append([tally[w] for w in rest])
-            if pieces:
-                score += summed(pieces, owners, n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(tail, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "times"],
-            )
-
-    found = written(rows.mapInArrow(scored, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<long>"), "scored")
+            of, own = pd.factorize(codes)
+            each = logs[np.searchsorted(keys, dealt(own))][of]
+            score += np.bincount(owners, np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]])), len(events))
+        count, seen, base, tail, times = [], [], [], [], []
+        for event in events:
+            own = event.split()
+            tally = Counter(own)
+            rest = tally.keys() - heads.keys()
+            count.append(len(own) + 1)
+            base.append(end_log + sum(heads[w] * k for w, k in tally.items() if w in heads))
+            seen.append(len(own) - sum(tally[w] for w in rest) + (ends > 0))
+            tail.append(list(rest))
+            times.append([tally[w] for w in rest])
+        return pa.table(
+            [pa.array(rids, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(tail, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+            names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "times"],
+        )
+
+    texts = blocks.where(F.col("bucket") == TEXTS).select("block", "size", "rid", "doc_id", "held_out", "texts")
+    both = (df.repartition(partitions(spark), "block").groupBy("block") for df in (texts, answers))
+    found = next(both).cogroup(next(both)).applyInArrow(scored, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<long>")
+    found = written(found, "scored")
     tail = found.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.times").alias("k"))
     rare = tail.join(words.where(F.col("c") <= tokens / HEAD), "word", "left").groupBy("rid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also")
