@@ -253,6 +253,16 @@ def test_weak_parts_need_company(spark):
     assert rows[5].n_assign == 0
 
 
+def test_parts_are_linked_by_their_gap(spark):
+    url = "https://api.example.com/v1?user=alice&token=abcd1234efgh"
+    long = "https://api.example.com/" + "a" * 250 + " user: alice token: abcd1234efgh"
+    far = "user: alice" + "!" * 201 + "token: abcd1234efgh"
+    texts = [url, long, far, far.replace("!!", "!", 1)]
+    rows = secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert rows[0].spans == "endpoint:0:56,ident:27:37,assign:38:56"
+    assert [r.n_linked for r in rows] == [2, 2, 0, 1]
+
+
 # packing
 
 

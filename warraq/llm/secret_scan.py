@@ -2,25 +2,27 @@
 
 A scan of each whole text finds the base kinds (assign, access, hex) and weak parts: identifiers,
 opaque values and endpoints that mean little alone.  Parts are then joined with the parts around
-them (starts at most SCOPE code points apart, one sorted pass over each document, no pairs), and a
-weak part is reported only when the complementary parts are there: an identifier near a secret, an
+them (gaps of at most SCOPE code points between them, found in sorted order, no pairs), and a weak
+part is reported only when the complementary parts are there: an identifier near a secret, an
 opaque value near an identifier or endpoint, an endpoint near both.  Base findings always stay.
 
 Defined results: a null text counts as empty, with no findings and the hash of the empty list; a
-weak part that overlaps a base finding is that finding's own and is dropped; repeated rows have
-equal results each; an empty table gives an empty result.
+weak part that overlaps a base finding is that finding's own and is dropped, but an endpoint that
+wholly contains base findings is kept as an endpoint; repeated rows have equal results each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm.common import documents, text_of, written
+from warraq.llm.common import documents, text_of
 
 #: Kinds in the order in which equal starts are listed: base ones, then weak ones.
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
@@ -30,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 IDENT = re.compile(r"""(?:user_?name|user|login|client_?id|account_?id|account|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.I | re.A)
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,11}://[^\s"'<>]{3,}|(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.-]+""", re.I | re.A)
-#: Code points between the starts of parts that belong together, at most.
+#: Code points between parts that belong together, from the end of one to the start of the other, at most.
 SCOPE = 200
 
 
@@ -52,62 +54,67 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     if ":" in text or "=" in text:
         found = [(m.start(), 3, m.end()) for m in IDENT.finditer(text)] + [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     found += [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if opaque(m[0])]
-    out, i, reach = [], 0, -1
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    out = []
     for start, kind, end in sorted(found):
-        while i < len(base) and base[i][0] < end:
-            reach = max(reach, base[i][2])
-            i += 1
-        if reach <= start and not (i and any(a < end and start < b for a, _, b in base[max(0, i - 3) : i])):
+        before, within = bisect_left(starts, start), bisect_left(starts, end)
+        if kind == 5:  # base findings inside an endpoint leave it one
+            own = before and reach[before - 1] > start or any(b > end for _, _, b in base[before:within])
+        else:
+            own = within and reach[within - 1] > start
+        if not own:
             out.append((start, kind, end))
     return out
 
 
+def linked_parts(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
+    """The weak parts with their complementary parts within scope."""
+
+    def near(*kinds):
+        own = sorted((a, b) for a, k, b in base + weak if k in kinds)
+        starts, reach = [a for a, _ in own], list(accumulate((b for _, b in own), max))
+
+        def any_by(start, end):
+            i = bisect_right(starts, end + scope)
+            return i > 0 and reach[i - 1] >= start - scope
+
+        return any_by
+
+    if not weak:
+        return []
+    i, s, e = near(1, 3), near(0, 2, 4), near(5)
+    met = {3: s, 4: lambda a, b: i(a, b) or e(a, b), 5: lambda a, b: i(a, b) and s(a, b)}
+    return [(a, k, b) for a, k, b in weak if met[k](a, b)]
+
+
 def listed(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def _scan(batches):
-    part = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        counts, digests, strong, weak = [], [], [], []
-        for text in batch.column(2).to_pylist():
-            base = base_spans(text)
-            kinds = [k for _, k, _ in base]
-            counts.append([kinds.count(k) for k in range(3)])
-            digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
-            strong.append([dict(zip(("start", "kind", "end"), s)) for s in base])
-            weak.append([dict(zip(("start", "kind", "end"), s)) for s in weak_spans(text, base)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(strong, part), pa.array(weak, part)],
-            names=["doc_id", "h", "n_assign", "n_access", "n_hex", "base_sha256", "base", "weak"],
-        )
-
+def _scan(scope):
+    def run(batches):
+        for batch in batches:
+            counts, digests, spans, linked = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                base = base_spans(text)
+                more = linked_parts(base, weak_spans(text, base), scope)
+                kinds = [k for _, k, _ in base]
+                counts.append([kinds.count(k) for k in range(3)])
+                digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
+                spans.append(listed(sorted(base + more)))
+                linked.append(len(more))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(linked, pa.int64())],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"],
+            )
 
-def linked_parts(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
-    """Of rows (keys, start, kind, end) the weak ones with their complementary parts within scope."""
-    near = Window.partitionBy(*keys).orderBy("start").rangeBetween(-scope, scope)
-    has = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
-    parts = parts.withColumns({"i": has(1, 3), "s": has(0, 2, 4), "e": has(5)})
-    return parts.where("kind = 3 and s or kind = 4 and (i or e) or kind = 5 and i and s").select(*keys, "start", "kind", "end")
+    return run
 
 
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, counts and hash of the base kinds, all spans, n_linked."""
-    body = text_of(text)
-    spans = "array<struct<start int, kind int, end int>>".replace(" int", ": int")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("body"))
-    found = rows.mapInArrow(_scan, f"doc_id long, h long, n_assign long, n_access long, n_hex long, base_sha256 string, base {spans}, weak {spans}")
-    found = written(found, "parts")
-    keys = ["doc_id", "h"]
-    parts = found.where(F.size("weak") > 0).select(*keys, F.inline(F.concat("base", "weak")))
-    more = linked_parts(parts, keys, scope).groupBy(*keys).agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
-    more = more.select(F.struct(*keys).alias("_of"), "more")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {spans})"))))
-    return found.join(more, F.struct(*keys).eqNullSafe(F.col("_of")), "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
-        F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["kind"] + 1), x["start"], x["end"])), ",").alias("spans"),
-        F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_linked"),
-    )
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
+    return rows.mapInArrow(_scan(scope), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
