@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from warraq.functions import arabic as A
 from warraq.functions import marks as M
 from warraq.functions import text as X
-from warraq.operators import chains, rules, segment
+from warraq.operators import chains, rules, search, segment
 
 HADITH = "حدثنا عبد الله بن يوسف قال أخبرنا مالك عن نافع عن عبد الله بن عمر أن رسول الله صلى الله عليه وسلم قال : « إنما الأعمال بالنيات »"
 PAGE = "كتاب الإيمان\nباب بدء الوحي\n1 - حدثنا الحميدي قال حدثنا سفيان عن يحيى\nتتمة السطر الأول\n2 - حدثنا عبد الله بن يوسف أخبرنا مالك عن هشام\nباب آخر\n3 - حدثنا يحيى بن بكير حدثنا الليث عن عقيل"
@@ -165,3 +165,21 @@ def test_search_syntax(spark):
     assert parse_search('"a b" c or d -e') == ([[["a", "b"], ["c"]], [["d"]]], [["e"]])
     rows = spark.createDataFrame([(1, "a b c"), (2, "b a c"), (3, "d e"), (4, "d")], "passage_id long, text_norm string")
     assert {r.passage_id for r in fts_match(rows, '"a b" c or d -e').collect()} == {1, 4}
+
+
+def test_vector_knn_takes_any_number_of_queries(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.normal(size=(90, 4)), rng.normal(size=(10_050, 4))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in search.vector_knn(corpus, queries, 3).collect()}
+    assert len(got) == 3 * len(asked)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(asked) @ unit(vectors).T, 4)
+    for i, row in enumerate(scores):
+        for place, j in enumerate(sorted(range(len(row)), key=lambda j: (-row[j], j))[:3], 1):
+            assert got[i, place][0] == j and abs(got[i, place][1] - row[j]) < 1e-9
+    small = search.vector_knn(corpus, queries.where("query_id < 70"), 3, block=16)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in small.collect()} == {x: v for x, v in got.items() if x[0] < 70}

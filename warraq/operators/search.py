@@ -140,27 +140,38 @@ def _(t):
     return t.passages.where((F.length("text_raw") > 40) & F.col("hadith_num").rlike("^[0-9]+$") & F.col("seq").between(100, 5000)).select("passage_id")
 
 
-def vector_knn(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine top-k: the queries (a stated set, checked to be at most 10000) are multiplied with
-    blocks of the corpus where they lie, and only each block's best go on to the merge."""
-    asked = queries.select("query_id", "embedding").limit(10_001).toPandas()
-    if len(asked) > 10_000:
-        raise ValueError("state at most 10000 query vectors at a time")
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    matrix = unit(np.stack(asked["embedding"].to_numpy()).astype(np.float64)) if len(asked) else np.zeros((0, 1))
-    ids = asked["query_id"].to_numpy()
-
-    def best(batches):
-        for batch in batches:
-            if not len(ids) or not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
-            scores = np.round(matrix @ rows.T, 4)
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query_id", "vec_id", "similarity"])
-
-    local = corpus.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, similarity double")
+#: Vectors of a block of queries or of the corpus, about, and queries that are scored at once.
+KNN_BLOCK, KNN_SLICE = 4096, 256
+
+
+def vector_knn(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = KNN_BLOCK) -> DataFrame:
+    """Exact cosine top-k for any number of queries: each block of queries meets each block of the
+    corpus in one task, and only each meeting's best go on to the merge."""
+    blocks = lambda df: -(-df.count() // block) or 1
+    many_q, many_c = blocks(queries), blocks(corpus)
+    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "embedding", part("query_id", many_q).alias("q"), every(many_c).alias("c"))
+    right = corpus.select("vec_id", "embedding", part("vec_id", many_c).alias("c"), every(many_q).alias("q"))
+
+    def matrix(table):
+        m = np.stack(table.column("embedding").to_numpy()).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def best(asked, table):
+        found = []
+        if asked.num_rows and table.num_rows:
+            ids, own = asked.column("query_id").to_numpy(), table.column("vec_id").to_numpy()
+            unit, rows = matrix(asked), matrix(table)
+            for i in range(0, len(ids), KNN_SLICE):
+                scores = np.round(unit[i : i + KNN_SLICE] @ rows.T, 4)
+                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+                found.append((np.repeat(ids[i : i + KNN_SLICE], order.shape[1]), own[order].ravel(), np.take_along_axis(scores, order, 1).ravel()))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0)] * 3
+        types = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(x).cast(t) for x, t in zip(columns, types)], names=["query_id", "vec_id", "similarity"])
+
+    local = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(best, "query_id long, vec_id long, similarity double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return local.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
