@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from warraq.functions import arabic as A
 from warraq.functions import marks as M
 from warraq.functions import text as X
-from warraq.operators import chains, rules, search, segment
+from warraq.operators import chains, joins, rules, search, segment
 
 HADITH = "حدثنا عبد الله بن يوسف قال أخبرنا مالك عن نافع عن عبد الله بن عمر أن رسول الله صلى الله عليه وسلم قال : « إنما الأعمال بالنيات »"
 PAGE = "كتاب الإيمان\nباب بدء الوحي\n1 - حدثنا الحميدي قال حدثنا سفيان عن يحيى\nتتمة السطر الأول\n2 - حدثنا عبد الله بن يوسف أخبرنا مالك عن هشام\nباب آخر\n3 - حدثنا يحيى بن بكير حدثنا الليث عن عقيل"
@@ -183,3 +183,26 @@ def test_vector_knn_takes_any_number_of_queries(spark):
             assert got[i, place][0] == j and abs(got[i, place][1] - row[j]) < 1e-9
     small = search.vector_knn(corpus, queries.where("query_id < 70"), 3, block=16)
     assert {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in small.collect()} == {x: v for x, v in got.items() if x[0] < 70}
+
+
+def test_near_duplicates_are_found_anywhere_in_a_text(spark):
+    import random
+
+    rng = random.Random(5)
+    known = [" ".join(f"w{int(rng.random() ** 2 * 60)}" for _ in range(rng.randrange(1, 26))) for _ in range(80)]
+    changed = ["changed " + " ".join(x.split()[1:]) for x in known[:40]]
+    fresh = changed + known[40:45] + [" ".join(x.split()[1:] + ["more"]) for x in known[45:60]] + [f"n{i} n{i + 1} w1" for i in range(10)] + [""]
+    new = spark.createDataFrame(list(enumerate(fresh)), "passage_id long, text_norm string")
+    corpus = spark.createDataFrame([(x,) for x in known], "text_norm string")
+    mapped = spark.createDataFrame([(3,)], "passage_id long")
+
+    def near(x, y):
+        x, y = set(x.split()), set(y.split())
+        return bool(x and y) and len(x & y) / min(len(x), len(y)) >= 0.9
+
+    want = {i for i, x in enumerate(fresh) if i != 3 and not any(x == y or near(x, y) for y in known)}
+    assert {r.passage_id for r in joins.near_duplicate_gate(new, corpus, mapped).collect()} == want
+    assert any(i not in want and i != 3 for i in range(40)) and want
+    sets = lambda df: df.select(F.array_sort(F.array_distinct(F.split("text_norm", " "))).alias("w"))
+    few, many = (joins.near_token_sets(sets(new), sets(corpus), 0.9, n) for n in (7, 10_000))
+    assert {tuple(r.w) for r in few.collect()} == {tuple(r.w) for r in many.collect()}
