@@ -6,13 +6,16 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the broadcast filter that thins a scan before an exact step; 2**22 bits are 0.5 MB.
-FILTER_BITS = 22
+#: Bits of a filter for each of its keys, and of a row of its bitmap (a fixed value of Spark's bitmap functions).
+KEY_BITS, ROW_BITS = 16, 15
+#: Bits of a filter at most: 16 MB, which any executor can take as a broadcast.
+MOST_BITS = 27
 #: Texts of an Arrow batch.
 ARROW_ROWS = 1000
 
@@ -33,21 +36,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, and a
-    lost executor costs a read, not the work before it."""
+    lost executor costs a read, not the work before it.  With a ``path``, what stood there goes."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/warraq/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_folder(spark)}/warraq/{what}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """At most ARROW_ROWS texts in an Arrow batch from now on: a batch of whole texts is some MB then,
-    in the worker as in the buffers of the executor."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS):
+    """At most ``rows`` texts in an Arrow batch of the jobs that run within: a batch of whole texts is
+    some MB then, in the worker as in the buffers of the executor.  The session's own bound comes back."""
+    own = spark.conf.get(ARROW_KEY)
+    spark.conf.set(ARROW_KEY, str(min(int(own), rows) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_KEY, own)
 
 
 def give_back() -> None:
@@ -82,40 +92,52 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def filter_words(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A bitmap of at most 2**bits bits over the 64-bit ``column`` of ``keys``: rows (word, mask).
-
-    It never has more than 2**(bits - 6) rows whatever the input, so it may be broadcast.
-    """
-    place = F.pmod(F.col(column), F.lit(1 << bits))
-    return keys.groupBy(F.shiftright(place, 6).alias("_word")).agg(
-        F.expr(f"bit_or(shiftleft(1L, cast(pmod(pmod({column}, {1 << bits}L), 64) as int)))").alias("_mask")
+def filter_bits(keys: int, most: int = MOST_BITS) -> int | None:
+    """Bits (as a power of two) of a filter over so many keys: KEY_BITS for each, so that about one in
+    KEY_BITS other rows gets through at any number of keys; None where that is more than may be
+    broadcast."""
+    bits = max(ROW_BITS, (keys * KEY_BITS - 1).bit_length()) if keys else ROW_BITS
+    return bits if bits <= most else None
+
+
+def marked(rows: DataFrame, key: Column, keys: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """``rows`` with ``_may``: true for all rows whose 64-bit ``key`` is among those of ``keys`` (one
+    column), and for few others.
+
+    The filter is a bitmap that is sized by the number of keys, broadcast in rows of 4 KB.  Beyond
+    ``most`` bits there is none and ``_may`` is true for every row: the exact step after it then
+    takes all of them by shuffle, which costs one exchange of the rows and nothing else."""
+    name = keys.columns[0]
+    bits = filter_bits(keys.count(), most)
+    if bits is None:
+        return rows.withColumn("_may", F.lit(True))
+    place = lambda c: F.pmod(c, F.lit(1 << bits))
+    maps = keys.groupBy(F.shiftright(place(F.col(name)), ROW_BITS).alias("_row")).agg(
+        F.bitmap_construct_agg(F.pmod(F.col(name), F.lit(1 << ROW_BITS))).alias("_map")
     )
+    maps = written(maps, "filter")
+    low = F.pmod(F.col("_key"), F.lit(1 << ROW_BITS))
+    unit = F.conv(F.hex(F.substring(F.col("_map"), (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(unit, F.pmod(low, F.lit(8)).cast("int")) == 1, F.lit(False))
+    joined = rows.withColumn("_key", key).join(F.broadcast(maps), F.shiftright(place(F.col("_key")), ROW_BITS) == F.col("_row"), "left")
+    return joined.withColumn("_may", hit).drop("_key", "_row", "_map")
 
 
-def thinned(df: DataFrame, column: str, words: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among the keys of ``words``: all that are, and with
-    few keys hardly any other.  Whatever is right after it must be exact."""
-    place = F.pmod(F.col(column), F.lit(1 << bits))
-    return (
-        df.join(F.broadcast(words), F.shiftright(place, 6) == F.col("_word"))
-        .where(F.expr(f"shiftright(_mask, cast(pmod(pmod({column}, {1 << bits}L), 64) as int)) & 1 = 1"))
-        .drop("_word", "_mask")
-    )
+def thinned(rows: DataFrame, key: Column, keys: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Rows whose 64-bit ``key`` may be among ``keys``: all that are, and few others.  Whatever is
+    right after it must be exact."""
+    return marked(rows, key, keys, most).where("_may").drop("_may")
 
 
-def without(rows: DataFrame, key: Column, gone: DataFrame, gone_key: Column) -> DataFrame:
-    """``rows`` whose key (null-safe) is not among those of ``gone``.
+def without(rows: DataFrame, key: Column, gone: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """``rows`` whose key (null-safe) is not among those of ``gone`` (one column, distinct or not).
 
-    A bounded filter over the keys that go tells most rows apart where they lie; only those that it
-    can't clear are shuffled to the exact anti-join."""
-    hashed = gone.select(gone_key.alias("_gone"), F.xxhash64(gone_key).alias("_h"))
-    words = written(filter_words(hashed, "_h"), "filter")
-    place = F.pmod(F.col("_h"), F.lit(1 << FILTER_BITS))
-    marked = rows.withColumns({"_key": key, "_h": F.xxhash64(key)}).join(F.broadcast(words), F.shiftright(place, 6) == F.col("_word"), "left")
-    may_go = F.expr(f"coalesce(shiftright(_mask, cast(pmod(pmod(_h, {1 << FILTER_BITS}L), 64) as int)) & 1 = 1, false)")
-    doubtful = marked.where(may_go).join(hashed.select("_gone"), F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
-    return marked.where(~may_go).unionByName(doubtful).drop("_key", "_h", "_word", "_mask")
+    A filter over the keys that go tells most rows apart where they lie; only those that it can't
+    clear are shuffled to the exact anti-join."""
+    name = gone.columns[0]
+    flags = marked(rows.withColumn("_own", key), F.xxhash64("_own"), gone.select(F.xxhash64(name)), most)
+    doubtful = flags.where("_may").join(gone.select(F.col(name).alias("_gone")), F.col("_own").eqNullSafe(F.col("_gone")), "left_anti")
+    return flags.where("not _may").unionByName(doubtful).drop("_own", "_may")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -129,10 +151,10 @@ def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: st
     shuffle join that takes the rest has no large group."""
     hot = F.col(size) > max(1000, total // 1000)
     large = groups.where(hot).select(*keys, F.struct(*(c for c in groups.columns if c not in keys)).alias("_large"))
-    marked = rows.join(F.broadcast(large), keys, "left")
+    held = rows.join(F.broadcast(large), keys, "left")
     rest = [c for c in groups.columns if c not in keys]
-    found = marked.where("_large is not null").select(*rows.columns, *(F.col(f"_large.{c}").alias(c) for c in rest))
-    return found.unionByName(marked.where("_large is null").drop("_large").join(groups.where(~hot), keys, "left").select(*rows.columns, *rest))
+    found = held.where("_large is not null").select(*rows.columns, *(F.col(f"_large.{c}").alias(c) for c in rest))
+    return found.unionByName(held.where("_large is null").drop("_large").join(groups.where(~hot), keys, "left").select(*rows.columns, *rest))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -140,20 +162,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each sends a node's larger (then smaller)
     neighbours to the smallest one, so hubs thin out and the rounds grow with the logarithm of the
-    longest path.  Edges stay in Spark; a round's edges are a written table."""
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    longest path.  Minima are partial sums before their shuffle; a hub's own edges (16 bytes each) are
+    split by the adaptive skew join.  Edges stay in Spark: a round's are a written table, which takes
+    the place of those two rounds before."""
+    spark = edges.sparkSession
+    paths = [f"{shared_folder(spark)}/warraq/edges-{uuid.uuid4().hex}" for _ in range(2)]
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", paths[1])
     state = None
-    for _ in range(rounds):
+    for k in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         e = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        e = written(e, "edges")
+        ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        e = e.join(least, "a").select(ends.alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+        e = written(e, "edges", paths[k % 2])
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == state:
             break
         state = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -3,7 +3,7 @@
 Each document is reduced to transformed statistics of its text; the two classes' means and
 covariances are summed where the labelled rows lie (one small moment matrix a task), shrunk
 towards the pooled covariance and its diagonal, and factored once.  A score is the sigmoid of the
-difference of the Gaussian log-densities, from triangular solves with the cached Cholesky factors.
+difference of the Gaussian log-densities, each from one triangular solve with the cached factor.
 
 Defined results: a null or empty text has the statistics of an empty one and is scored like any;
 rows without label or id are scored and never learnt from; where labels of an id disagree the
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm.common import documents, filter_words, give_back, released, remainder, small_batches, text_of, thinned, written
+from warraq.llm.common import documents, give_back, released, remainder, small_batches, text_of, thinned, written
 
 #: Weight of the pooled covariance, and then of its diagonal, in a class's own.
 POOLED, DIAGONAL = 0.1, 0.05
@@ -82,7 +82,6 @@ def _measured(batches):
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
     return rows.mapInArrow(released(_measured), "doc_id long, x array<double>")
 
@@ -101,6 +100,14 @@ def _moments(batches):
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([s.ravel().tolist()])], names=["class", "products"])
 
 
+def solved(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows z with factor @ z = y, by forward substitution over all rows at once."""
+    z = np.empty_like(y)
+    for i in range(len(factor)):
+        z[:, i] = (y[:, i] - z[:, :i] @ factor[i, :i]) / factor[i, i]
+    return z
+
+
 class Discriminant:
     """Two Gaussians with shrunk covariances; holds their Cholesky factors."""
 
@@ -119,12 +126,12 @@ class Discriminant:
             own = (1 - diagonal) * own + diagonal * np.diag(np.diag(common)) + 1e-6 * np.eye(len(own))
             factor = np.linalg.cholesky(own)
             # log density but for a constant: log prior - log det / 2 - distance / 2
-            self.parts.append((means[c], np.linalg.inv(factor), math.log(counts[c] / total) - float(np.log(np.diag(factor)).sum())))
+            self.parts.append((means[c], factor, math.log(counts[c] / total) - float(np.log(np.diag(factor)).sum())))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        density = [level - 0.5 * (((x - mean) @ unmix.T) ** 2).sum(axis=1) for mean, unmix, level in self.parts]
+        density = [level - 0.5 * (solved(factor, x - mean) ** 2).sum(axis=1) for mean, factor, level in self.parts]
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
@@ -159,16 +166,22 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``docs``: doc_id, held_out, score, predicted."""
-    x = written(measured(docs), "statistics")
+    with small_batches(docs.sparkSession):
+        x = written(measured(docs), "statistics")
     out = scored(x, fitted(x, learnable(labels)))
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are predicted 1, with all their columns."""
-    known = filter_words(learnable(labels).where("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")), "h")
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    model = fitted(measured(thinned(rows, "h", known)), learnable(labels))  # the join within is exact
+    """The rows of ``docs`` that are predicted 1, with all their columns.
+
+    Texts are scored where they lie, in Arrow batches of the session's bound."""
+    own = F.xxhash64(F.col("doc_id").cast("long"))
+    known = learnable(labels).where("doc_id is not null").select(own.alias("h"))
+    with small_batches(docs.sparkSession):
+        # the filter leaves hardly any row without a label, and the join with the labels is exact
+        x = written(measured(thinned(docs.select("doc_id", "text"), own, known)), "statistics")
+    model = fitted(x, learnable(labels))
     kept = F.pandas_udf(lambda bodies: _predicted(bodies, model, threshold), "boolean")
     return docs.where(kept(text_of()))
 
