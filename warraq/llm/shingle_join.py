@@ -15,20 +15,25 @@
    far and the lengths that remain cannot reach the threshold.  Links give exact counts; a
    spanning forest of them goes on, whose components are the result.
 
+Graphs are of classes (a class is numbered by the 64-bit sum of its set), so ids may repeat.
+
 Defined results: a null text or one without words has an empty set and is linked with nothing;
-fewer than five words are one shingle; equal texts are one class; repeated rows are documents of
-that class; rows without id come out with a null component of their own; an empty table gives an
-empty result.
+fewer than five words are one shingle; equal texts are one class.  A document is a distinct (id,
+set): rows that repeat both count once among the links and have the same result; rows of one id
+with different sets are documents of their own, and count as each other's links where they are
+near.  Rows without id have a null component and no links; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warraq.llm.common import components, documents, filter_words, joined_by_size, released, small_batches, text_of, thinned, without, written
+from warraq.llm.common import components, documents, joined_by_size, marked, released, small_batches, text_of, thinned, without, written
 from warraq.llm.shingles import shingle_sets
 
 #: Links have NUMERATOR / DENOMINATOR of their union in common, at least.
@@ -62,8 +67,8 @@ def signature_of(s: np.ndarray) -> tuple[int, int]:
 
 def _sized(batches):
     """For each text its set's size and signature, and at the end the task's share of the sketch."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["doc_id", "n_shingles", "s1", "s2", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "h", "n_shingles", "s1", "s2", "chunk", "counts"]
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     for batch in batches:
         n, s1, s2 = [], [], []
@@ -78,10 +83,12 @@ def _sized(batches):
             else:
                 sketch += np.bincount(places, minlength=len(sketch))
         none = pa.nulls(len(n))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        own = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, s1, s2))]
+        yield pa.RecordBatch.from_arrays([*own, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
     chunks = np.minimum(sketch, 0xFFFF).astype(np.uint16).reshape(-1, 1 << CHUNK_BITS)
     k = len(chunks)
-    yield pa.RecordBatch.from_arrays([*(pa.nulls(k).cast(t) for t in kinds[:4]), pa.array(range(k), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names=names)
+    nulls = [pa.nulls(k).cast(t) for t in kinds[:5]]
+    yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(k), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names=names)
 
 
 def _summed(batches):
@@ -117,25 +124,24 @@ def _prefixes(batches, sketch, parts):
                 rows.append((p, every_id[own].tobytes(), every_n[own].tobytes(), local.astype(np.int32).tobytes(), place[a:b].tobytes(), order[a:b].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=["part", "ids", "sizes", "of", "places", "shingles"])
 
-    ids, sizes, owner, places, shingles, n, seen = [], [], [], [], [], 0, {}
+    ids, sizes, owner, places, shingles, n, seen = [], [], [], [], [], 0, set()
     for batch in batches:
         for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())):
             if len(s) and doc_id is not None:
-                same = (len(s), signature_of(s))
-                if same in seen:  # a task sends equal sets once, under the smallest id
-                    ids[seen[same]] = min(ids[seen[same]], doc_id)
+                node = signature_of(s)[0]
+                if node in seen:  # a task sends equal sets once
                     continue
-                seen[same] = len(ids)
+                seen.add(node)
                 first = ordered(s, sketch)[: prefix_length(len(s))]
                 owner.append(np.full(len(first), len(ids), dtype=np.int32))
                 places.append(np.arange(len(first), dtype=np.int32))
                 shingles.append(first)
-                ids.append(doc_id)
+                ids.append(node)
                 sizes.append(len(s))
                 n += len(first)
                 if n >= SEND:
                     yield sent()
-                    ids, sizes, owner, places, shingles, n, seen = [], [], [], [], [], 0, {}
+                    ids, sizes, owner, places, shingles, n, seen = [], [], [], [], [], 0, set()
     if n:
         yield sent()
 
@@ -231,14 +237,22 @@ def bit_length(n: int) -> int:
 
 
 def _bitmaps(batches):
-    """Rows (doc_id, body) as (doc_id, bits): bit b is the parity of the shingles that fall on it."""
+    """Rows (doc_id, body) as (rep, node, bits), one of each pair a task: bit b is the parity of the
+    shingles that fall on it."""
+    seen = set()
     for batch in batches:
-        bits = []
-        for s in shingle_sets(batch.column(1).to_pylist()):
+        ids, nodes, bits = [], [], []
+        for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())):
+            node = signature_of(s)[0]
+            if (doc_id, node) in seen:
+                continue
+            seen.add((doc_id, node))
             b = bit_length(len(s))
             odd = np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
+            ids.append(doc_id)
+            nodes.append(node)
             bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["doc_id", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary())], names=["rep", "node", "bits"])
 
 
 def near_bitmaps(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray):
@@ -274,21 +288,22 @@ def near_bitmaps(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.n
 
 
 def by_block(batches, done):
-    """``done`` of the rows of each block; rows come sorted by block, which is the first column."""
-    held, block = [], None
+    """``done`` of the rows of each block; rows come sorted by block, which is the first column.  Of
+    rows that repeat the side and node (the next two) the first counts: other tasks sent them too."""
+    held, block = {}, None
     for batch in batches:
         for key, *row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns))):
             if key != block and held:
-                yield from done(held)
-                held = []
+                yield from done([*held.values()])
+                held = {}
             block = key
-            held.append(row)
+            held.setdefault((row[0], row[1]), row)
     if held:
-        yield from done(held)
+        yield from done([*held.values()])
 
 
 def _refined(batches):
-    """Rows (block, side, doc_id, n_shingles, bits) by block: a forest of the pairs that may be linked."""
+    """Rows (block, side, node, n_shingles, bits) by block: a forest of the pairs that may be linked."""
 
     def done(rows):
         sides, ids, n, bits = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
@@ -357,7 +372,7 @@ def trie_links(sets: list[np.ndarray], size: np.ndarray, probes: np.ndarray, sto
 
 
 def _verified(batches, sketch):
-    """Rows (block, side, doc_id, copies, text) by block: links of each block, as a forest and counts."""
+    """Rows (block, side, node, copies, text) by block: links of each block, as a forest and counts."""
 
     def done(rows):
         sides = np.array([r[0] for r in rows])
@@ -396,68 +411,124 @@ def _verified(batches, sketch):
     yield from by_block(batches, done)
 
 
-def seated(families: DataFrame, reps: DataFrame, weight: F.Column, limit: int) -> DataFrame:
-    """The representatives of each family in blocks of ``limit`` by ``weight``, in order of size, once
-    for each block that theirs can have links with: rows (node, n_shingles, copies, block, side)."""
-    members = families.join(reps, "node").select("node", F.col("component").alias("family"), "n_shingles", "copies")
-    so_far = Window.partitionBy("family").orderBy("n_shingles", "node").rowsBetween(Window.unboundedPreceding, 0)
-    members = written(members.withColumn("b", F.floor((F.sum(weight).over(so_far) - 1) / limit).cast("long")), "members")
+def _once(batches):
+    """Rows (block, side, node, ...), of which a task sends those of equal places once."""
+    seen = set()
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "side", "node"))))
+        new = [k not in seen and not seen.add(k) for k in keys]
+        yield batch.filter(pa.array(new))
+
+
+def seated(families: DataFrame, classes: DataFrame, weight: F.Column, limit: int, total: int) -> DataFrame:
+    """The classes of each family in blocks of about ``limit`` by ``weight``, in order of size, once
+    for each block that theirs can have links with: rows (node, rep, rep_h, n_shingles, copies, block, side).
+
+    A family is cut by size classes (each a twentieth wider than the one before, so there are some
+    hundreds at most), whose weights are partial sums; only these go through a window.  A size class
+    that is too large for a block is dealt by hash."""
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(1.05))).cast("int")
+    own = families.select("node", F.col("component").alias("family")).join(classes.select("node", "rep", "rep_h", "n_shingles", "copies"), "node")
+    members = written(own.withColumn("step", step), "members")
+    steps = members.groupBy("family", "step").agg(F.sum(weight).alias("w"), F.count("*").alias("size"))
+    so_far = Window.partitionBy("family").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    cut = steps.withColumn("from", F.floor(F.coalesce(F.sum("w").over(so_far), F.lit(0)) / limit)).withColumn("many", F.ceil(F.col("w") / limit))
+    placed = joined_by_size(members, written(cut.select("family", "step", "from", "many", "size"), "steps"), ["family", "step"], "size", total)
+    dealt = F.col("from") + F.when(F.col("many") > 1, F.pmod(F.xxhash64("node"), F.col("many")) + 1).otherwise(0)
+    members = written(placed.select("family", "node", "rep", "rep_h", "n_shingles", "copies", dealt.alias("b")), "members")
     blocks = members.groupBy("family", "b").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.count("*").alias("size"))
-    other = blocks.select("family", F.col("b").alias("b2"), F.col("lo").alias("lo2"))
-    meets = blocks.join(other, "family").where((F.col("b") < F.col("b2")) & (F.col("hi") * DENOMINATOR >= F.col("lo2") * NUMERATOR) | (F.col("b") == F.col("b2")) & (F.col("size") > 1))
+    other = blocks.select("family", F.col("b").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    near = (F.col("hi") * DENOMINATOR >= F.col("lo2") * NUMERATOR) & (F.col("hi2") * DENOMINATOR >= F.col("lo") * NUMERATOR)
+    meets = blocks.join(other, "family").where((F.col("b") < F.col("b2")) & near | (F.col("b") == F.col("b2")) & (F.col("size") > 1))
     key = F.concat_ws("-", "family", "b", "b2")
-    sides = meets.select("family", "b", key.alias("block"), F.lit(0).alias("side")).unionByName(meets.where("b <> b2").select("family", F.col("b2").alias("b"), key.alias("block"), F.lit(1).alias("side")))
-    return written(members.join(sides, ["family", "b"]).select("node", "n_shingles", "copies", "block", "side"), "seats")
+    left = meets.select("family", "b", key.alias("block"), F.lit(0).alias("side"))
+    right = meets.where("b <> b2").select("family", F.col("b2").alias("b"), key.alias("block"), F.lit(1).alias("side"))
+    return written(members.join(left.unionByName(right), ["family", "b"]).select("node", "rep", "rep_h", "n_shingles", "copies", "block", "side"), "seats")
 
 
-def wanted_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows whose doc_id may be among the nodes; a join with them must follow."""
-    words = written(filter_words(nodes.select(F.xxhash64("node").alias("h")), "h"), "wanted")
-    return thinned(rows.withColumn("h", F.xxhash64("doc_id")), "h", words)
+def wanted_rows(rows: DataFrame, seats: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be a class's representative; a join with them must follow."""
+    return thinned(rows, F.xxhash64("doc_id"), seats.select(F.xxhash64("rep").alias("h")).distinct())
 
 
-def shingle_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_shingles, component_id, n_links."""
+def labelled_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """A row for each row of ``docs`` (doc_id, h, n_shingles, component_id, n_links, keeper), h being the
+    text's hash and keeper the (doc_id, h) that stands for the component; and (doc_id, h, times) of
+    the rows that repeat both."""
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    first = written(rows.mapInArrow(released(_sized), "doc_id long, n_shingles long, s1 long, s2 long, chunk int, counts binary"), "sized")
+    body = text_of(text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("h"))
+    first = written(rows.mapInArrow(released(_sized), "doc_id long, h long, n_shingles long, s1 long, s2 long, chunk int, counts binary"), "sized")
     chunks = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary")
     summed = {r[0]: np.frombuffer(r[1], dtype=np.uint32) for r in chunks.collect()}  # 16 MB, whatever the input
     sketch = spark.sparkContext.broadcast(np.concatenate([summed[i] for i in sorted(summed)]) if summed else np.zeros(1 << SKETCH_BITS, np.uint32))
 
-    sized = first.where("chunk is null").select("doc_id", "n_shingles", "s1", "s2")
+    sized = first.where("chunk is null").select("doc_id", "h", "n_shingles", "s1", "s2")
+    total = sized.count()
     keys = ["n_shingles", "s1", "s2"]
-    classes = written(sized.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    known = sized.where("n_shingles > 0 and doc_id is not null")
+    again = written(sized.where("doc_id is not null").groupBy("doc_id", "h").agg(F.count("*").alias("times")).where("times > 1"), "again")
+    each = known.groupBy("doc_id", *keys).agg(F.min("h").alias("h"), F.count("*").alias("times"))
+    stands = F.min(F.struct("doc_id", "h"))
+    classes = each.groupBy(*keys).agg(stands.alias("first"), F.count("*").alias("copies"), F.sum("times").alias("size"))
+    classes = written(classes.select(*keys, F.col("s1").alias("node"), "first", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h"), "copies", "size"), "classes")
 
     postings = classes.agg(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUMERATOR / DENOMINATOR) + 1)).first()[0] or 0
     parts = max(4, -(-postings // PART))
-    sent = rows.mapInArrow(released(lambda batches: _prefixes(batches, sketch.value, parts)), "part int, ids binary, sizes binary, of binary, places binary, shingles binary")
+    texts = rows.select("doc_id", "body")
+    sent = texts.mapInArrow(released(lambda batches: _prefixes(batches, sketch.value, parts)), "part int, ids binary, sizes binary, of binary, places binary, shingles binary")
     stars = sent.repartitionById(parts, F.col("part")).mapInArrow(released(_stars), "a long, b long")
     families = components(written(stars, "stars"))
-    # a family may hold several ids of one class: only its representative goes on
-    reps = classes.select(F.col("rep").alias("node"), "n_shingles", "copies")
-    seats = seated(families, reps, F.greatest("n_shingles", F.lit(SMALL)), 8 * BLOCK)
-    bits = wanted_rows(rows, seats).select("doc_id", "body").mapInArrow(released(_bitmaps), "doc_id long, bits binary")
-    placed = bits.join(seats, F.col("doc_id") == F.col("node")).select("block", "side", "doc_id", "n_shingles", "bits").repartition("block").sortWithinPartitions("block", "side", "doc_id")
+
+    heavy = F.greatest("n_shingles", F.lit(SMALL))
+    seats = seated(families, classes, heavy, 8 * BLOCK, total)
+    bits = wanted_rows(texts, seats).mapInArrow(released(_bitmaps), "rep long, node long, bits binary")
+    placed = bits.join(seats, ["rep", "node"]).select("block", "side", "node", "n_shingles", "bits")
+    placed = placed.repartition("block").sortWithinPartitions("block", "side", "node")
     families = components(written(placed.mapInArrow(released(_refined), "a long, b long"), "refined"))
 
-    seats = seated(families, reps, F.greatest("n_shingles", F.lit(SMALL)), BLOCK)
-    texts = wanted_rows(rows, seats).join(seats, F.col("doc_id") == F.col("node")).select("block", "side", "doc_id", "copies", "body")
-    texts = texts.repartition("block").sortWithinPartitions("block", "side", "doc_id")
-    found = written(texts.mapInArrow(released(lambda batches: _verified(batches, sketch.value)), "a long, b long, links long"), "links")
-    joined = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "least"})
-    links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    labelled = written(classes.join(joined, "rep", "left").join(links, "rep", "left").select(*keys, "copies", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labelled")
-    empty = sized.where("n_shingles = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("copies", "component", "n_links")))
-    out = joined_by_size(sized.where("n_shingles > 0"), labelled, keys, "copies", sized.count()).unionByName(empty)
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    seats = seated(families, classes, heavy, BLOCK, total)
+    own = (F.col("doc_id") == F.col("rep")) & (F.col("h") == F.col("rep_h"))
+    placed = wanted_rows(rows, seats).join(seats, own).select("block", "side", "node", "copies", "body")
+    if not again.isEmpty():  # rows are repeated: a task sends each once
+        placed = placed.mapInArrow(_once, placed.schema)
+    placed = placed.repartition("block").sortWithinPartitions("block", "side", "node")
+    found = written(placed.mapInArrow(released(lambda batches: _verified(batches, sketch.value)), "a long, b long, links long"), "links")
+
+    joined = components(found.where("b is not null").select("a", "b"))
+    links = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    with_links = classes.join(joined, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    with_links = written(with_links, "linked")
+    least = with_links.groupBy("component").agg(F.min("first").alias("keeper"), F.count("*").alias("members"))
+    labelled = joined_by_size(with_links, written(least, "least"), ["component"], "members", total)
+    labelled = written(labelled.select(*keys, "size", "keeper", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labelled")
+    rest = sized.where("n_shingles = 0 or doc_id is null").select("*", F.lit(None).cast(labelled.schema["keeper"].dataType).alias("keeper"), F.lit(0).cast("long").alias("n_links"))
+    out = joined_by_size(known, labelled, keys, "size", total).drop("size").unionByName(rest)
+    out = out.select("doc_id", "h", "n_shingles", F.coalesce("keeper.doc_id", "doc_id").alias("component_id"), "n_links", "keeper")
+    return out, again
+
+
+def shingle_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_shingles, component_id, n_links."""
+    with small_batches(docs.sparkSession):
+        return labelled_rows(docs, doc_id, text)[0].select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns stay."""
-    gone = written(shingle_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "gone")
-    return without(docs.select(F.struct("*").alias("row"), "doc_id"), F.col("doc_id").cast("long"), gone, F.col("gone")).select("row.*")
+    """``docs`` with one row of each component, that of the smallest id (of rows of that id with
+    different texts, that of the least text hash), and one of rows equal in id and text; rows without
+    id or without words stay otherwise; all columns stay."""
+    with small_batches(docs.sparkSession):
+        labelled, again = labelled_rows(docs)
+    pair = F.struct("doc_id", "h")
+    gone = written(labelled.where(F.col("keeper").isNotNull() & (pair != F.col("keeper"))).select(pair.alias("gone")), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h")).alias("key"))
+    kept = without(rows, F.col("key"), gone)
+    if not again.isEmpty():
+        flags = marked(kept, F.xxhash64("key.doc_id", "key.h"), again.select(F.xxhash64("doc_id", "h").alias("h")))
+        repeated = F.col("_may") & F.col("key.doc_id").isNotNull()
+        kept = flags.where(~repeated).unionByName(flags.where(repeated).dropDuplicates(["key"]))
+    return kept.select("row.*")
 
 
 def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
