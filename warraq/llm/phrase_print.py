@@ -95,22 +95,35 @@ def _stream(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def phrase_prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs`` with its fingerprint, that of its edited text, and likenesses."""
-    cells = partitions(docs.sparkSession)
+def placed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """Rows (cell, doc_id, body, h) whose cells follow each other in the order of id and text hash, and
+    the number of cells.  Rows with ids are dealt by quantiles of the ids; rows without come before
+    them and are dealt by ranges of the hash, into cells of about the same size."""
+    many = partitions(docs.sparkSession)
     body = text_of(text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), F.coalesce(F.col(doc_id).cast("double"), F.lit(float("-inf"))).alias("place"))
-    ids = rows.select("place", "doc_id")
-    inner = sorted({q for q in ids.where("doc_id is not null").approxQuantile("place", [i / cells for i in range(1, cells)], 0.1 / cells)}) if cells > 1 else []
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("h"))
+    total, known = docs.agg(F.count("*"), F.count(doc_id)).first()
+    nameless = -(-(total - known) * many // total) if total > known else 0
+    place = F.col("doc_id").cast("double")
+    steps = [i / many for i in range(1, many)]
+    ids = rows.where("doc_id is not null").select(place.alias("place"))
+    inner = sorted(set(ids.approxQuantile("place", steps, 0.1 / many))) if many > 1 and known else []
     dealt = Bucketizer(splits=[float("-inf"), *(inner or [0.0]), float("inf")], inputCol="place", outputCol="bucket")
-    order = F.struct("doc_id", F.xxhash64("body").alias("h"))
-    rows = dealt.transform(rows).withColumn("cell", F.col("bucket").cast("int")).withColumn("order", order)
-    # one row a cell: its first document, which the cell before needs too
-    firsts = sorted((r[0], r[1]) for r in rows.groupBy("cell").agg(F.min("order").alias("first")).select("cell", "first").collect())
+    rows = dealt.transform(rows.withColumn("place", F.coalesce(place, F.lit(float("-inf")))))
+    by_hash = F.floor((F.col("h") / float(1 << 64) + 0.5) * nameless)
+    cell = F.when(F.col("doc_id").isNull(), F.least(by_hash, F.lit(max(0, nameless - 1)))).otherwise(F.col("bucket") + nameless)
+    return rows.select(cell.cast("int").alias("cell"), "doc_id", "body", "h"), nameless + len(inner) + 2
+
+
+def phrase_prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of ``docs`` with its fingerprint, that of its edited text, and likenesses."""
     spark = docs.sparkSession
-    before = [(first.doc_id, first.h, firsts[i - 1][0], i == 0) for i, (_, first) in enumerate(firsts)]
-    ghosts = spark.createDataFrame(before, "_id long, _h long, _cell int, _last boolean")
-    rows = rows.select("cell", "doc_id", "body", F.col("order.h").alias("h"))
+    rows, cells = placed_rows(docs, doc_id, text)
+    # one row a cell: its first document, which the cell before needs too
+    firsts = rows.groupBy("cell").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("first")).select("cell", "first").collect()
+    firsts = sorted((r[0], r[1]) for r in firsts)
+    before = [(first.doc_id, first.h, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+    ghosts = spark.createDataFrame(before, "_id long, _h long, _cell int")
     ghosts = (
         rows.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
         .dropDuplicates(["_cell"])
@@ -118,8 +131,8 @@ def phrase_prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
     every = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
     return (
-        every.repartitionById(len(inner) + 1, F.col("cell"))
-        .sortWithinPartitions("cell", "ghost", "doc_id", "h")
+        every.repartitionById(cells, F.col("cell"))
+        .sortWithinPartitions("cell", "ghost", F.asc_nulls_first("doc_id"), "h")
         .select("cell", "doc_id", "body", "ghost")
         .mapInArrow(_stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     )

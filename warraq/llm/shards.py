@@ -4,9 +4,9 @@ Each text has a 52-bit key (a hash of its bytes), so equal texts share a key and
 part them.  Every round counts the exact bytes below 4096 candidate boundaries within each range
 that still holds a splitter (partial sums before the shuffle, at most 7 * 4096 rows come back),
 and refines only the ranges where no boundary is within the tolerance.  When all splitters are
-settled, rows are exchanged once; the last histogram also gives each cell of keys its first slot,
-so slots need no global window.  A cell with very many rows (one text copied often) is dealt into
-sub-cells by its ids.
+settled, rows are exchanged once; a histogram of small cells of keys, summed up over each shard,
+gives each cell its first slot, so rows go through no window larger than a cell.  A cell with very
+many rows (one text copied often, with any ids) is dealt into sub-cells.
 
 Defined results: a null text has no bytes and size 1; equal texts always share a shard, also where
 one group is larger than a shard; an empty table gives an empty result; repeated rows have a slot each.
@@ -77,24 +77,24 @@ def histogram_splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLER
 def histogram_shards(docs: DataFrame, n_shards: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
-    rows = written(keyed(docs), "keyed")
+    rows = written(keyed(docs).withColumn("place", F.monotonically_increasing_id()), "keyed")
     splitters, _ = histogram_splitters(rows, n_shards, tolerance)
     shard = sum((F.when(F.col("key") >= s, 1).otherwise(0) for s in splitters), F.lit(0))
     n = rows.count()
     bits = min(16, max(1, (n // CELL_ROWS).bit_length() + 2))
     placed = rows.withColumn("shard", shard.cast("int")).withColumn("cell", F.shiftright("key", KEY_BITS - bits))
-    # at most n_shards + 2**bits rows, and of sub-cells at most n / CELL_ROWS more
-    counts = {(r[0], r[1]): r[2] for r in placed.groupBy("shard", "cell").count().collect()}
-    parts = spark.createDataFrame([(s, c, -(-k // CELL_ROWS)) for (s, c), k in counts.items()], "shard int, cell long, parts int")
-    placed = placed.join(F.broadcast(parts), ["shard", "cell"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    start, offsets = {}, []
-    for s, c, sub, k in sorted(tuple(r) for r in placed.groupBy("shard", "cell", "sub").count().collect()):
-        offsets.append((s, c, sub, start.get(s, 0)))
-        start[s] = start.get(s, 0) + k
-    first = spark.createDataFrame(offsets, "shard int, cell long, sub long, first long")
-    order = Window.partitionBy("shard", "cell", "sub").orderBy("key", "doc_id", "size", "text_crc32")
-    return placed.withColumn("rank", F.row_number().over(order)).join(F.broadcast(first), ["shard", "cell", "sub"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    # cells of keys: at most n_shards + 2**bits rows; those with very many rows are dealt into sub-cells
+    cells = written(placed.groupBy("shard", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).alias("parts")), "cells")
+    placed = placed.join(F.broadcast(cells), ["shard", "cell"]).withColumn("sub", F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")))
+    counts = written(placed.groupBy("shard", "cell", "sub").agg(F.count("*").alias("k")), "counts")
+    # first slots: sums over a shard's sub-cells, of which there is one for some thousands of rows
+    before = Window.partitionBy("shard").orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("shard", "cell", "sub", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    order = Window.partitionBy("shard", "cell", "sub").orderBy("key", "doc_id", "size", "text_crc32", "place")
+    ranked = placed.drop("parts").withColumn("rank", F.row_number().over(order))
+    slot = F.col("first") + F.col("rank") - 1
+    return ranked.join(first, ["shard", "cell", "sub"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 

@@ -5,8 +5,9 @@ token are proven whole.  A text is split into pre-tokens; a proven one counts 1
 and only the others go through the merges, each distinct one once for as long as it stays in a
 worker's table (bounded, emptied when full: that costs time, never counts).
 
-Defined results: a null text counts as empty, with 0 tokens; special strings inside a text are one
-token each, as the library's default has them.
+Defined results: a null text counts as empty, with 0 tokens; added (also special) strings inside a
+text are one token each, as the library's default has them; a vocabulary without such strings has
+none; rows without id and repeated rows are counted like any; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
+def vocabulary_json(name: str = VOCABULARY) -> str:
+    """The file's contents: read by the driver and sent on, since executors need not have the file."""
+    with open(vocabulary_path(name), encoding="utf-8") as f:
+        return f.read()
+
+
 def byte_letters() -> list[str]:
     """The printable letter of each byte in byte-level vocabularies: a printable Latin-1 byte is
     itself, the others take the code points from 256 on."""
@@ -41,13 +48,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def proven_whole(path: str) -> list[str]:
+def proven_whole(contents: str) -> list[str]:
     """The vocabulary's strings, as text, that encode alone as one token."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
-    with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+    model = Tokenizer.from_str(contents).model
+    vocabulary = json.loads(contents)["model"]["vocab"]
     byte_of = {c: b for b, c in enumerate(byte_letters())}
     whole = []
     for piece in vocabulary:
@@ -62,11 +68,11 @@ def proven_whole(path: str) -> list[str]:
 class PreTokens(dict):
     """Tokens of a pre-token: 1 for the proven ones, the others by the merges when first met."""
 
-    def __init__(self, path: str, whole: list[str]):
+    def __init__(self, contents: str, whole: list[str]):
         from tokenizers import Tokenizer
 
         super().__init__(dict.fromkeys(whole, 1))
-        self.whole, self.model = whole, Tokenizer.from_file(path).model
+        self.whole, self.model = whole, Tokenizer.from_str(contents).model
         self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
 
     def __missing__(self, piece: str) -> int:
@@ -82,21 +88,22 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     """A row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit."""
     import public_tokenizers
 
-    path, pattern = vocabulary_path(vocabulary), public_tokenizers.PATTERN
-    with open(path, encoding="utf-8") as f:
-        special = [t["content"] for t in json.load(f)["added_tokens"] if t["special"]]
-    whole = docs.sparkSession.sparkContext.broadcast(proven_whole(path))  # no more strings than the vocabulary has
+    contents, pattern = vocabulary_json(vocabulary), public_tokenizers.PATTERN
+    # added strings stand for themselves wherever they occur, the longest first where one starts another
+    added = sorted((t["content"] for t in json.loads(contents).get("added_tokens", []) if t["content"]), key=len, reverse=True)
+    shared = docs.sparkSession.sparkContext.broadcast((contents, proven_whole(contents)))  # as large as the vocabulary
 
     def counted(batches):
         import regex
 
-        split, apart = regex.compile(pattern).findall, regex.compile("|".join(map(regex.escape, special)))
-        table = PreTokens(path, whole.value)
+        split = regex.compile(pattern).findall
+        apart = regex.compile("|".join(map(regex.escape, added))).split if added else lambda body: [body]
+        table = PreTokens(*shared.value)
         one = table.__getitem__
         for batch in batches:
             found = []
             for body in batch.column(1).to_pylist():
-                parts = apart.split(body)
+                parts = apart(body)
                 found.append(len(parts) - 1 + sum(sum(map(one, split(p))) for p in parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
