@@ -1,14 +1,17 @@
 """Secret scans with multipart credential linking.
 
 A scan of each whole text finds the base kinds (assign, access, hex) and weak parts: identifiers,
-opaque values and endpoints that mean little alone.  Parts are then joined with the parts around
-them (gaps of at most SCOPE code points between them, found in sorted order, no pairs), and a weak
-part is reported only when the complementary parts are there: an identifier near a secret, an
-opaque value near an identifier or endpoint, an endpoint near both.  Base findings always stay.
+opaque values and endpoints that mean little alone.  Identifiers, secrets and endpoints are then
+joined by their intervals within a scope (at most SCOPE code points from the end of one to the start
+of the other): in sorted order each part finds its nearest complements, without pairs of all.  A
+weak part is reported only when its complements are there: an identifier near a secret, an opaque
+value near an identifier or endpoint, an endpoint near both.  The join's rows, (identifier, secret,
+endpoint), are reported as credentials.  Base findings always stay.
 
 Defined results: a null text counts as empty, with no findings and the hash of the empty list; a
 weak part that overlaps a base finding is that finding's own and is dropped, but an endpoint that
-wholly contains base findings is kept as an endpoint; repeated rows have equal results each; an empty table gives an empty result.
+wholly contains base findings is kept as an endpoint; repeated rows have equal results each; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,54 +70,82 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def linked_parts(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
-    """The weak parts with their complementary parts within scope."""
+def nearest_of(parts: list[tuple[int, int, int]], *kinds: int):
+    """A function (start, end) to (gap, part): the part of the kinds with the least gap, the first on
+    ties; None where there is no part of the kinds."""
+    own = sorted((p for p in parts if p[1] in kinds), key=lambda p: (p[0], p[2]))
+    starts = [p[0] for p in own]
+    # of the parts that start no later, the one that reaches farthest is the nearest
+    farthest = list(accumulate(own, lambda p, q: q if q[2] > p[2] else p))
 
-    def near(*kinds):
-        own = sorted((a, b) for a, k, b in base + weak if k in kinds)
-        starts, reach = [a for a, _ in own], list(accumulate((b for _, b in own), max))
+    def nearest(start: int, end: int):
+        i = bisect_right(starts, start)
+        found = [(max(0, start - farthest[i - 1][2]), farthest[i - 1])] if i else []
+        if i < len(own):
+            found.append((max(0, own[i][0] - end), own[i]))
+        return min(found, default=None)
 
-        def any_by(start, end):
-            i = bisect_right(starts, end + scope)
-            return i > 0 and reach[i - 1] >= start - scope
+    return nearest
 
-        return any_by
 
-    if not weak:
-        return []
-    i, s, e = near(1, 3), near(0, 2, 4), near(5)
-    met = {3: s, 4: lambda a, b: i(a, b) or e(a, b), 5: lambda a, b: i(a, b) and s(a, b)}
-    return [(a, k, b) for a, k, b in weak if met[k](a, b)]
+IDENTIFIERS, SECRETS, ENDPOINTS = (1, 3), (0, 2, 4), (5,)
+
+
+def linked_parts(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int = SCOPE):
+    """The weak parts with their complements within scope, and the credentials: rows (identifier,
+    secret, endpoint), None where there is none in scope, of secrets with any of the two."""
+    parts = base + weak
+    identifier, secret, endpoint = (nearest_of(parts, *k) for k in (IDENTIFIERS, SECRETS, ENDPOINTS))
+
+    def near(join, part):
+        found = join(part[0], part[2])
+        return found[1] if found and found[0] <= scope else None
+
+    met = {
+        3: lambda p: near(secret, p),
+        4: lambda p: near(identifier, p) or near(endpoint, p),
+        5: lambda p: near(identifier, p) and near(secret, p),
+    }
+    kept = [p for p in weak if met[p[1]](p)]
+    joined = [(near(identifier, p), p, near(endpoint, p)) for p in sorted(parts) if p[1] in SECRETS]
+    return kept, [c for c in joined if c[0] or c[2]]
 
 
 def listed(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
+SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long, credentials string"
+
+
+def scanned(text: str, scope: int) -> tuple:
+    """The columns of SCANNED after the id."""
+    base = base_spans(text)
+    weak = weak_spans(text, base)
+    more, joined = linked_parts(base, weak, scope)
+    kinds = [k for _, k, _ in base]
+    place = lambda p: f"{p[0]}:{p[2]}" if p else "-"
+    rows = ",".join("+".join(map(place, c)) for c in joined)
+    return (*(kinds.count(k) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more)), len(more), rows)
+
+
 def _scan(scope):
+    names = [c.split()[0] for c in SCANNED.split(", ")]
+    types = [pa.int64() if c.endswith(" long") else pa.string() for c in SCANNED.split(", ")]
+
     def run(batches):
         for batch in batches:
-            counts, digests, spans, linked = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                base = base_spans(text)
-                more = linked_parts(base, weak_spans(text, base), scope)
-                kinds = [k for _, k, _ in base]
-                counts.append([kinds.count(k) for k in range(3)])
-                digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
-                spans.append(listed(sorted(base + more)))
-                linked.append(len(more))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(linked, pa.int64())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"],
-            )
+            found = list(zip(*(scanned(text, scope) for text in batch.column(1).to_pylist()))) or [[]] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(found, types[1:]))], names=names)
 
     return run
 
 
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, counts and hash of the base kinds, all spans, n_linked."""
+    """A row for each row of ``docs``: doc_id, counts and hash of the base kinds, all spans, the number
+    of linked weak parts, and the credentials (identifier+secret+endpoint, each start:end or -)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    return rows.mapInArrow(_scan(scope), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return rows.mapInArrow(_scan(scope), SCANNED)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
