@@ -1,7 +1,15 @@
 """A corpus from raw documents in five stages, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's ``docs``.  All but the last return the columns of documents.
+next one's ``docs``.  All but the last return the columns of documents, further ones included,
+whatever their names.
+
+Defined results: a null text counts as empty in every stage, and is scored, compared and packed like
+an empty one; a null source or language is a category of its own; rows without id stay in the exact
+stage as the copy of their text that has the least id, are never near copies, and share one draw a
+cell.  Of rows equal in id and text one stays.  Ties of labels count as 0.  Empty tables give empty
+results.  The near-copy stage keeps the smallest id of a component, the exact one the largest of
+equal texts.
 """
 
 from __future__ import annotations
@@ -9,11 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from warraq.llm import exact_dedup, mixture, packing, quality, shingle_join
-from warraq.llm.common import written
+from warraq.llm.common import ARROW_KEY, ARROW_ROWS, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Texts go to Python in the stage's own, later job, so the bound of its batches is the session's:
+    the pipeline sets it for its session."""
+    spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
