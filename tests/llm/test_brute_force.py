@@ -129,7 +129,7 @@ def test_targets_that_cannot_be_met_are_reported(spark, max_cells, monkeypatch):
 
 
 def test_topics(spark):
-    texts = {"a | b": "table", "a ### b": "symbols", "a!!": "shouting", "the LICENCE says": "licence", "x@y.org": "contact", "http://x": "web", "- one\n- two": "list", "why?": "question", "": "empty", "few words": "note", "w " * 500: "article", "w " * 2000: "long read"}
+    texts = {"a | b": "table", "a ### b": "symbols", "a!!": "shouting", "the LICENCE says": "licence", "x@y.org": "contact", "http://x": "web", "two\n- one\n- two": "list", "Ann: yes": "dialogue", "f();": "code", "why?": "question", "": "empty", "few words": "note", "w " * 500: "article", "w " * 2000: "long read"}
     rows = frame(spark, list(enumerate(texts)))
     got = rows.select("text", mixture.topic_of(F.col("text"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("t")).collect()
     assert {r.text: r.t for r in got} == texts

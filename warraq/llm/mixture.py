@@ -19,6 +19,9 @@ is off; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +36,18 @@ TARGETS = {"lang": {"en": 0.5}}
 #: Share of all tokens that a sample is to have.
 SHARE = 0.7
 MAX_CELLS, ROUNDS, SETTLED, SEED = 100_000, 200, 1e-9, 17
-#: Forms of text, the first that is found: (topic, pattern).
+#: Forms of text, the first that is found: (topic, strings of which one must occur, a pattern that must then match).
 FORMS = (
-    ("table", r" \| |\t"),
-    ("symbols", r"[*#$%&]{3}"),
-    ("shouting", r"!!"),
-    ("licence", r"(?i)licen[cs]e|copyright|\u00a9"),
-    ("contact", r"[\w.+-]@[\w-]+\.[A-Za-z]"),
-    ("web", r"https?://|</?[a-zA-Z]+[ />]"),
-    ("code", r"(?m)[{};]\s*$|\w+\(\)"),
-    ("list", r"(?m)^\s*(?:[-*\u2022]|[0-9]{1,3}[.)])\s+\S"),
-    ("dialogue", r"(?m)^\s*(?:[\u2013\u2014]\s|\p{Lu}\w{0,20}:\s)"),
-    ("question", r"[?]"),
+    ("table", (" | ", "\t"), None),
+    ("symbols", ("###", "***", "$$$", "%%%", "&&&"), None),
+    ("shouting", ("!!",), None),
+    ("licence", ("icense", "icence", "ICENSE", "ICENCE", "opyright", "\u00a9"), None),
+    ("contact", ("@",), r"[\w.+-]@[\w-]+\.[A-Za-z]"),
+    ("web", ("://", "</"), None),
+    ("code", ("();", ";\n", "{\n"), None),
+    ("list", ("\n- ", "\n* ", "\n\u2022", "\n1. ", "\n1) "), None),
+    ("dialogue", (": ", "\u2014 "), r"(?m)^(?:\u2014 |\p{Lu}\w{0,20}: )"),
+    ("question", ("?",), None),
 )
 #: Words of prose by its length: less than each of these.
 LENGTHS = (("note", 100), ("article", 1000))
@@ -53,8 +56,9 @@ LENGTHS = (("note", 100), ("article", 1000))
 def topic_of(text: Column, words: Column) -> Column:
     """The form of a text as its topic: the first of FORMS, else prose by its length."""
     out = F.when(words == 0, "empty")
-    for name, pattern in FORMS:
-        out = out.when(text.rlike(pattern), name)
+    for name, strings, pattern in FORMS:
+        found = reduce(or_, (text.contains(x) for x in strings))
+        out = out.when(found & text.rlike(pattern) if pattern else found, name)
     for name, below in LENGTHS:
         out = out.when(words < below, name)
     return out.otherwise("long read")
