@@ -10,7 +10,7 @@ from warraq.functions import marks as M
 from warraq.functions import text as X
 from warraq.operators import chains, joins, rules, search, segment
 
-HADITH = "حدثنا عبد الله بن يوسف قال أخبرنا مالك عن نافع عن عبد الله بن عمر أن رسول الله صلى الله عليه وسلم قال : « إنما الأعمال بالنيات »"
+REPORT = "حدثنا عبد الله بن يوسف قال أخبرنا مالك عن نافع عن عبد الله بن عمر أن رسول الله صلى الله عليه وسلم قال : « إنما الأعمال بالنيات »"
 PAGE = "كتاب الإيمان\nباب بدء الوحي\n1 - حدثنا الحميدي قال حدثنا سفيان عن يحيى\nتتمة السطر الأول\n2 - حدثنا عبد الله بن يوسف أخبرنا مالك عن هشام\nباب آخر\n3 - حدثنا يحيى بن بكير حدثنا الليث عن عقيل"
 
 
@@ -81,9 +81,9 @@ def test_infer_century(spark):
 
 
 def test_parse_isnad():
-    got = chains.parse(HADITH)
+    got = chains.parse(REPORT)
     assert len(got["hops"]) >= 3 and any("عبد الله بن يوسف" in h["mention"] for h in got["hops"])
-    assert HADITH[got["sanad_end_raw"] :].startswith("أن رسول الله")
+    assert REPORT[got["sanad_end_raw"] :].startswith("أن رسول الله")
     assert chains.parse("")["hops"] == []
     assert "no_matn_marker" in chains.parse("حدثنا مالك عن نافع")["flags"]
 
@@ -99,8 +99,8 @@ def test_flat_page(spark):
 
 def test_units_across_pages(spark):
     pages = spark.createDataFrame([(1, 1, 1, "272 - (168) حدثنا مالك\nنص"), (2, 1, 2, "(3) حاشية\n(170) وحدثناه نافع\nباب جديد\nنص")], "passage_id long, edition_id int, seq int, text_raw string")
-    units = segment.segment_units_pages(pages).orderBy("hadith_seq").collect()
-    assert [(u.hadith_num, u.start_passage_id, u.end_passage_id) for u in units] == [("168", 1, 2), ("170", 2, 2)]
+    units = segment.segment_units_pages(pages).orderBy("unit_seq").collect()
+    assert [(u.unit_num, u.start_passage_id, u.end_passage_id) for u in units] == [("168", 1, 2), ("170", 2, 2)]
     assert units[0].local_num == "272" and units[1].repeat
 
 

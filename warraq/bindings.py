@@ -67,12 +67,12 @@ def views(duckdb: bool) -> dict[str, str]:
             FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber""",
         "works": f"""SELECT n_nationkey AS work_id, concat('كتاب ', n_name) AS title_ar, lower(concat('كتاب ', n_name)) AS title_norm,
             {pick('n_nationkey % 6', 'matn', 'matn', 'rijal', 'sharh', 'matn', 'service')} AS kind FROM {{nation}}""",
-        "editions": """SELECT n_nationkey * 2 AS edition_id, n_nationkey AS work_id, 'sunna' AS source, n_nationkey AS source_book_id, n_name AS title_ar, 'matn' AS book_type FROM {nation}
-            UNION ALL SELECT n_nationkey * 2 + 1, n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'hadith_struct' ELSE 'shamela' END, n_nationkey, n_name, 'page-archive' FROM {nation}""",
+        "editions": """SELECT n_nationkey * 2 AS edition_id, n_nationkey AS work_id, 'units' AS source, n_nationkey AS source_book_id, n_name AS title_ar, 'matn' AS book_type FROM {nation}
+            UNION ALL SELECT n_nationkey * 2 + 1, n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'archive' ELSE 'pages' END, n_nationkey, n_name, 'page-archive' FROM {nation}""",
         "chain_texts": f"SELECT chain_id, {joined('concat(verb, chr(32), mention_ar)' if duckdb else 'concat(verb, char(32), mention_ar)', 'pos')} AS sanad FROM {{links}} GROUP BY chain_id",
-        "passages": f"""SELECT passage_id, edition_id, kind, seq, hadith_num, part, page, text_raw, {fold('text_raw')} AS text_norm FROM (
+        "passages": f"""SELECT passage_id, edition_id, kind, seq, unit_num, part, page, text_raw, {fold('text_raw')} AS text_norm FROM (
             SELECT o_orderkey AS passage_id, CAST((o_custkey % 25) * 2 + o_orderkey % 2 AS INT) AS edition_id, CASE WHEN o_orderstatus = 'P' THEN 'page' ELSE 'unit' END AS kind,
-            o_orderkey AS seq, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_orderkey % 3000 AS VARCHAR(9)) END AS hadith_num,
+            o_orderkey AS seq, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_orderkey % 3000 AS VARCHAR(9)) END AS unit_num,
             CAST(o_orderkey % 9 AS VARCHAR(9)) AS part, CAST(o_custkey % 400 AS VARCHAR(9)) AS page,
             concat(CASE WHEN sanad IS NULL THEN '' ELSE concat(sanad, ' ') END, {pick(f'o_orderkey % {len(MATNS)}', *MATNS)}) AS text_raw FROM {{orders}} LEFT JOIN {{chain_texts}} ON chain_id = o_orderkey) AS t""",
         "chains": f"""SELECT o_orderkey AS chain_id, o_orderkey AS passage_id, 0 AS ord, round(o_totalprice / 500000, 4) AS confidence,

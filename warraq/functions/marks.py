@@ -12,6 +12,10 @@ from warraq.functions.vectorized import vectorized
 _MARK = re.compile(f"[{MARKS}]")
 _LETTER = str.maketrans(*UNIFIED)
 _VOWEL = re.compile("[ً-ْٰ]")
+#: An Arabic letter and the marks after it, letters that count as one, and marks that are not shown.
+_MARKED_LETTER = re.compile("([\u0621-\u064a])([\u064b-\u0652\u0670]*)")
+_FOLDED = str.maketrans("أإآٱىئؤة", "ااااييوه")
+_DISPLAY_MARK = re.compile("[ً-ٰٟۖ-ۭـ]")
 #: The classes of a letter's marks; shadda may stand with a vowel.
 CLASSES = ("", "َ", "ً", "ُ", "ٌ", "ِ", "ٍ", "ْ", "ّ", "َّ", "ًّ", "ُّ", "ٌّ", "ِّ", "ٍّ", "ٰ")
 
@@ -66,34 +70,62 @@ def apply_marks(bare: pd.Series, classes: pd.Series) -> pd.Series:
     return pd.Series([apply(b, c) for b, c in zip(bare, classes)])
 
 
+def letter_stream(text: str) -> list[tuple[int, str, str]]:
+    """Place, folded letter and marks after it, of each Arabic letter; all else is passed over."""
+    return [(m.start(), m[1].translate(_FOLDED), m[2]) for m in _MARKED_LETTER.finditer(text)]
+
+
 def transplanted(bare: str, marked: str, skip: int = 8) -> str | None:
-    """``bare`` with the marks of the same letters in ``marked``, which may have up to ``skip``
-    letters between them (the letter after must agree too); None where a letter isn't found."""
-    base, marks = split(marked)
-    letters = [(c, k) for c, k in zip(base, marks) if not c.isspace()]
-    out, at = [], 0
-    wanted = [c for c in bare if not c.isspace()]
-    n = -1
-    for c in bare:
-        if c.isspace():
-            out.append(c)
-            continue
-        n += 1
-        following = wanted[n + 1] if n + 1 < len(wanted) else None
-        for step in range(skip + 1):
-            j = at + step
-            if j < len(letters) and letters[j][0] == c and (not step or following is None or j + 1 < len(letters) and letters[j + 1][0] == following):
-                out.append(c + CLASSES[letters[j][1]])
-                at = j + 1
-                break
-        else:
+    """``bare`` with the marks of the same letters of ``marked``, which may have up to ``skip`` letters
+    between them; a letter after a gap counts only if the one that follows it agrees too, as far as
+    there is one.  None where a letter isn't found or ``marked`` has none."""
+    wanted, source = letter_stream(bare), letter_stream(marked)
+    letters = "".join(c for _, c, _ in source)
+    if not letters:
+        return None
+    out, done, at = [], 0, 0
+    for i, (place, c, _) in enumerate(wanted):
+        following = wanted[i + 1][1] if i + 1 < len(wanted) else ""
+        found = letters.find(c, at, at + 1)
+        if found < 0:
+            gap = range(at + 1, min(at + skip + 1, len(letters)))
+            found = next((j for j in gap if letters[j] == c and letters.startswith(following[: len(letters) - j - 1], j + 1)), -1)
+        if found < 0:
             return None
-    return "".join(out)
+        out += [bare[done : place + 1], source[found][2]]
+        done, at = place + 1, found + 1
+    return "".join([*out, bare[done:]])
 
 
 @vectorized("string")
 def transplant_marks(bare: pd.Series, marked: pd.Series) -> pd.Series:
-    return pd.Series([transplanted(b, m) if b is not None and m is not None else None for b, m in zip(bare, marked)])
+    return pd.Series([transplanted(b, m) if b and m else None for b, m in zip(bare, marked)])
+
+
+@vectorized("array<int>")
+def places_of_letters(texts: pd.Series, places: pd.Series) -> pd.Series:
+    """Places in a text without its marks, as places in the text itself; -1 for those outside."""
+
+    def one(text, wanted):
+        if wanted is None or not len(wanted):
+            return []
+        kept = [i for i, c in enumerate(text or "") if not _DISPLAY_MARK.match(c)]
+        return [kept[k] if 0 <= k < len(kept) else -1 for k in map(int, wanted)]
+
+    return pd.Series([one(t, w) for t, w in zip(texts, places)])
+
+
+@vectorized("int")
+def place_in_raw(texts: pd.Series, places: pd.Series) -> pd.Series:
+    """A place in the normalised text, as a place in the raw one; -1 where there is none."""
+
+    def one(text, k):
+        if pd.isna(k):
+            return -1
+        at = with_map(text or "")[1]
+        return at[int(k)] if 0 <= k < len(at) else -1
+
+    return pd.Series([one(t, k) for t, k in zip(texts, places)])
 
 
 _QUOTED = re.compile("﴿[^﴾]*﴾|\\{[^}]*\\}")

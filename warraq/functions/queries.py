@@ -58,9 +58,9 @@ def _(t):
     return rows.agg(F.count("*").alias("n_rows"), F.count_if(X.has_junk(F.col("junk"))).alias("before"), F.count_if(X.has_junk(F.col("clean"))).alias("after"), F.sum(F.length("clean")).alias("chars"))
 
 
-@query("clean_display", "SELECT passage_id, text_raw AS shown FROM passages")
+@query("clean_display", "SELECT passage_id, trim(regexp_replace(text_raw, '§', '', 'g')) AS shown FROM passages")
 def _(t):
-    dirty = F.concat(F.lit("AddHistory(1); [3/4] "), F.col("text_raw"), F.lit(" §"))
+    dirty = F.concat(F.when(F.col("passage_id") % 2 == 0, "AddHistory(1); [3/4] ").otherwise("ب - "), F.col("text_raw"), F.lit(" §"))
     return t.passages.select("passage_id", X.clean_display(dirty).alias("shown"))
 
 
@@ -115,21 +115,28 @@ def _(t):
     return t.passages.select("passage_id", M.norm_with_map(F.col("text_raw")).alias("x")).select("passage_id", "x.norm", F.size("x.at").cast("long").alias("n"))
 
 
-@query("split_marks", "SELECT passage_id, true AS same FROM passages")
-def _(t):
-    rows = t.passages.select("passage_id", "text_raw", M.split_marks(F.col("text_raw")).alias("x"))
-    return rows.select("passage_id", (M.apply_marks(F.col("x.bare"), F.col("x.classes")) == F.col("text_raw")).alias("same"))
+BARE = "regexp_replace(text_raw, '[ً-ْٰ]', '', 'g')"
 
 
-@query("apply_marks", "SELECT passage_id, text_raw AS marked FROM passages")
+@query("split_marks", f"SELECT passage_id, {BARE} AS bare, length({BARE}) AS letters, len(regexp_extract_all(text_raw, '[^ً-ْٰ][ً-ْٰ]+')) AS marked FROM passages")
 def _(t):
     rows = t.passages.select("passage_id", M.split_marks(F.col("text_raw")).alias("x"))
-    return rows.select("passage_id", M.apply_marks(F.col("x.bare"), F.col("x.classes")).alias("marked"))
+    return rows.select("passage_id", "x.bare", F.size("x.classes").cast("long").alias("letters"), F.size(F.filter("x.classes", lambda k: k > 0)).cast("long").alias("marked"))
+
+
+@query("apply_marks", f"SELECT passage_id, regexp_replace({BARE}, '(.)', '\\1َ', 'g') AS marked FROM passages")
+def _(t):
+    """Every letter of the bare text with the first mark."""
+    bare = A.strip_tashkeel(F.col("text_raw"))
+    return t.passages.select("passage_id", M.apply_marks(bare, F.array_repeat(F.lit(1), F.length(bare))).alias("marked"))
 
 
-@query("transplant_marks", "SELECT passage_id, text_raw AS marked FROM passages")
+@query("transplant_marks", f"""SELECT passage_id, regexp_replace(regexp_replace({BARE}, '([ء-ي])', '\\1َ', 'g'), '^', '§ ') AS marked FROM passages""")
 def _(t):
-    return t.passages.select("passage_id", M.transplant_marks(A.strip_tashkeel(F.col("text_raw")), F.col("text_raw")).alias("marked"))
+    """The marks of a page whose every letter has one, and whose letters differ in form, onto bare text with signs between."""
+    bare = A.strip_tashkeel(F.col("text_raw"))
+    page = F.regexp_replace(F.translate(bare, "اة", "أه"), "([ء-ي])", "$1َ")
+    return t.passages.select("passage_id", M.transplant_marks(F.concat(F.lit("§ "), bare), F.concat(F.lit("12، "), page)).alias("marked"))
 
 
 @query("merge_bare_words", "SELECT passage_id, regexp_replace(regexp_replace(text_raw, '(^| )نافع( |$)', '\\1نَافِع\\2', 'g'), '(^| )مالك( |$)', '\\1مَالِك\\2', 'g') AS merged FROM passages")
@@ -159,9 +166,16 @@ def _(t):
     return a.join(b, F.col("b_id") == F.col("a_id") + 1).select("a_id", F.round(X.ordered_token_hit(F.col("x"), F.col("y")), 4).alias("hit"))
 
 
-@query("json_project", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+SPANS = "array<struct<start:int,end:int,label:string>>"
+
+
+@query("json_project", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, concat('p', event_id % 3) AS place, 2::INT AS places, CAST(event_id % 50 + 1 AS INT) AS first_end FROM events""")
 def _(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    """A scalar key, an array and spans of a JSON column."""
+    k = F.col("event_id")
+    meta = F.to_json(F.struct(F.array(F.concat(F.lit("p"), k % 3), F.lit("q")).alias("places"), F.array(F.struct(F.lit(0).alias("start"), (k % 50 + 1).alias("end"), F.lit("A").alias("label"))).alias("spans")))
+    rows = t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.from_json(meta, f"places array<string>, spans {SPANS}").alias("m"))
+    return rows.select("event_id", "k", F.col("m.places")[0].alias("place"), F.size("m.places").alias("places"), F.col("m.spans")[0]["end"].alias("first_end"))
 
 
 @query("cost_estimate", "SELECT source, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / 2.5 / 1000000 * 0.15, 6) AS usd FROM documents GROUP BY source")
@@ -169,10 +183,12 @@ def _(t):
     return t.documents.groupBy("source").agg(F.sum(F.length("text")).alias("chars")).withColumn("usd", X.embedding_cost(F.col("chars")))
 
 
-@query("snippet_highlight", "SELECT passage_id, array_to_string(list_transform(w[greatest(list_position(w, 'رسول') - 20, 1):greatest(list_position(w, 'رسول') - 20, 1) + 39], lambda x: CASE WHEN x = 'رسول' THEN '<mark>رسول</mark>' ELSE x END), ' ') AS snippet FROM (SELECT passage_id, string_split(text_norm, ' ') AS w FROM passages) WHERE list_contains(w, 'رسول')")
+@query("snippet_highlight", """WITH p AS (SELECT passage_id, string_split(text_norm, ' ') AS w FROM passages), x AS (SELECT passage_id, i, w[i * 40 + 1:i * 40 + 40] AS part FROM p, range(0, 1000) r(i) WHERE i * 40 < len(w)),
+  y AS (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY len(list_filter(part, lambda v: v IN ('رسول', 'مالك'))) DESC, i) AS rn FROM x WHERE len(list_filter(part, lambda v: v IN ('رسول', 'مالك'))) > 0)
+  SELECT passage_id, string_agg(array_to_string(list_transform(part, lambda v: CASE WHEN v IN ('رسول', 'مالك') THEN concat('<mark>', v, '</mark>') ELSE v END), ' '), ' … ' ORDER BY i) AS snippet FROM y WHERE rn <= 2 GROUP BY 1""")
 def _(t):
-    rows = t.passages.select("passage_id", F.split("text_norm", " ").alias("w")).where(F.array_contains("w", "رسول"))
-    return rows.select("passage_id", X.snippet_highlight(F.col("w"), ["رسول"]).alias("snippet"))
+    rows = t.passages.select("passage_id", X.snippet_highlight(F.split("text_norm", " "), ["رسول", "مالك"]).alias("snippet"))
+    return rows.where("snippet <> ''")
 
 
 @query("preview", "SELECT doc_id, left(text, 220) AS preview FROM documents")

@@ -117,6 +117,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def canonical_tokens(name: Column) -> Column:
+    """Tokens with the cases of 'father of' and the forms of 'son' made one."""
+    tokens = F.transform(words(name), lambda w: F.when(w == "ابن", "بن").otherwise(w))
+    rest = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.when(F.get(tokens, F.lit(0)).isin("ابا", "ابي"), F.concat(F.array(F.lit("ابو")), rest)).otherwise(tokens)
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Common tokens by the smaller of two token sets."""
     x, y = F.array_distinct(a), F.array_distinct(b)
@@ -134,12 +141,18 @@ def preview(text: Column, n: int = 220) -> Column:
     return F.left(text, F.lit(n))
 
 
-def snippet_highlight(tokens: Column, terms: list[str], around: int = 20) -> Column:
-    """Up to 2 * ``around`` words about the first hit, with hits marked."""
-    hit = F.least(*(F.when(F.array_position(tokens, t) > 0, F.array_position(tokens, t)) for t in terms), F.lit(None).cast("long")) if len(terms) > 1 else F.array_position(tokens, terms[0])
-    first = F.greatest(F.coalesce(hit, F.lit(1)) - around, F.lit(1)).cast("int")
-    marked = F.transform(F.slice(tokens, first, 2 * around), lambda w: F.when(w.isin(terms), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return F.array_join(marked, " ")
+def snippet_highlight(tokens: Column, terms: list[str], most: int = 40, fragments: int = 2) -> Column:
+    """Up to ``fragments`` parts of at most ``most`` words, with hits marked, joined by " … ".
+
+    The text is cut into windows of ``most`` words; those with the most hits are shown, the earlier
+    ones on ties, in the order of the text."""
+    count = F.greatest(F.ceil(F.size(tokens) / most), F.lit(1)).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(tokens, i * most + 1, F.lit(most)))
+    ranked = F.array_sort(F.transform(windows, lambda w, i: F.struct((-F.size(F.filter(w, lambda x: x.isin(terms)))).alias("hits"), i.alias("place"), w.alias("w"))))
+    best = F.slice(F.filter(ranked, lambda r: r["hits"] < 0), 1, fragments)
+    shown = F.array_sort(F.transform(best, lambda r: F.struct(r["place"].alias("place"), r["w"].alias("w"))))
+    mark = lambda w: F.when(w.isin(terms), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)
+    return F.array_join(F.transform(shown, lambda r: F.array_join(F.transform(r["w"], mark), " ")), " … ")
 
 
 def embedding_cost(chars: Column, usd_per_million: float = 0.15) -> Column:

@@ -250,9 +250,9 @@ def _(t):
     return whole.join(done, "edition_id", "left").fillna(0, ["embedded", "failed"]).withColumn("usd", embedding_cost(F.col("chars")))
 
 
-@query("embedding_scope", f"WITH j AS ({JOBS}) SELECT count(*) AS editions, count_if(edition_id IN (SELECT edition_id FROM j WHERE status = 'done')) AS embedded FROM editions WHERE source <> 'hadith_struct'")
+@query("embedding_scope", f"WITH j AS ({JOBS}) SELECT count(*) AS editions, count_if(edition_id IN (SELECT edition_id FROM j WHERE status = 'done')) AS embedded FROM editions WHERE source <> 'archive'")
 def _(t):
-    scope = t.editions.where("source <> 'hadith_struct'")
+    scope = t.editions.where("source <> 'archive'")
     some = jobs(t).where("status = 'done'").select("edition_id").distinct()
     return totals(editions=scope, embedded=scope.join(some, "edition_id", "left_semi"))
 
@@ -295,9 +295,9 @@ def _(t):
     return t.documents.groupBy("source").agg(count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query("number_prf", "WITH d AS (SELECT DISTINCT edition_id, hadith_num AS n FROM passages WHERE regexp_matches(hadith_num, '^[0-9]+$')), g AS (SELECT DISTINCT edition_id, CAST(passage_id % 2500 AS VARCHAR) AS n FROM passages) SELECT edition_id, hit, detected, gold, round(hit / detected::DOUBLE, 4) AS precision, round(hit / gold::DOUBLE, 4) AS recall, round(2.0 * hit / (detected + gold), 4) AS f1 FROM (SELECT edition_id, count(*) AS detected FROM d GROUP BY 1) JOIN (SELECT edition_id, count(*) AS gold FROM g GROUP BY 1) USING (edition_id) JOIN (SELECT d.edition_id, count(*) AS hit FROM d JOIN g ON d.edition_id = g.edition_id AND d.n = g.n GROUP BY 1) USING (edition_id)")
+@query("number_prf", "WITH d AS (SELECT DISTINCT edition_id, unit_num AS n FROM passages WHERE regexp_matches(unit_num, '^[0-9]+$')), g AS (SELECT DISTINCT edition_id, CAST(passage_id % 2500 AS VARCHAR) AS n FROM passages) SELECT edition_id, hit, detected, gold, round(hit / detected::DOUBLE, 4) AS precision, round(hit / gold::DOUBLE, 4) AS recall, round(2.0 * hit / (detected + gold), 4) AS f1 FROM (SELECT edition_id, count(*) AS detected FROM d GROUP BY 1) JOIN (SELECT edition_id, count(*) AS gold FROM g GROUP BY 1) USING (edition_id) JOIN (SELECT d.edition_id, count(*) AS hit FROM d JOIN g ON d.edition_id = g.edition_id AND d.n = g.n GROUP BY 1) USING (edition_id)")
 def _(t):
-    found = t.passages.where(F.col("hadith_num").rlike("^[0-9]+$")).select("edition_id", F.col("hadith_num").alias("n")).distinct()
+    found = t.passages.where(F.col("unit_num").rlike("^[0-9]+$")).select("edition_id", F.col("unit_num").alias("n")).distinct()
     gold = t.passages.select("edition_id", (F.col("passage_id") % 2500).cast("string").alias("n")).distinct()
     each = lambda df, name: df.groupBy("edition_id").agg(count("*").alias(name))
     rows = each(found, "detected").join(each(gold, "gold"), "edition_id").join(each(found.intersect(gold), "hit"), "edition_id")
@@ -305,9 +305,9 @@ def _(t):
     return rows.select("edition_id", "hit", "detected", "gold", F.round(hit / F.col("detected"), 4).alias("precision"), F.round(hit / F.col("gold"), 4).alias("recall"), F.round(hit * 2 / (F.col("detected") + F.col("gold")), 4).alias("f1"))
 
 
-@query("detected_intersect", "SELECT hadith_num AS n FROM passages WHERE edition_id = 0 INTERSECT SELECT hadith_num FROM passages WHERE edition_id = 2")
+@query("detected_intersect", "SELECT unit_num AS n FROM passages WHERE edition_id = 0 INTERSECT SELECT unit_num FROM passages WHERE edition_id = 2")
 def _(t):
-    numbers = lambda e: t.passages.where(F.col("edition_id") == e).select(F.col("hadith_num").alias("n"))
+    numbers = lambda e: t.passages.where(F.col("edition_id") == e).select(F.col("unit_num").alias("n"))
     return numbers(0).intersect(numbers(2))
 
 
@@ -329,9 +329,9 @@ def _(t):
     return t.passages.select("passage_id", "edition_id", (F.row_number().over(order) - 1).alias("seq"))
 
 
-@query("hadith_seq", "SELECT passage_id, row_number() OVER (PARTITION BY edition_id ORDER BY seq)::INT AS hadith_seq FROM passages WHERE kind = 'unit'")
+@query("unit_seq", "SELECT passage_id, row_number() OVER (PARTITION BY edition_id ORDER BY seq)::INT AS unit_seq FROM passages WHERE kind = 'unit'")
 def _(t):
-    return t.passages.where("kind = 'unit'").select("passage_id", F.row_number().over(Window.partitionBy("edition_id").orderBy("seq")).alias("hadith_seq"))
+    return t.passages.where("kind = 'unit'").select("passage_id", F.row_number().over(Window.partitionBy("edition_id").orderBy("seq")).alias("unit_seq"))
 
 
 @query("position_gaps", "SELECT count_if(np - pos > 1) AS gaps FROM (SELECT pos, lead(pos) OVER (PARTITION BY chain_id ORDER BY pos) AS np FROM links)")

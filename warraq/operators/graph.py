@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from warraq.functions.arabic import normalize_arabic
+from warraq.functions.text import canonical_tokens
 from warraq.registry import query
+from warraq.sources.folders import fresh_folder
 
 
 def consecutive_pairs(links: DataFrame) -> DataFrame:
@@ -43,20 +46,20 @@ def apply_manual_edges(derived: DataFrame, manual: DataFrame) -> DataFrame:
 def bounded_subgraph(graph: DataFrame, start: int, hops: int = 3, cap: int = 300) -> DataFrame:
     """Edges reached within ``hops`` of ``start`` in either direction, heaviest first, among ``cap`` nodes.
 
-    Each hop is one join of the frontier; it takes at most 3 * cap edges, so the frontier stays bounded."""
-    spark = graph.sparkSession
-    both = graph.select("student", "teacher", "weight", F.col("student").alias("at"), F.col("teacher").alias("to")).unionByName(graph.select("student", "teacher", "weight", F.col("teacher").alias("at"), F.col("student").alias("to")))
+    The graph is a written table, so that a hop is one filtered scan; it takes at most 3 * cap
+    distinct edges, so the frontier stays bounded."""
+    spark, path = graph.sparkSession, fresh_folder(graph.sparkSession, "graph")
+    graph.select("student", "teacher", "weight").write.parquet(path)
+    edges_ = spark.read.parquet(path)
     seen, frontier, taken = {start}, [start], set()
     for _ in range(hops):
-        near = spark.createDataFrame([(x,) for x in frontier], "at long")
-        found = both.join(F.broadcast(near), "at").orderBy(F.desc("weight"), "student", "teacher", "at").limit(3 * cap).collect()
-        frontier = []
+        found, frontier = expand_nodes(edges_, frontier, 3 * cap).collect(), []
         for r in found:
-            if r.to not in seen:
-                if len(seen) >= cap:
-                    continue
-                seen.add(r.to)
-                frontier.append(r.to)
+            new = {r.student, r.teacher} - seen
+            if new and len(seen) >= cap:
+                continue
+            seen |= new
+            frontier += sorted(new)
             taken.add((r.student, r.teacher, r.weight))
         if not frontier:
             break
@@ -67,50 +70,76 @@ def expand_nodes(graph: DataFrame, nodes: list[int], cap: int = 300) -> DataFram
     return graph.where(F.col("student").isin(nodes) | F.col("teacher").isin(nodes)).orderBy(F.desc("weight"), "student", "teacher").limit(cap)
 
 
-def kin_relation(student: F.Column, teacher: F.Column) -> F.Column:
-    """Family relation by names ``first بن father بن grandfather``; else teacher."""
-    first = lambda name: F.substring_index(name, " بن ", 1)
-    line = lambda name: F.when(name.contains(" بن "), F.regexp_replace(name, "^.*? بن ", ""))
-    father, grandfather = line(student), line(line(student))
-    return (
-        F.when(F.coalesce(father == teacher, F.lit(False)), "father")
-        .when(F.coalesce(first(father) == first(teacher), F.lit(False)) & F.coalesce(line(teacher).isNull() | (line(father) == line(teacher)), F.lit(False)), "father")
-        .when(F.coalesce(grandfather == teacher, F.lit(False)), "grandfather")
-        .when(F.coalesce(father == line(teacher), F.lit(False)), "brother")
-        .otherwise("teacher")
-    )
+def kin_relation(student: F.Column, teacher: F.Column, student_class: F.Column | None = None, teacher_class: F.Column | None = None) -> F.Column:
+    """Family relation by the words of two names: the teacher's name goes on as the student's does after
+    the first 'son of' (father) or the second (grandfather), as far as both go; both names go on
+    alike for two words or more after different first names (brother); the classes are the same
+    (peer); else teacher."""
+    s, t = canonical_tokens(normalize_arabic(student)), canonical_tokens(normalize_arabic(teacher))
+    of = lambda w: F.transform(w, lambda x: x.isin("بن", "بنت"))
+    first = lambda w: F.array_position(of(w), True)
+    after = lambda w, at: F.slice(w, (at + 1).cast("int"), F.size(w))
+    one = first(s)
+    next_ = F.array_position(after(of(s), one), True)
+    two = F.when((one > 0) & (next_ > 0), one + next_).otherwise(0)
+
+    def goes_on(at):
+        rest = after(s, at)
+        n = F.least(F.size(rest), F.size(t))
+        return F.coalesce((at > 0) & (n > 0) & (F.slice(rest, F.lit(1), n) == F.slice(t, F.lit(1), n)), F.lit(False))
+
+    tail = lambda w: F.slice(w, F.greatest(first(w), F.lit(1)).cast("int"), F.lit(4))
+    head = lambda w: F.slice(w, F.lit(1), F.greatest(first(w) - 1, F.lit(0)).cast("int"))
+    siblings = (one > 0) & (first(t) > 0) & (head(s) != head(t)) & (tail(s) == tail(t)) & (F.size(tail(s)) >= 2)
+    out = F.when(goes_on(one), "father").when(goes_on(two), "grandfather").when(F.coalesce(siblings, F.lit(False)), "brother")
+    if student_class is not None:
+        out = out.when((F.size(s) > 0) & (F.size(t) > 0) & (student_class != 0) & (student_class == teacher_class), "peer")
+    return out.otherwise("teacher")
 
 
 def edge_relations(graph: DataFrame, narrators: DataFrame) -> DataFrame:
-    name = lambda role: narrators.select(F.col("narrator_id").alias(role), F.col("canonical_norm").alias(f"{role}_name"))
+    """Each edge (student, teacher) with the relation by ``narrators`` (narrator_id, canonical_norm, tabaqa)."""
+    name = lambda role: narrators.select(F.col("narrator_id").alias(role), F.col("canonical_norm").alias(f"{role}_name"), F.col("tabaqa").alias(f"{role}_class"))
     named = graph.join(name("student"), "student").join(name("teacher"), "teacher")
-    return named.select("student", "teacher", kin_relation(F.col("student_name"), F.col("teacher_name")).alias("relation"))
+    return named.select("student", "teacher", kin_relation(*(F.col(f"{role}_{x}") for x in ("name", "class") for role in ("student", "teacher"))).alias("relation"))
 
 
 def tree_depth(nodes: DataFrame) -> DataFrame:
-    """(node_id, depth): steps to the root by a recursive query; a missing or negative parent is a root."""
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE walk AS (
-             SELECT node_id, 0 AS depth FROM {n} WHERE parent_id IS NULL OR parent_id < 0 OR parent_id NOT IN (SELECT node_id FROM {n})
-             UNION ALL SELECT c.node_id, depth + 1 FROM {n} c JOIN walk ON c.parent_id = walk.node_id)
-           SELECT node_id, depth FROM walk""",
-        n=nodes,
-    )
-
-
-def ancestors(nodes: DataFrame, most: int = 8) -> DataFrame:
-    """(node_id, ancestor_id, up) for each node and all above it, itself included; as many joins as the tree is deep."""
-    parent = nodes.select(F.col("node_id").alias("of"), "parent_id")
-    level = nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("up"))
-    every = level
-    for k in range(1, most):
-        level = level.join(parent, level.ancestor_id == parent.of).where("parent_id >= 0").select("node_id", F.col("parent_id").alias("ancestor_id"), F.lit(k).alias("up"))
-        every = every.unionByName(level)
-    return every
-
-
-def breadcrumbs(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    titled = ancestors(nodes, depth).join(nodes.select(F.col("node_id").alias("ancestor_id"), "title"), "ancestor_id")
+    """(node_id, depth): steps to the root, level by level until none is left, however deep the tree or
+    large a level; a missing or negative parent makes a root.  Levels are written tables."""
+    path, parents = fresh_folder(nodes.sparkSession, "levels"), nodes.select(F.col("node_id").alias("parent_id"))
+    level = nodes.where("parent_id is null or parent_id < 0").unionByName(nodes.where("parent_id >= 0").join(parents, "parent_id", "left_anti").select(nodes.columns)).select("node_id")
+    depth = 0
+    while True:
+        level.withColumn("depth", F.lit(depth)).write.parquet(f"{path}/{depth}")
+        done = nodes.sparkSession.read.parquet(f"{path}/{depth}")
+        if done.isEmpty():
+            break
+        level = nodes.select("node_id", "parent_id").join(done.select(F.col("node_id").alias("parent_id")), "parent_id").select("node_id")
+        depth += 1
+    return nodes.sparkSession.read.parquet(*(f"{path}/{k}" for k in range(depth + 1)))
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(node_id, ancestor_id, up) for each node and all above it, itself included: a join and a written
+    table for each level, until no node has a parent left.  A parent that is negative or isn't a
+    node ends a path; so does a cycle, at its own start."""
+    spark, path = nodes.sparkSession, fresh_folder(nodes.sparkSession, "ancestors")
+    known = nodes.select(F.col("node_id").alias("parent_id"))
+    parent = nodes.where("parent_id >= 0").select(F.col("node_id").alias("ancestor_id"), "parent_id").join(known, "parent_id", "left_semi")
+    level, up = nodes.select("node_id", F.col("node_id").alias("ancestor_id")), 0
+    while True:
+        level.withColumn("up", F.lit(up)).write.parquet(f"{path}/{up}")
+        done = spark.read.parquet(f"{path}/{up}")
+        if done.isEmpty():
+            break
+        level = done.join(parent, "ancestor_id").where("parent_id <> node_id").select("node_id", F.col("parent_id").alias("ancestor_id"))
+        up += 1
+    return spark.read.parquet(*(f"{path}/{k}" for k in range(up + 1)))
+
+
+def breadcrumbs(nodes: DataFrame) -> DataFrame:
+    titled = ancestors(nodes).join(nodes.select(F.col("node_id").alias("ancestor_id"), "title"), "ancestor_id")
     path = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("o"), "title")))
     return titled.groupBy("node_id").agg(F.array_join(F.transform(path, lambda x: x["title"]), " > ").alias("path"))
 
@@ -159,17 +188,26 @@ def _(t):
     return expand_nodes(edges(t.links), [1, 2, 3])
 
 
-@query("kin_relation")
+RELATIONS = f"""WITH e AS ({EDGES}), n AS (SELECT narrator_id, split_part(canonical_norm, ' بن ', 1) AS own, split_part(canonical_norm, ' بن ', 2) AS father, narrator_id % 12 AS tabaqa FROM narrators)
+  SELECT student, teacher, CASE WHEN starts_with(concat(t.own, ' '), concat(s.father, ' ')) THEN 'father' WHEN s.own <> t.own AND s.father = t.father THEN 'brother' WHEN s.tabaqa <> 0 AND s.tabaqa = t.tabaqa THEN 'peer' ELSE 'teacher' END AS relation
+  FROM e JOIN n s ON s.narrator_id = student JOIN n t ON t.narrator_id = teacher"""
+
+
+def related(t):
+    return edge_relations(edges(t.links), t.narrators.withColumn("tabaqa", F.col("narrator_id") % 12))
+
+
+@query("kin_relation", f"SELECT relation, count(*) AS n FROM ({RELATIONS}) GROUP BY 1")
 def _(t):
-    return edge_relations(edges(t.links), t.narrators).groupBy("relation").agg(F.count("*").alias("n"))
+    return related(t).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@query("edge_relations")
+@query("edge_relations", RELATIONS)
 def _(t):
-    return edge_relations(edges(t.links), t.narrators)
+    return related(t)
 
 
-@query("tree_depth", "SELECT node_id, CASE WHEN node_id < 100 THEN 0 WHEN node_id < 1000 THEN 1 ELSE 2 END AS depth FROM toc")
+@query("tree_depth", "WITH RECURSIVE w AS (SELECT node_id, 0 AS depth FROM toc WHERE parent_id < 0 UNION ALL SELECT c.node_id, depth + 1 FROM toc c JOIN w ON c.parent_id = w.node_id) SELECT node_id, depth FROM w")
 def _(t):
     return tree_depth(t.toc)
 
@@ -189,7 +227,7 @@ def _(t):
 @query("subtree", "WITH RECURSIVE w AS (SELECT node_id FROM toc WHERE node_id < 5 AND node_id % 2 = 0 UNION ALL SELECT c.node_id FROM toc c JOIN w ON c.parent_id = w.node_id) SELECT node_id FROM w")
 def _(t):
     roots = t.toc.where("node_id < 5 and node_id % 2 = 0").select(F.col("node_id").alias("ancestor_id"))
-    return ancestors(t.toc).join(F.broadcast(roots), "ancestor_id", "left_semi").select("node_id")
+    return ancestors(t.toc).join(roots, "ancestor_id", "left_semi").select("node_id")
 
 
 @query("who_narrated_from", f"WITH e AS ({EDGES}) SELECT student, weight FROM e WHERE teacher = 7 ORDER BY weight DESC, student LIMIT 20")
@@ -197,9 +235,9 @@ def _(t):
     return edges(t.links).where("teacher = 7").orderBy(F.desc("weight"), "student").limit(20).select("student", "weight")
 
 
-@query("joint_count", f"WITH p AS ({PAIRS}) SELECT student, teacher, count(DISTINCT chain_id) AS chains FROM p WHERE student < 10 AND teacher < 10 GROUP BY 1, 2")
+@query("joint_count", f"WITH p AS ({PAIRS}) SELECT student, teacher, count(DISTINCT chain_id) AS chains FROM p GROUP BY 1, 2")
 def _(t):
-    return consecutive_pairs(t.links).where("student < 10 and teacher < 10").groupBy("student", "teacher").agg(F.countDistinct("chain_id").alias("chains"))
+    return consecutive_pairs(t.links).groupBy("student", "teacher").agg(F.countDistinct("chain_id").alias("chains"))
 
 
 @query("top_teachers", f"WITH e AS ({EDGES}) SELECT teacher, count(DISTINCT student) AS students, sum(weight)::BIGINT AS weight FROM e GROUP BY 1 ORDER BY students DESC, weight DESC, teacher LIMIT 20")

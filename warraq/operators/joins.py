@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warraq.functions.text import ordered_token_hit, token_overlap, words
+from warraq.functions.text import canonical_tokens, ordered_token_hit, token_overlap, words
 from warraq.registry import query
 
 
@@ -31,26 +31,44 @@ def _(t):
     return leaf_flags(t.toc)
 
 
-@query("anchor_toc", "SELECT o_orderkey AS passage_id, n.node_id FROM orders LEFT JOIN (SELECT node_id FROM toc a WHERE NOT EXISTS (SELECT 1 FROM toc c WHERE c.parent_id = a.node_id)) n ON n.node_id = CASE WHEN o_orderkey % 3 = 0 THEN 100 + o_custkey % 25 ELSE 1000 + o_custkey END")
+def anchored(passages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each passage (passage_id, edition_id, source_node) with the leaf of its edition that it names, null without one."""
+    leaves = leaf_flags(nodes).where("is_leaf").join(nodes.select("node_id", "edition_id"), "node_id").select("edition_id", F.col("node_id").alias("source_node"), "node_id")
+    return passages.join(leaves, ["edition_id", "source_node"], "left").select("passage_id", "node_id")
+
+
+@query("anchor_toc", "SELECT o_orderkey AS passage_id, n.node_id FROM orders LEFT JOIN (SELECT edition_id, node_id FROM toc a WHERE NOT EXISTS (SELECT 1 FROM toc c WHERE c.parent_id = a.node_id)) n ON n.edition_id = o_orderkey % 4 AND n.node_id = CASE WHEN o_orderkey % 3 = 0 THEN 100 + o_custkey % 25 ELSE 1000 + o_custkey END")
 def _(t):
-    placed = t.orders.select(F.col("o_orderkey").alias("passage_id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 25 + 100).otherwise(F.col("o_custkey") + 1000).alias("source_node"))
-    leaves = leaf_flags(t.toc).where("is_leaf").select("node_id")
-    return placed.join(leaves, placed.source_node == leaves.node_id, "left").select("passage_id", "node_id")
+    node = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 25 + 100).otherwise(F.col("o_custkey") + 1000)
+    return anchored(t.orders.select(F.col("o_orderkey").alias("passage_id"), (F.col("o_orderkey") % 4).cast("int").alias("edition_id"), node.alias("source_node")), t.toc)
+
+
+def numbered(rows: DataFrame, key: str, width: int = 10_000) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 in the order of a distinct whole ``key``: a window within
+    each range of keys, and sums over the ranges' counts, instead of one window over all rows."""
+    cell = F.floor(F.col(key) / width).alias("_cell")
+    counts = rows.groupBy(cell).agg(F.count("*").alias("n"))
+    first = counts.select("_cell", F.coalesce(F.sum("n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1
+    return rows.withColumn("_cell", cell).withColumn("_rank", rank).join(first, "_cell").withColumn("place", F.col("_first") + F.col("_rank")).drop("_cell", "_first", "_rank")
 
 
 def attach_edition_to_work(editions: DataFrame, works: DataFrame, new: DataFrame) -> DataFrame:
-    """New editions with the work of the known edition of the same book, or the next new work ids."""
-    known = editions.where("source = 'sunna'").select("source_book_id", F.col("work_id").alias("known_work"))
+    """New editions (source_book_id, author) with the work of the known edition of the same book, or the
+    next new work ids, and the work's author, or else their own."""
+    known = editions.where("source = 'units'").select("source_book_id", F.col("work_id").alias("known_work"))
+    known = known.join(works.select(F.col("work_id").alias("known_work"), F.col("author").alias("known_author")), "known_work", "left")
     joined = new.join(known, "source_book_id", "left")
-    last = works.agg(F.coalesce(F.max("work_id"), F.lit(0)).alias("last"))
-    fresh = joined.where("known_work is null").crossJoin(last).withColumn("work_id", F.col("last") + F.row_number().over(Window.orderBy("source_book_id")))
-    return joined.where("known_work is not null").select("source_book_id", F.col("known_work").cast("long").alias("work_id"), F.lit(False).alias("created")).unionByName(fresh.select("source_book_id", F.col("work_id").cast("long"), F.lit(True).alias("created")))
+    last = works.agg(F.coalesce(F.max("work_id"), F.lit(0)).alias("last"))  # one row
+    fresh = numbered(joined.where("known_work is null"), "source_book_id").crossJoin(last)
+    of = lambda df, work, created: df.select("source_book_id", work.cast("long").alias("work_id"), F.coalesce("known_author", "author").alias("author"), F.lit(created).alias("created"))
+    return of(joined.where("known_work is not null"), F.col("known_work"), False).unionByName(of(fresh, F.col("last") + 1 + F.col("place"), True))
 
 
-@query("attach_edition_to_work", "SELECT r AS source_book_id, CASE WHEN r < 25 THEN r ELSE 24 + row_number() OVER (ORDER BY r) - 5 END::BIGINT AS work_id, r >= 25 AS created FROM (SELECT CAST(s_suppkey AS INT) AS r FROM supplier WHERE s_suppkey BETWEEN 20 AND 40)")
+@query("attach_edition_to_work", "SELECT r AS source_book_id, CASE WHEN r < 25 THEN r ELSE 24 + row_number() OVER (PARTITION BY r >= 25 ORDER BY r) END::BIGINT AS work_id, CASE WHEN r < 25 AND r % 2 = 0 THEN concat('w', r) ELSE concat('a', r) END AS author, r >= 25 AS created FROM (SELECT CAST(s_suppkey AS INT) AS r FROM supplier)")
 def _(t):
-    new = t.supplier.where("s_suppkey between 20 and 40").select(F.col("s_suppkey").cast("int").alias("source_book_id"))
-    return attach_edition_to_work(t.editions, t.works, new)
+    new = t.supplier.select(F.col("s_suppkey").cast("int").alias("source_book_id"), F.concat(F.lit("a"), F.col("s_suppkey")).alias("author"))
+    return attach_edition_to_work(t.editions, t.works.withColumn("author", F.when(F.col("work_id") % 2 == 0, F.concat(F.lit("w"), F.col("work_id")))), new)
 
 
 def link_subjects(hits: DataFrame, subjects: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,66 +139,84 @@ def _(t):
     return resolve_mentions_link(t.links, t.narrators.select("narrator_id", F.col("canonical_norm").alias("alias_norm"))).select("chain_id", "pos", "narrator_id")
 
 
-def canonical_tokens(name: F.Column) -> F.Column:
-    """Tokens with the cases of 'father of' and the forms of 'son' made one."""
-    tokens = F.transform(words(name), lambda w: F.when(w == "ابن", "بن").otherwise(w))
-    return F.when(tokens[0].isin("ابا", "ابي"), F.concat(F.array(F.lit("ابو")), F.slice(tokens, 2, 100))).otherwise(tokens)
-
-
-def match_rijal_entries(narrators: DataFrame, entries: DataFrame) -> DataFrame:
+def match_rijal_entries(narrators: DataFrame, entries: DataFrame, curated: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
     """Entries (entry_id, name_norm) by narrators whose tokens agree: blocked on the first two, then
-    all or the first four; one exact candidate or one at all is a match, more are ambiguous."""
-    named = lambda df, id_, name: df.select(id_, canonical_tokens(F.col(name)).alias(f"{id_}_t")).where(F.size(f"{id_}_t") >= 2).withColumns({f"{id_}_1": F.col(f"{id_}_t")[0], f"{id_}_2": F.col(f"{id_}_t")[1]})
-    e, n = named(entries, "entry_id", "name_norm"), named(narrators, "narrator_id", "canonical_norm")
-    same = lambda k: F.slice("entry_id_t", 1, k) == F.slice("narrator_id_t", 1, k)
-    size = F.size("narrator_id_t")
-    pairs = e.join(n, (F.col("entry_id_1") == F.col("narrator_id_1")) & (F.col("entry_id_2") == F.col("narrator_id_2"))).where((F.slice("entry_id_t", F.lit(1), size) == F.col("narrator_id_t")) | (size >= 4) & same(4))
-    exact = F.col("entry_id_t") == F.col("narrator_id_t")
-    got = pairs.groupBy("entry_id").agg(F.count_if(exact).alias("exact"), F.count("*").alias("candidates"), F.min(F.when(exact, F.col("narrator_id"))).alias("e"), F.min("narrator_id").alias("a"))
-    return got.select("entry_id", F.when(F.col("exact") == 1, F.col("e")).when((F.col("exact") == 0) & (F.col("candidates") == 1), F.col("a")).alias("narrator_id"), ((F.col("exact") > 1) | (F.col("exact") == 0) & (F.col("candidates") > 1)).alias("ambiguous"))
-
-
-@query("match_rijal_entries", "WITH c AS (SELECT s_suppkey + 1000 AS entry_id, canonical_norm, narrator_id FROM narrators JOIN supplier ON s_suppkey = narrator_id WHERE s_suppkey % 3 = 0) SELECT entry_id, CASE WHEN count(*) = 1 THEN min(n.narrator_id) END AS narrator_id, count(*) > 1 AS ambiguous FROM c JOIN narrators n ON n.canonical_norm = c.canonical_norm GROUP BY 1")
+    all or the first four; one exact candidate or one at all is a match, more are ambiguous.
+
+    ``curated`` (entry_id, narrator_id) settles its entries before; those of ``skipped`` (entry_id: notes,
+    curated facts) are left out.  Names are compared once each, with the number that bear them."""
+    if skipped is not None:
+        entries = entries.join(skipped.select("entry_id"), "entry_id", "left_anti")
+    todo = entries if curated is None else entries.join(curated.select("entry_id"), "entry_id", "left_anti")
+    tokens = lambda df, name, side: df.withColumn(f"{side}_t", canonical_tokens(F.col(name))).where(F.size(f"{side}_t") >= 2)
+    keys = lambda side: [F.col(f"{side}_t")[k].alias(f"{side}_{k}") for k in (0, 1)]
+    todo = tokens(todo, "name_norm", "e").select("entry_id", "e_t")
+    bearers = tokens(narrators, "canonical_norm", "n").groupBy("n_t").agg(F.count("*").alias("k"), F.min("narrator_id").alias("id")).select("*", *keys("n"))
+    names = todo.select("e_t").distinct().select("*", *keys("e"))
+    size, exact = F.size("n_t"), F.col("e_t") == F.col("n_t")
+    four = (size >= 4) & (F.slice("e_t", 1, 4) == F.slice("n_t", 1, 4))
+    pairs = names.join(bearers, (F.col("e_0") == F.col("n_0")) & (F.col("e_1") == F.col("n_1"))).where((F.slice("e_t", F.lit(1), size) == F.col("n_t")) | four)
+    got = pairs.groupBy("e_t").agg(F.coalesce(F.sum(F.when(exact, F.col("k"))), F.lit(0)).alias("exact"), F.sum("k").alias("candidates"), F.min(F.when(exact, F.col("id"))).alias("e"), F.min("id").alias("a"))
+    one = F.when(F.col("exact") == 1, F.col("e")).when((F.col("exact") == 0) & (F.col("candidates") == 1), F.col("a"))
+    many = (F.col("exact") > 1) | (F.col("exact") == 0) & (F.col("candidates") > 1)
+    found = todo.join(got, "e_t").select("entry_id", one.alias("narrator_id"), many.alias("ambiguous"))
+    if curated is None:
+        return found
+    return found.unionByName(curated.join(entries.select("entry_id"), "entry_id", "left_semi").select("entry_id", "narrator_id", F.lit(False).alias("ambiguous")))
+
+
+@query("match_rijal_entries", "WITH n AS (SELECT canonical_norm, count(*) AS k, min(narrator_id) AS id FROM narrators GROUP BY 1) SELECT narrator_id + 1000000000 AS entry_id, CASE WHEN narrator_id % 50 = 7 THEN 1 WHEN k = 1 THEN id END AS narrator_id, k > 1 AND narrator_id % 50 <> 7 AS ambiguous FROM narrators JOIN n USING (canonical_norm) WHERE narrator_id % 50 <> 8")
 def _(t):
-    entries = t.narrators.where("narrator_id % 3 = 0").select((F.col("narrator_id") + 1000).alias("entry_id"), F.col("canonical_norm").alias("name_norm"))
-    return match_rijal_entries(t.narrators, entries)
+    entries = t.narrators.select((F.col("narrator_id") + 1_000_000_000).alias("entry_id"), F.col("canonical_norm").alias("name_norm"))
+    some = lambda k: entries.where((F.col("entry_id") - 1_000_000_000) % 50 == k).select("entry_id")
+    return match_rijal_entries(t.narrators, entries, some(7).withColumn("narrator_id", F.lit(1).cast("long")), some(8))
 
 
 def merge_enrichment(narrators: DataFrame, found: DataFrame, forced: bool = False) -> DataFrame:
-    """Fields filled where they are null (or replaced, when ``forced``)."""
+    """Fields filled where they are null (or replaced, when ``forced``); of a map both sides' keys, with
+    the narrator's own values (or the found ones, when ``forced``) where both have one."""
     fresh = found.select("narrator_id", *(F.col(c).alias(f"new_{c}") for c in found.columns if c != "narrator_id"))
     joined = narrators.join(fresh, "narrator_id", "left")
-    pair = lambda c: (F.col(f"new_{c}"), F.col(c)) if forced else (F.col(c), F.col(f"new_{c}"))
-    return joined.select(*(F.coalesce(*pair(c)).alias(c) if c in found.columns and c != "narrator_id" else F.col(c) for c in narrators.columns))
+
+    def merged(c):
+        first, second = (F.col(f"new_{c}"), F.col(c)) if forced else (F.col(c), F.col(f"new_{c}"))
+        if not narrators.schema[c].dataType.simpleString().startswith("map"):
+            return F.coalesce(first, second)
+        rest = F.map_filter(second, lambda k, _: ~F.map_contains_key(first, k))
+        return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(F.map_concat(first, rest))
+
+    return joined.select(*(merged(c).alias(c) if c in found.columns and c != "narrator_id" else F.col(c) for c in narrators.columns))
 
 
-@query("merge_enrichment", "SELECT narrator_id, coalesce(death_year_h, 150 + narrator_id % 3)::INT AS death_year_h, coalesce(generation, 'تابعي') AS generation FROM narrators")
+@query("merge_enrichment", "SELECT narrator_id, coalesce(death_year_h, 150 + narrator_id % 3)::INT AS death_year_h, coalesce(generation, 'تابعي') AS generation, CASE WHEN narrator_id % 2 = 0 THEN 'own' ELSE 'found' END AS a, 'found' AS b FROM narrators")
 def _(t):
-    found = t.narrators.select("narrator_id", (F.col("narrator_id") % 3 + 150).cast("int").alias("death_year_h"), F.lit("تابعي").alias("generation"))
-    return merge_enrichment(t.narrators.select("narrator_id", "death_year_h", "generation"), found)
+    pairs = lambda v, *ks: F.create_map(*(x for k in ks for x in (F.lit(k), F.lit(v))))
+    found = t.narrators.select("narrator_id", (F.col("narrator_id") % 3 + 150).cast("int").alias("death_year_h"), F.lit("تابعي").alias("generation"), pairs("found", "a", "b").alias("meta"))
+    own = t.narrators.select("narrator_id", "death_year_h", "generation", F.when(F.col("narrator_id") % 2 == 0, pairs("own", "a")).alias("meta"))
+    return merge_enrichment(own, found).select("narrator_id", "death_year_h", "generation", F.col("meta")["a"].alias("a"), F.col("meta")["b"].alias("b"))
 
 
-def crosswalk_units(sunna: DataFrame, units: DataFrame) -> DataFrame:
-    """For each unit (passage_id, work_id, num, text_norm) the best of (unit_id, work_id, num, hadith_seq,
+def crosswalk_units(known: DataFrame, units: DataFrame) -> DataFrame:
+    """For each unit (passage_id, work_id, num, text_norm) the best of (unit_id, work_id, num, unit_seq,
     unit_text) with the same number in the same work."""
-    a = sunna.where(F.col("num").rlike("^[0-9]+$")).select("passage_id", "work_id", "num", words(F.col("text_norm")).alias("a"))
-    b = units.select("unit_id", "hadith_seq", "work_id", "num", words(F.left("unit_text", F.lit(800))).alias("b"))
+    a = known.where(F.col("num").rlike("^[0-9]+$")).select("passage_id", "work_id", "num", words(F.col("text_norm")).alias("a"))
+    b = units.select("unit_id", "unit_seq", "work_id", "num", words(F.left("unit_text", F.lit(800))).alias("b"))
     scored = a.join(b, ["work_id", "num"]).withColumn("confidence", F.round(ordered_token_hit(F.col("a"), F.col("b")), 4))
-    best = Window.partitionBy("passage_id").orderBy(F.desc("confidence"), "hadith_seq")
-    return scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("passage_id", "unit_id", "hadith_seq", "num", "confidence")
+    best = Window.partitionBy("passage_id").orderBy(F.desc("confidence"), "unit_seq")
+    return scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("passage_id", "unit_id", "unit_seq", "num", "confidence")
 
 
 def crosswalk_sides(t):
-    placed = t.passages.join(t.editions.select("edition_id", "work_id"), "edition_id").withColumn("num", F.expr("cast(try_cast(hadith_num as int) % 200 as string)"))
+    placed = t.passages.join(t.editions.select("edition_id", "work_id"), "edition_id").withColumn("num", F.expr("cast(try_cast(unit_num as int) % 200 as string)"))
     a = placed.where("edition_id % 2 = 0").select("passage_id", "work_id", "num", "text_norm").where("num is not null")
-    b = placed.where("edition_id % 2 = 1").select(F.col("passage_id").alias("unit_id"), F.col("seq").alias("hadith_seq"), "work_id", "num", F.col("text_norm").alias("unit_text")).where("num is not null")
+    b = placed.where("edition_id % 2 = 1").select(F.col("passage_id").alias("unit_id"), F.col("seq").alias("unit_seq"), "work_id", "num", F.col("text_norm").alias("unit_text")).where("num is not null")
     return a, b
 
 
-CROSSWALK = """WITH p AS (SELECT passages.*, work_id, CAST(TRY_CAST(hadith_num AS INT) % 200 AS VARCHAR) AS num FROM passages JOIN editions USING (edition_id)),
-  c AS (SELECT a.passage_id, b.passage_id AS unit_id, b.seq AS hadith_seq, a.num, list_filter(string_split(a.text_norm, ' '), lambda w: length(w) >= 3)[1:25] AS x, string_split(left(b.text_norm, 800), ' ') AS y FROM p a JOIN p b ON a.work_id = b.work_id AND a.num = b.num AND a.edition_id % 2 = 0 AND b.edition_id % 2 = 1),
+CROSSWALK = """WITH p AS (SELECT passages.*, work_id, CAST(TRY_CAST(unit_num AS INT) % 200 AS VARCHAR) AS num FROM passages JOIN editions USING (edition_id)),
+  c AS (SELECT a.passage_id, b.passage_id AS unit_id, b.seq AS unit_seq, a.num, list_filter(string_split(a.text_norm, ' '), lambda w: length(w) >= 3)[1:25] AS x, string_split(left(b.text_norm, 800), ' ') AS y FROM p a JOIN p b ON a.work_id = b.work_id AND a.num = b.num AND a.edition_id % 2 = 0 AND b.edition_id % 2 = 1),
   s AS (SELECT *, round(len(list_filter(x, lambda w: list_contains(y, w)))::DOUBLE / len(x), 4) AS confidence FROM c),
-  m AS (SELECT passage_id, unit_id, hadith_seq, num, confidence FROM (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY confidence DESC, hadith_seq) AS rn FROM s) WHERE rn = 1)"""
+  m AS (SELECT passage_id, unit_id, unit_seq, num, confidence FROM (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY confidence DESC, unit_seq) AS rn FROM s) WHERE rn = 1)"""
 
 
 @query("crosswalk_units", CROSSWALK + " SELECT * FROM m")
@@ -201,10 +237,10 @@ def _(t):
     return t.editions.select("work_id", "edition_id").join(other, "work_id").where("edition_id <> other_id").select("edition_id", "other_id")
 
 
-@query("dual_source_works", "SELECT work_id, max(CASE WHEN source = 'sunna' THEN edition_id END) AS sunna, max(CASE WHEN source = 'shamela' THEN edition_id END) AS shamela FROM editions GROUP BY 1 HAVING count(DISTINCT source) >= 2")
+@query("dual_source_works", "SELECT work_id, max(CASE WHEN source = 'units' THEN edition_id END) AS with_units, max(CASE WHEN source = 'pages' THEN edition_id END) AS with_pages FROM editions GROUP BY 1 HAVING count(DISTINCT source) >= 2")
 def _(t):
-    of = lambda s: F.max(F.when(F.col("source") == s, F.col("edition_id"))).alias(s)
-    return t.editions.groupBy("work_id").agg(of("sunna"), of("shamela"), F.countDistinct("source").alias("k")).where("k >= 2").drop("k")
+    of = lambda s: F.max(F.when(F.col("source") == s, F.col("edition_id"))).alias(f"with_{s}")
+    return t.editions.groupBy("work_id").agg(of("units"), of("pages"), F.countDistinct("source").alias("k")).where("k >= 2").drop("k")
 
 
 def near_token_sets(a: DataFrame, b: DataFrame, overlap: float, per_salt: int = 10_000) -> DataFrame:
@@ -242,13 +278,26 @@ def _(t):
     return near_duplicate_gate(t.passages.where("edition_id % 2 = 1").select("passage_id", "text_norm"), t.passages.where("edition_id % 2 = 0").select("text_norm"), t.chains.where("chain_id % 9 = 0").select("passage_id"))
 
 
-@query("fragment_verify", "WITH f AS (SELECT work_id, passage_id, substr(replace(text_norm, ' ', ''), greatest(length(replace(text_norm, ' ', '')) // 2 - 15, 1), 30) AS fragment FROM passages JOIN editions USING (edition_id) WHERE edition_id % 2 = 1 AND passage_id % 40 = 3), c AS (SELECT work_id, replace(text_norm, ' ', '') AS body FROM passages JOIN editions USING (edition_id) WHERE edition_id % 2 = 0) SELECT work_id, count(*) AS sampled, count_if(hit) AS found FROM (SELECT f.work_id, f.passage_id, bool_or(coalesce(contains(body, fragment), false)) AS hit FROM f LEFT JOIN c USING (work_id) GROUP BY 1, 2) GROUP BY 1")
+def fragment_verify(pages: DataFrame, other: DataFrame, sample: int = 20, size: int = 30) -> DataFrame:
+    """Per work the number of sampled ``pages`` (work_id, passage_id, text_norm) and of those whose middle
+    letters occur in a text of ``other`` (work_id, text_norm).
+
+    A work has ``sample`` fragments at most, so they go to the texts, in one array a work, and no text
+    is paired with others."""
+    letters = F.replace("text_norm", F.lit(" "), F.lit(""))
+    middle = F.substring("body", F.greatest(F.floor(F.length("body") / 2) - size // 2, F.lit(1)).cast("int"), F.lit(size))
+    drawn = Window.partitionBy("work_id").orderBy(F.md5(F.col("passage_id").cast("string")), "passage_id")
+    asked = pages.withColumn("rn", F.row_number().over(drawn)).where(F.col("rn") <= sample).select("work_id", "passage_id", letters.alias("body")).select("work_id", "passage_id", middle.alias("fragment"))
+    listed = asked.groupBy("work_id").agg(F.collect_list(F.struct("passage_id", "fragment")).alias("asked"))
+    met = other.select("work_id", letters.alias("body")).join(listed, "work_id").select("work_id", F.explode(F.filter("asked", lambda a: F.col("body").contains(a["fragment"]))).alias("a"))
+    found = met.select("work_id", "a.passage_id").distinct().groupBy("work_id").agg(F.count("*").alias("found"))
+    return asked.groupBy("work_id").agg(F.count("*").alias("sampled")).join(found, "work_id", "left").fillna(0, ["found"])
+
+
+@query("fragment_verify", "WITH p AS (SELECT work_id, edition_id, passage_id, replace(text_norm, ' ', '') AS body FROM passages JOIN editions USING (edition_id)), f AS (SELECT work_id, passage_id, substr(body, greatest(length(body) // 2 - 15, 1), 30) AS fragment FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY md5(passage_id::VARCHAR), passage_id) AS rn FROM p WHERE edition_id % 2 = 1) WHERE rn <= 20) SELECT work_id, count(*) AS sampled, count_if(EXISTS (SELECT 1 FROM p WHERE p.work_id = f.work_id AND p.edition_id % 2 = 0 AND contains(p.body, f.fragment))) AS found FROM f GROUP BY 1")
 def _(t):
-    body = F.replace("text_norm", F.lit(" "), F.lit(""))
-    rows = t.passages.join(t.editions.select("edition_id", "work_id"), "edition_id").withColumn("body", body)
-    asked = rows.where("edition_id % 2 = 1 and passage_id % 40 = 3").select("work_id", "passage_id", F.substring("body", F.greatest(F.floor(F.length("body") / 2) - 15, F.lit(1)), F.lit(30)).alias("fragment"))
-    hits = asked.join(rows.where("edition_id % 2 = 0").select("work_id", F.col("body").alias("other")), "work_id", "left").groupBy("work_id", "passage_id").agg(F.bool_or(F.coalesce(F.col("other").contains(F.col("fragment")), F.lit(False))).alias("hit"))
-    return hits.groupBy("work_id").agg(F.count("*").alias("sampled"), F.count_if("hit").alias("found"))
+    rows = t.passages.join(t.editions.select("edition_id", "work_id"), "edition_id")
+    return fragment_verify(rows.where("edition_id % 2 = 1"), rows.where("edition_id % 2 = 0"))
 
 
 @query("page_refs", "SELECT page_id, lang, num, n_name FROM (SELECT page_id, regexp_extract(url, 'com/([a-z]+)/([0-9]+)', 1) AS lang, TRY_CAST(regexp_extract(url, 'com/([a-z]+)/([0-9]+)', 2) AS INT) AS num FROM pages) JOIN nation ON n_nationkey = num % 25")
@@ -266,18 +315,53 @@ def _(t):
     return t.supplier.select("s_suppkey", name.alias("title_norm")).join(t.works.select("work_id", "title_norm"), "title_norm").select("s_suppkey", "work_id")
 
 
+def grams_of(words_: F.Column, sizes: list[int]) -> F.Column:
+    """array<struct<size, start, gram>>: the runs of words of each size."""
+    n = F.size(words_)
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.struct(F.lit(k).alias("size"), i.alias("start"), F.array_join(F.slice(words_, i, F.lit(k)), " ").alias("gram"))))
+    return F.flatten(F.filter(F.array(*(runs(k) for k in sizes)), lambda x: x.isNotNull()))
+
+
 def ground_mentions(questions: DataFrame, aliases: DataFrame, mentions: DataFrame, most: int = 4, top: int = 5) -> DataFrame:
-    """Narrators whose alias is a 1- to ``most``-gram of a question, the most mentioned first."""
-    tokens = questions.select("question_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    span = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.col("n"))), lambda k: F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")))))
-    grams = tokens.where("n > 0").select("question_id", span.alias("alias_norm")).distinct()
-    found = grams.join(aliases, "alias_norm").join(mentions, "narrator_id", "left").fillna(0, ["mentions"])
+    """Narrators whose alias is a 1- to ``most``-gram of a question, as it stands or in canonical form (one
+    form of 'son', one case of 'father of'), the most mentioned first."""
+    text = words(F.col("text"))
+    both = F.array_union(F.transform(grams_of(text, range(1, most + 1)), lambda g: g["gram"]), F.transform(grams_of(canonical_tokens(F.col("text")), range(1, most + 1)), lambda g: g["gram"]))
+    grams = questions.select("question_id", F.explode(F.array_distinct(both)).alias("alias_norm"))
+    found = grams.join(aliases, "alias_norm").select("question_id", "narrator_id").distinct().join(mentions, "narrator_id", "left").fillna(0, ["mentions"])
     best = Window.partitionBy("question_id").orderBy(F.desc("mentions"), "narrator_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("question_id", "narrator_id", "mentions", "rank")
 
 
-@query("ground_mentions", "WITH m AS (SELECT narrator_id, count(*) AS mentions FROM links WHERE narrator_id IS NOT NULL GROUP BY 1), q AS (SELECT DISTINCT chain_id AS question_id, mention_norm FROM links WHERE chain_id % 50 = 0), f AS (SELECT question_id, n.narrator_id, coalesce(mentions, 0) AS mentions FROM q JOIN narrators n ON n.canonical_norm = q.mention_norm LEFT JOIN m USING (narrator_id)) SELECT question_id, narrator_id, mentions, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY mentions DESC, narrator_id)::INT AS rank FROM f) WHERE rank <= 5")
+def ground_frames(questions: DataFrame, aliases: DataFrame, stop_words: list[str] = (), sizes: tuple[int, ...] = (4, 3, 2), top: int = 3) -> DataFrame:
+    """The mentions (question_id, start, mention, candidates) of narrators in a question: spans that are
+    an alias, longer ones first, then earlier ones, none that overlaps one before; ``top`` candidates
+    each, the lowest ids.  Spans of stop words alone are no mentions."""
+    lowest = Window.partitionBy("alias_norm").orderBy("narrator_id")
+    named = aliases.select("alias_norm", "narrator_id").distinct().withColumn("rn", F.row_number().over(lowest)).where(F.col("rn") <= top)
+    named = named.groupBy("alias_norm").agg(F.array_sort(F.collect_list("narrator_id")).alias("candidates"))
+    grams = questions.select("question_id", F.explode(grams_of(words(F.col("text")), list(sizes))).alias("g"))
+    grams = grams.where(F.exists(F.split("g.gram", " "), lambda w: ~w.isin(*stop_words))) if stop_words else grams
+    found = grams.select("question_id", "g.*").join(named, F.col("gram") == F.col("alias_norm"))
+    spans = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "start", "size", F.col("gram").alias("mention"), "candidates")))
+    overlap = lambda a, b: (a["start"] < b["start"] + b["size"]) & (b["start"] < a["start"] + a["size"])
+    listed = found.groupBy("question_id").agg(spans.alias("spans"))
+    kept = F.aggregate("spans", F.slice("spans", 1, 0), lambda s, x: F.when(F.exists(s, lambda y: overlap(x, y)), s).otherwise(F.concat(s, F.array(x))))
+    return listed.select("question_id", F.explode(kept).alias("s")).select("question_id", (F.col("s.start") - 1).alias("start"), "s.mention", "s.candidates")
+
+
+def asked(t) -> DataFrame:
+    """The stated query set: every twentieth chain's text is a question."""
+    return t.chain_texts.where("chain_id % 20 = 0").select(F.col("chain_id").alias("question_id"), F.col("sanad").alias("text"))
+
+
+@query("ground_mentions", "WITH m AS (SELECT narrator_id, count(*) AS mentions FROM links WHERE narrator_id IS NOT NULL GROUP BY 1), q AS (SELECT DISTINCT chain_id AS question_id, mention_norm FROM links WHERE chain_id % 20 = 0), f AS (SELECT question_id, n.narrator_id, coalesce(mentions, 0) AS mentions FROM q JOIN narrators n ON n.canonical_norm = q.mention_norm LEFT JOIN m USING (narrator_id)) SELECT question_id, narrator_id, mentions, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY mentions DESC, narrator_id)::INT AS rank FROM f) WHERE rank <= 5")
 def _(t):
-    questions = t.chain_texts.where("chain_id % 50 = 0").select(F.col("chain_id").alias("question_id"), F.col("sanad").alias("text"))
     mentions = t.links.where("narrator_id is not null").groupBy("narrator_id").agg(F.count("*").alias("mentions"))
-    return ground_mentions(questions, t.narrators.select("narrator_id", F.col("canonical_norm").alias("alias_norm")), mentions)
+    variants = asked(t).withColumn("text", F.replace("text", F.lit(" بن "), F.lit(" ابن ")))
+    return ground_mentions(variants, t.narrators.select("narrator_id", F.col("canonical_norm").alias("alias_norm")), mentions)
+
+
+@query("ground_frames", "SELECT chain_id AS question_id, (row_number() OVER (PARTITION BY chain_id ORDER BY pos) - 1)::INT * 4 + 1 AS start, mention_norm AS mention, ids[1:3] AS candidates FROM links JOIN (SELECT canonical_norm, list(narrator_id ORDER BY narrator_id) AS ids FROM narrators GROUP BY 1) n ON n.canonical_norm = mention_norm WHERE chain_id % 20 = 0")
+def _(t):
+    return ground_frames(asked(t), t.narrators.select("narrator_id", F.col("canonical_norm").alias("alias_norm")), ["عن", "بن"])

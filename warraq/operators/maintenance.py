@@ -98,7 +98,7 @@ def remove_edition_cascade(edition: int, editions: DataFrame, passages: DataFram
 @query("remove_edition_cascade", "SELECT 'passages' AS name, (SELECT count(*) FROM passages WHERE edition_id = 4) AS removed UNION ALL SELECT 'chains', (SELECT count(*) FROM chains JOIN passages USING (passage_id) WHERE edition_id = 4) UNION ALL SELECT 'grades', (SELECT count(*) FROM grades JOIN passages USING (passage_id) WHERE edition_id = 4) UNION ALL SELECT 'editions', 1")
 def _(t):
     tables = {"chains": t.chains, "grades": t.grades}
-    left = remove_edition_cascade(4, t.editions, t.passages, tables, "sunna", 10**9)
+    left = remove_edition_cascade(4, t.editions, t.passages, tables, "units", 10**9)
     parts = None
     for name, before in ({"passages": t.passages, "editions": t.editions} | tables).items():
         row = before.agg(F.count("*").alias("a")).crossJoin(left[name].agg(F.count("*").alias("b"))).select(F.lit(name).alias("name"), (F.col("a") - F.col("b")).alias("removed"))

@@ -63,7 +63,7 @@ def _(t):
 
 def search_facets(passages, editions, subject_links=None, links=None, types=None, grades=None, *, source=None, subject=None, verbs=None, type_norm=None, grade=None) -> DataFrame:
     """Passages left by the facets that are set; without a source the structural archive is left out."""
-    books = editions.where(F.col("source") == source) if source else editions.where("source <> 'hadith_struct'")
+    books = editions.where(F.col("source") == source) if source else editions.where("source <> 'archive'")
     out = passages.join(books.select("edition_id"), "edition_id", "left_semi")
     if subject is not None:
         out = out.join(subject_links.where(F.col("subject_id") == subject), "passage_id", "left_semi")
@@ -76,7 +76,7 @@ def search_facets(passages, editions, subject_links=None, links=None, types=None
     return out
 
 
-@query("search_facets", "SELECT passage_id FROM passages JOIN editions USING (edition_id) WHERE source <> 'hadith_struct' AND passage_id IN (SELECT passage_id FROM subject_links WHERE subject_id = 3) AND passage_id IN (SELECT chain_id FROM links WHERE verb = 'عن') AND passage_id IN (SELECT passage_id FROM types WHERE type_norm = 'marfu') AND passage_id IN (SELECT passage_id FROM grades WHERE grade_norm = 'daif')")
+@query("search_facets", "SELECT passage_id FROM passages JOIN editions USING (edition_id) WHERE source <> 'archive' AND passage_id IN (SELECT passage_id FROM subject_links WHERE subject_id = 3) AND passage_id IN (SELECT chain_id FROM links WHERE verb = 'عن') AND passage_id IN (SELECT passage_id FROM types WHERE type_norm = 'marfu') AND passage_id IN (SELECT passage_id FROM grades WHERE grade_norm = 'daif')")
 def _(t):
     return search_facets(t.passages, t.editions, t.subject_links, t.links, t.types, t.grades, subject=3, verbs=["عن"], type_norm="marfu", grade="daif").select("passage_id")
 
@@ -135,9 +135,9 @@ def _(t):
     return trigram_word_similarity(t.part.where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("a_id"), F.col("p_name").alias("text")), t.part.where("p_partkey < 300").select(F.col("p_partkey").alias("b_id"), F.col("p_name").alias("text")))
 
 
-@query("long_text_filters", "SELECT passage_id FROM passages WHERE length(text_raw) > 40 AND regexp_matches(hadith_num, '^[0-9]+$') AND seq BETWEEN 100 AND 5000")
+@query("long_text_filters", "SELECT passage_id FROM passages WHERE length(text_raw) > 40 AND regexp_matches(unit_num, '^[0-9]+$') AND seq BETWEEN 100 AND 5000")
 def _(t):
-    return t.passages.where((F.length("text_raw") > 40) & F.col("hadith_num").rlike("^[0-9]+$") & F.col("seq").between(100, 5000)).select("passage_id")
+    return t.passages.where((F.length("text_raw") > 40) & F.col("unit_num").rlike("^[0-9]+$") & F.col("seq").between(100, 5000)).select("passage_id")
 
 
 #: Vectors of a block of queries or of the corpus, about, and queries that are scored at once.

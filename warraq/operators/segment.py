@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +23,9 @@ def toc_nodes(pages: DataFrame) -> DataFrame:
 
     What is open is the last node of a kind since the last of a wider kind: windows, no loop."""
     heads = heading_lines(pages).select("edition_id", "seq", "passage_id", "line_no", "kind", F.left("title", F.lit(200)).alias("title"))
-    reading = Window.partitionBy("edition_id").orderBy("seq", "line_no")
+    reading = Window.partitionBy("edition_id").orderBy("seq", "line_no")  # one exchange and one sort for both steps
     nodes = heads.withColumn("ord", F.row_number().over(reading))
-    before = Window.partitionBy("edition_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = reading.rowsBetween(Window.unboundedPreceding, -1)
     of = lambda k: F.last(F.when(F.col("kind") == k, F.col("ord")), ignorenulls=True).over(before)
     nodes = nodes.withColumns({"one": of(1), "two": of(2)})
     nodes = nodes.withColumn("two", F.when(F.coalesce("two", F.lit(0)) > F.coalesce("one", F.lit(0)), F.col("two")))
@@ -63,46 +60,75 @@ def nested_toc(entries: DataFrame) -> DataFrame:
     return entries.withColumn("parent_ord", parent)
 
 
-NUMBER = re.compile(r"\s*([0-9٠-٩]+)\s*[-–—]\s*(?:\(\s*([0-9٠-٩]+)\s*\))?")
-REPEAT = re.compile(r"\s*\(\s*([0-9٠-٩]+)\s*\)\s*\S")
-_LATIN = str.maketrans("٠١٢٣٤٥٦٧٨٩", "0123456789")
+# A number that opens a unit, with the number in the whole work, and one that may repeat it.
+NUMBER = r"^\s*([0-9٠-٩]+)\s*[-–—]\s*(?:\(\s*([0-9٠-٩]+)\s*\))?"
+REPEAT = r"^\s*\(\s*([0-9٠-٩]+)\s*\)\s*\S"
 NEAR = 20
-UNIT = "edition_id int, hadith_seq int, hadith_num string, start_passage_id long, start_off int, end_passage_id long, end_off int, local_num string, repeat boolean"
-
-
-def _units(lines: pd.DataFrame) -> pd.DataFrame:
-    """Units of one edition from its candidate lines in order; the gate looks at accepted numbers, so it is a scan."""
-    out, open_, last = [], None, None
-    edition = lines["edition_id"].iloc[0]
-    for row in lines.sort_values(["seq", "line_no"]).itertuples():
-        found = None
-        if m := NUMBER.match(row.line):
-            local, whole = (int(g.translate(_LATIN)) if g else None for g in m.groups())
-            found = (whole if whole is not None else local, str(local) if whole is not None else None, False)
-        elif (m := REPEAT.match(row.line)) and last is not None and abs(int(m[1].translate(_LATIN)) - last) <= NEAR:
-            found = (int(m[1].translate(_LATIN)), None, True)
-        if open_ and (found or row.heading or row.last):
-            off = row.start if found or row.heading else row.page_end
-            out.append((*open_[:4], row.passage_id, off, *open_[4:]))
-            open_ = None
-        if found:
-            last = found[0]
-            open_ = (edition, str(found[0]), row.passage_id, row.start, found[1], found[2])
-            if row.last:
-                out.append((*open_[:4], row.passage_id, row.page_end, *open_[4:]))
-                open_ = None
-    return pd.DataFrame([(e, i, n, p, s, q, f, k, r) for i, (e, n, p, s, q, f, k, r) in enumerate(out, 1)], columns=[c.split()[0] for c in UNIT.split(", ")])
+UNIT = "edition_id int, unit_seq int, unit_num string, start_passage_id long, start_off int, end_passage_id long, end_off int, local_num string, repeat boolean"
+
+
+def number_in(line: F.Column, pattern: str, group: int) -> F.Column:
+    digits = F.translate(F.regexp_extract(line, pattern, group), "٠١٢٣٤٥٦٧٨٩", "0123456789")
+    return F.try_to_number(F.when(F.length(digits).between(1, 18), digits), F.lit("9" * 18)).cast("long")
+
+
+def streamed(scan, schema: str):
+    """``scan`` (a generator function of all rows, as tuples) over a task's batches: it holds only what it keeps itself."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    types = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        held = []
+        for out in scan(rows):
+            held.append(out)
+            if len(held) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), types)], schema=types)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), types)], schema=types)
+
+    return run
+
+
+def _units(rows):
+    """Units from the candidate lines of editions, in order; the gate looks at accepted numbers, so it is a
+    scan, and it holds the open unit and the last number."""
+    edition = opened = last = None
+    n = 0
+    for of, passage, local, whole, again, start, heading, page_end, final in rows:
+        if of != edition:
+            edition, opened, last, n = of, None, None, 0
+        number, repeat = (local if whole is None else whole), False
+        if number is None and again is not None and last is not None and abs(again - last) <= NEAR:
+            number, repeat = again, True
+        if opened and (number is not None or heading or final):
+            n += 1
+            yield (edition, n, *opened[:3], passage, page_end if final else start, *opened[3:])
+            opened = None
+        if number is not None:
+            last = number
+            opened = (str(number), passage, start, str(local) if whole is not None else None, repeat)
 
 
 def segment_units_pages(pages: DataFrame) -> DataFrame:
-    """Units across the pages of an edition.  Only lines that can open or close a unit, and the last
-    line, go to the scan; a group is an edition's candidate lines, not its text."""
-    lines = lines_of(pages.withColumn("page_end", F.length("text_raw"))).withColumn("heading", heading_classify(F.col("line")).isNotNull())
-    final = Window.partitionBy("edition_id")
-    lines = lines.withColumn("last", F.struct("seq", "line_no") == F.max(F.struct("seq", "line_no")).over(final))
+    """Units across the pages of an edition.
+
+    Only lines that can open or close a unit go to the scan, as numbers and places without their
+    text, and a row for the end of each edition's last page; they are sorted by edition and stream
+    through a task, however many an edition has."""
+    lines = lines_of(pages.select("edition_id", "seq", "passage_id", "text_raw"))
     able = F.col("line").rlike(r"^\s*[0-9٠-٩]+\s*[-–—]|^\s*\(\s*[0-9٠-٩]+\s*\)\s*\S")
-    kept = lines.where(able | F.col("heading") | F.col("last")).select("edition_id", "seq", "line_no", "passage_id", F.left("line", F.lit(60)).alias("line"), "start", "heading", "last", "page_end")
-    return kept.groupBy("edition_id").applyInPandas(_units, UNIT)
+    kept = lines.withColumn("heading", heading_classify(F.col("line")).isNotNull()).where(able | F.col("heading"))
+    none = F.lit(None).cast("long")
+    marks = kept.select("edition_id", "seq", "line_no", "passage_id", number_in(F.col("line"), NUMBER, 1).alias("local"), number_in(F.col("line"), NUMBER, 2).alias("whole"), number_in(F.col("line"), REPEAT, 1).alias("again"), "start", "heading", F.lit(0).alias("page_end"), F.lit(False).alias("final"))
+    last = pages.groupBy("edition_id").agg(F.max(F.struct("seq", "passage_id", F.length("text_raw").alias("page_end"))).alias("x"))
+    ends = last.select("edition_id", "x.seq", F.lit(2**31 - 1).alias("line_no"), "x.passage_id", none.alias("local"), none.alias("whole"), none.alias("again"), F.lit(0).alias("start"), F.lit(False).alias("heading"), "x.page_end", F.lit(True).alias("final"))
+    rows = marks.unionByName(ends).repartition("edition_id").sortWithinPartitions("edition_id", "seq", "line_no").drop("seq", "line_no")
+    return rows.mapInArrow(streamed(_units, UNIT), UNIT)
 
 
 OPENER = r"^(حدثنا|حدثني|اخبرنا|اخبرني|انبانا|سمعت|عن|قال\s+رسول|وحدثنا|وحدثني|واخبرنا|واخبرني)(\s|$)"
@@ -128,23 +154,35 @@ def sanad_end_from_spans(units: DataFrame, annotations: DataFrame) -> DataFrame:
     inside = F.filter("spans", lambda s: (s["end"] > F.col("start_off")) & (limit.isNull() | (s["start"] < limit)))
     isnad = F.array_min(F.transform(F.filter(inside, lambda s: s["label"] == "ISNAD"), lambda s: s["start"]))
     matn = F.array_min(F.transform(F.filter(inside, lambda s: (s["label"] == "MATN") & (s["start"] > F.col("start_off")) & (s["start"] > isnad)), lambda s: s["start"]))
-    return rows.select("edition_id", "hadith_seq", matn.alias("sanad_end_off"))
+    return rows.select("edition_id", "unit_seq", matn.alias("sanad_end_off"))
+
 
+ACCEPTED = "edition_id int, seq long, number int, until int, accepted boolean"
 
-def _accepted(rows: pd.DataFrame) -> pd.DataFrame:
-    out, last = [], 0
-    for row in rows.sort_values("seq").itertuples():
-        numbers = [int(n) for n in row.numbers]
-        good = numbers[0] == last + 1 and numbers == list(range(numbers[0], numbers[-1] + 1)) and (last > 0 or row.opens)
+
+def _accepted(rows):
+    edition, last = None, 0
+    for of, seq, numbers, opens in rows:
+        if of != edition:
+            edition, last = of, 0
+        good = bool(numbers) and numbers[0] == last + 1 and numbers == list(range(numbers[0], numbers[0] + len(numbers))) and bool(last > 0 or opens)
         if good:
             last = numbers[-1]
-        out.append((row.edition_id, row.seq, numbers[0], good))
-    return pd.DataFrame(out, columns=["edition_id", "seq", "number", "accepted"])
+        yield (of, seq, numbers[0] if numbers else None, numbers[-1] if numbers else None, good)
 
 
 def accept_sequence(heads: DataFrame) -> DataFrame:
-    """Numbers (edition_id, seq, numbers, opens) accepted only in turn, the first only where a chain opens it."""
-    return heads.groupBy("edition_id").applyInPandas(_accepted, "edition_id int, seq long, number int, accepted boolean")
+    """Heads (edition_id, seq, numbers, opens): numbers, one or a run of several, are accepted only in turn,
+    the first only where a chain opens it.  Heads stream through a task in order, which holds the last number."""
+    rows = heads.select("edition_id", F.col("seq").cast("long").alias("seq"), "numbers", "opens").repartition("edition_id").sortWithinPartitions("edition_id", "seq")
+    return rows.mapInArrow(streamed(_accepted, ACCEPTED), ACCEPTED)
+
+
+def missing_numbers(accepted: DataFrame, known: DataFrame) -> DataFrame:
+    """The numbers (edition_id, number) from 1 to the largest of ``known`` (edition_id, number) that no accepted head (number, until) has."""
+    wanted = known.groupBy("edition_id").agg(F.max("number").alias("n")).select("edition_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("number"))
+    has = accepted.where("accepted").select("edition_id", F.explode(F.sequence("number", "until")).alias("number")).distinct()
+    return wanted.join(has, ["edition_id", "number"], "left_anti")
 
 
 def spans_of_units(units: DataFrame) -> DataFrame:
@@ -175,10 +213,10 @@ def _(t):
     return nested_toc(heads.select("edition_id", F.row_number().over(Window.partitionBy("edition_id").orderBy("seq", "line_no")).alias("ord"), "level"))
 
 
-@query("segment_units_pages", "SELECT edition_id, row_number() OVER (PARTITION BY edition_id ORDER BY seq)::INT AS hadith_seq, CAST(passage_id % 3000 + 1 AS VARCHAR) AS hadith_num, passage_id AS start_passage_id FROM passages")
+@query("segment_units_pages", "SELECT edition_id, row_number() OVER (PARTITION BY edition_id ORDER BY seq)::INT AS unit_seq, CAST(passage_id % 3000 + 1 AS VARCHAR) AS unit_num, passage_id AS start_passage_id FROM passages")
 def _(t):
     units = segment_units_pages(synthetic_pages(t))
-    return units.where(~F.coalesce("repeat", F.lit(False))).select("edition_id", F.row_number().over(Window.partitionBy("edition_id").orderBy("hadith_seq")).alias("hadith_seq"), "hadith_num", "start_passage_id")
+    return units.where(~F.coalesce("repeat", F.lit(False))).select("edition_id", F.row_number().over(Window.partitionBy("edition_id").orderBy("unit_seq")).alias("unit_seq"), "unit_num", "start_passage_id")
 
 
 @query("segment_units_flat")
@@ -194,11 +232,14 @@ def _(t):
 
 @query("accept_sequence")
 def _(t):
-    heads = t.passages.select("edition_id", F.col("seq").cast("long").alias("seq"), F.array((F.col("passage_id") % 40 + 1).cast("int")).alias("numbers"), F.col("text_norm").rlike("^(حدثنا|حدثني|اخبرنا)").alias("opens"))
+    """Heads of one number, and of a run of two where the page says so."""
+    k = (F.col("passage_id") % 40 + 1).cast("int")
+    heads = t.passages.select("edition_id", "seq", F.when(F.col("passage_id") % 3 == 0, F.array(k, k + 1)).otherwise(F.array(k)).alias("numbers"), F.col("text_norm").rlike("^(حدثنا|حدثني|اخبرنا)").alias("opens"))
     return accept_sequence(heads)
 
 
-@query("missing_numbers", "SELECT e.edition_id, n.n::INT AS number FROM (SELECT DISTINCT edition_id FROM passages) e, generate_series(1, 400) n(n) WHERE NOT EXISTS (SELECT 1 FROM passages p WHERE p.edition_id = e.edition_id AND p.passage_id % 3000 + 1 = n.n)")
+@query("missing_numbers", "WITH k AS (SELECT edition_id, (passage_id % 3000 + 1)::INT AS number FROM passages) SELECT e.edition_id, n.n::INT AS number FROM (SELECT edition_id, max(number) AS m FROM k GROUP BY 1) e, generate_series(1, m) n(n) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.edition_id = e.edition_id AND k.number = n.n)")
 def _(t):
-    wanted = t.passages.select("edition_id").distinct().withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(400))))
-    return wanted.join(t.passages.select("edition_id", (F.col("passage_id") % 3000 + 1).cast("int").alias("number")), ["edition_id", "number"], "left_anti")
+    number = (F.col("passage_id") % 3000 + 1).cast("int")
+    rows = t.passages.select("edition_id", number.alias("number"), number.alias("until"), F.lit(True).alias("accepted"))
+    return missing_numbers(rows, rows.select("edition_id", "number"))

@@ -31,8 +31,8 @@ def _(t):
     from warraq.functions.arabic import normalize_arabic
 
     text = normalize_arabic(F.substring(F.col("text_raw"), F.col("start_off") + 1, F.lit(800)))
-    rows = placed.select(F.col("start_passage_id").alias("passage_id"), "edition_id", "hadith_seq", "work_id", F.col("hadith_num").alias("num"), text.alias("text_norm"))
+    rows = placed.select(F.col("start_passage_id").alias("passage_id"), "edition_id", "unit_seq", "work_id", F.col("unit_num").alias("num"), text.alias("text_norm"))
     rows = rows.withColumn("num", (F.col("num").cast("int") % 200).cast("string"))
     a, b = rows.where("edition_id % 2 = 0"), rows.where("edition_id % 2 = 1")
-    crossed = joins.crosswalk_units(a, b.select(F.col("passage_id").alias("unit_id"), "hadith_seq", "work_id", "num", F.col("text_norm").alias("unit_text")))
+    crossed = joins.crosswalk_units(a, b.select(F.col("passage_id").alias("unit_id"), "unit_seq", "work_id", "num", F.col("text_norm").alias("unit_text")))
     return crossed.agg(F.count("*").alias("matched"), F.round(F.avg("confidence"), 4).alias("confidence"), F.countDistinct("num").alias("numbers"))

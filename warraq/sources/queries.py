@@ -2,38 +2,47 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from warraq.operators.analytics import JOBS, jobs
 from warraq.registry import query
 from warraq.sources import corpus as C
 from warraq.sources import sinks as S
+from warraq.sources.folders import fresh_folder
 
 
-@query("src_corpus_tables", "SELECT passage_id, edition_id AS book_id, row_number() OVER (PARTITION BY edition_id ORDER BY passage_id)::INT AS main_id FROM passages")
+@query("src_corpus_tables", "SELECT passage_id AS main_id, edition_id AS book_id, unit_num, concat(part, '/', page) AS part_page, lag(passage_id) OVER w AS prev_id, lead(passage_id) OVER w AS next_id FROM passages WINDOW w AS (PARTITION BY edition_id ORDER BY passage_id)")
 def _(t):
-    from pyspark.sql import Window
+    """The passages written as a source table, and read back by the reader."""
+    order = Window.partitionBy("edition_id").orderBy("passage_id")
+    rows = t.passages.select(
+        F.col("edition_id").alias("book_id"), F.col("passage_id").alias("main_id"), F.lit(None).cast("string").alias("html"), F.col("text_raw").alias("text_plain"), F.col("unit_num").alias(C.UNIT_NUMBER),
+        F.concat_ws("/", "part", "page").alias("part_page"), F.lag("passage_id").over(order).alias("prev_id"), F.lead("passage_id").over(order).alias("next_id"),
+    )
+    path = fresh_folder(t.spark, "source")
+    rows.write.parquet(f"{path}/matn.parquet")
+    return C.read_source(t.spark, "units", "matn", path=path).select("main_id", "book_id", F.col(C.UNIT_NUMBER).alias("unit_num"), "part_page", "prev_id", "next_id")
 
-    return t.passages.select("passage_id", F.col("edition_id").alias("book_id"), F.row_number().over(Window.partitionBy("edition_id").orderBy("passage_id")).alias("main_id"))
 
-
-@query("src_archive_pages", "SELECT slug AS source_page_id, section, row_number() OVER (PARTITION BY section ORDER BY ord, slug)::INT - 1 AS seq FROM (SELECT url AS slug, regexp_extract(url, 'com/([a-z]+)/', 1) AS section, page_id % 7 AS ord FROM pages)")
+@query("src_archive_pages", "SELECT row_number() OVER (ORDER BY page_id % 7, url)::BIGINT - 1 AS seq, 'page' AS kind, html AS text_raw, html, url AS slug, regexp_extract(url, 'com/([a-z]+)/', 1) AS section FROM pages")
 def _(t):
-    pages = t.pages.select(F.col("url").alias("slug"), "url", F.regexp_extract("url", "com/([a-z]+)/", 1).alias("section"), (F.col("page_id") % 7).alias("ord"), F.lit("t").alias("title"))
-    return C.archive_passages(pages, 1).select("source_page_id", "section", "seq")
+    pages = t.pages.select(F.col("url").alias("slug"), "url", F.regexp_extract("url", "com/([a-z]+)/", 1).alias("section"), (F.col("page_id") % 7).alias("ord"), F.lit("t").alias("title"), F.col("html").alias("text"), "html")
+    return C.archive_passages(pages, 1).select("seq", "kind", "text_raw", "html", F.get_json_object("meta", "$.slug").alias("slug"), F.get_json_object("meta", "$.section").alias("section"))
 
 
 @query("src_broken_csv", "SELECT CAST(doc_id AS VARCHAR) AS id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS segments FROM documents")
 def _(t):
+    """The documents written as broken records, a line each, and read back by the reader."""
     quoted = F.concat(F.lit('"'), F.replace(F.translate("text", "\n", "\r"), F.lit('"'), F.lit('""')), F.lit('"'))
     lines = t.documents.select(F.concat_ws(",", F.col("doc_id") % 9, "doc_id", quoted, F.lit("1"), F.lit("2")).alias("value"))
-    return C.repaired_csv(lines).select("id", F.size("segments").cast("long").alias("segments"))
+    path = fresh_folder(t.spark, "broken")
+    lines.unionByName(t.spark.createDataFrame([("hno,id,nass,page,part",)], "value string")).write.text(path)
+    return C.read_broken_csv(t.spark, path).select("id", F.size("segments").cast("long").alias("segments"))
 
 
 @query("sink_csv_roundtrip", "SELECT count(*) AS n_rows, 0 AS lost, 0 AS made FROM documents")
 def _(t):
-    from warraq.sources.folders import fresh_folder
-
     path, rows = fresh_folder(t.spark, "csv"), t.documents.select("doc_id", "lang", "text")
     C.write_csv(rows, path)
     back = C.read_csv(t.spark, path, rows.schema)
@@ -44,16 +53,12 @@ def _(t):
 @query("sink_jsonl_split", "SELECT CASE WHEN m < 90 THEN 'train' WHEN m < 95 THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM (SELECT ((('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT % 100) * 16 + ('0x' || substr(md5(doc_id::VARCHAR), 17, 16))::UBIGINT % 100) % 100 AS m FROM documents) GROUP BY 1")
 def _(t):
     from warraq.functions.text import hash_split
-    from warraq.sources.folders import fresh_folder
-
     rows = t.documents.select("text", hash_split(F.col("doc_id").cast("string")).alias("split"))
     return C.write_jsonl_split(rows, fresh_folder(t.spark, "jsonl"))
 
 
 @query("sink_replace_by_edition", "SELECT edition_id, count(*) * CASE WHEN edition_id < 10 THEN 1 ELSE 1 END AS n, max(CASE WHEN edition_id < 10 THEN 'new' ELSE 'old' END) AS version FROM passages GROUP BY 1")
 def _(t):
-    from warraq.sources.folders import fresh_folder
-
     path = fresh_folder(t.spark, "passages")
     rows = t.passages.select("passage_id", "edition_id")
     S.replace_by_edition(rows.withColumn("version", F.lit("old")), path)
@@ -106,9 +111,9 @@ def _(t):
     return jobs(t).orderBy(F.desc("passage_id")).limit(5).select("passage_id", "status")
 
 
-@query("sync_by_natural_key", "SELECT e.edition_id IS NOT NULL AS mapped, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'other' ELSE 'sunna' END AS source, o_custkey % 30 AS book FROM orders) s LEFT JOIN editions e ON e.source = s.source AND e.source_book_id = s.book GROUP BY 1")
+@query("sync_by_natural_key", "SELECT e.edition_id IS NOT NULL AS mapped, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'other' ELSE 'units' END AS source, o_custkey % 30 AS book FROM orders) s LEFT JOIN editions e ON e.source = s.source AND e.source_book_id = s.book GROUP BY 1")
 def _(t):
-    staged = t.orders.select(F.when(F.col("o_orderkey") % 9 == 0, "other").otherwise("sunna").alias("source"), (F.col("o_custkey") % 30).cast("int").alias("source_book_id"))
+    staged = t.orders.select(F.when(F.col("o_orderkey") % 9 == 0, "other").otherwise("units").alias("source"), (F.col("o_custkey") % 30).cast("int").alias("source_book_id"))
     found = staged.join(t.editions.select("source", "source_book_id", "edition_id"), ["source", "source_book_id"], "left")
     return found.groupBy(F.col("edition_id").isNotNull().alias("mapped")).agg(F.count("*").alias("n"))
 
