@@ -62,6 +62,8 @@ def views(duckdb: bool) -> dict[str, str]:
             CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE CAST(30 + s_suppkey % 270 AS INT) END AS death_year_h,
             {array("concat('place', CAST(s_nationkey AS VARCHAR(9)))", "concat('place', CAST(s_suppkey % 7 AS VARCHAR(9)))")} AS places,
             {pick('s_suppkey % 8', 'ثقة ثبت', 'ثقة', 'صدوق يهم', 'صدوق', 'مقبول', 'ضعيف', 'متروك', None)} AS rijal_grade FROM {{supplier}}""",
+        "aliases": f"""SELECT s_suppkey AS narrator_id, concat({pick('s_suppkey % 12', *NAMES)}, ' ابن ', {pick('floor(s_suppkey / 12) % 10', *FATHERS)}) AS alias_norm FROM {{supplier}}
+            UNION ALL SELECT s_suppkey, concat('ابو ', {pick('s_suppkey % 12', *NAMES)}) FROM {{supplier}} WHERE s_suppkey % 3 = 0""",
         "links": f"""SELECT l_orderkey AS chain_id, l_linenumber AS pos, CASE WHEN min(l_suppkey) % 17 = 0 THEN NULL ELSE min(l_suppkey) END AS narrator_id,
             {pick("CASE min(l_returnflag) WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END", *VERBS)} AS verb, {name('min(l_suppkey)')} AS mention_ar, {name('min(l_suppkey)')} AS mention_norm
             FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber""",
@@ -138,6 +140,8 @@ class Tables:
             return make()
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _persisted:
+            for old in _persisted.values():
+                old.unpersist()
             _persisted.clear()
             _persisted[key] = make().persist()
         return _persisted[key]

@@ -30,7 +30,7 @@ def labelled_counts(**frames: DataFrame) -> DataFrame:
 
 @query("corpus_totals", "SELECT (SELECT count(*) FROM passages) AS passages, (SELECT count(*) FROM passages WHERE kind = 'unit') AS units, (SELECT count(*) FROM chains) AS chains, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM links WHERE narrator_id IS NOT NULL) AS resolved, (SELECT count(*) FROM narrators) AS narrators, (SELECT count(*) FROM grades) AS graded")
 def _(t):
-    return totals(passages=t.orders, units=t.passages.where("kind = 'unit'"), chains=t.chains, links=t.links, resolved=t.links.where(resolved), narrators=t.narrators, graded=t.grades)
+    return totals(passages=t.passages, units=t.passages.where("kind = 'unit'"), chains=t.chains, links=t.links, resolved=t.links.where(resolved), narrators=t.narrators, graded=t.grades)
 
 
 def overview_by_book(editions, passages, chains, grades) -> DataFrame:
@@ -76,13 +76,30 @@ def _(t):
     return t.narrators.groupBy("generation").agg(count("*").alias("n"), usual.alias("usual_grade"))
 
 
+def counted_pairs(rows: DataFrame, key: str, of: str, name: str) -> DataFrame:
+    """The number of different ``of`` of each ``key``, by two aggregations with partial results instead of one that expands."""
+    return rows.select(key, of).distinct().groupBy(key).agg(F.count("*").alias(name))
+
+
 def per_narrator(links, chains, passages) -> DataFrame:
-    """Mentions, chains, passages and editions per narrator: pre-aggregated once, then counted."""
+    """Mentions, chains, passages and editions per narrator: rows are one for each (narrator, chain), so
+    chains are their number, and passages and editions are counted from what is left of them."""
     rows = links.where(resolved).groupBy("narrator_id", "chain_id").agg(F.count("*").alias("k")).join(chains.select("chain_id", "passage_id"), "chain_id").join(passages.select("passage_id", "edition_id"), "passage_id")
-    return rows.groupBy("narrator_id").agg(F.sum("k").alias("mentions"), distinct("chain_id").alias("chains"), distinct("edition_id").alias("editions"))
+    each = rows.groupBy("narrator_id", "edition_id", "passage_id").agg(F.sum("k").alias("k"), F.count("*").alias("c"))
+    books = each.groupBy("narrator_id", "edition_id").agg(F.sum("k").alias("k"), F.sum("c").alias("c"), F.count("*").alias("p"))
+    return books.groupBy("narrator_id").agg(F.sum("k").alias("mentions"), F.sum("c").alias("chains"), F.sum("p").alias("passages"), F.count("*").alias("editions"))
+
 
+def top_books(links, chains, passages, editions, works, n: int = 5) -> DataFrame:
+    """The ``n`` works (narrator_id, title_ar, passages) with most passages of each narrator."""
+    rows = links.where(resolved).select("narrator_id", "chain_id").distinct().join(chains.select("chain_id", "passage_id"), "chain_id").select("narrator_id", "passage_id").distinct()
+    books = editions.select("edition_id", "work_id").join(works.select("work_id", "title_ar"), "work_id").select("edition_id", "title_ar")
+    counted = rows.join(passages.select("passage_id", "edition_id"), "passage_id").groupBy("narrator_id", "edition_id").agg(count("*").alias("k")).join(books, "edition_id").groupBy("narrator_id", "title_ar").agg(F.sum("k").alias("passages"))
+    best = Window.partitionBy("narrator_id").orderBy(F.desc("passages"), "title_ar")
+    return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
-PER_NARRATOR = "SELECT narrator_id, count(*) AS mentions, count(DISTINCT chain_id) AS chains, count(DISTINCT edition_id) AS editions FROM links JOIN chains USING (chain_id) JOIN passages USING (passage_id) WHERE narrator_id IS NOT NULL GROUP BY 1"
+
+PER_NARRATOR = "SELECT narrator_id, count(*) AS mentions, count(DISTINCT chain_id) AS chains, count(DISTINCT passage_id) AS passages, count(DISTINCT edition_id) AS editions FROM links JOIN chains USING (chain_id) JOIN passages USING (passage_id) WHERE narrator_id IS NOT NULL GROUP BY 1"
 
 
 @query("top_narrators", f"SELECT * FROM ({PER_NARRATOR}) ORDER BY mentions DESC, narrator_id LIMIT 25")
@@ -163,22 +180,24 @@ def _(t):
     return t.dates.groupBy("basis").agg(count("*").alias("n"), distinct("event_key").alias("events"), distinct("companion_key").alias("companions"))
 
 
-@query("directory_stats", "SELECT n.narrator_id, coalesce(mentions, 0) AS mentions, coalesce(chains, 0) AS chains FROM narrators n LEFT JOIN (SELECT narrator_id, count(*) AS mentions, count(DISTINCT chain_id) AS chains FROM links GROUP BY 1) USING (narrator_id)")
+@query("directory_stats", "SELECT n.narrator_id, coalesce(mentions, 0) AS mentions, coalesce(chains, 0) AS chains, coalesce(books, 0) AS books FROM narrators n LEFT JOIN (SELECT narrator_id, count(*) AS mentions, count(DISTINCT chain_id) AS chains FROM links GROUP BY 1) USING (narrator_id) LEFT JOIN (SELECT narrator_id, count(DISTINCT edition_id) AS books FROM links JOIN chains USING (chain_id) JOIN passages USING (passage_id) GROUP BY 1) USING (narrator_id)")
 def _(t):
-    stats = t.links.where(resolved).groupBy("narrator_id").agg(count("*").alias("mentions"), distinct("chain_id").alias("chains"))
-    return t.narrators.select("narrator_id").join(stats, "narrator_id", "left").fillna(0, ["mentions", "chains"])
+    stats = per_narrator(t.links, t.chains, t.passages).select("narrator_id", "mentions", "chains", F.col("editions").alias("books"))
+    return t.narrators.select("narrator_id").join(stats, "narrator_id", "left").fillna(0, ["mentions", "chains", "books"])
 
 
-@query("directory_facets", "SELECT 'generation' AS facet, generation AS key, count(*) AS n FROM narrators GROUP BY 2 UNION ALL (SELECT 'grade', rijal_grade, count(*) AS n FROM narrators WHERE rijal_grade IS NOT NULL GROUP BY 2 ORDER BY n DESC, 2 LIMIT 20) UNION ALL (SELECT 'place', place, count(*) AS n FROM (SELECT unnest(places) AS place FROM narrators) GROUP BY 2 ORDER BY n DESC, 2 LIMIT 30)")
+@query("directory_facets", "SELECT 'generation' AS facet, generation AS key, count(*) AS n FROM narrators GROUP BY 2 UNION ALL (SELECT 'grade', rijal_grade, count(*) AS n FROM narrators WHERE rijal_grade IS NOT NULL GROUP BY 2 ORDER BY n DESC, 2 LIMIT 20) UNION ALL (SELECT 'place', place, count(*) AS n FROM (SELECT unnest(places) AS place FROM narrators) GROUP BY 2 ORDER BY n DESC, 2 LIMIT 30) UNION ALL SELECT 'book', w.title_ar, e.edition_id FROM editions e JOIN works w USING (work_id) WHERE EXISTS (SELECT 1 FROM passages p JOIN chains c USING (passage_id) WHERE p.edition_id = e.edition_id)")
 def _(t):
     facet = lambda name, df: df.select(F.lit(name).alias("facet"), "key", "n")
     by = lambda col, df: df.groupBy(col.alias("key")).agg(count("*").alias("n"))
     grades = by(F.col("rijal_grade"), t.narrators.where("rijal_grade is not null")).orderBy(F.desc("n"), "key").limit(20)
     places = by(F.col("place"), t.narrators.select(F.explode("places").alias("place"))).orderBy(F.desc("n"), "key").limit(30)
-    return facet("generation", by(F.col("generation"), t.narrators)).unionByName(facet("grade", grades)).unionByName(facet("place", places))
+    held = t.passages.join(t.chains.select("passage_id"), "passage_id", "left_semi").select("edition_id").distinct()
+    books = t.editions.join(held, "edition_id", "left_semi").select("edition_id", "work_id").join(t.works.select("work_id", F.col("title_ar").alias("key")), "work_id").select("key", F.col("edition_id").cast("long").alias("n"))
+    return facet("generation", by(F.col("generation"), t.narrators)).unionByName(facet("grade", grades)).unionByName(facet("place", places)).unionByName(facet("book", books))
 
 
-@query("narrator_profile_stats", "WITH l AS (SELECT * FROM links JOIN chains USING (chain_id) JOIN passages p USING (passage_id) WHERE narrator_id IS NOT NULL), w AS (SELECT chain_id, pos, narrator_id AS s, lead(pos) OVER v AS np, lead(narrator_id) OVER v AS te FROM links WINDOW v AS (PARTITION BY chain_id ORDER BY pos)), e AS (SELECT * FROM w WHERE np = pos + 1 AND s IS NOT NULL AND te IS NOT NULL AND s <> te) SELECT narrator_id, count(*) AS mentions, count(DISTINCT chain_id) AS chains, count(DISTINCT edition_id) AS editions, (SELECT count(DISTINCT te) FROM e WHERE s = narrator_id) AS teachers, (SELECT count(DISTINCT s) FROM e WHERE te = narrator_id) AS students FROM l GROUP BY 1")
+@query("narrator_profile_stats", "WITH l AS (SELECT * FROM links JOIN chains USING (chain_id) JOIN passages p USING (passage_id) WHERE narrator_id IS NOT NULL), w AS (SELECT chain_id, pos, narrator_id AS s, lead(pos) OVER v AS np, lead(narrator_id) OVER v AS te FROM links WINDOW v AS (PARTITION BY chain_id ORDER BY pos)), e AS (SELECT * FROM w WHERE np = pos + 1 AND s IS NOT NULL AND te IS NOT NULL AND s <> te) SELECT narrator_id, count(*) AS mentions, count(DISTINCT chain_id) AS chains, count(DISTINCT passage_id) AS passages, count(DISTINCT edition_id) AS editions, (SELECT count(DISTINCT te) FROM e WHERE s = narrator_id) AS teachers, (SELECT count(DISTINCT s) FROM e WHERE te = narrator_id) AS students FROM l GROUP BY 1")
 def _(t):
     from warraq.operators.graph import consecutive_pairs
 
@@ -188,6 +207,11 @@ def _(t):
     return per_narrator(t.links, t.chains, t.passages).join(teachers, "narrator_id", "left").join(students, "narrator_id", "left").fillna(0, ["teachers", "students"])
 
 
+@query("narrator_top_books", "WITH c AS (SELECT narrator_id, w.title_ar, count(DISTINCT passage_id) AS passages FROM links JOIN chains USING (chain_id) JOIN passages p USING (passage_id) JOIN editions e USING (edition_id) JOIN works w ON w.work_id = e.work_id WHERE narrator_id IS NOT NULL GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY narrator_id ORDER BY passages DESC, title_ar)::INT AS rank FROM c) WHERE rank <= 5")
+def _(t):
+    return top_books(t.links, t.chains, t.passages, t.editions, t.works)
+
+
 @query("narrator_passages", "SELECT passage_id, min(pos) AS pos FROM links JOIN chains USING (chain_id) WHERE narrator_id = 9 GROUP BY 1 ORDER BY passage_id LIMIT 50 OFFSET 10")
 def _(t):
     first = Window.partitionBy("passage_id").orderBy("pos")
@@ -241,11 +265,11 @@ def jobs(t) -> DataFrame:
     return t.passages.where("passage_id % 7 <> 0").select("passage_id", "edition_id", F.when(k == 0, "failed").when(k == 1, "stale").otherwise("done").alias("status"), F.left(F.sha2(F.when(k == 1, "old").otherwise(F.col("text_raw")), 256), F.lit(16)).alias("content_hash"))
 
 
-@query("embedding_coverage", f"WITH j AS ({JOBS}), a AS (SELECT edition_id, count_if(status = 'done') AS embedded, count_if(status = 'failed') AS failed FROM j GROUP BY 1), b AS (SELECT edition_id, count(*) AS passages, sum(length(text_raw))::BIGINT AS chars FROM passages GROUP BY 1) SELECT edition_id, passages, chars, coalesce(embedded, 0) AS embedded, coalesce(failed, 0) AS failed, round(chars / 2.5 / 1000000 * 0.15, 6) AS usd FROM b LEFT JOIN a USING (edition_id)")
+@query("embedding_coverage", f"WITH j AS ({JOBS}), a AS (SELECT edition_id, count_if(status = 'done') AS embedded, count_if(status = 'failed') AS failed, max(passage_id) AS last_run FROM j GROUP BY 1), b AS (SELECT edition_id, count(*) AS passages, sum(length(text_raw))::BIGINT AS chars FROM passages GROUP BY 1) SELECT edition_id, passages, chars, coalesce(embedded, 0) AS embedded, coalesce(failed, 0) AS failed, last_run, round(chars / 2.5 / 1000000 * 0.15, 6) AS usd FROM b LEFT JOIN a USING (edition_id)")
 def _(t):
     from warraq.functions.text import embedding_cost
 
-    done = jobs(t).groupBy("edition_id").agg(F.count_if(F.col("status") == "done").alias("embedded"), F.count_if(F.col("status") == "failed").alias("failed"))
+    done = jobs(t).groupBy("edition_id").agg(F.count_if(F.col("status") == "done").alias("embedded"), F.count_if(F.col("status") == "failed").alias("failed"), F.max("passage_id").alias("last_run"))
     whole = t.passages.groupBy("edition_id").agg(count("*").alias("passages"), F.sum(F.length("text_raw")).alias("chars"))
     return whole.join(done, "edition_id", "left").fillna(0, ["embedded", "failed"]).withColumn("usd", embedding_cost(F.col("chars")))
 
@@ -263,10 +287,16 @@ def _(t):
     return rows.groupBy("edition_id").agg(count("has").alias("translated"), F.count_if(F.col("status") == "done").alias("authenticated"), F.count_if(F.col("has") & ~F.col("content_hash").eqNullSafe(F.col("now"))).alias("stale"))
 
 
-@query("admin_status", "SELECT source, count(DISTINCT e.edition_id) AS editions, count(passage_id) AS passages FROM editions e LEFT JOIN passages p USING (edition_id) GROUP BY 1")
+NINE = ("works", "editions", "passages", "toc", "subjects", "subject_links", "narrators", "chains", "links")
+
+
+@query("admin_status", " UNION ALL ".join(f"SELECT 'table' AS what, '{x}' AS name, count(*) AS editions, NULL::BIGINT AS passages FROM {x}" for x in NINE) + " UNION ALL SELECT 'source', source, count(DISTINCT e.edition_id), count(passage_id) FROM editions e LEFT JOIN passages p USING (edition_id) GROUP BY 2")
 def _(t):
+    """Rows of nine tables, and editions and passages of each source."""
+    tables = labelled_counts(**{x: getattr(t, x) for x in NINE}).select(F.lit("table").alias("what"), F.col("label").alias("name"), F.col("n").alias("editions"), F.lit(None).cast("long").alias("passages"))
     counted = t.passages.groupBy("edition_id").agg(count("*").alias("k"))
-    return t.editions.join(counted, "edition_id", "left").groupBy("source").agg(count("edition_id").alias("editions"), F.coalesce(F.sum("k"), F.lit(0)).alias("passages"))
+    sources = t.editions.join(counted, "edition_id", "left").groupBy(F.col("source").alias("name")).agg(count("edition_id").alias("editions"), F.coalesce(F.sum("k"), F.lit(0)).alias("passages"))
+    return tables.unionByName(sources.withColumn("what", F.lit("source")))
 
 
 @query("union_counts", "SELECT 'works' AS label, count(*) AS n FROM works UNION ALL SELECT 'editions', count(*) FROM editions UNION ALL SELECT 'passages', count(*) FROM passages UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'subjects', count(*) FROM subjects")
@@ -279,15 +309,25 @@ def _(t):
     return t.subject_links.groupBy("subject_id").agg(count("*").alias("n")).orderBy(F.desc("n"), "subject_id").limit(15)
 
 
-@query("parity", "SELECT 'passages' AS name, (SELECT count(*) FROM orders) AS source, (SELECT count(*) FROM passages) AS target, 'OK' AS status UNION ALL SELECT 'subject_links', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM subject_links), 'OK'")
-def _(t):
-    pairs = {"passages": (t.orders, t.passages, "="), "subject_links": (t.lineitem, t.subject_links, "<=")}
+def parity(pairs: dict) -> DataFrame:
+    """Rows (name, source, target, status): of {name: (source, target, '=' or '<=')} whether the counts agree."""
     parts = []
     for name, (source, target, how) in pairs.items():
         row = totals(source=source, target=target)
         ok = F.col("target") == F.col("source") if how == "=" else F.col("target") <= F.col("source")
         parts.append(row.select(F.lit(name).alias("name"), "source", "target", F.when(ok, "OK").otherwise("DIFF").alias("status")))
-    return parts[0].unionByName(parts[1])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+PARITY = {"passages": ("orders", "passages", "="), "subject_links": ("lineitem", "subject_links", "<="), "chains": ("orders", "chains", "="), "links": ("customer", "links", "<=")}
+
+
+@query("parity", " UNION ALL ".join(f"SELECT name, source, target, CASE WHEN target {how} source THEN 'OK' ELSE 'DIFF' END AS status FROM (SELECT '{name}' AS name, (SELECT count(*) FROM {a}) AS source, (SELECT count(*) FROM {b}) AS target)" for name, (a, b, how) in PARITY.items()))
+def _(t):
+    return parity({name: (getattr(t, a), getattr(t, b), how) for name, (a, b, how) in PARITY.items()})
 
 
 @query("corpus_inventory", "SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM documents GROUP BY 1")
@@ -311,13 +351,17 @@ def _(t):
     return numbers(0).intersect(numbers(2))
 
 
-@query("nl_sql_examples", "SELECT 'units of a book' AS question, title_ar AS key, count(*) AS n FROM passages p JOIN editions e USING (edition_id) WHERE e.title_ar = 'NATION_3' AND kind = 'unit' GROUP BY 2 UNION ALL SELECT 'books by source', source, count(*) FROM editions GROUP BY 2 UNION ALL SELECT 'sahih', 'sahih', count(*) FROM grades WHERE grade_norm = 'sahih' UNION ALL (SELECT 'narrators of a book', n.canonical_ar, count(*) AS n FROM links JOIN chains USING (chain_id) JOIN passages p USING (passage_id) JOIN narrators n ON n.narrator_id = links.narrator_id WHERE p.edition_id = 4 GROUP BY 2 ORDER BY n DESC, 2 LIMIT 5)")
+@query("nl_sql_examples", "SELECT 'units of a book' AS question, title_ar AS key, count(*) AS n FROM passages p JOIN editions e USING (edition_id) WHERE e.title_ar = 'NATION_3' AND kind = 'unit' GROUP BY 2 UNION ALL SELECT 'books by source', source, count(*) FROM editions GROUP BY 2 UNION ALL SELECT 'sahih', 'sahih', count(*) FROM grades WHERE grade_norm = 'sahih' UNION ALL (SELECT 'narrators of a book', n.canonical_ar, count(*) AS n FROM links JOIN chains USING (chain_id) JOIN passages p USING (passage_id) JOIN narrators n ON n.narrator_id = links.narrator_id WHERE p.edition_id = 4 GROUP BY 2 ORDER BY n DESC, 2 LIMIT 5) UNION ALL (SELECT 'subjects', title, count(*) AS n FROM subject_links JOIN subjects USING (subject_id) GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10) UNION ALL SELECT 'of a person', 'alias', count(DISTINCT passage_id) FROM links JOIN chains USING (chain_id) WHERE narrator_id IN (SELECT narrator_id FROM aliases WHERE alias_norm IN ('ابو نافع', 'نافع ابن عمر'))")
 def _(t):
     ask = lambda q, df: df.select(F.lit(q).alias("question"), "key", "n")
     by = lambda df, col: df.groupBy(F.col(col).alias("key")).agg(count("*").alias("n"))
     units = by(t.passages.where("kind = 'unit'").join(t.editions.where("title_ar = 'NATION_3'").select("edition_id", "title_ar"), "edition_id"), "title_ar")
     top = t.links.join(t.chains.select("chain_id", "passage_id"), "chain_id").join(t.passages.where("edition_id = 4").select("passage_id"), "passage_id").join(t.narrators.select("narrator_id", "canonical_ar"), "narrator_id")
-    return ask("units of a book", units).unionByName(ask("books by source", by(t.editions, "source"))).unionByName(ask("sahih", by(t.grades.where("grade_norm = 'sahih'"), "grade_norm"))).unionByName(ask("narrators of a book", by(top, "canonical_ar").orderBy(F.desc("n"), "key").limit(5)))
+    subjects = t.subject_links.join(t.subjects.select("subject_id", "title"), "subject_id")
+    person = t.aliases.where(F.col("alias_norm").isin("ابو نافع", "نافع ابن عمر")).select("narrator_id")
+    told = t.links.join(person, "narrator_id", "left_semi").select("chain_id").distinct().join(t.chains.select("chain_id", "passage_id"), "chain_id").agg(F.countDistinct("passage_id").alias("n")).select(F.lit("alias").alias("key"), "n")
+    more = ask("subjects", by(subjects, "title").orderBy(F.desc("n"), "key").limit(10)).unionByName(ask("of a person", told))
+    return more.unionByName(ask("units of a book", units)).unionByName(ask("books by source", by(t.editions, "source"))).unionByName(ask("sahih", by(t.grades.where("grade_norm = 'sahih'"), "grade_norm"))).unionByName(ask("narrators of a book", by(top, "canonical_ar").orderBy(F.desc("n"), "key").limit(5)))
 
 
 # windows, sorts and pages
@@ -373,12 +417,7 @@ def _(t):
     from warraq.operators.graph import ancestors
 
     placed = t.orders.groupBy((F.col("o_custkey") + 1000).alias("node_id")).agg(F.min("o_orderkey").alias("passage_id"))
-    return ancestors(t.toc, 4).join(placed, "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.min("passage_id").alias("passage_id"))
-
-
-@query("directory_sorts", "SELECT narrator_id, death_year_h FROM narrators ORDER BY death_year_h NULLS LAST, narrator_id LIMIT 60")
-def _(t):
-    return t.narrators.select("narrator_id", "death_year_h").orderBy(F.asc_nulls_last("death_year_h"), "narrator_id").limit(60)
+    return ancestors(t.toc).join(placed, "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.min("passage_id").alias("passage_id"))
 
 
 @query("page", "SELECT passage_id, edition_id FROM passages ORDER BY edition_id, passage_id LIMIT 100 OFFSET 300")

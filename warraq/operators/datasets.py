@@ -30,31 +30,55 @@ def _(t):
     return words.select("passage_id", F.posexplode("w").alias("idx", "x")).select("passage_id", "idx", "x.token", "x.label")
 
 
-@query("ds_tashkeel")
-def ds_tashkeel(t, target: int = 500):
-    windows = t.passages.select("passage_id", "edition_id", F.posexplode(word_windows(strip_junk(F.col("text_raw")))).alias("n", "text"))
-    dense = windows.where(vocalised_window(F.col("text"), letters=20, density=0.02))
-    return dense.orderBy(F.when(F.col("edition_id") % 2 == 1, 0).otherwise(1), "passage_id", "n").limit(target).select("passage_id", "text", hash_split(F.concat_ws(":", "passage_id", "n")).alias("split"))
+def tashkeel_windows(passages: DataFrame, target: int, preferred: F.Column, letters: int = 60, density: float = 0.6) -> DataFrame:
+    """Up to ``target`` well vocalised windows of passages, those of preferred editions first, with their split."""
+    windows = passages.select("passage_id", "edition_id", F.posexplode(word_windows(strip_junk(F.col("text_raw")))).alias("n", "text"))
+    dense = windows.where(vocalised_window(F.col("text"), letters=letters, density=density))
+    return dense.orderBy(F.when(preferred, 0).otherwise(1), "passage_id", "n").limit(target).select("passage_id", "n", "text", hash_split(F.concat_ws(":", "passage_id", "n")).alias("split"))
 
 
-@query("ds_indexing", "SELECT passage_id, 'unit' AS kind, sanad_end_raw FROM passages JOIN chains USING (passage_id) WHERE ord = 0 AND confidence >= 0.9 AND sanad_end_raw > 30 AND length(text_raw) BETWEEN 60 AND 4000 UNION ALL SELECT node_id, 'heading', NULL FROM toc WHERE length(title) BETWEEN 15 AND 200")
+@query("ds_tashkeel")
 def _(t):
-    units = t.chains.where("ord = 0 and confidence >= 0.9 and sanad_end_raw > 30").join(t.passages.where(F.length("text_raw").between(60, 4000)).select("passage_id"), "passage_id", "left_semi")
-    heads = t.toc.where(F.length("title").between(15, 200)).select(F.col("node_id").alias("passage_id"), F.lit("heading").alias("kind"), F.lit(None).cast("int").alias("sanad_end_raw"))
+    """The passages vocalised by rule (a mark after each letter of every second one), at the thresholds of production."""
+    marked = F.when(F.col("passage_id") % 2 == 0, F.regexp_replace("text_raw", "([ء-ي])", "$1َ")).otherwise(F.col("text_raw"))
+    return tashkeel_windows(t.passages.withColumn("text_raw", marked), 500, F.col("edition_id") % 2 == 1)
+
+
+def indexing_rows(passages: DataFrame, chains: DataFrame, toc: DataFrame, least: int = 150, most: int = 4000, target: int | None = None) -> DataFrame:
+    """Units with a sure boundary and headings; with a ``target`` as many units at most, in the order of a hash of the id."""
+    texts = passages.where(F.length("text_raw").between(least, most)).select("passage_id")
+    units = chains.where("ord = 0 and confidence >= 0.9 and sanad_end_raw > 30").join(texts, "passage_id", "left_semi")
+    if target is not None:
+        units = units.orderBy(F.md5(F.col("passage_id").cast("string")), "passage_id").limit(target)
+    heads = toc.where(F.length("title").between(15, 200)).select(F.col("node_id").alias("passage_id"), F.lit("heading").alias("kind"), F.lit(None).cast("int").alias("sanad_end_raw"))
     return units.select("passage_id", F.lit("unit").alias("kind"), "sanad_end_raw").unionByName(heads)
 
 
+@query("ds_indexing", "(SELECT passage_id, 'unit' AS kind, sanad_end_raw FROM passages JOIN chains USING (passage_id) WHERE ord = 0 AND confidence >= 0.9 AND sanad_end_raw > 30 AND length(text_raw) BETWEEN 150 AND 4000 ORDER BY md5(passage_id::VARCHAR), passage_id LIMIT 2000) UNION ALL SELECT node_id, 'heading', NULL FROM toc WHERE length(title) BETWEEN 15 AND 200")
+def _(t):
+    return indexing_rows(t.passages, t.chains, t.toc, target=2000)
+
+
 @query("ds_indexing_labels")
 def _(t):
+    """Labelled words of the units, and of the headings, all of whose words (two or more) are HEADING."""
     words = boundary_rows(t).select("passage_id", labelled_words(F.col("text_raw"), F.col("sanad_end_raw")).alias("w"))
     has = lambda label: F.exists("w", lambda x: x["label"] == label)
-    return words.where((F.size("w") >= 6) & has("ISNAD") & has("MATN")).select("passage_id", F.size("w").alias("n"), F.array_join(F.transform("w", lambda x: F.left(x["label"], F.lit(1))), "").alias("labels"))
+    units = words.where((F.size("w") >= 6) & has("ISNAD") & has("MATN")).select("passage_id", F.lit("unit").alias("kind"), F.size("w").alias("n"), F.array_join(F.transform("w", lambda x: F.left(x["label"], F.lit(1))), "").alias("labels"))
+    heads = t.toc.select(F.col("node_id").alias("passage_id"), F.lit("heading").alias("kind"), F.size(ws_tokenize(F.col("title"))).alias("n")).where("n >= 2")
+    return units.unionByName(heads.withColumn("labels", F.repeat(F.lit("H"), F.col("n"))))
 
 
-@query("ds_pos", "SELECT passage_id, len(string_split(text_norm, ' ')) AS n FROM passages WHERE kind = 'unit' AND length(text_norm) BETWEEN 60 AND 2500 AND len(string_split(text_norm, ' ')) >= 8")
+def pos_rows(passages: DataFrame, tags: DataFrame, least: int = 200, most: int = 2500, words: int = 8) -> DataFrame:
+    """Units (passage_id, tokens, tags) of ``words`` tokens or more, with the tags (passage_id, tags) that an engine gave."""
+    rows = passages.where((F.col("kind") == "unit") & F.length("text_norm").between(least, most)).select("passage_id", F.split("text_norm", " ").alias("tokens"))
+    return rows.where(F.size("tokens") >= words).join(tags, "passage_id")
+
+
+@query("ds_pos", "SELECT passage_id, len(string_split(text_norm, ' ')) AS n, array_to_string(list_transform(string_split(text_norm, ' '), lambda w: substr(w, 1, 1)), '') AS tags FROM passages WHERE kind = 'unit' AND length(text_norm) BETWEEN 200 AND 2500 AND len(string_split(text_norm, ' ')) >= 8")
 def _(t):
-    rows = t.passages.where((F.col("kind") == "unit") & F.length("text_norm").between(60, 2500)).withColumn("n", F.size(F.split("text_norm", " ")).cast("long"))
-    return rows.where("n >= 8").select("passage_id", "n")
+    tags = t.passages.select("passage_id", F.transform(F.split("text_norm", " "), lambda w: F.left(w, F.lit(1))).alias("tags"))
+    return pos_rows(t.passages, tags).select("passage_id", F.size("tokens").cast("long").alias("n"), F.array_join("tags", "").alias("tags"))
 
 
 def annotate_batch(passages: DataFrame, ledger: DataFrame, layer: str, engines: list[tuple[str, Callable[[list[str]], list[str]]]], version: int = 1) -> DataFrame:
@@ -107,10 +131,6 @@ def merge_bio_entities(tokens: DataFrame) -> DataFrame:
     return runs.groupBy("passage_id", "break").agg(F.min("idx").alias("start_token"), F.max("idx").alias("end_token"), F.first("label").alias("label"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]), " ").alias("text")).drop("break")
 
 
-def chat_words(t) -> DataFrame:
-    return t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("passage_id"), "role", F.inline(ws_tokenize(F.substring("text", 1, 400))))
-
-
 @query("merge_spans", "SELECT chain_id AS passage_id, min(pos)::INT AS start, max(pos)::INT + 1 AS \"end\", verb AS label FROM (SELECT *, sum(new) OVER (PARTITION BY chain_id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN verb IS NOT DISTINCT FROM lag(verb) OVER (PARTITION BY chain_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM links)) GROUP BY chain_id, run, verb")
 def _(t):
     return merge_spans(t.links.select(F.col("chain_id").alias("passage_id"), F.col("pos").alias("idx"), F.col("pos").cast("int").alias("start"), (F.col("pos") + 1).cast("int").alias("end"), F.col("verb").alias("label")))
@@ -166,6 +186,35 @@ def _(t):
     return tagger_eval(rows.select("passage_id", F.transform("x", lambda r: r["gold"]).alias("gold"), F.transform("x", lambda r: r["pred"]).alias("pred")))
 
 
-@query("confusion_pairs", "SELECT l_returnflag AS gold, l_linestatus AS pred, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8")
+def mark_errors(pairs: DataFrame) -> DataFrame:
+    """(gold, pred) arrays of mark classes: error rates of all letters (der_all) and of those that have a mark (der_marked)."""
+    letters = pairs.select(F.inline(F.arrays_zip("gold", "pred"))).where("gold is not null")
+    wrong = ~F.col("gold").eqNullSafe(F.col("pred"))
+    rate = lambda of: F.round(F.count_if(wrong & of) / F.greatest(F.count_if(of), F.lit(1)), 6)
+    return letters.agg(rate(F.lit(True)).alias("der_all"), rate(F.col("gold") > 0).alias("der_marked"), F.count("*").alias("chars"))
+
+
+MARK_PAIRS = "SELECT CASE verb WHEN 'عن' THEN 0 WHEN 'حدثنا' THEN 1 ELSE 2 END AS gold, CASE WHEN (chain_id + pos) % 7 = 0 THEN 0 WHEN verb = 'عن' THEN 0 WHEN verb = 'حدثنا' THEN 1 ELSE 2 END AS pred FROM links"
+
+
+@query("mark_errors", f"SELECT round(count_if(gold <> pred)::DOUBLE / count(*), 6) AS der_all, round(count_if(gold <> pred AND gold > 0)::DOUBLE / count_if(gold > 0), 6) AS der_marked, count(*) AS chars FROM ({MARK_PAIRS})")
+def _(t):
+    gold = F.when(F.col("verb") == "عن", 0).when(F.col("verb") == "حدثنا", 1).otherwise(2)
+    pred = F.when((F.col("chain_id") + F.col("pos")) % 7 == 0, 0).otherwise(gold)
+    listed = F.array_sort(F.collect_list(F.struct("pos", gold.alias("gold"), pred.alias("pred"))))
+    rows = t.links.groupBy("chain_id").agg(listed.alias("x"))
+    return mark_errors(rows.select(F.transform("x", lambda r: r["gold"]).alias("gold"), F.transform("x", lambda r: r["pred"]).alias("pred")))
+
+
+def confusion_pairs(pairs: DataFrame, n: int = 8) -> DataFrame:
+    """The ``n`` most frequent (gold, pred) labels that differ, of arrays of labels."""
+    words = pairs.select(F.inline(F.arrays_zip("gold", "pred"))).where("gold <> pred")
+    return words.groupBy("gold", "pred").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gold", "pred").limit(n)
+
+
+@query("confusion_pairs", f"SELECT gold, pred, count(*) AS n FROM ({MARK_PAIRS}) WHERE gold <> pred GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8")
 def _(t):
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("gold"), F.col("l_linestatus").alias("pred")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gold", "pred").limit(8)
+    gold = F.when(F.col("verb") == "عن", 0).when(F.col("verb") == "حدثنا", 1).otherwise(2)
+    pred = F.when((F.col("chain_id") + F.col("pos")) % 7 == 0, 0).otherwise(gold)
+    rows = t.links.groupBy("chain_id").agg(F.collect_list(F.struct(gold.alias("gold"), pred.alias("pred"))).alias("x"))
+    return confusion_pairs(rows.select(F.transform("x", lambda r: r["gold"]).alias("gold"), F.transform("x", lambda r: r["pred"]).alias("pred")))

@@ -11,13 +11,14 @@ from warraq.registry import query
 from warraq.sources.folders import fresh_folder
 
 
-def consecutive_pairs(links: DataFrame) -> DataFrame:
-    """(chain_id, student, teacher) of neighbours without a position gap, both resolved and different.
+def consecutive_pairs(links: DataFrame, same: bool = False) -> DataFrame:
+    """(chain_id, student, teacher) of neighbours without a position gap, both resolved and different
+    (or, with ``same``, perhaps the same).
 
     ``lead`` runs over all links of a chain before unresolved ones go, in one shuffle."""
     following = Window.partitionBy("chain_id").orderBy("pos")
     ahead = links.select("chain_id", "pos", F.col("narrator_id").alias("student"), F.lead("pos").over(following).alias("next_pos"), F.lead("narrator_id").over(following).alias("teacher"))
-    return ahead.where("next_pos = pos + 1 and student is not null and teacher is not null and student <> teacher").select("chain_id", "student", "teacher")
+    return ahead.where("next_pos = pos + 1 and student is not null and teacher is not null" + ("" if same else " and student <> teacher")).select("chain_id", "student", "teacher")
 
 
 def edges(links: DataFrame) -> DataFrame:

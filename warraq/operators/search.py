@@ -61,9 +61,17 @@ def _(t):
     return t.passages.where(F.col("text_raw").contains("قَالَ رسول")).select("passage_id")
 
 
-def search_facets(passages, editions, subject_links=None, links=None, types=None, grades=None, *, source=None, subject=None, verbs=None, type_norm=None, grade=None) -> DataFrame:
-    """Passages left by the facets that are set; without a source the structural archive is left out."""
+def search_facets(passages, editions, works=None, subject_links=None, links=None, types=None, grades=None, *, source=None, edition=None, work_kind=None, subject=None, verbs=None, type_norm=None, grade=None) -> DataFrame:
+    """Passages left by the facets that are set; without a source the structural archive is left out.
+
+    ``work_kind``: a book type of the edition (matn, service, page-archive), or else a kind of the work."""
     books = editions.where(F.col("source") == source) if source else editions.where("source <> 'archive'")
+    if edition is not None:
+        books = books.where(F.col("edition_id") == edition)
+    if work_kind in ("matn", "service", "page-archive"):
+        books = books.where(F.col("book_type") == work_kind)
+    elif work_kind:
+        books = books.join(works.where(F.col("kind") == work_kind).select("work_id"), "work_id", "left_semi")
     out = passages.join(books.select("edition_id"), "edition_id", "left_semi")
     if subject is not None:
         out = out.join(subject_links.where(F.col("subject_id") == subject), "passage_id", "left_semi")
@@ -78,26 +86,124 @@ def search_facets(passages, editions, subject_links=None, links=None, types=None
 
 @query("search_facets", "SELECT passage_id FROM passages JOIN editions USING (edition_id) WHERE source <> 'archive' AND passage_id IN (SELECT passage_id FROM subject_links WHERE subject_id = 3) AND passage_id IN (SELECT chain_id FROM links WHERE verb = 'عن') AND passage_id IN (SELECT passage_id FROM types WHERE type_norm = 'marfu') AND passage_id IN (SELECT passage_id FROM grades WHERE grade_norm = 'daif')")
 def _(t):
-    return search_facets(t.passages, t.editions, t.subject_links, t.links, t.types, t.grades, subject=3, verbs=["عن"], type_norm="marfu", grade="daif").select("passage_id")
+    return search_facets(t.passages, t.editions, t.works, t.subject_links, t.links, t.types, t.grades, subject=3, verbs=["عن"], type_norm="marfu", grade="daif").select("passage_id")
+
+
+@query("search_facets_books", "SELECT 'edition' AS facet, passage_id FROM passages WHERE edition_id = 6 UNION ALL SELECT 'type', passage_id FROM passages JOIN editions USING (edition_id) WHERE book_type = 'page-archive' AND source <> 'archive' UNION ALL SELECT 'kind', passage_id FROM passages JOIN editions e USING (edition_id) JOIN works w USING (work_id) WHERE w.kind = 'rijal' AND source <> 'archive' UNION ALL SELECT 'source', passage_id FROM passages JOIN editions USING (edition_id) WHERE source = 'archive'")
+def _(t):
+    left = lambda name, **facets: search_facets(t.passages, t.editions, t.works, **facets).select(F.lit(name).alias("facet"), "passage_id")
+    return left("edition", edition=6).unionByName(left("type", work_kind="page-archive")).unionByName(left("kind", work_kind="rijal")).unionByName(left("source", source="archive"))
+
 
+def named(narrators: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
+    """Narrators whose name or one of whose aliases contains ``name``."""
+    by_alias = aliases.where(F.col("alias_norm").contains(name)).select("narrator_id", F.lit(True).alias("_alias")).distinct()
+    return narrators.join(by_alias, "narrator_id", "left").where(F.col("canonical_norm").contains(name) | F.col("_alias")).drop("_alias")
 
-@query("narrator_name_search", "SELECT n.narrator_id, count(l.chain_id) AS mentions FROM narrators n LEFT JOIN links l USING (narrator_id) WHERE contains(canonical_norm, 'سفيان') GROUP BY 1 ORDER BY mentions DESC, 1 LIMIT 20")
+
+@query("narrator_name_search", "SELECT n.narrator_id, count(l.chain_id) AS mentions FROM narrators n LEFT JOIN links l USING (narrator_id) WHERE contains(canonical_norm, 'سفيان') OR n.narrator_id IN (SELECT narrator_id FROM aliases WHERE contains(alias_norm, 'سفيان')) GROUP BY 1 ORDER BY mentions DESC, 1 LIMIT 20")
 def _(t):
     mentions = t.links.where("narrator_id is not null").groupBy("narrator_id").agg(F.count("*").alias("mentions"))
-    return t.narrators.where(F.col("canonical_norm").contains("سفيان")).select("narrator_id").join(mentions, "narrator_id", "left").fillna(0).orderBy(F.desc("mentions"), "narrator_id").limit(20)
+    return named(t.narrators, t.aliases, "سفيان").select("narrator_id").join(mentions, "narrator_id", "left").fillna(0).orderBy(F.desc("mentions"), "narrator_id").limit(20)
+
+
+#: Sort orders of the directory, ties by id.
+SORTS = {
+    "mentions": lambda: F.desc("mentions"), "chains": lambda: F.desc("chains"), "death": lambda: F.asc_nulls_last("death_year_h"),
+    "death_desc": lambda: F.desc_nulls_last("death_year_h"), "name": lambda: F.asc("canonical_ar"), "id": lambda: F.asc("narrator_id"),
+}
+
+
+def narrator_directory(
+    t, *, name=None, narrator_id=None, generation=None, grade=None, place=None, death_from=None, death_to=None, teacher=None, student=None, edition=None, topic=None, least_mentions=0, sort="mentions", n=25, offset=0
+) -> DataFrame:
+    """A page of narrators by the filters that are set, with mentions, chains and the books of the page's
+    narrators.  ``t``: the tables narrators, aliases, links, chains, passages, subjects, subject_links.
 
+    Filters on other tables are semi-joins; books are counted for the page alone."""
+    from warraq.operators.graph import consecutive_pairs
 
-@query("narrator_directory_filter", "SELECT narrator_id FROM narrators WHERE contains(rijal_grade, 'ثقة') AND len(list_filter(places, lambda p: contains(p, '3'))) > 0 AND death_year_h BETWEEN 30 AND 120 AND narrator_id IN (SELECT narrator_id FROM links GROUP BY 1 HAVING count(*) >= 5)")
+    rows = named(t.narrators, t.aliases, name) if name else t.narrators
+    for column, wanted in (("narrator_id", narrator_id), ("generation", generation)):
+        if wanted is not None:
+            rows = rows.where(F.col(column) == wanted)
+    if grade:
+        rows = rows.where(F.col("rijal_grade").contains(grade))
+    if place:
+        rows = rows.where(F.exists("places", lambda p: p.contains(place)))
+    if death_from is not None:
+        rows = rows.where(F.col("death_year_h") >= death_from)
+    if death_to is not None:
+        rows = rows.where(F.col("death_year_h") <= death_to)
+    for role, other, wanted in (("student", "teacher", teacher), ("teacher", "student", student)):
+        if wanted:
+            people = t.narrators.where(F.col("canonical_norm").contains(wanted)).select(F.col("narrator_id").alias(other))
+            pairs = consecutive_pairs(t.links, same=True).join(people, other, "left_semi")
+            rows = rows.join(pairs.select(F.col(role).alias("narrator_id")), "narrator_id", "left_semi")
+    mentions = t.links.where("narrator_id is not null")
+    placed = lambda passages: mentions.join(t.chains.select("chain_id", "passage_id"), "chain_id").join(passages, "passage_id", "left_semi")
+    if edition is not None:
+        rows = rows.join(placed(t.passages.where(F.col("edition_id") == edition)), "narrator_id", "left_semi")
+    if topic:
+        about = t.subject_links.join(t.subjects.where(F.col("title_norm").contains(topic)).select("subject_id"), "subject_id", "left_semi")
+        rows = rows.join(placed(about), "narrator_id", "left_semi")
+    per_chain = mentions.groupBy("narrator_id", "chain_id").agg(F.count("*").alias("k"))
+    stats = per_chain.groupBy("narrator_id").agg(F.sum("k").alias("mentions"), F.count("*").alias("chains"))
+    rows = rows.join(stats, "narrator_id", "left").fillna(0, ["mentions", "chains"]).where(F.col("mentions") >= least_mentions)
+    page = rows.orderBy(SORTS[sort](), "narrator_id").offset(offset).limit(n)
+    books = mentions.join(page.select("narrator_id"), "narrator_id", "left_semi").join(t.chains.select("chain_id", "passage_id"), "chain_id").join(t.passages.select("passage_id", "edition_id"), "passage_id")
+    books = books.select("narrator_id", "edition_id").distinct().groupBy("narrator_id").agg(F.count("*").alias("books"))
+    return page.join(books, "narrator_id", "left").fillna(0, ["books"])
+
+
+@query("narrator_directory_filter", "SELECT narrator_id FROM narrators WHERE contains(rijal_grade, 'ثقة') AND len(list_filter(places, lambda p: contains(p, '3'))) > 0 AND death_year_h BETWEEN 30 AND 120 AND narrator_id IN (SELECT narrator_id FROM links GROUP BY 1 HAVING count(*) >= 5) ORDER BY narrator_id LIMIT 1000")
+def _(t):
+    return narrator_directory(t, grade="ثقة", place="3", death_from=30, death_to=120, least_mentions=5, sort="id", n=1000).select("narrator_id")
+
+
+NEXT = "SELECT a.narrator_id AS student, b.narrator_id AS teacher FROM links a JOIN links b ON b.chain_id = a.chain_id AND b.pos = a.pos + 1"
+
+
+@query("narrator_directory_people", f"""WITH x AS ({NEXT}), s AS (SELECT narrator_id, count(*) AS mentions, count(DISTINCT chain_id) AS chains FROM links GROUP BY 1)
+  SELECT n.narrator_id, mentions, chains, (SELECT count(DISTINCT edition_id) FROM links l JOIN chains USING (chain_id) JOIN passages USING (passage_id) WHERE l.narrator_id = n.narrator_id) AS books FROM narrators n JOIN s USING (narrator_id)
+  WHERE generation = 'تابعي' AND n.narrator_id IN (SELECT student FROM x JOIN narrators t ON t.narrator_id = teacher WHERE contains(t.canonical_norm, 'مالك')) AND n.narrator_id IN (SELECT teacher FROM x JOIN narrators t ON t.narrator_id = student WHERE contains(t.canonical_norm, 'نافع'))
+  AND n.narrator_id IN (SELECT narrator_id FROM links JOIN chains USING (chain_id) JOIN passages p USING (passage_id) WHERE p.edition_id % 2 = 0 AND p.edition_id = 4) AND n.narrator_id IN (SELECT narrator_id FROM links JOIN chains USING (chain_id) JOIN subject_links USING (passage_id) JOIN subjects USING (subject_id) WHERE contains(title_norm, '7'))
+  AND (contains(n.canonical_norm, 'بن') OR false) ORDER BY mentions DESC, n.narrator_id LIMIT 25""")
 def _(t):
-    often = t.links.groupBy("narrator_id").count().where("count >= 5").select("narrator_id")
-    keep = F.col("rijal_grade").contains("ثقة") & F.exists("places", lambda p: p.contains("3")) & F.col("death_year_h").between(30, 120)
-    return t.narrators.where(keep).join(often, "narrator_id", "left_semi").select("narrator_id")
+    return narrator_directory(t, name="بن", generation="تابعي", teacher="مالك", student="نافع", edition=4, topic="7").select("narrator_id", "mentions", "chains", "books")
 
 
-@query("timeline_drill", "SELECT d.passage_id, d.year_best, e.source, g.grade_norm FROM dates d JOIN passages p USING (passage_id) JOIN editions e USING (edition_id) LEFT JOIN grades g ON g.passage_id = d.passage_id WHERE d.event_key = 'badr' AND d.year_best BETWEEN 1 AND 6 ORDER BY d.year_best, d.passage_id LIMIT 40 OFFSET 5")
+@query("directory_sorts", "WITH s AS (SELECT n.narrator_id, canonical_ar, death_year_h, count(l.chain_id) AS mentions, count(DISTINCT l.chain_id) AS chains FROM narrators n LEFT JOIN links l USING (narrator_id) GROUP BY ALL) " + " UNION ALL ".join(f"(SELECT '{k}' AS sort, narrator_id FROM s ORDER BY {v}, narrator_id LIMIT 20 OFFSET 3)" for k, v in {"mentions": "mentions DESC", "chains": "chains DESC", "death": "death_year_h ASC NULLS LAST", "death_desc": "death_year_h DESC NULLS LAST", "name": "canonical_ar", "id": "narrator_id"}.items()))
 def _(t):
-    rows = t.dates.where("event_key = 'badr' and year_best between 1 and 6").select("passage_id", "year_best").join(t.passages.select("passage_id", "edition_id"), "passage_id").join(t.editions.select("edition_id", "source"), "edition_id").join(t.grades.select("passage_id", "grade_norm"), "passage_id", "left")
-    return rows.select("passage_id", "year_best", "source", "grade_norm").orderBy("year_best", "passage_id").offset(5).limit(40)
+    parts = [narrator_directory(t, sort=sort, n=20, offset=3).select(F.lit(sort).alias("sort"), "narrator_id") for sort in SORTS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def timeline_drill(dates, passages, editions, grades, *, event=None, years=None, season=None, companion=None, n=40, offset=0) -> DataFrame:
+    """A page of dated passages by event, (first, last) year, season and companion, of which one at least is set."""
+    wanted = {"event_key": event, "season": season, "companion_key": companion}
+    if years is None and not any(wanted.values()):
+        raise ValueError("an event, years, a season or a companion is needed")
+    rows = dates
+    for column, value in wanted.items():
+        if value:
+            rows = rows.where(F.col(column) == value)
+    if years:
+        rows = rows.where(F.col("year_best").between(*years))
+    rows = rows.select("passage_id", "year_best").join(passages.select("passage_id", "edition_id"), "passage_id").join(editions.select("edition_id", "source"), "edition_id").join(grades.select("passage_id", "grade_norm"), "passage_id", "left")
+    return rows.select("passage_id", "year_best", "source", "grade_norm").orderBy(F.asc_nulls_last("year_best"), "passage_id").offset(offset).limit(n)
+
+
+DRILL = "SELECT {0} AS drill, d.passage_id, d.year_best, e.source, g.grade_norm FROM dates d JOIN passages p USING (passage_id) JOIN editions e USING (edition_id) LEFT JOIN grades g ON g.passage_id = d.passage_id WHERE {1} ORDER BY d.year_best NULLS LAST, d.passage_id LIMIT 40 OFFSET 5"
+
+
+@query("timeline_drill", "(" + DRILL.format("'event'", "d.event_key = 'badr' AND d.year_best BETWEEN 1 AND 6") + ") UNION ALL (" + DRILL.format("'season'", "d.season = 'ramadan'") + ") UNION ALL (" + DRILL.format("'companion'", "d.companion_key = 'anas'") + ")")
+def _(t):
+    drill = lambda name, **how: timeline_drill(t.dates, t.passages, t.editions, t.grades, offset=5, **how).withColumn("drill", F.lit(name))
+    return drill("event", event="badr", years=(1, 6)).unionByName(drill("season", season="ramadan")).unionByName(drill("companion", companion="anas"))
 
 
 @query("subject_search", "SELECT s.subject_id, title, count(l.passage_id) AS n FROM subjects s LEFT JOIN subject_links l USING (subject_id) WHERE contains(title_norm, '1') GROUP BY 1, 2, length(title) ORDER BY length(title), 1 LIMIT 30")
@@ -107,12 +213,26 @@ def _(t):
     return found.orderBy(F.length("title"), "subject_id").limit(30).select("subject_id", "title", "n")
 
 
-@query("title_containment", "WITH q AS (SELECT c_custkey AS question_id, concat('ما في كتاب nation_', c_nationkey, ' من باب') AS q FROM customer WHERE c_custkey % 10 = 0) SELECT question_id, work_id FROM (SELECT question_id, work_id, row_number() OVER (PARTITION BY question_id ORDER BY length(title_norm) DESC, work_id) AS rn FROM q JOIN works ON contains(q, title_norm) OR length(q) > 8 AND contains(title_norm, q)) WHERE rn <= 3")
-def _(t):
-    asked = t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("ما في كتاب nation_"), F.col("c_nationkey"), F.lit(" من باب")).alias("q"))
-    within = F.col("q").contains(F.col("title_norm")) | (F.length("q") > 8) & F.col("title_norm").contains(F.col("q"))
+def title_containment(questions: DataFrame, titles: DataFrame, top: int = 3, anchor: int = 5) -> DataFrame:
+    """The longest ``top`` titles (work_id, title_norm) that a question (question_id, q) contains, or that
+    contain a question of over 8 letters.
+
+    The one within the other is known by its last ``anchor`` letters: these are joined with all runs
+    of as many letters of the other, and only texts that share them are compared."""
+    end = lambda c: F.right(c, F.least(F.length(c), F.lit(anchor)))
+    runs = lambda c, least: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(least), F.lit(anchor)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k))))))
+    asked, known = questions.select("question_id", "q"), titles.select("work_id", "title_norm").where("title_norm <> ''")
+    within = asked.withColumn("a", runs(F.col("q"), 1)).join(known.withColumn("a", end(F.col("title_norm"))), "a").where(F.col("q").contains(F.col("title_norm")))
+    around = asked.where(F.length("q") > 8).withColumn("a", end(F.col("q"))).join(known.withColumn("a", runs(F.col("title_norm"), anchor)), "a").where(F.col("title_norm").contains(F.col("q")))
     longest = Window.partitionBy("question_id").orderBy(F.desc(F.length("title_norm")), "work_id")
-    return asked.join(t.works.select("work_id", "title_norm"), within).withColumn("rn", F.row_number().over(longest)).where("rn <= 3").select("question_id", "work_id")
+    return within.unionByName(around).drop("a").distinct().withColumn("rn", F.row_number().over(longest)).where(F.col("rn") <= top).select("question_id", "work_id")
+
+
+@query("title_containment", "WITH q AS (SELECT c_custkey AS question_id, CASE WHEN c_custkey % 40 = 0 THEN concat('كتاب nat', 'ion') ELSE concat('ما في كتاب nation_', c_nationkey, ' من باب') END AS q FROM customer WHERE c_custkey % 20 = 0) SELECT question_id, work_id FROM (SELECT question_id, work_id, row_number() OVER (PARTITION BY question_id ORDER BY length(title_norm) DESC, work_id) AS rn FROM q JOIN works ON contains(q, title_norm) OR length(q) > 8 AND contains(title_norm, q)) WHERE rn <= 3")
+def _(t):
+    """Every twentieth customer asks, after all titles."""
+    text = F.when(F.col("c_custkey") % 40 == 0, "كتاب nation").otherwise(F.concat(F.lit("ما في كتاب nation_"), F.col("c_nationkey"), F.lit(" من باب")))
+    return title_containment(t.customer.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("question_id"), text.alias("q")), t.works)
 
 
 def trigrams(text: F.Column) -> F.Column:
@@ -122,17 +242,28 @@ def trigrams(text: F.Column) -> F.Column:
 
 
 def trigram_word_similarity(a: DataFrame, b: DataFrame, least: float = 0.55, top: int = 3) -> DataFrame:
-    """(a_id, b_id, similarity): share of a's trigrams in b, joined on trigrams so that only pairs with one in common meet."""
-    x = a.select("a_id", trigrams(F.col("text")).alias("g")).select("a_id", F.size("g").alias("n"), F.explode("g").alias("t"))
-    y = b.select("b_id", F.explode(trigrams(F.col("text"))).alias("t"))
-    common = x.join(y, "t").groupBy("a_id", "b_id", "n").agg(F.count("*").alias("k")).withColumn("similarity", F.round(F.col("k") / F.col("n"), 4)).where(F.col("similarity") > least)
+    """(a_id, b_id, similarity): over ``least`` of a's trigrams are in b.
+
+    Of n trigrams more than least * n are common, so one of a's n - floor(least * n) rarest is: only
+    these are joined, and the pairs that they find are counted.  Equal texts of b are one."""
+    x = a.select("a_id", trigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
+    y = b.select("b_id", F.array_sort(trigrams(F.col("text"))).alias("h"))
+    kinds = y.select("h").distinct()
+    seen = kinds.select(F.explode("h").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ranked = x.select("a_id", F.size("g").alias("n"), F.explode("g").alias("t")).join(seen, "t", "left").fillna(0, ["df"])
+    place = F.row_number().over(Window.partitionBy("a_id").orderBy("df", "t"))
+    probes = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.floor(F.col("n") * least)).where("df > 0").select("a_id", "t")
+    found = probes.join(kinds.select("h", F.explode("h").alias("t")), "t").select("a_id", "h").distinct().join(x, "a_id")
+    share = F.round(F.size(F.array_intersect("g", "h")) / F.size("g"), 4)
+    near = found.withColumn("similarity", share).where(F.col("similarity") > least).select("a_id", "h", "similarity").join(y, "h")
     best = Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id")
-    return common.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("a_id", "b_id", "similarity")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("a_id", "b_id", "similarity")
 
 
-@query("trigram_word_similarity", "WITH g AS (SELECT p_partkey AS id, p_name AS text FROM part), w AS (SELECT id, unnest(string_split(text, ' ')) AS w FROM g), t AS (SELECT DISTINCT id, substr(concat('  ', w, ' '), unnest(generate_series(1, length(w) + 1)), 3) AS t FROM w), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT a.id AS a_id, b.id AS b_id, round(count(*)::DOUBLE / n, 4) AS similarity FROM t a JOIN t b USING (t) JOIN n ON n.id = a.id WHERE a.id % 100 = 1 AND b.id < 300 GROUP BY 1, 2, n) SELECT a_id, b_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS rn FROM s WHERE similarity > 0.55) WHERE rn <= 3")
+@query("trigram_word_similarity", "WITH g AS (SELECT p_partkey AS id, p_name AS text FROM part), w AS (SELECT id, unnest(string_split(text, ' ')) AS w FROM g), t AS (SELECT DISTINCT id, substr(concat('  ', w, ' '), unnest(generate_series(1, length(w) + 1)), 3) AS t FROM w), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT a.id AS a_id, b.id AS b_id, round(count(*)::DOUBLE / n, 4) AS similarity FROM t a JOIN t b USING (t) JOIN n ON n.id = a.id WHERE a.id % 20 = 0 GROUP BY 1, 2, n) SELECT a_id, b_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS rn FROM s WHERE similarity > 0.55) WHERE rn <= 3")
 def _(t):
-    return trigram_word_similarity(t.part.where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("a_id"), F.col("p_name").alias("text")), t.part.where("p_partkey < 300").select(F.col("p_partkey").alias("b_id"), F.col("p_name").alias("text")))
+    """Every twentieth part against all."""
+    return trigram_word_similarity(t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a_id"), F.col("p_name").alias("text")), t.part.select(F.col("p_partkey").alias("b_id"), F.col("p_name").alias("text")))
 
 
 @query("long_text_filters", "SELECT passage_id FROM passages WHERE length(text_raw) > 40 AND regexp_matches(unit_num, '^[0-9]+$') AND seq BETWEEN 100 AND 5000")
@@ -144,9 +275,28 @@ def _(t):
 KNN_BLOCK, KNN_SLICE = 4096, 256
 
 
+def vector_scope(corpus: DataFrame, *, source=None, edition=None, kind=None) -> DataFrame:
+    """Vectors by the filters that are set; without a source the structural archive is left out."""
+    out = corpus.where(F.col("source") == source) if source else corpus.where("source <> 'archive'")
+    for column, wanted in (("edition_id", edition), ("kind", kind)):
+        out = out.where(F.col(column) == wanted) if wanted is not None else out
+    return out
+
+
+def best_chunks(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Of the k vectors found (query_id, vec_id, similarity) the best of each passage, ranked anew;
+    ``chunks``: (vec_id, passage_id, chunk_no)."""
+    first = Window.partitionBy("query_id", "passage_id").orderBy(F.desc("similarity"), "chunk_no")
+    best = found.drop("rank").join(chunks, "vec_id").withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "passage_id")))
+
+
 def vector_knn(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = KNN_BLOCK) -> DataFrame:
     """Exact cosine top-k for any number of queries: each block of queries meets each block of the
-    corpus in one task, and only each meeting's best go on to the merge."""
+    corpus in one task, and only each meeting's best go on to the merge.  Null vectors, or those
+    with a null in them, are left out on both sides."""
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    corpus, queries = corpus.where(whole), queries.where(whole)
     blocks = lambda df: -(-df.count() // block) or 1
     many_q, many_c = blocks(queries), blocks(corpus)
     part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
@@ -184,6 +334,18 @@ def _(t):
     return vector_knn(t.embeddings.where("label <> 0"), t.embeddings.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
+CHUNKS = "SELECT vec_id, vec_id // 3 AS passage_id, vec_id % 3 AS chunk_no, CASE label % 3 WHEN 0 THEN 'units' WHEN 1 THEN 'archive' ELSE 'pages' END AS source, label AS edition_id, CASE WHEN vec_id % 2 = 0 THEN 'unit' ELSE 'page' END AS kind, embedding FROM embeddings"
+
+
+@query("vector_knn_passages", f"WITH c AS ({CHUNKS}), s AS (SELECT a.vec_id AS query_id, b.vec_id, passage_id, chunk_no, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS similarity FROM embeddings a, c b WHERE a.vec_id % 20 = 0 AND b.source <> 'archive' AND b.kind = 'unit'), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rn FROM s) WHERE rn <= 50), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, passage_id ORDER BY similarity DESC, chunk_no) AS pn FROM k) WHERE pn = 1) SELECT query_id, passage_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, passage_id)::INT AS rank FROM p")
+def _(t):
+    """The best chunk of each passage among the nearest 50 of the units outside the archive."""
+    source = F.element_at(F.array(F.lit("units"), F.lit("archive"), F.lit("pages")), F.col("label") % 3 + 1)
+    chunks = t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 3).alias("passage_id"), (F.col("vec_id") % 3).alias("chunk_no"), source.alias("source"), F.col("label").alias("edition_id"), F.when(F.col("vec_id") % 2 == 0, "unit").otherwise("page").alias("kind"), "embedding")
+    near = vector_knn(vector_scope(chunks, kind="unit").select("vec_id", "embedding"), t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 50)
+    return best_chunks(near, chunks.select("vec_id", "passage_id", "chunk_no")).select("query_id", "passage_id", "similarity", "rank")
+
+
 def hybrid_rrf(keyword: DataFrame, vector: DataFrame, n: int = 20, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked frames (id, rank)."""
     a, b = keyword.select("id", F.col("rank").alias("r1")), vector.select("id", F.col("rank").alias("r2"))
