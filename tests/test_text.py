@@ -80,12 +80,38 @@ def test_infer_century(spark):
     assert one(spark, rules.infer_century(F.col("y"), F.col("k")), y=99, k=5) == 99
 
 
-def test_parse_isnad():
-    got = chains.parse(REPORT)
-    assert len(got["hops"]) >= 3 and any("عبد الله بن يوسف" in h["mention"] for h in got["hops"])
-    assert REPORT[got["sanad_end_raw"] :].startswith("أن رسول الله")
-    assert chains.parse("")["hops"] == []
-    assert "no_matn_marker" in chains.parse("حدثنا مالك عن نافع")["flags"]
+def parsed(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "passage_id long, text_raw string")
+    return chains.parsed_units(rows).orderBy("passage_id").collect()
+
+
+def test_parse_isnad(spark):
+    whole, none, bare, speech, long = parsed(spark, REPORT, "", "حدثنا مالك عن نافع", "حدثنا مالك عن نافع قال : هذا كلام", "عن " + "ا" * 70 + " حدثنا مالك عن نافع قال رسول الله كذا")
+    assert len(whole.p.hops) >= 3 and any("عبد الله بن يوسف" in h["mention"] for h in whole.p.hops)
+    assert REPORT[whole.sanad_end_raw :].startswith("أن رسول الله") and whole.p.confidence == 1.0 and whole.p.flags == []
+    assert none.p.hops == [] and none.p.confidence == 0 and none.sanad_end_raw == -1
+    assert bare.p.flags == ["no_matn_marker"] and bare.p.confidence == 0.7 and [h["verb"] for h in bare.p.hops] == ["حدثنا", "عن"]
+    assert speech.p.flags == ["speech_boundary"] and speech.p.confidence == 0.9 and speech.p.hops[1]["mention"] == "نافع"
+    assert long.p.flags == ["dropped_mention"] and [h["pos"] for h in long.p.hops] == [1, 2] and long.p.confidence == 0.8
+
+
+def test_chains_against_a_plain_scan(spark):
+    """Random units of verbs and names: hops are the words between the verbs, up to the opener."""
+    import random
+
+    rng, texts = random.Random(2), []
+    for _ in range(80):
+        hops = [(rng.choice(["حدثنا", "اخبرنا", "عن", "سمعت"]), " ".join(rng.choice(["مالك", "نافع", "سالم", "النبي"]) for _ in range(rng.randrange(1, 4)))) for _ in range(rng.randrange(1, 5))]
+        hops = [(v, "زيد " + m) if v == "سمعت" else (v, m) for v, m in hops]
+        texts.append((hops, " ".join(f"{v} {m}" for v, m in hops) + " قال رسول الله كذا وكذا"))
+    rows = spark.createDataFrame([(i, "unit", t, t) for i, (_, t) in enumerate(texts)], "passage_id long, kind string, text_raw string, text_norm string")
+    got = {(r.chain_id, r.pos): (r.verb, r.mention_norm) for r in chains.extract_chains(rows).collect()}
+    want = {}
+    for i, (hops, text) in enumerate(texts):
+        first = text.find("عن النبي صلي")
+        if len(hops) >= 2 and first < 0:
+            want |= {(i, k): h for k, h in enumerate(hops) if not h[1].startswith("النبي")}
+    assert got == want
 
 
 def test_flat_page(spark):
@@ -127,11 +153,174 @@ def test_companions(spark):
     assert got("معاويه بن قره") is None and got("معاويه").key == "muawiya" and got("انس بن مالك").key == "anas"
 
 
-def test_matn_bounds():
-    text = "حدثنا مالك عن نافع عن ابن عمر قال قال رسول الله انما الاعمال بالنيات وانما لكل امرئ ما نوى. رواه البخاري"
-    start, end = rules.matn_bounds(text)
-    assert text[start:].startswith("قال رسول الله") and text[end:].strip().startswith("رواه")
-    assert rules.matn_bounds("نص بلا علامة") == (-1, -1)
+def test_matn_bounds(spark):
+    text = "حَدثنا مالك عن نافع عن ابن عمر قال قال رسول الله انما الاعمال بالنيات وانما لكل امرئ ما نوى. رواه البخاري"
+    span = lambda t: one(spark, rules.matn_span(F.col("t")), t=t)
+    got = span(text)
+    assert text[got.start :].startswith("قال رسول الله") and text[got.end :].strip().startswith("رواه")
+    assert tuple(span("نص بلا علامة")) == (-1, -1) and tuple(span("")) == (-1, -1)
+    spoken = "حدثنا مالك عن نافع عن ابن عمر قال: كنا جلوسا عن النبي صلى الله عليه وسلم قال من صام رمضان ايمانا واحتسابا غفر له"
+    assert spoken[span(spoken).start :].startswith("قال: كنا")
+    weak = "حدثنا مالك عن نافع عن ابن عمر عن النبي انه نهي عن بيع الغرر وعن بيع الحصاة وعن غيرهما"
+    assert weak[span(weak).start :].startswith("عن النبي") and span(weak).end == -1
+
+
+def test_chains_of_a_text(spark):
+    text = "حَدَّثَنَا مالك عن نافع. وحدثنا سفيان عن سالم ثم اخبرنا غيره"
+    got = one(spark, rules.segment_chains(F.col("t")), t=text)
+    assert got == [0, text.index("وحدثنا")] and one(spark, rules.segment_chains(F.col("t")), t="حدثنا مالك") == []
+
+
+def test_kin(spark):
+    from warraq.operators.graph import kin_relation
+
+    def kin(student, teacher, a=0, b=0):
+        row = spark.createDataFrame([(student, teacher, a, b)], "s string, t string, a int, b int")
+        return row.select(kin_relation(*(F.col(c) for c in "stab")).alias("r")).first().r
+
+    assert kin("يزيد ابن سعيد", "سعيد") == "father" and kin("عائشه بنت طلحه", "طلحه") == "father"
+    assert kin("محمد بن عمر بن علي", "علي بن ابي طالب") == "grandfather" and kin("هشام بن عروه", "عروه بن الزبير") == "father"
+    assert kin("احمد بن ابي سلمه", "زيد بن ابي سلمه") == "brother" and kin("زيد بن علي", "زيد بن علي") == "teacher"
+    assert kin("مالك بن انس", "نافع", 5, 5) == "peer" and kin("مالك بن انس", "نافع", 0, 0) == "teacher" and kin("", "نافع", 5, 5) == "teacher"
+    assert kin("زيد بن ابا بكر", "ابي بكر") == "teacher" and kin("ابي بكر بن زيد", "زيد") == "father"
+
+
+def test_marks_of_a_page():
+    assert M.transplanted("قال، احمد", "قَالَ احمد") == "قَالَ، احمد" and M.transplanted("احمد", "أَحْمَد") == "اَحْمَد"
+    assert M.transplanted("قال زيد", "قَالَ لنا زَيد") == "قَالَ زَيد"
+    assert M.transplanted("قال زيد", "قَالَ " + "ب" * 9 + "زيد") is None and M.transplanted("قال", "") is None
+
+
+def test_tail_of_the_chain_decides_the_type(spark):
+    text = "حدثنا مالك عن نافع عن النبي صلى الله عليه وسلم قال لا يحل لاحد ان يفعل كذا"
+    end = text.index("لا يحل")
+    kind = lambda e: one(spark, rules.classify_type(F.col("t"), F.col("e"), F.lit(None).cast("string")), t=text, e=e)
+    assert kind(end).type == "marfu_qawli"
+    plain = one(spark, rules.classify_type(F.col("t"), F.col("e"), F.lit("تابعي")), t="ا" * 200 + " النبي " + "ا" * 200 + " تم", e=390)
+    assert plain.type == "maqtu"
+
+
+def test_event_guards_change_nothing(spark):
+    texts = [(k, f"{part.strip('()')} {word}") for k, _, p, _ in rules.EVENTS for word in rules.literals(p) for part in ("يوم", "غزوه", "قتل", "")]
+    rows = spark.createDataFrame([(t,) for _, t in texts], "t string")
+    for _, _, pattern, _ in rules.EVENTS:
+        assert rows.where(rules.guarded(F.col("t"), pattern) != F.col("t").rlike(pattern)).count() == 0
+
+
+def test_archive_pages_are_numbered_over_the_edition(spark):
+    from warraq.sources.corpus import archive_passages
+
+    pages = [(f"s{i % 7}/{i:03d}", i % 3, f"sec{i % 5}") for i in range(90)]
+    rows = spark.createDataFrame([(s, s, sec, o, "t", f"نص {s}", f"<p>{s}</p>") for s, o, sec in pages], "slug string, url string, section string, ord int, title string, text string, html string")
+    got = archive_passages(rows.repartition(4), 9).collect()
+    order = sorted((o, s) for s, o, _ in pages)
+    assert {r.seq: r.html for r in got} == {i: f"<p>{s}</p>" for i, (_, s) in enumerate(order)} and all(r.kind == "page" and r.text_raw.startswith("نص") for r in got)
+
+
+def test_deep_trees(spark):
+    from warraq.operators.graph import ancestors, breadcrumbs, tree_depth
+
+    nodes = spark.createDataFrame([(i, i - 1, f"n{i}") for i in range(14)] + [(50, 99, "orphan"), (51, 50, "leaf")], "node_id long, parent_id long, title string")
+    assert {r.node_id: r.depth for r in tree_depth(nodes).collect()} == {i: i for i in range(14)} | {50: 0, 51: 1}
+    assert ancestors(nodes).where("node_id = 13").count() == 14 and ancestors(nodes).where("node_id = 51").count() == 2
+    assert {r.node_id: r.path for r in breadcrumbs(nodes).collect()}[13] == " > ".join(f"n{i}" for i in range(14))
+
+
+def test_bounded_subgraph(spark):
+    """Against a walk over a list: heaviest edges first, nodes up to the cap, an edge once."""
+    import random
+
+    from warraq.operators.graph import bounded_subgraph
+
+    rng = random.Random(1)
+    edges = sorted({(a, b): rng.randrange(1, 50) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(120)) if a != b}.items())
+    rows = [(a, b, w) for (a, b), w in edges]
+    seen, frontier, want = {0}, [0], set()
+    for _ in range(2):
+        near = sorted((r for r in rows if r[0] in frontier or r[1] in frontier), key=lambda r: (-r[2], r[0], r[1]))[: 3 * 8]
+        frontier = []
+        for r in near:
+            new = {r[0], r[1]} - seen
+            if new and len(seen) >= 8:
+                continue
+            seen |= new
+            frontier += sorted(new)
+            want.add(r)
+    got = bounded_subgraph(spark.createDataFrame(rows, "student long, teacher long, weight long"), 0, hops=2, cap=8).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_sequences_and_what_they_miss(spark):
+    heads = [(1, 1, [4], True), (1, 2, [1], False), (1, 3, [1], True), (1, 4, [2, 3], False), (1, 5, [5], True), (1, 6, [4, 6], True), (1, 7, [4], False), (2, 1, [1, 2], True), (2, 2, [], True)]
+    rows = spark.createDataFrame(heads, "edition_id int, seq long, numbers array<int>, opens boolean").repartition(3)
+    got = segment.accept_sequence(rows)
+    assert {(r.edition_id, r.seq) for r in got.where("accepted").collect()} == {(1, 3), (1, 4), (1, 7), (2, 1)} and got.count() == len(heads)
+    known = spark.createDataFrame([(1, 6), (1, 2), (2, 2)], "edition_id int, number int")
+    assert {tuple(r) for r in segment.missing_numbers(got, known).collect()} == {(1, 5), (1, 6)}
+
+
+def test_units_of_many_editions_stream(spark):
+    """Numbered lines over pages of several editions, against a plain loop."""
+    import random
+
+    rng, pages, want = random.Random(4), [], {}
+    for e in range(4):
+        open_, n = None, 0
+        for seq in range(25):
+            lines = []
+            for _ in range(rng.randrange(1, 5)):
+                kind = rng.randrange(4)
+                lines.append(f"{(n := n + 1)} - نص" if kind == 0 else "باب جديد في كذا" if kind == 1 else "سطر عادي")
+            text, passage, at = "\n".join(lines), e * 100 + seq, 0
+            pages.append((passage, e, seq, text))
+            for line in lines:
+                if not line.startswith("سطر"):
+                    if open_:
+                        want[e, open_[0]] = (open_[1], open_[2], passage, at)
+                        open_ = None
+                    if line[0].isdigit():
+                        open_ = (line.split()[0], passage, at)
+                at += len(line) + 1
+        if open_:
+            want[e, open_[0]] = (open_[1], open_[2], passage, len(text))
+    got = segment.segment_units_pages(spark.createDataFrame(pages, "passage_id long, edition_id int, seq int, text_raw string").repartition(5)).collect()
+    assert {(u.edition_id, u.unit_num): (u.start_passage_id, u.start_off, u.end_passage_id, u.end_off) for u in got} == want
+    assert all([u.unit_seq for u in got if u.edition_id == e] == list(range(1, 1 + sum(u.edition_id == e for u in got))) for e in range(4))
+
+
+def test_frames_do_not_overlap(spark):
+    aliases = spark.createDataFrame([(1, "مالك بن انس"), (2, "مالك بن انس"), (3, "انس بن مالك"), (4, "بن انس"), (5, "مالك بن انس"), (6, "مالك بن انس"), (7, "عن عن")], "narrator_id long, alias_norm string")
+    asked = spark.createDataFrame([(1, "قال مالك بن انس بن مالك عن عن بن انس")], "question_id long, text string")
+    got = joins.ground_frames(asked, aliases, ["عن"]).orderBy("start").collect()
+    assert [(r.start, r.mention, r.candidates) for r in got] == [(1, "مالك بن انس", [1, 2, 5]), (8, "بن انس", [4])]
+
+
+def test_numbering_without_one_window(spark):
+    keys = [3, 9, 10, 25, 26, 27, 90]
+    got = joins.numbered(spark.createDataFrame([(k,) for k in keys], "k int"), "k", width=10).collect()
+    assert sorted((r.k, r.place) for r in got) == [(k, i) for i, k in enumerate(keys)]
+
+
+def test_snippets(spark):
+    text = " ".join("كلمه" if i % 40 else "هدف" for i in range(130))
+    got = one(spark, X.snippet_highlight(F.split("t", " "), ["هدف"], most=40), t=text)
+    assert got.count(" … ") == 1 and got.count("<mark>هدف</mark>") == 2 and one(spark, X.snippet_highlight(F.split("t", " "), ["لا"]), t=text) == ""
+
+
+def test_bio_entities(spark):
+    from warraq.operators.datasets import merge_bio_entities
+
+    tags = ["I-A", "B-A", "I-A", "O", "I-A", "B-B", "B-A", "I-A"]
+    rows = spark.createDataFrame([(1, i, f"w{i}", x) for i, x in enumerate(tags)], "passage_id long, idx int, token string, tag string")
+    got = sorted((r.start_token, r.end_token, r.label, r.text) for r in merge_bio_entities(rows).collect())
+    assert got == [(1, 2, "A", "w1 w2"), (5, 5, "B", "w5"), (6, 7, "A", "w6 w7")]
+
+
+def test_pages_are_anchored(spark):
+    pages = spark.createDataFrame([(1, 1, 1, "مقدمه الناشر\nنص"), (2, 1, 2, "كتاب الصلاه\nنص"), (3, 1, 3, "نص"), (4, 1, 4, "باب الاذان\nنص"), (5, 1, 5, "نص")], "passage_id long, edition_id int, seq int, text_raw string")
+    nodes = segment.toc_nodes(pages)
+    assert [(n.ord, n.parent_ord, n.depth) for n in nodes.orderBy("ord").collect()] == [(1, None, 1), (2, None, 1), (3, 2, 2)]
+    assert {r.passage_id: r.node_ord for r in segment.anchor_pages(pages, nodes).collect()} == {1: 1, 2: 2, 3: 2, 4: 3, 5: 3}
 
 
 def test_results_do_not_depend_on_partitions(spark):
