@@ -430,6 +430,7 @@ def _(t):
     return t.chains.where(~F.array_contains("flags", "-")).orderBy("confidence", "chain_id").select("chain_id", "confidence").limit(5)
 
 
-@query("random_sample")
+@query("random_sample", "SELECT passage_id FROM passages ORDER BY md5(concat(passage_id, ':7')), passage_id LIMIT 100")
 def _(t):
-    return t.passages.orderBy(F.xxhash64(F.col("passage_id"), F.lit(7)), "passage_id").limit(100).select("passage_id")
+    """The first of an order by a seeded hash: the same rows at any partitioning."""
+    return t.passages.orderBy(F.md5(F.concat("passage_id", F.lit(":7"))), "passage_id").limit(100).select("passage_id")

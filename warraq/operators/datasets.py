@@ -24,7 +24,11 @@ def boundary_rows(t) -> DataFrame:
     return units.select("passage_id", "text_raw", "sanad_end_raw")
 
 
-@query("label_words")
+LABELLED = """w AS (SELECT passage_id, sanad_end_raw, string_split(text_raw, ' ') AS w FROM passages JOIN chains USING (passage_id) WHERE ord = 0 AND confidence >= 0.3 AND sanad_end_raw > 30),
+  l AS (SELECT passage_id, i - 1 AS idx, w[i] AS token, CASE WHEN length(array_to_string(w[1:i - 1], ' ')) + (i > 1)::INT < sanad_end_raw THEN 'ISNAD' ELSE 'MATN' END AS label FROM w, range(1, 221) r(i) WHERE i <= len(w))"""
+
+
+@query("label_words", f"WITH {LABELLED} SELECT passage_id, idx::INT AS idx, token, label FROM l")
 def _(t):
     words = boundary_rows(t).select("passage_id", labelled_words(F.col("text_raw"), F.col("sanad_end_raw")).alias("w"))
     return words.select("passage_id", F.posexplode("w").alias("idx", "x")).select("passage_id", "idx", "x.token", "x.label")
@@ -59,7 +63,7 @@ def _(t):
     return indexing_rows(t.passages, t.chains, t.toc, target=2000)
 
 
-@query("ds_indexing_labels")
+@query("ds_indexing_labels", f"WITH {LABELLED} SELECT passage_id, 'unit' AS kind, count(*)::INT AS n, string_agg(left(label, 1), '' ORDER BY idx) AS labels FROM l GROUP BY 1 HAVING count(*) >= 6 AND bool_or(label = 'ISNAD') AND bool_or(label = 'MATN') UNION ALL SELECT node_id, 'heading', len(string_split(title, ' '))::INT, repeat('H', len(string_split(title, ' '))) FROM toc WHERE contains(title, ' ')")
 def _(t):
     """Labelled words of the units, and of the headings, all of whose words (two or more) are HEADING."""
     words = boundary_rows(t).select("passage_id", labelled_words(F.col("text_raw"), F.col("sanad_end_raw")).alias("w"))
@@ -136,7 +140,7 @@ def _(t):
     return merge_spans(t.links.select(F.col("chain_id").alias("passage_id"), F.col("pos").alias("idx"), F.col("pos").cast("int").alias("start"), (F.col("pos") + 1).cast("int").alias("end"), F.col("verb").alias("label")))
 
 
-@query("merge_bio_entities")
+@query("merge_bio_entities", "WITH x AS (SELECT chain_id, pos, mention_norm, verb, count(*) FILTER (verb <> 'اخبرنا') OVER (PARTITION BY chain_id ORDER BY pos) AS g FROM links) SELECT chain_id AS passage_id, min(pos) AS start_token, max(pos) AS end_token, 'PER' AS label, string_agg(mention_norm, ' ' ORDER BY pos) AS text FROM x GROUP BY chain_id, g HAVING min_by(verb, pos) = 'حدثنا'")
 def _(t):
     tag = F.when(F.col("verb") == "حدثنا", "B-PER").when(F.col("verb") == "اخبرنا", "I-PER").otherwise("O")
     return merge_bio_entities(t.links.select(F.col("chain_id").alias("passage_id"), F.col("pos").alias("idx"), F.col("mention_norm").alias("token"), tag.alias("tag")))

@@ -15,7 +15,7 @@ def _(t):
     return built.orderBy(F.desc("weight"), "student", "teacher").limit(50)
 
 
-@query("workload_timeline")
+@query("workload_timeline", f"SELECT basis, year_best, count(*) AS n, round(avg(confidence), 4) AS confidence FROM ({rules.DATED_SQL}) GROUP BY 1, 2")
 def _(t):
     """Units typed, dated and counted by basis and year: types and dates share one scan and one shuffle."""
     return rules.dated_units(t).groupBy("basis", "year_best").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
