@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions.arabic import normalize_arabic
 from warraq.operators.rules import heading_classify, heading_level, lines_of, number_head, synthetic_pages
+from warraq.functions.vectorized import once
 from warraq.registry import query
 
 
@@ -122,7 +123,7 @@ def segment_units_pages(pages: DataFrame) -> DataFrame:
     through a task, however many an edition has."""
     lines = lines_of(pages.select("edition_id", "seq", "passage_id", "text_raw"))
     able = F.col("line").rlike(r"^\s*[0-9٠-٩]+\s*[-–—]|^\s*\(\s*[0-9٠-٩]+\s*\)\s*\S")
-    kept = lines.withColumn("heading", heading_classify(F.col("line")).isNotNull()).where(able | F.col("heading"))
+    kept = once(lines, able=able, heading=heading_classify(F.col("line")).isNotNull()).where("able or heading")
     none = F.lit(None).cast("long")
     marks = kept.select("edition_id", "seq", "line_no", "passage_id", number_in(F.col("line"), NUMBER, 1).alias("local"), number_in(F.col("line"), NUMBER, 2).alias("whole"), number_in(F.col("line"), REPEAT, 1).alias("again"), "start", "heading", F.lit(0).alias("page_end"), F.lit(False).alias("final"))
     last = pages.groupBy("edition_id").agg(F.max(F.struct("seq", "passage_id", F.length("text_raw").alias("page_end"))).alias("x"))
