@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from warraq import llm
-from warraq.llm import exact_dedup, mixture, packing, phrase_print, ppm, quality, secret_scan, shards, shingle_join, token_count
+from warraq.llm import common, exact_dedup, mixture, packing, phrase_print, ppm, quality, secret_scan, shards, shingle_join, token_count
 from warraq.llm.common import components
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -395,6 +395,25 @@ def test_scores_are_of_all_contexts(spark):
         assert math.isclose(got[i].score, score, rel_tol=1e-6)
 
 
+def test_scores_with_more_buckets_and_parts(spark, docs, none, monkeypatch):
+    """Buckets that follow the corpus, and contexts whose requests are dealt into parts, change no score."""
+    dealt = docs.repartition(6)
+    usual = sorted((r.doc_id is None, r.doc_id, r.score, r.base_score) for r in ppm.corpus_scores(dealt).collect())
+    assert ppm.bucket_bits(0) == ppm.bucket_bits(30 << 30) == ppm.BUCKET and ppm.bucket_bits(10 << 40) == 19 and ppm.bucket_bits(1 << 60) == ppm.NEAR
+    monkeypatch.setattr(ppm, "BUCKET_BYTES", 16)
+    tables = []
+    monkeypatch.setattr(ppm, "written", lambda df, what: (tables.append(what), common.written(df, what))[1])
+    assert ppm.bucket_bits(60_000) > ppm.BUCKET
+    for grams, fan in ((40, 2), (7, 16)):
+        monkeypatch.setattr(ppm, "TASK_GRAMS", grams)
+        monkeypatch.setattr(ppm, "FAN", fan)
+        got = sorted((r.doc_id is None, r.doc_id, r.score, r.base_score) for r in ppm.corpus_scores(dealt).collect())
+        assert [r[:2] for r in got] == [r[:2] for r in usual]
+        assert np.allclose([r[2:] for r in got], [r[2:] for r in usual], rtol=1e-6)
+    assert tables.count("sums") > 2
+    assert ppm.corpus_scores(none).collect() == []
+
+
 def test_long_texts_are_scored_in_pieces(monkeypatch):
     words = [b"abc", b"de"] * 400
     whole = ppm.grams_of(list(ppm.segments(words)))[0]

@@ -6,6 +6,9 @@ dealt into blocks of about BLOCK bytes.  A block asks once for each of its disti
 and says how often its training texts have them; the requests go to the owner of the gram's last
 three context bytes, who so holds all contexts of orders 3 to ORDER that end in them, adds the counts
 up and answers each block with its grams' logarithms, from which the block sums its texts' scores.
+The number of owners grows with the bytes of the training texts.  Where the blocks ask one owner for
+more than TASK_GRAMS grams (a context that all texts have), its requests are dealt into parts: parts
+add their counts up, these sums are added up FAN at a time, and each part is answered from the whole.
 Contexts of orders 0 to 2 have at most 2^24 symbols whatever the corpus, and are broadcast.
 
 The probability of a byte is found from its longest context in the model: the symbol's count, or an
@@ -36,12 +39,16 @@ from warraq.llm.common import documents, partitions, released, remainder, text_o
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Bits of an order-3 context, and of the number of the buckets that these are dealt into; an odd factor and its inverse.
+#: Bits of an order-3 context, and at least of the number of the buckets that these are dealt into; an odd factor and its inverse.
 NEAR, BUCKET = 24, 10
 MIX = 0x9E3779
 BACK = pow(MIX, -1, 1 << NEAR)
 #: Bytes of texts of a block.
 BLOCK = 1 << 24
+#: Bytes of training texts for each bucket, at most, until there is one for each context of order 3.
+BUCKET_BYTES = 1 << 25
+#: Grams asked of one task, about, and sums of parts that are added up at a time.
+TASK_GRAMS, FAN = 1 << 23, 16
 #: Words with over 1 / HEAD of all tokens are broadcast: fewer than HEAD.
 HEAD = 1 << 17
 #: Bytes that are turned into grams at once, and distinct grams or words that a task holds.
@@ -87,6 +94,11 @@ def code_of(keys: np.ndarray) -> np.ndarray:
     return ((keys >> 8) & 0xFFFF) << 32 | near << 8 | (keys & 0xFF)
 
 
+def bucket_bits(size: int) -> int:
+    """Bits of the number of buckets for so many bytes of training texts."""
+    return min(NEAR, max(BUCKET, (size // BUCKET_BYTES).bit_length()))
+
+
 def packed(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each value, byte by byte, compressed."""
     planes = values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T
@@ -100,6 +112,11 @@ def unpacked(data: bytes, size: int, width: int, dtype=np.int64) -> np.ndarray:
     return out.view(dtype).ravel()
 
 
+def coded(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as gaps, and their counts."""
+    return packed(np.diff(keys, prepend=0), 6), packed(counts, 8)
+
+
 def keys_of(data: bytes, size: int) -> np.ndarray:
     return np.cumsum(unpacked(data, size, 6))
 
@@ -130,7 +147,7 @@ REQUEST = "block long, bucket int, size long, keys binary, counts binary, rid ar
 TEXTS, LOW = -1, -2
 
 
-def _requests(batches):
+def _requests(batches, bits):
     import pandas as pd
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()]
@@ -148,10 +165,10 @@ def _requests(batches):
         low, low_n = low[low_n > 0], low_n[low_n > 0]
         whole = b"\xff".join(events)
         rows = [(rids[0], TEXTS, len(whole), None, None, rids, ids, out, pa.compress(whole, codec="zstd", asbytes=True)), (rids[0], LOW, len(low), packed(low, 3), packed(low_n, 8)) + (None,) * 4]
-        bounds = np.searchsorted(keys, np.arange((1 << BUCKET) + 1) << (48 - BUCKET))
-        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            if a < b:
-                rows.append((rids[0], i, b - a, packed(np.diff(keys[a:b], prepend=0), 6), packed(counts[a:b], 8)) + (None,) * 4)
+        buckets = keys >> (48 - bits)
+        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        for i, a, b in zip(buckets[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+            rows.append((rids[0], i, b - a, *coded(keys[a:b], counts[a:b])) + (None,) * 4)
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[c.split()[0] for c in REQUEST.split(", ")])
 
     held, size = ([], [], [], []), 0
@@ -246,22 +263,63 @@ def levels(codes: np.ndarray, counts: np.ndarray, orders: range) -> list[tuple[n
     return out[::-1]
 
 
-def _answers(below):
-    def answered(table: pa.Table) -> pa.Table:
-        sizes = table.column("size").to_pylist()
-        held = []
-        for size, keys, counts in zip(sizes, table.column("keys"), table.column("counts")):
-            held.append((keys_of(keys.as_py(), size), unpacked(counts.as_py(), size, 8)))
-            if sum(len(k) for k, _ in held) >= 4 * HELD:
-                held = [merged(held)]
-        distinct, n = merged(held)
-        codes, held = code_of(distinct), None
-        trie = Trie(levels(codes[n > 0], n[n > 0], range(3, ORDER + 1)), below.value)
-        logs = trie.log10(codes).astype(np.float32)
-        own = [packed(logs[np.searchsorted(distinct, keys_of(keys.as_py(), size))], 4) for size, keys in zip(sizes, table.column("keys"))]
-        return pa.table([table.column("block"), table.column("bucket"), table.column("size"), table.column("keys"), pa.array(own, pa.binary())], names=["block", "bucket", "size", "keys", "logs"])
+def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of coded rows, with the sums of their counts."""
+    held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for size, keys, counts in zip(table.column("size").to_pylist(), table.column("keys"), table.column("counts")):
+        held.append((keys_of(keys.as_py(), size), unpacked(counts.as_py(), size, 8)))
+        if sum(len(k) for k, _ in held) >= 4 * HELD:
+            held = [merged(held)]
+    return merged(held)
+
+
+SUM, ANSWER = "bucket int, part int, size long, keys binary, counts binary", "block long, bucket int, size long, keys binary, logs binary"
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """One row with the counts of all rows of a part; none where no training text has a gram of it."""
+    keys, counts = summed(table)
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    columns = {"bucket": pa.int32(), "part": pa.int32(), "size": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+    rows = [(table.column("bucket")[0].as_py(), table.column("part")[0].as_py(), len(keys), *coded(keys, counts))] if len(keys) else []
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(columns.items())})
+
+
+def answered(requests: pa.Table, asked: np.ndarray, known: np.ndarray, counts: np.ndarray, below: Trie) -> pa.Table:
+    """Each request's grams with their logarithms.  asked: distinct keys; known, counts: those of the bucket that training texts have."""
+    logs = Trie(levels(code_of(known), counts, range(3, ORDER + 1)), below).log10(code_of(asked)).astype(np.float32)
+    own = [packed(logs[np.searchsorted(asked, keys_of(keys.as_py(), size))], 4) for size, keys in zip(requests.column("size").to_pylist(), requests.column("keys"))]
+    return requests.select(["block", "bucket", "size", "keys"]).append_column("logs", pa.array(own, pa.binary()))
+
+
+def answers_to(asked: DataFrame, below) -> DataFrame:
+    """Rows ANSWER for the requests.  below: the broadcast trie of the orders that all buckets share."""
+    spark = asked.sparkSession
+
+    def alone(requests: pa.Table) -> pa.Table:
+        keys, counts = summed(requests)
+        return answered(requests, keys, keys[counts > 0], counts[counts > 0], below.value)
+
+    def of_part(requests: pa.Table, whole: pa.Table) -> pa.Table:
+        return answered(requests, summed(requests)[0], *summed(whole), below.value)
 
-    return answered
+    loads = written(asked.groupBy("bucket").agg(F.ceil(F.sum("size") / TASK_GRAMS).cast("int").alias("parts")), "loads")
+    width = loads.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]
+    usual = asked.join(loads.where("parts = 1"), "bucket", "left_semi") if width > 1 else asked
+    answers = usual.repartition(partitions(spark), "bucket").groupBy("bucket").applyInArrow(alone, ANSWER)
+    if width == 1:
+        return answers
+    many = asked.join(loads.where("parts > 1"), "bucket").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
+    sums = many
+    while True:
+        sums = written(sums.select("bucket", "part", "size", "keys", "counts").groupBy("bucket", "part").applyInArrow(_sums, SUM), "sums")
+        if width == 1:
+            break
+        width = -(-width // FAN)
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    sums = sums.drop("part").join(loads, "bucket").select("bucket", parts.alias("part"), "size", "keys", "counts")
+    return answers.unionByName(many.drop("parts").groupBy("bucket", "part").cogroup(sums.groupBy("bucket", "part")).applyInArrow(of_part, ANSWER))
 
 
 def corpus_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,15 +329,16 @@ def corpus_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     train = rows.where(~F.col("held_out"))
     ends = train.count()
     words = written(train.select("body").mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    size = F.sum(F.col("c") * (F.octet_length("word") + 1))
+    distinct, tokens, size = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(size, F.lit(0))).first()
+    bits = bucket_bits(size)
     tokens, distinct = tokens + ends, distinct + (ends > 0)
     head = words.where(F.col("c") > tokens / HEAD).toPandas()
     known = spark.sparkContext.broadcast(dict(zip(map(bytes, head["word"]), head["c"].tolist())))
-    blocks = written(rows.mapInArrow(released(_requests), REQUEST), "blocks")
+    blocks = written(rows.mapInArrow(released(lambda batches: _requests(batches, bits)), REQUEST), "blocks")
     low = blocks.where(F.col("bucket") == LOW).select("size", "keys", "counts").mapInArrow(_low_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     below = spark.sparkContext.broadcast(Trie(levels(low["code"].to_numpy(np.int64), low["n"].to_numpy(np.int64), range(3))))
-    asked = blocks.where("bucket >= 0").select("block", "bucket", "size", "keys", "counts").repartition(partitions(spark), "bucket")
-    answers = asked.groupBy("bucket").applyInArrow(_answers(below), "block long, bucket int, size long, keys binary, logs binary")
+    answers = answers_to(blocks.where("bucket >= 0").select("block", "bucket", "size", "keys", "counts"), below)
     level = float(np.log10(tokens + 0.5 * (distinct + 1)))
     end_log = float(np.log10(ends + 0.5))
 
