@@ -351,21 +351,20 @@ def corpus_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         logs = np.concatenate([unpacked(x, size, 4, np.float32) for _, size, _, x in parts]).astype(float)
         rids, ids, out, size, whole = (texts.column(c)[0].as_py() for c in ("rid", "doc_id", "held_out", "size", "texts"))
         events = pa.decompress(whole, decompressed_size=size, codec="zstd", asbytes=True).split(b"\xff")
-        score = np.zeros(len(events))
+        score, place = np.zeros(len(events)), pd.Index(code_of(keys))
         for pieces, owners in chunked(events):
             codes, sizes = grams_of(pieces)
-            of, own = pd.factorize(codes)
-            each = logs[np.searchsorted(keys, dealt(own))][of]
+            each = logs[place.get_indexer(codes)]
             score += np.bincount(owners, np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]])), len(events))
         count, seen, base, tail, times = [], [], [], [], []
         for event in events:
             own = event.split()
             tally = Counter(own)
-            rest = tally.keys() - heads.keys()
+            rest = [w for w in tally if w not in heads]  # a difference of key views would walk all of heads for each text
             count.append(len(own) + 1)
             base.append(end_log + sum(heads[w] * k for w, k in tally.items() if w in heads))
             seen.append(len(own) - sum(tally[w] for w in rest) + (ends > 0))
-            tail.append(list(rest))
+            tail.append(rest)
             times.append([tally[w] for w in rest])
         return pa.table(
             [pa.array(rids, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(tail, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
