@@ -20,6 +20,7 @@ MODULES = {
     8: "token_count",
     9: "exact_dedup",
     10: "shards",
+    11: "ball_hash",
 }
 
 
