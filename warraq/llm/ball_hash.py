@@ -91,11 +91,9 @@ def near_pairs(classes: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     pairs = met.select("variant", F.explode("met").alias("a"), "met").select("variant", "a", F.explode("met").alias("b")).where(a < b)
     both = a.bitwiseXOR(b)
-    low = both.bitwiseAND(-both)  # the lowest bit that differs
-    # the two places where a pair meets: one of its bits taken from the other, or the two themselves
-    one, other = a.bitwiseXOR(low), b.bitwiseXOR(low)
     near = pairs.where(F.bit_count(both) <= RADIUS)
-    return near.where(F.col("variant") == F.least(one, other)).select("a", "b")
+    # a pair meets at two places: what the one has from a it has from b at the other
+    return near.where(F.col("variant") < F.col("variant").bitwiseXOR(both)).select("a", "b")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
