@@ -144,12 +144,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int = 1000) -> DataFrame:
     """``rows`` left-joined with ``groups`` (one row a key, with the number of rows it has as ``size``).
 
-    Groups with over a thousandth of all rows are at most 1000 and go by broadcast, so that the
-    shuffle join that takes the rest has no large group."""
-    hot = F.col(size) > max(1000, total // 1000)
+    Groups with over a thousandth of all rows (and over ``least`` rows) are at most 1000 and go by
+    broadcast, so that the shuffle join that takes the rest has no large group."""
+    hot = F.col(size) > max(least, total // 1000)
     large = groups.where(hot).select(*keys, F.struct(*(c for c in groups.columns if c not in keys)).alias("_large"))
     held = rows.join(F.broadcast(large), keys, "left")
     rest = [c for c in groups.columns if c not in keys]
