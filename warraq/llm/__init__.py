@@ -21,6 +21,7 @@ MODULES = {
     9: "exact_dedup",
     10: "shards",
     11: "ball_hash",
+    12: "hard_negatives",
     13: "prefix_trie",
 }
 
