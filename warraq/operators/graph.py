@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,27 +45,66 @@ def apply_manual_edges(derived: DataFrame, manual: DataFrame) -> DataFrame:
     return derived.select("student", "teacher", "weight").unionByName(added).groupBy("student", "teacher").agg(F.sum("weight").alias("weight")).join(removed, ["student", "teacher"], "left_anti")
 
 
-def bounded_subgraph(graph: DataFrame, start: int, hops: int = 3, cap: int = 300) -> DataFrame:
-    """Edges reached within ``hops`` of ``start`` in either direction, heaviest first, among ``cap`` nodes.
+SUBGRAPH = "start long, seen array<long>, frontier array<long>, taken array<struct<student: long, teacher: long, weight: long>>"
 
-    The graph is a written table, so that a hop is one filtered scan; it takes at most 3 * cap
-    distinct edges, so the frontier stays bounded."""
-    spark, path = graph.sparkSession, fresh_folder(graph.sparkSession, "graph")
-    graph.select("student", "teacher", "weight").write.parquet(path)
-    edges_ = spark.read.parquet(path)
-    seen, frontier, taken = {start}, [start], set()
-    for _ in range(hops):
-        found, frontier = expand_nodes(edges_, frontier, 3 * cap).collect(), []
-        for r in found:
-            new = {r.student, r.teacher} - seen
-            if new and len(seen) >= cap:
+
+def _hop(cap: int):
+    """The state of one start after the edges found for its frontier, which come in their order."""
+
+    def run(state: pa.Table, found: pa.Table) -> pa.Table:
+        if not state.num_rows:
+            return state
+        row = state.to_pylist()[0]
+        seen, frontier = set(row["seen"]), []
+        taken = {(e["student"], e["teacher"]): e["weight"] for e in row["taken"]}
+        for e in found.sort_by("rank").to_pylist():
+            ends = dict.fromkeys(n for n in (e["student"], e["teacher"]) if n not in seen)
+            if ends and len(seen) >= cap:
                 continue
-            seen |= new
-            frontier += sorted(new)
-            taken.add((r.student, r.teacher, r.weight))
-        if not frontier:
+            seen |= set(ends)
+            frontier += ends
+            taken[e["student"], e["teacher"]] = e["weight"]
+        listed = [{"student": s, "teacher": t, "weight": w} for (s, t), w in taken.items()]
+        out = {"start": row["start"], "seen": sorted(seen), "frontier": frontier, "taken": listed}
+        return pa.Table.from_pylist([out], schema=state.schema)
+
+    return run
+
+
+def bounded_subgraph(graph: DataFrame, starts: DataFrame, hops: int = 3, cap: int = 300) -> DataFrame:
+    """Edges (start, student, teacher, weight) reached within ``hops`` of each of ``starts`` (start), in
+    either direction, heaviest first, among ``cap`` nodes; a start that has its nodes goes no further.
+
+    What a start has seen, taken and not yet left is a row of a written table, and bounded by ``cap``.
+    A hop joins all frontiers with the heaviest 3 * cap edges of each node, which are all that a
+    frontier can take of it, so a node with very many edges is as cheap as any other."""
+    spark = graph.sparkSession
+    stored = lambda df, what: spark.read.schema(df.schema).parquet(_put(df, fresh_folder(spark, what)))
+    order = [F.desc("weight"), F.col("student"), F.col("teacher")]
+    of = lambda end: graph.select(F.col(end).alias("node"), "student", "teacher", "weight")
+    both = of("student").unionByName(of("teacher").where("student <> teacher"))
+    most = F.row_number().over(Window.partitionBy("node").orderBy(*order))
+    heaviest = stored(both.withColumn("rank", most).where(F.col("rank") <= 3 * cap).drop("rank"), "heaviest")
+    own = F.array("start")
+    first = starts.select(F.col("start").cast("long").alias("start")).distinct().select("start", own.alias("seen"), own.alias("frontier"), F.array().alias("taken"))
+    state = stored(spark.createDataFrame([], SUBGRAPH).unionByName(first), "subgraph")
+    for _ in range(hops):
+        able = (F.size("frontier") > 0) & (F.size("seen") < cap)
+        going = state.where(able)
+        if going.isEmpty():
             break
-    return spark.createDataFrame(sorted(taken), "student long, teacher long, weight long")
+        asked = going.select("start", F.explode("frontier").alias("node"))
+        found = asked.join(heaviest, "node").drop("node").distinct()
+        rank = F.row_number().over(Window.partitionBy("start").orderBy(*order))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= 3 * cap)
+        moved = going.groupBy("start").cogroup(found.withColumnRenamed("start", "of").groupBy("of")).applyInArrow(_hop(cap), SUBGRAPH)
+        state = stored(state.where(~able).unionByName(moved), "subgraph")
+    return state.select("start", F.inline("taken"))
+
+
+def _put(df: DataFrame, path: str) -> str:
+    df.write.parquet(path)
+    return path
 
 
 def expand_nodes(graph: DataFrame, nodes: list[int], cap: int = 300) -> DataFrame:
@@ -105,38 +145,67 @@ def edge_relations(graph: DataFrame, narrators: DataFrame) -> DataFrame:
     return named.select("student", "teacher", kin_relation(*(F.col(f"{role}_{x}") for x in ("name", "class") for role in ("student", "teacher"))).alias("relation"))
 
 
+def parents_of(nodes: DataFrame) -> DataFrame:
+    """(node_id, parent_id) of the nodes that have a parent among ``nodes`` (node_id, parent_id), without
+    cycles: a cycle is cut above its smallest node, which is a root then, and what leads into the
+    cycle hangs below it as it did.  A missing or negative parent makes a root too.
+
+    Cycles are found by pointer doubling: round k knows who is 2 ** k steps above a node, and the
+    smallest node on the way.  Nodes with an end above them leave; when a round loses none, those that
+    are left lead into cycles, and once a jump is as long as there are nodes left it ends on one."""
+    spark = nodes.sparkSession
+    stored = lambda df: spark.read.parquet(_put(df, fresh_folder(spark, "jumps")))
+    known = nodes.select(F.col("node_id").alias("parent_id")).distinct()
+    up = nodes.where("parent_id >= 0").join(known, "parent_id", "left_semi").select("node_id", "parent_id")
+    live = stored(up.select("node_id", F.col("parent_id").alias("jump"), F.col("node_id").alias("least")))
+    left, reach, closed = live.count(), 1, False
+    while left and not (closed and reach >= left):
+        ahead = live.select(F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("least").alias("low"))
+        live = stored(live.join(ahead, "jump").select("node_id", F.col("next").alias("jump"), F.least("least", "low").alias("least")))
+        before, left, reach = left, live.count(), 2 * reach
+        closed = closed or left == before
+    if not left:
+        return up
+    circling = live.select(F.col("jump").alias("node_id")).distinct()
+    cut = live.where("least = node_id").join(circling, "node_id", "left_semi").select("node_id")
+    return up.join(cut, "node_id", "left_anti")
+
+
 def tree_depth(nodes: DataFrame) -> DataFrame:
-    """(node_id, depth): steps to the root, level by level until none is left, however deep the tree or
-    large a level; a missing or negative parent makes a root.  Levels are written tables."""
-    path, parents = fresh_folder(nodes.sparkSession, "levels"), nodes.select(F.col("node_id").alias("parent_id"))
-    level = nodes.where("parent_id is null or parent_id < 0").unionByName(nodes.where("parent_id >= 0").join(parents, "parent_id", "left_anti").select(nodes.columns)).select("node_id")
-    depth = 0
+    """(node_id, depth): steps to the root (see ``parents_of`` for cycles), in as many rounds as the
+    logarithm of the depth: each round doubles how far a node looks.  Rounds are written tables."""
+    spark = nodes.sparkSession
+    up = parents_of(nodes).select("node_id", F.col("parent_id").alias("jump"))
+    state = nodes.select("node_id").distinct().join(up, "node_id", "left").withColumn("depth", F.col("jump").isNotNull().cast("int"))
     while True:
-        level.withColumn("depth", F.lit(depth)).write.parquet(f"{path}/{depth}")
-        done = nodes.sparkSession.read.parquet(f"{path}/{depth}")
-        if done.isEmpty():
-            break
-        level = nodes.select("node_id", "parent_id").join(done.select(F.col("node_id").alias("parent_id")), "parent_id").select("node_id")
-        depth += 1
-    return nodes.sparkSession.read.parquet(*(f"{path}/{k}" for k in range(depth + 1)))
+        state = spark.read.parquet(_put(state, fresh_folder(spark, "depths")))
+        live = state.where("jump is not null")
+        if live.isEmpty():
+            return state.select("node_id", "depth")
+        ahead = state.select(F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"))
+        moved = live.join(ahead, "jump").select("node_id", F.col("next").alias("jump"), (F.col("depth") + F.col("more")).alias("depth"))
+        state = state.where("jump is null").unionByName(moved)
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node_id, ancestor_id, up) for each node and all above it, itself included: a join and a written
-    table for each level, until no node has a parent left.  A parent that is negative or isn't a
-    node ends a path; so does a cycle, at its own start."""
+    """(node_id, ancestor_id, up) for each node and all above it, itself included (see ``parents_of`` for
+    cycles).
+
+    Pointer doubling: round k adds those from 2 ** k to 2 ** (k + 1) - 1 steps above a node, which
+    are what the node 2 ** k above it has so far; rounds are as many as the logarithm of the depth."""
     spark, path = nodes.sparkSession, fresh_folder(nodes.sparkSession, "ancestors")
-    known = nodes.select(F.col("node_id").alias("parent_id"))
-    parent = nodes.where("parent_id >= 0").select(F.col("node_id").alias("ancestor_id"), "parent_id").join(known, "parent_id", "left_semi")
-    level, up = nodes.select("node_id", F.col("node_id").alias("ancestor_id")), 0
+    jump = parents_of(nodes).select("node_id", F.col("parent_id").alias("jump"))
+    _put(nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("up")).distinct(), f"{path}/0")
+    k = 0
     while True:
-        level.withColumn("up", F.lit(up)).write.parquet(f"{path}/{up}")
-        done = spark.read.parquet(f"{path}/{up}")
-        if done.isEmpty():
-            break
-        level = done.join(parent, "ancestor_id").where("parent_id <> node_id").select("node_id", F.col("parent_id").alias("ancestor_id"))
-        up += 1
-    return spark.read.parquet(*(f"{path}/{k}" for k in range(up + 1)))
+        so_far = spark.read.parquet(*(f"{path}/{i}" for i in range(k + 1)))
+        jump = spark.read.parquet(_put(jump, f"{path}-jumps/{k}"))
+        if jump.isEmpty():
+            return so_far
+        above = so_far.select(F.col("node_id").alias("jump"), "ancestor_id", "up")
+        _put(jump.join(above, "jump").select("node_id", "ancestor_id", (F.col("up") + (1 << k)).alias("up")), f"{path}/{k + 1}")
+        jump = jump.join(jump.select(F.col("node_id").alias("jump"), F.col("jump").alias("next")), "jump").select("node_id", F.col("next").alias("jump"))
+        k += 1
 
 
 def breadcrumbs(nodes: DataFrame) -> DataFrame:
@@ -181,7 +250,8 @@ def _(t):
 
 @query("bounded_subgraph")
 def _(t):
-    return bounded_subgraph(edges(t.links), 1, hops=2, cap=40)
+    """Around every narrator."""
+    return bounded_subgraph(edges(t.links), t.narrators.select(F.col("narrator_id").alias("start")), hops=2, cap=40)
 
 
 @query("expand_nodes", f"WITH e AS ({EDGES}) SELECT * FROM e WHERE student IN (1, 2, 3) OR teacher IN (1, 2, 3) ORDER BY weight DESC, student, teacher LIMIT 300")
@@ -218,11 +288,11 @@ def _(t):
     return breadcrumbs(t.toc)
 
 
-@query("toc_children", "SELECT a.node_id, a.title, EXISTS (SELECT 1 FROM toc c WHERE c.parent_id = a.node_id) AS has_children FROM toc a WHERE a.parent_id < 100 AND a.parent_id >= 0")
+@query("toc_children", "SELECT a.node_id, a.title, EXISTS (SELECT 1 FROM toc c WHERE c.parent_id = a.node_id) AS has_children, a.parent_id FROM toc a WHERE a.parent_id >= 0")
 def _(t):
     parents = t.toc.select(F.col("parent_id").alias("p")).distinct()
-    children = t.toc.where("parent_id between 0 and 99")
-    return children.join(parents, children.node_id == parents.p, "left").select("node_id", "title", F.col("p").isNotNull().alias("has_children"))
+    children = t.toc.where("parent_id >= 0")
+    return children.join(parents, children.node_id == parents.p, "left").select("node_id", "title", F.col("p").isNotNull().alias("has_children"), "parent_id")
 
 
 @query("subtree", "WITH RECURSIVE w AS (SELECT node_id FROM toc WHERE node_id < 5 AND node_id % 2 = 0 UNION ALL SELECT c.node_id FROM toc c JOIN w ON c.parent_id = w.node_id) SELECT node_id FROM w")
