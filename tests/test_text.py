@@ -45,11 +45,32 @@ def test_marks_round_trip():
     assert M.merged("قال ﴿قال﴾ قَال", {"قال": "قَالَ"}) == "قَالَ ﴿قال﴾ قَال"
 
 
-def test_chunks():
-    text = " ".join(f"word{i}" for i in range(600))
-    chunks = X.chunk_spans(text)
-    assert all(len(c) <= 1500 for c in chunks) and chunks[0] == text[: len(chunks[0])]
-    assert all(a[-40:] in text and b[:40] in text for a, b in zip(chunks, chunks[1:]))
+def chunks_by_hand(text, size, overlap, slack):
+    text, out, at = text.strip(), [], 0
+    if len(text) <= size:
+        return [text] if text else []
+    while True:
+        end = min(at + size, len(text))
+        spaces = [i for i in range(max(at + size - slack, 0), end) if text[i] == " "] if end < len(text) else []
+        end = spaces[-1] if spaces and spaces[-1] > at else end
+        out.append(text[at:end].strip())
+        if end == len(text):
+            return [c for c in out if c]
+        at = max(end - overlap, at + 1)
+
+
+def test_chunks(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["", "   ", " a ", " " * 300 + "x" * 1498 + "  ", "y" * 5000, "z" * 1500, "w" * 1501 + " "]
+    texts += ["".join(rng.choice("abcd ق\n" if k % 3 else "abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randrange(8000))) for k in range(30)]
+    texts += [(" " * 250 + "v" * 10) * 40, "u" * 1400 + " " * 400 + "t" * 900]
+    rows = spark.createDataFrame([*enumerate(texts), (999, None)], "i int, t string")
+    for args in ((1500, 200, 300), (40, 7, 11)):
+        got = {r.i: r.c for r in rows.select("i", X.chunk_text(F.col("t"), *args).alias("c")).collect()}
+        assert got.pop(999) is None
+        assert got == {i: chunks_by_hand(t, *args) for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("key", ["1", "abc", "ق"])
@@ -123,6 +144,16 @@ def test_flat_page(spark):
     assert [r.parent_ord for r in toc] == [None, 0, 0]
 
 
+def test_years_and_page_numbers_open_no_units(spark):
+    body = "حدثنا مالك عن نافع عن ابن عمر ان رسول الله قال كذا وكذا"
+    lines = [(7, 1), (8, 1), (256, 0), (9, 1), (3, 0), (10, 1)]
+    text = "\n".join(f"  ({n}) - {body}" for n, _ in lines)
+    units = segment.segment_units_flat(spark.createDataFrame([(1, text), (2, f"5 - {body}\n1432 - {body}")], "passage_id long, text_raw string"))
+    got = sorted((u.passage_id, u.start, u.number) for u in units.collect())
+    places = [(1, text.index(f"({n}) - ") + 1, n) for n, stays in lines if stays]
+    assert got == [*places, (2, 0, 5), (2, len(f"5 - {body}\n"), 1432)]  # two numbers are no run
+
+
 def test_units_across_pages(spark):
     pages = spark.createDataFrame([(1, 1, 1, "272 - (168) حدثنا مالك\nنص"), (2, 1, 2, "(3) حاشية\n(170) وحدثناه نافع\nباب جديد\nنص")], "passage_id long, edition_id int, seq int, text_raw string")
     units = segment.segment_units_pages(pages).orderBy("unit_seq").collect()
@@ -226,30 +257,6 @@ def test_deep_trees(spark):
     assert {r.node_id: r.path for r in breadcrumbs(nodes).collect()}[13] == " > ".join(f"n{i}" for i in range(14))
 
 
-def test_bounded_subgraph(spark):
-    """Against a walk over a list: heaviest edges first, nodes up to the cap, an edge once."""
-    import random
-
-    from warraq.operators.graph import bounded_subgraph
-
-    rng = random.Random(1)
-    edges = sorted({(a, b): rng.randrange(1, 50) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(120)) if a != b}.items())
-    rows = [(a, b, w) for (a, b), w in edges]
-    seen, frontier, want = {0}, [0], set()
-    for _ in range(2):
-        near = sorted((r for r in rows if r[0] in frontier or r[1] in frontier), key=lambda r: (-r[2], r[0], r[1]))[: 3 * 8]
-        frontier = []
-        for r in near:
-            new = {r[0], r[1]} - seen
-            if new and len(seen) >= 8:
-                continue
-            seen |= new
-            frontier += sorted(new)
-            want.add(r)
-    got = bounded_subgraph(spark.createDataFrame(rows, "student long, teacher long, weight long"), 0, hops=2, cap=8).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
 def test_sequences_and_what_they_miss(spark):
     heads = [(1, 1, [4], True), (1, 2, [1], False), (1, 3, [1], True), (1, 4, [2, 3], False), (1, 5, [5], True), (1, 6, [4, 6], True), (1, 7, [4], False), (2, 1, [1, 2], True), (2, 2, [], True)]
     rows = spark.createDataFrame(heads, "edition_id int, seq long, numbers array<int>, opens boolean").repartition(3)

@@ -22,6 +22,9 @@ def pick(expr: str, *items: str | None) -> str:
 
 NAMES = ("محمد", "احمد", "سفيان", "مالك", "نافع", "شعبه", "هشام", "يحيي", "عمرو", "ابراهيم", "علي", "حماد")
 FATHERS = ("عيينه", "انس", "عمر", "الحجاج", "عروه", "سعيد", "دينار", "يزيد", "سلمه", "زيد")
+GRADES = (
+    "ثقه ثبت", "ثقه", "صدوق يهم", "صدوق", "مقبول", "ضعيف", "متروك", None, "صحابي جليل", "لين الحديث", "مجهول الحال", "كذاب", "لا باس به", "متفق علي توثيقه", "امام", "لا يعرف",
+)
 VERBS = ("حدثنا", "اخبرنا", "عن")
 MATNS = (
     "قَالَ رسول الله انما الاعمال بالنيات هذا حديث حسن صحيح",
@@ -61,10 +64,11 @@ def views(duckdb: bool) -> dict[str, str]:
             {pick('s_suppkey % 5', 'صحابي', 'تابعي', 'من أتباع التابعين', 'من تبع الأتباع', None)} AS generation,
             CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE CAST(30 + s_suppkey % 270 AS INT) END AS death_year_h,
             {array("concat('place', CAST(s_nationkey AS VARCHAR(9)))", "concat('place', CAST(s_suppkey % 7 AS VARCHAR(9)))")} AS places,
-            {pick('s_suppkey % 8', 'ثقة ثبت', 'ثقة', 'صدوق يهم', 'صدوق', 'مقبول', 'ضعيف', 'متروك', None)} AS rijal_grade FROM {{supplier}}""",
+            {pick('s_suppkey % 16', *GRADES)} AS rijal_grade,
+            {pick('s_suppkey % 14', *(str(k) for k in range(1, 13)), 'x', None)} AS tabaqa_no, {pick('(s_suppkey % 14 + floor(s_suppkey / 14) % 3) % 4', 'الكبار', 'الوسطى', 'الصغار', None)} AS tabaqa_label FROM {{supplier}}""",
         "aliases": f"""SELECT s_suppkey AS narrator_id, concat({pick('s_suppkey % 12', *NAMES)}, ' ابن ', {pick('floor(s_suppkey / 12) % 10', *FATHERS)}) AS alias_norm FROM {{supplier}}
             UNION ALL SELECT s_suppkey, concat('ابو ', {pick('s_suppkey % 12', *NAMES)}) FROM {{supplier}} WHERE s_suppkey % 3 = 0""",
-        "links": f"""SELECT l_orderkey AS chain_id, l_linenumber AS pos, CASE WHEN min(l_suppkey) % 17 = 0 THEN NULL ELSE min(l_suppkey) END AS narrator_id,
+        "links": f"""SELECT l_orderkey + 10000000 AS chain_id, l_linenumber AS pos, CASE WHEN min(l_suppkey) % 17 = 0 THEN NULL ELSE min(l_suppkey) END AS narrator_id,
             {pick("CASE min(l_returnflag) WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END", *VERBS)} AS verb, {name('min(l_suppkey)')} AS mention_ar, {name('min(l_suppkey)')} AS mention_norm
             FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber""",
         "works": f"""SELECT n_nationkey AS work_id, concat('كتاب ', n_name) AS title_ar, lower(concat('كتاب ', n_name)) AS title_norm,
@@ -76,8 +80,8 @@ def views(duckdb: bool) -> dict[str, str]:
             SELECT o_orderkey AS passage_id, CAST((o_custkey % 25) * 2 + o_orderkey % 2 AS INT) AS edition_id, CASE WHEN o_orderstatus = 'P' THEN 'page' ELSE 'unit' END AS kind,
             o_orderkey AS seq, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_orderkey % 3000 AS VARCHAR(9)) END AS unit_num,
             CAST(o_orderkey % 9 AS VARCHAR(9)) AS part, CAST(o_custkey % 400 AS VARCHAR(9)) AS page,
-            concat(CASE WHEN sanad IS NULL THEN '' ELSE concat(sanad, ' ') END, {pick(f'o_orderkey % {len(MATNS)}', *MATNS)}) AS text_raw FROM {{orders}} LEFT JOIN {{chain_texts}} ON chain_id = o_orderkey) AS t""",
-        "chains": f"""SELECT o_orderkey AS chain_id, o_orderkey AS passage_id, 0 AS ord, round(o_totalprice / 500000, 4) AS confidence,
+            concat(CASE WHEN sanad IS NULL THEN '' ELSE concat(sanad, ' ') END, {pick(f'o_orderkey % {len(MATNS)}', *MATNS)}) AS text_raw FROM {{orders}} LEFT JOIN {{chain_texts}} ON chain_id = o_orderkey + 10000000) AS t""",
+        "chains": f"""SELECT o_orderkey + 10000000 AS chain_id, o_orderkey AS passage_id, 0 AS ord, round(o_totalprice / 500000, 4) AS confidence,
             CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN -1 ELSE CAST(o_orderkey % 60 AS INT) END AS sanad_end_raw,
             CASE o_orderkey % 4 WHEN 0 THEN {array("'dropped_mention'", "'speech_boundary'")} WHEN 1 THEN {array("'no_matn_marker'")} WHEN 2 THEN {array("'speech_boundary'")} ELSE {array("'-'")} END AS flags
             FROM {{orders}} WHERE o_orderkey IN (SELECT l_orderkey FROM {{lineitem}})""",

@@ -64,31 +64,32 @@ def hash_split(key: Column) -> Column:
     return F.when(place < 90, "train").when(place < 95, "dev").otherwise("test")
 
 
-def chunk_spans(text: str, size: int = 1500, overlap: int = 200, slack: int = 300) -> list[str]:
-    chunks, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            space = text.rfind(" ", end - slack, end)
-            end = space if space > start else end
-        if piece := text[start:end].strip():
-            chunks.append(piece)
-        if end == len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return chunks
-
-
-@vectorized("array<string>")
-def _long_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: chunk_spans(x) if isinstance(x, str) else None)
-
-
-def chunk_text(text: Column, size: int = 1500) -> Column:
-    """Chunks for embedding; a text of one chunk stays in SQL."""
-    whole = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    short = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole))
-    return F.when(F.length(text) <= size, short).otherwise(_long_chunks(F.when(F.length(text) > size, text)))
+def chunk_text(text: Column, size: int = 1500, overlap: int = 200, slack: int = 300) -> Column:
+    """Stripped chunks of at most ``size`` characters for embedding, none of them empty.
+
+    A chunk ends at the last space of its final ``slack`` characters if there is one, and the next begins
+    ``overlap`` characters before that end.  A fold over as many steps as a text can have chunks."""
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    whole = strip(text)
+    n = F.length(whole)
+    many = F.ceil(n / max(1, size - slack - overlap)).cast("int")
+
+    def step(state, _):
+        start = state["next"]
+        full = F.least(start + size, n)
+        tail = F.reverse(F.substring(whole, full - slack + 1, F.lit(slack)))  # the last characters of a full chunk
+        space = full - F.instr(tail, " ")
+        end = F.when((full < n) & (F.instr(tail, " ") > 0) & (space > start), space).otherwise(full)
+        piece = F.struct(start.alias("at"), (end - start).alias("n"))
+        more = F.greatest(end - overlap, start + 1)
+        return F.when(start >= n, state).otherwise(
+            F.struct(F.when(end >= n, n).otherwise(more).alias("next"), F.concat(state["pieces"], F.array(piece)).alias("pieces"))
+        )
+
+    none = F.array().cast("array<struct<at: int, n: int>>")
+    pieces = F.aggregate(F.sequence(F.lit(1), many), F.struct(F.lit(0).alias("next"), none.alias("pieces")), step, lambda s: s["pieces"])
+    cut = F.filter(F.transform(pieces, lambda p: strip(F.substring(whole, p["at"] + 1, p["n"]))), lambda c: c != "")
+    return F.when(whole == "", F.array().cast("array<string>")).when(n <= size, F.array(whole)).otherwise(cut)
 
 
 def word_windows(text: Column, size: int = 380) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from warraq.functions.arabic import normalize_arabic
 from warraq.registry import query
 
 count, distinct = F.count, F.countDistinct
@@ -51,29 +52,57 @@ def _(t):
     return t.grades.groupBy("grade_norm", "source").agg(count("*").alias("n"))
 
 
-#: Buckets of biographical grades by their first words, in order of severity.
-BUCKETS = (("ثقة ثبت", "thiqa_thabt"), ("ثقة", "thiqa"), ("صدوق يهم", "saduq_yahim"), ("صدوق", "saduq"), ("مقبول", "maqbul"), ("ضعيف", "daif"), ("متروك", "matruk"))
+# Buckets of biographical grades by their first words (normalised), and their order of severity.
+BUCKETS = (
+    ("صحابي", "sahabi"), ("ثقه", "thiqa"), ("متفق", "thiqa"), ("امام", "thiqa"), ("صدوق", "saduq"), ("لا باس", "saduq"), ("مقبول", "maqbul"),
+    ("لين", "layyin"), ("ضعيف", "daif"), ("مجهول", "majhul"), ("متروك", "matruk"), ("كذاب", "kadhdhab"),
+)
+SEVERITY = ("sahabi", "thiqa", "saduq", "maqbul", "layyin", "daif", "majhul", "matruk", "kadhdhab", "other")
 
 
 def rijal_bucket(grade: F.Column) -> F.Column:
-    out = F.when(grade.isNull(), "none")
+    """The bucket of a grade in any spelling; null without a grade."""
+    norm = normalize_arabic(grade)
+    out = F.when(grade.isNull(), None)
     for start, bucket in BUCKETS:
-        out = out.when(grade.startswith(start), bucket)
+        out = out.when(norm.startswith(start), bucket)
     return out.otherwise("other")
 
 
-BUCKET_SQL = "CASE WHEN rijal_grade IS NULL THEN 'none' " + " ".join(f"WHEN starts_with(rijal_grade, '{s}') THEN '{b}'" for s, b in BUCKETS) + " ELSE 'other' END"
+def grade_buckets(narrators: DataFrame) -> DataFrame:
+    """Graded narrators (rijal_grade) by bucket: bucket, severity (from 1, the best), n; best first."""
+    counted = narrators.where("rijal_grade is not null").groupBy(rijal_bucket(F.col("rijal_grade")).alias("bucket")).agg(count("*").alias("n"))
+    return counted.withColumn("severity", F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("bucket"))).orderBy("severity")
 
 
-@query("rijal_bucket", f"SELECT {BUCKET_SQL} AS bucket, count(*) AS n FROM narrators GROUP BY 1")
+def narrator_profile(narrators: DataFrame) -> DataFrame:
+    """Narrators by bucket of their grade and by class (tabaqa_no, tabaqa_label), with the total of each part:
+    part, key, place, label, n, total.  A class is a number; its label is the usual one (of equally usual
+    ones the first by spelling)."""
+    grades = grade_buckets(narrators).select(F.lit("grade").alias("part"), F.col("bucket").alias("key"), "severity", F.lit(None).cast("string").alias("label"), "n")
+    classed = narrators.where(F.col("tabaqa_no").rlike(r"^\d+$")).withColumn("place", F.col("tabaqa_no").cast("long"))
+    usual = classed.where("tabaqa_label is not null").groupBy("place", "tabaqa_label").agg(count("*").alias("k"))
+    usual = usual.groupBy("place").agg(F.min_by("tabaqa_label", F.struct(-F.col("k"), F.col("tabaqa_label"))).alias("label"))
+    classes = classed.groupBy("place").agg(count("*").alias("n")).join(usual, "place", "left")
+    rows = grades.withColumnRenamed("severity", "place").unionByName(classes.select(F.lit("class").alias("part"), F.col("place").cast("string").alias("key"), "place", "label", "n"))
+    return rows.withColumn("total", F.sum("n").over(Window.partitionBy("part"))).orderBy("part", "place")
+
+
+BUCKET_SQL = f"""SELECT bucket, list_position([{", ".join(f"'{x}'" for x in SEVERITY)}], bucket)::BIGINT AS severity, count(*) AS n
+  FROM (SELECT CASE {" ".join(f"WHEN starts_with(rijal_grade, '{s}') THEN '{b}'" for s, b in BUCKETS)} ELSE 'other' END AS bucket FROM narrators WHERE rijal_grade IS NOT NULL) GROUP BY 1"""
+
+
+@query("rijal_bucket", BUCKET_SQL)
 def _(t):
-    return t.narrators.groupBy(rijal_bucket(F.col("rijal_grade")).alias("bucket")).agg(count("*").alias("n"))
+    return grade_buckets(t.narrators)
 
 
-@query("narrator_profile", "SELECT generation, count(*) AS n, (SELECT min(g) FROM (SELECT rijal_grade AS g, count(*) AS k, generation AS gen FROM narrators WHERE rijal_grade IS NOT NULL GROUP BY 1, 3) WHERE gen IS NOT DISTINCT FROM n.generation AND k = (SELECT max(k) FROM (SELECT count(*) AS k, generation AS gen FROM narrators WHERE rijal_grade IS NOT NULL GROUP BY rijal_grade, generation) WHERE gen IS NOT DISTINCT FROM n.generation)) AS usual_grade FROM narrators n GROUP BY 1")
+@query("narrator_profile", f"""WITH g AS ({BUCKET_SQL}), c AS (SELECT tabaqa_no::BIGINT AS place, tabaqa_label AS label FROM narrators WHERE regexp_matches(tabaqa_no, '^[0-9]+$')),
+  u AS (SELECT place, label FROM (SELECT place, label, row_number() OVER (PARTITION BY place ORDER BY count(*) DESC, label) AS rn FROM c WHERE label IS NOT NULL GROUP BY 1, 2) WHERE rn = 1)
+  SELECT 'grade' AS part, bucket AS key, severity AS place, NULL::VARCHAR AS label, n, (SELECT sum(n) FROM g)::BIGINT AS total FROM g
+  UNION ALL SELECT 'class', k.place::VARCHAR, k.place, u.label, k.n, (SELECT count(*) FROM c) FROM (SELECT place, count(*) AS n FROM c GROUP BY 1) k LEFT JOIN u USING (place)""")
 def _(t):
-    usual = F.expr("mode() within group (order by rijal_grade)")
-    return t.narrators.groupBy("generation").agg(count("*").alias("n"), usual.alias("usual_grade"))
+    return narrator_profile(t.narrators)
 
 
 def counted_pairs(rows: DataFrame, key: str, of: str, name: str) -> DataFrame:
@@ -238,16 +267,46 @@ def _(t):
     return chains.select("passage_id", "chain_id", F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["pos"], x["verb"], x["mention_norm"])), " | ").alias("chain"))
 
 
-@query("chain_quality", "SELECT count(*) AS chains, round(100.0 * count_if(sanad_end_raw > 0) / count(*), 2) AS coverage, count_if(list_contains(flags, 'speech_boundary')) AS speech, count_if(list_contains(flags, 'no_matn_marker')) AS no_marker, count_if(list_contains(flags, 'dropped_mention')) AS dropped, round(avg(confidence), 3) AS confidence FROM chains")
-def _(t):
+def chain_quality(passages: DataFrame, chains: DataFrame) -> DataFrame:
+    """One row on the parse of a corpus: units, chains, coverage (chains in percent of units), those with a
+    boundary, flags, dropped mentions in percent of the chains, and the mean confidence."""
     has = lambda f: F.count_if(F.array_contains("flags", f))
-    return t.chains.agg(count("*").alias("chains"), F.round(F.count_if(F.col("sanad_end_raw") > 0) * 100.0 / count("*"), 2).alias("coverage"), has("speech_boundary").alias("speech"), has("no_matn_marker").alias("no_marker"), has("dropped_mention").alias("dropped"), F.round(F.avg("confidence"), 3).alias("confidence"))
+    found = chains.agg(
+        count("*").alias("chains"), count("sanad_end_raw").alias("with_boundary"), has("speech_boundary").alias("speech"), has("no_matn_marker").alias("no_marker"),
+        has("dropped_mention").alias("dropped"), F.round(F.avg("confidence"), 3).alias("confidence"),
+    )
+    share = lambda part, whole, digits: F.round(F.col(part) * 100.0 / F.greatest(F.col(whole), F.lit(1)), digits)
+    both = totals(units=passages.where("kind = 'unit'")).crossJoin(found)  # a row each
+    return both.withColumns({"coverage": share("chains", "units", 1), "dropped_share": share("dropped", "chains", 2)})
+
 
+def chain_quality_by_work(works: DataFrame, editions: DataFrame, passages: DataFrame, chains: DataFrame) -> DataFrame:
+    """Texts (title_ar) with units, chains, chains with a dropped mention, and coverage in percent, the least
+    covered first; works without units are left out.  Chains are summed by passage first, so that
+    nothing is counted as distinct."""
+    each = chains.groupBy("passage_id").agg(count("*").alias("k"), F.count_if(F.array_contains("flags", "dropped_mention")).alias("d"))
+    books = editions.select("edition_id", "work_id").join(works.where("kind = 'matn'").select("work_id", "title_ar"), "work_id")
+    rows = passages.select("edition_id", "passage_id", "kind").join(each, "passage_id", "left").join(books, "edition_id")
+    sums = rows.groupBy("title_ar").agg(F.count_if(F.col("kind") == "unit").alias("units"), F.coalesce(F.sum("k"), F.lit(0)).alias("chains"), F.coalesce(F.sum("d"), F.lit(0)).alias("flagged"))
+    ratio = F.col("chains") / F.col("units")
+    return sums.where("units > 0").withColumn("coverage", F.round(ratio * 100, 1)).orderBy(ratio, "title_ar")
 
-@query("chain_quality_by_work", "SELECT work_id, count(DISTINCT p.passage_id) AS units, count(DISTINCT chain_id) AS chains, count(DISTINCT CASE WHEN NOT list_contains(flags, '-') THEN chain_id END) AS flagged FROM editions JOIN passages p USING (edition_id) LEFT JOIN chains c ON c.passage_id = p.passage_id GROUP BY 1")
+
+@query("chain_quality", """SELECT *, round(100.0 * chains / greatest(units, 1), 1) AS coverage, round(100.0 * dropped / greatest(chains, 1), 2) AS dropped_share FROM (
+  SELECT (SELECT count(*) FROM passages WHERE kind = 'unit') AS units, count(*) AS chains, count(*) FILTER (WHERE sanad_end_raw IS NOT NULL) AS with_boundary,
+    count(*) FILTER (WHERE list_contains(flags, 'speech_boundary')) AS speech, count(*) FILTER (WHERE list_contains(flags, 'no_matn_marker')) AS no_marker,
+    count(*) FILTER (WHERE list_contains(flags, 'dropped_mention')) AS dropped, round(avg(confidence), 3) AS confidence FROM chains)""")
+def _(t):
+    return chain_quality(t.passages, t.chains)
+
+
+@query("chain_quality_by_work", """SELECT *, round(100.0 * chains / units, 1) AS coverage FROM (
+  SELECT w.title_ar, count(DISTINCT p.passage_id) FILTER (WHERE p.kind = 'unit') AS units, count(DISTINCT c.chain_id) AS chains,
+    count(DISTINCT c.chain_id) FILTER (WHERE list_contains(c.flags, 'dropped_mention')) AS flagged
+  FROM editions e JOIN works w USING (work_id) JOIN passages p USING (edition_id) LEFT JOIN chains c ON c.passage_id = p.passage_id
+  WHERE w.kind = 'matn' GROUP BY 1 HAVING count(*) FILTER (WHERE p.kind = 'unit') > 0)""")
 def _(t):
-    rows = t.editions.select("edition_id", "work_id").join(t.passages.select("edition_id", "passage_id"), "edition_id").join(t.chains.select("passage_id", "chain_id", "flags"), "passage_id", "left")
-    return rows.groupBy("work_id").agg(distinct("passage_id").alias("units"), distinct("chain_id").alias("chains"), distinct(F.when(~F.array_contains("flags", "-"), F.col("chain_id"))).alias("flagged"))
+    return chain_quality_by_work(t.works, t.editions, t.passages, t.chains)
 
 
 @query("hop_percentiles", "SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY hops) AS median, min(hops) AS least, max(hops) AS most FROM (SELECT count(*) AS hops FROM links GROUP BY chain_id)")
@@ -425,9 +484,19 @@ def _(t):
     return t.passages.select("passage_id", "edition_id").orderBy("edition_id", "passage_id").offset(300).limit(100)
 
 
-@query("review_sample", "SELECT chain_id, confidence FROM chains WHERE NOT list_contains(flags, '-') ORDER BY confidence, chain_id LIMIT 5")
+def review_sample(chains: DataFrame, passages: DataFrame, editions: DataFrame, works: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` surest chains with a dropped mention (of equally sure ones those of the least ids), with number,
+    title and the first letters of their text."""
+    top = chains.where(F.array_contains("flags", "dropped_mention")).orderBy(F.desc("confidence"), "chain_id").limit(n)
+    rows = top.select("chain_id", "passage_id", "confidence").join(passages.select("passage_id", "edition_id", "unit_num", F.left("text_raw", F.lit(100)).alias("head")), "passage_id")
+    return rows.join(editions.select("edition_id", "work_id"), "edition_id").join(works.select("work_id", "title_ar"), "work_id").select("passage_id", "unit_num", "title_ar", "head", "confidence")
+
+
+@query("review_sample", """SELECT c.passage_id, p.unit_num, w.title_ar, left(p.text_raw, 100) AS head, c.confidence
+  FROM chains c JOIN passages p USING (passage_id) JOIN editions e ON e.edition_id = p.edition_id JOIN works w USING (work_id)
+  WHERE list_contains(c.flags, 'dropped_mention') ORDER BY c.confidence DESC, c.chain_id LIMIT 5""")
 def _(t):
-    return t.chains.where(~F.array_contains("flags", "-")).orderBy("confidence", "chain_id").select("chain_id", "confidence").limit(5)
+    return review_sample(t.chains, t.passages, t.editions, t.works)
 
 
 @query("random_sample", "SELECT passage_id FROM passages ORDER BY md5(concat(passage_id, ':7')), passage_id LIMIT 100")

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from warraq.operators.analytics import TRANSMISSION
 from warraq.registry import query
 
 
@@ -61,10 +62,12 @@ def _(t):
     return t.passages.where(F.col("text_raw").contains("قَالَ رسول")).select("passage_id")
 
 
-def search_facets(passages, editions, works=None, subject_links=None, links=None, types=None, grades=None, *, source=None, edition=None, work_kind=None, subject=None, verbs=None, type_norm=None, grade=None) -> DataFrame:
+def search_facets(passages, editions, works=None, subject_links=None, chains=None, links=None, types=None, grades=None, *, source=None, edition=None, work_kind=None, subject=None, transmission=None, type_norm=None, grade=None) -> DataFrame:
     """Passages left by the facets that are set; without a source the structural archive is left out.
 
-    ``work_kind``: a book type of the edition (matn, service, page-archive), or else a kind of the work."""
+    ``work_kind``: a book type of the edition (matn, service, page-archive), or else a kind of the work.
+    ``transmission``: a class of means of transmission (sama, ikhbar, inba, ananah), or else a verb, that
+    a link of one of the passage's chains has."""
     books = editions.where(F.col("source") == source) if source else editions.where("source <> 'archive'")
     if edition is not None:
         books = books.where(F.col("edition_id") == edition)
@@ -75,8 +78,9 @@ def search_facets(passages, editions, works=None, subject_links=None, links=None
     out = passages.join(books.select("edition_id"), "edition_id", "left_semi")
     if subject is not None:
         out = out.join(subject_links.where(F.col("subject_id") == subject), "passage_id", "left_semi")
-    if verbs:
-        out = out.join(links.where(F.col("verb").isin(verbs)).select(F.col("chain_id").alias("passage_id")), "passage_id", "left_semi")
+    if transmission:
+        linked = links.where(F.col("verb").isin(*TRANSMISSION.get(transmission, (transmission,)))).select("chain_id")
+        out = out.join(chains.select("chain_id", "passage_id").join(linked, "chain_id", "left_semi"), "passage_id", "left_semi")
     if type_norm:
         out = out.join(types.where(F.col("type_norm") == type_norm), "passage_id", "left_semi")
     if grade:
@@ -84,15 +88,15 @@ def search_facets(passages, editions, works=None, subject_links=None, links=None
     return out
 
 
-@query("search_facets", "SELECT passage_id FROM passages JOIN editions USING (edition_id) WHERE source <> 'archive' AND passage_id IN (SELECT passage_id FROM subject_links WHERE subject_id = 3) AND passage_id IN (SELECT chain_id FROM links WHERE verb = 'عن') AND passage_id IN (SELECT passage_id FROM types WHERE type_norm = 'marfu') AND passage_id IN (SELECT passage_id FROM grades WHERE grade_norm = 'daif')")
+@query("search_facets", "SELECT passage_id FROM passages JOIN editions USING (edition_id) WHERE source <> 'archive' AND passage_id IN (SELECT passage_id FROM subject_links WHERE subject_id = 3) AND EXISTS (SELECT 1 FROM chains c JOIN links l USING (chain_id) WHERE c.passage_id = passages.passage_id AND l.verb IN ('اخبرنا', 'اخبرني', 'انا', 'ابنا')) AND passage_id IN (SELECT passage_id FROM types WHERE type_norm = 'marfu') AND passage_id IN (SELECT passage_id FROM grades WHERE grade_norm = 'daif')")
 def _(t):
-    return search_facets(t.passages, t.editions, t.works, t.subject_links, t.links, t.types, t.grades, subject=3, verbs=["عن"], type_norm="marfu", grade="daif").select("passage_id")
+    return search_facets(t.passages, t.editions, t.works, t.subject_links, t.chains, t.links, t.types, t.grades, subject=3, transmission="ikhbar", type_norm="marfu", grade="daif").select("passage_id")
 
 
-@query("search_facets_books", "SELECT 'edition' AS facet, passage_id FROM passages WHERE edition_id = 6 UNION ALL SELECT 'type', passage_id FROM passages JOIN editions USING (edition_id) WHERE book_type = 'page-archive' AND source <> 'archive' UNION ALL SELECT 'kind', passage_id FROM passages JOIN editions e USING (edition_id) JOIN works w USING (work_id) WHERE w.kind = 'rijal' AND source <> 'archive' UNION ALL SELECT 'source', passage_id FROM passages JOIN editions USING (edition_id) WHERE source = 'archive'")
+@query("search_facets_books", "SELECT 'edition' AS facet, passage_id FROM passages WHERE edition_id = 6 UNION ALL SELECT 'type', passage_id FROM passages JOIN editions USING (edition_id) WHERE book_type = 'page-archive' AND source <> 'archive' UNION ALL SELECT 'kind', passage_id FROM passages JOIN editions e USING (edition_id) JOIN works w USING (work_id) WHERE w.kind = 'rijal' AND source <> 'archive' UNION ALL SELECT 'source', passage_id FROM passages JOIN editions USING (edition_id) WHERE source = 'archive' UNION ALL SELECT 'verb', passage_id FROM passages p JOIN editions USING (edition_id) WHERE source <> 'archive' AND EXISTS (SELECT 1 FROM chains c JOIN links l USING (chain_id) WHERE c.passage_id = p.passage_id AND l.verb = 'عن')")
 def _(t):
     left = lambda name, **facets: search_facets(t.passages, t.editions, t.works, **facets).select(F.lit(name).alias("facet"), "passage_id")
-    return left("edition", edition=6).unionByName(left("type", work_kind="page-archive")).unionByName(left("kind", work_kind="rijal")).unionByName(left("source", source="archive"))
+    return left("edition", edition=6).unionByName(left("type", work_kind="page-archive")).unionByName(left("kind", work_kind="rijal")).unionByName(left("source", source="archive")).unionByName(left("verb", chains=t.chains, links=t.links, transmission="عن"))
 
 
 def named(narrators: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
@@ -156,9 +160,9 @@ def narrator_directory(
     return page.join(books, "narrator_id", "left").fillna(0, ["books"])
 
 
-@query("narrator_directory_filter", "SELECT narrator_id FROM narrators WHERE contains(rijal_grade, 'ثقة') AND len(list_filter(places, lambda p: contains(p, '3'))) > 0 AND death_year_h BETWEEN 30 AND 120 AND narrator_id IN (SELECT narrator_id FROM links GROUP BY 1 HAVING count(*) >= 5) ORDER BY narrator_id LIMIT 1000")
+@query("narrator_directory_filter", "SELECT narrator_id FROM narrators WHERE contains(rijal_grade, 'ثقه') AND len(list_filter(places, lambda p: contains(p, '3'))) > 0 AND death_year_h BETWEEN 30 AND 120 AND narrator_id IN (SELECT narrator_id FROM links GROUP BY 1 HAVING count(*) >= 5) ORDER BY narrator_id LIMIT 1000")
 def _(t):
-    return narrator_directory(t, grade="ثقة", place="3", death_from=30, death_to=120, least_mentions=5, sort="id", n=1000).select("narrator_id")
+    return narrator_directory(t, grade="ثقه", place="3", death_from=30, death_to=120, least_mentions=5, sort="id", n=1000).select("narrator_id")
 
 
 NEXT = "SELECT a.narrator_id AS student, b.narrator_id AS teacher FROM links a JOIN links b ON b.chain_id = a.chain_id AND b.pos = a.pos + 1"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions.arabic import normalize_arabic
-from warraq.operators.rules import heading_classify, heading_level, lines_of, number_head, synthetic_pages
+from warraq.operators.rules import heading_classify, heading_level, lines_of, number_head, number_reconcile, synthetic_pages
 from warraq.functions.vectorized import once
 from warraq.registry import query
 
@@ -137,10 +137,20 @@ OPENER = r"^(حدثنا|حدثني|اخبرنا|اخبرني|انبانا|سمع
 
 def segment_units_flat(pages: DataFrame) -> DataFrame:
     """Units (passage_id, start, end, number, heading) of flat pages: boundaries are headings, number
-    heads and lines that open a chain; a unit runs to the next boundary."""
+    heads and lines that open a chain; a unit runs to the next boundary.
+
+    Of a page's numbers only those of a roughly rising run open units (years and page numbers break
+    it), and such a unit starts at its number."""
     lines = lines_of(pages.withColumn("size", F.length("text_raw")))
-    marks = lines.withColumns({"level": heading_level(F.col("line")), "number": number_head(F.col("line")), "opens": normalize_arabic(F.col("line")).rlike(OPENER)})
+    marks = once(lines, level=heading_level(F.col("line")), number=number_head(F.col("line")), opens=normalize_arabic(F.col("line")).rlike(OPENER))
+    marks = marks.where("level is not null or number is not null or opens")
+    listed = marks.where("number is not null").groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "number"))).alias("x"))
+    stays = once(listed, kept=number_reconcile(F.transform("x", lambda r: r["number"])))
+    stays = stays.select("passage_id", F.explode(F.transform("kept", lambda i: F.get("x", i)["line_no"])).alias("line_no"), F.lit(True).alias("stays"))
+    marks = marks.join(stays, ["passage_id", "line_no"], "left").withColumn("number", F.when(F.col("stays"), F.col("number")))
     marks = marks.where("level is not null or number is not null or opens")
+    digit = F.regexp_instr("line", F.lit("[0-9٠-٩]")) - 1
+    marks = marks.withColumn("start", F.when(F.col("number").isNotNull(), F.col("start") + digit).otherwise(F.col("start")))
     order = Window.partitionBy("passage_id").orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     marks = marks.withColumns({"end": F.coalesce(F.lead("start").over(order), F.col("size")), "heading": F.last(F.when(F.col("level").isNotNull(), F.trim("line")), ignorenulls=True).over(so_far)})
