@@ -129,6 +129,7 @@ def with_views(sql: str) -> str:
 
 
 _persisted: dict[tuple[str, str], DataFrame] = {}
+_postings: dict[tuple[str, str], DataFrame] = {}
 
 
 class Tables:
@@ -137,6 +138,16 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
+    @property
+    def postings(self) -> DataFrame:
+        """The postings of the passages' words, written once for a session and folder."""
+        from warraq.operators.postings import text_postings
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _postings:
+            _postings[key] = text_postings(self.passages)
+        return _postings[key]
+
     def _stored(self, name: str, make) -> DataFrame:
         """The passages are a table with their normalised text, not an expression of every query: they
         are persisted once for a session and folder (spilling to disk, and recomputed if lost)."""

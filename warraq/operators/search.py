@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.operators.analytics import TRANSMISSION
+from warraq.operators.postings import fts_match
 from warraq.registry import query
 
 
@@ -26,35 +29,35 @@ def parse_search(text: str) -> tuple[list[list[list[str]]], list[list[str]]]:
     return [g for g in groups if g], excluded
 
 
-def has_phrase(tokens: F.Column, phrase: list[str]) -> F.Column:
-    if len(phrase) == 1:
-        return F.array_contains(tokens, phrase[0])
-    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {' '.join(phrase)} ")
+FTS = "SELECT passage_id, round(len(list_filter(w, lambda x: x IN ('رسول', 'الله', 'بدر', 'تبوك'))) / (1 + ln(len(w))), 5) AS score FROM (SELECT passage_id, string_split(text_norm, ' ') AS w, concat(' ', text_norm, ' ') AS s FROM passages) WHERE (contains(s, ' رسول الله ') AND contains(s, ' بدر ') OR contains(s, ' تبوك ')) AND NOT contains(s, ' عمر ')"
+
+
+@query("fts_match", FTS + " ORDER BY score DESC, passage_id LIMIT 50")
+def _(t):
+    return fts_match(t.postings, '"رسول الله" بدر or تبوك -عمر')
 
 
-def fts_match(passages: DataFrame, search: str, n: int = 50) -> DataFrame:
-    """Passages that match, by score and id.  The score is the hits of the wanted words over 1 + log of the length."""
-    groups, excluded = parse_search(search)
-    tokens = F.col("w")
-    hit = F.lit(False)
-    for g in groups:
-        every = F.lit(True)
-        for phrase in g:
-            every &= has_phrase(tokens, phrase)
-        hit |= every
-    for phrase in excluded:
-        hit &= ~has_phrase(tokens, phrase)
-    wanted = sorted({w for g in groups for p in g for w in p})
-    score = F.round(F.size(F.filter(tokens, lambda w: w.isin(wanted))) / (1 + F.log(F.size(tokens).cast("double"))), 5)
-    return passages.select("passage_id", F.split("text_norm", " ").alias("w")).where(hit).select("passage_id", score.alias("score")).orderBy(F.desc("score"), "passage_id").limit(n)
+FORMS = {
+    "word": ("تبوك", "contains(s, ' تبوك ')", ("تبوك",)),
+    "both": ("رسول بدر", "contains(s, ' رسول ') AND contains(s, ' بدر ')", ("رسول", "بدر")),
+    "phrase": ('"قال رسول الله"', "contains(s, ' قال رسول الله ')", ("قال", "رسول", "الله")),
+    "either": ('تبوك or "يوم الجمل" or غريب', "(contains(s, ' تبوك ') OR contains(s, ' يوم الجمل ') OR contains(s, ' غريب '))", ("تبوك", "يوم", "الجمل", "غريب")),
+    "without": ('الله -"رسول الله" -حسن', "contains(s, ' الله ') AND NOT contains(s, ' رسول الله ') AND NOT contains(s, ' حسن ')", ("الله",)),
+}
 
 
-FTS = "SELECT passage_id, round(len(list_filter(w, lambda x: x IN ('رسول', 'الله', 'بدر', 'تبوك'))) / (1 + ln(len(w))), 5) AS score FROM (SELECT passage_id, string_split(text_norm, ' ') AS w, concat(' ', text_norm, ' ') AS s FROM passages) WHERE (contains(s, ' رسول الله ') AND contains(s, ' بدر ') OR contains(s, ' تبوك ')) AND NOT contains(s, ' عمر ')"
+def form_sql(name: str, holds: str, wanted: tuple[str, ...]) -> str:
+    """The whole result of one form, every match with its score."""
+    listed = ", ".join(f"'{w}'" for w in wanted)
+    return f"""SELECT '{name}' AS form, passage_id, round(len(list_filter(w, lambda x: x IN ({listed}))) / (1 + ln(len(w))), 5) AS score
+  FROM (SELECT passage_id, string_split(text_norm, ' ') AS w, concat(' ', text_norm, ' ') AS s FROM passages) WHERE {holds}"""
 
 
-@query("fts_match", FTS + " ORDER BY score DESC, passage_id LIMIT 50")
+@query("fts_forms", " UNION ALL ".join(form_sql(name, holds, wanted) for name, (_, holds, wanted) in FORMS.items()))
 def _(t):
-    return fts_match(t.passages, '"رسول الله" بدر or تبوك -عمر')
+    """Every form of a search line, with all that it matches."""
+    parts = [fts_match(t.postings, line, None).select(F.lit(name).alias("form"), "passage_id", "score") for name, (line, *_) in FORMS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("exact_match", "SELECT passage_id FROM passages WHERE contains(text_raw, 'قَالَ رسول')")
@@ -359,7 +362,7 @@ def hybrid_rrf(keyword: DataFrame, vector: DataFrame, n: int = 20, k: int = 60)
 
 @query("hybrid_rrf", f"WITH a AS (SELECT passage_id AS id, row_number() OVER (ORDER BY score DESC, passage_id) AS r1 FROM ({FTS} ORDER BY score DESC, passage_id LIMIT 50)), b AS (SELECT vec_id AS id, rank AS r2 FROM (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0)) WHERE rank <= 50) SELECT id, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 5) AS score FROM a FULL JOIN b USING (id) ORDER BY score DESC, id LIMIT 20")
 def _(t):
-    ranked = fts_match(t.passages, '"رسول الله" بدر or تبوك -عمر').select(F.col("passage_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "passage_id")).alias("rank"))
+    ranked = fts_match(t.postings, '"رسول الله" بدر or تبوك -عمر').select(F.col("passage_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "passage_id")).alias("rank"))
     near = vector_knn(t.embeddings, t.embeddings.where("vec_id = 0").withColumnRenamed("vec_id", "query_id"), 50).select(F.col("vec_id").alias("id"), "rank")
     return hybrid_rrf(ranked, near)
 
