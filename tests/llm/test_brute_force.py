@@ -386,6 +386,15 @@ def test_ids_stay_exact_beside_null_ones(spark):
     assert total == Counter({(1 << 60) + 1: 3, None: 2, 5: 18000, (1 << 60) + 3: 0}) and sum(r.doc_id == 5 for r in got) == 6
 
 
+def test_groups_follow_the_pieces_of_long_texts(spark, monkeypatch):
+    """Four texts of 300 pieces each make as many groups as 1200 short ones."""
+    monkeypatch.setattr(packing, "GROUP", 100)
+    long = spark.range(4).repartition(4).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit(300 * 4096).alias("size"))
+    got = packing.packed_sequences(long, tokens=F.col("size")).collect()
+    groups = Counter(r.bin_id.split("-")[0] for r in got)
+    assert len(got) == 1200 and len(groups) == 12 and max(groups.values()) <= 130
+
+
 def test_repeated_rows_are_dealt_evenly(spark, monkeypatch):
     """Groups are of about one size where all rows are equal, and each piece is in one bin."""
     monkeypatch.setattr(packing, "GROUP", 100)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm.common import documents, text_of
+from warraq.llm.common import documents, text_of, written
 
 #: Permitted sequence lengths, in tokens (words).
 LENGTHS = (256, 512, 1024, 2048, 4096)
@@ -128,9 +128,11 @@ def packed_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ``tokens``: a column with the length of a document; else the words of its text are counted."""
     largest = lengths[-1]
     n = tokens if tokens is not None else F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), n.cast("long").alias("total"))
-    groups = max(1, -(-docs.count() // GROUP))
-    pieces = rows.withColumn("piece", F.explode(F.expr(f"sequence(0L, greatest(0L, (total - 1) div {largest}))"))).select(
+    last = F.expr(f"greatest(0L, (total - 1) div {largest})")
+    rows = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), n.cast("long").alias("total")), "lengths")
+    many = rows.agg(F.sum(last + 1)).first()[0] or 0  # pieces, not documents: a long text has very many
+    groups = max(1, -(-many // GROUP))
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
         "doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.col("total") - F.col("piece") * largest, F.lit(largest)).alias("n_tokens")
     )
     # dealt in turn (after a sort that makes it repeatable), so that no row's contents make a group large
