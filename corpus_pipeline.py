@@ -17,16 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from warraq.llm import exact_dedup, mixture, packing, quality, shingle_join
-from warraq.llm.common import ARROW_KEY, ARROW_ROWS, written
+from warraq.llm.common import small_batches, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts.
-
-    Texts go to Python in the stage's own, later job, so the bound of its batches is the session's:
-    the pipeline sets it for its session."""
-    spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
-    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality classifier accepts, written while batches of texts are small."""
+    with small_batches(spark):
+        return written(quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "accepted")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
