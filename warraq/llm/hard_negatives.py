@@ -105,13 +105,14 @@ def intervals(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 
 class Tree:
-    """A packed R-tree over integer vectors: leaves of LEAF rows, and levels of boxes above them."""
+    """A packed R-tree over integer vectors: leaves of so many rows, and levels of boxes above them."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray):
-        cuts = Cuts(rows, -(-len(rows) // LEAF))
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
+        self.leaf = leaf
+        cuts = Cuts(rows, -(-len(rows) // leaf))
         by = np.lexsort((ids, cuts.tile(rows)))
         self.ids, self.labels, self.rows = ids[by], labels[by], rows[by]
-        starts = np.arange(0, len(ids), LEAF)
+        starts = np.arange(0, len(ids), leaf)
         lo, hi, first = np.minimum.reduceat(self.rows, starts), np.maximum.reduceat(self.rows, starts), np.minimum.reduceat(self.ids, starts)
         self.levels = [(lo, hi, first)]
         while len(lo) > 1:
@@ -152,7 +153,7 @@ class Tree:
                         if wanted(least[n], greatest[n], first[n]):
                             heapq.heappush(queue, (-greatest[n], level - 1, n))
                     continue
-                a, b = node * LEAF, (node + 1) * LEAF
+                a, b = node * self.leaf, (node + 1) * self.leaf
                 scores, own = rows[a:b] @ q[i], self.ids[a:b]
                 fits = ((self.labels[a:b] == labels[i]) == same) & (own != ids[i])
                 for j, (low, high, *_) in enumerate(windows[i]):
@@ -182,7 +183,7 @@ FOUND = "anchor_id long, target long, target_score long, vec_id long, score long
 FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
-def _found(dims, same, k, low, high):
+def _found(dims, same, k, low, high, leaf):
     """A part's rows, then the anchors that were sent to it: each anchor's best."""
 
     def run(batches):
@@ -196,7 +197,7 @@ def _found(dims, same, k, low, high):
             for at in range(cut, batch.num_rows, SLICE):
                 asked = batch.slice(at, min(SLICE, batch.num_rows - at))
                 if tree is None and held:
-                    tree = Tree(*(np.concatenate(x) for x in zip(*held)))
+                    tree = Tree(*(np.concatenate(x) for x in zip(*held)), leaf)
                     held = []
                 if tree is None:
                     continue
@@ -333,7 +334,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
         same = where != "windows"
         sent = asked.mapInArrow(_routed(directory, dims, where, low, high), schema)
         dealt = corpus.unionByName(sent).repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "side", "vec_id")
-        return written(dealt.mapInArrow(_found(dims, same, k, low, high), FOUND), where)
+        return written(dealt.mapInArrow(_found(dims, same, k, low, high, LEAF), FOUND), where)
 
     kept = lambda found: found.withColumn("rank", best(["anchor_id"], "vec_id")).where(F.col("rank") <= positives)
     target = F.struct("vec_id", "score")

@@ -153,7 +153,7 @@ NODES = pa.schema([("depth", pa.int64()), *((c, pa.int64()) for c in ("h1", "h2"
 NODES_DDL = "depth long, h1 long, h2 long, p1 long, p2 long, bytes long, n long, conv_id long, range long, ids binary"
 
 
-def expanded(trie: ZFastTrie, base: int):
+def expanded(trie: ZFastTrie, base: int, range_bits: int = RANGE_BITS):
     """A row for each depth of each edge, and rows with the ids that end at a node, by ranges of ids."""
     trie.counted()
     parts, n, least, kept = [], [], [], []
@@ -171,10 +171,10 @@ def expanded(trie: ZFastTrie, base: int):
         least.append(np.full(b - a, trie.least[node] if trie.least[node] is not None else -1))
         if trie.closed[node]:
             ids = np.sort(np.array(trie.closed[node], dtype=np.int64))
-            ranges = ids >> RANGE_BITS
+            ranges = ids >> range_bits
             cuts = np.flatnonzero(np.diff(ranges)) + 1
             for own in np.split(ids, cuts):
-                kept.append((base + trie.end[node], int(h1[-1].view(np.int64)), int(h2[-1].view(np.int64)), int(own[0] >> RANGE_BITS), own.tobytes()))
+                kept.append((base + trie.end[node], int(h1[-1].view(np.int64)), int(h2[-1].view(np.int64)), int(own[0] >> range_bits), own.tobytes()))
     if parts:
         columns = [np.concatenate(c).astype(np.uint64).view(np.int64) for c in zip(*parts)]
         columns += [np.concatenate(n), np.concatenate(least)]
@@ -199,23 +199,27 @@ def _words(batch: pa.RecordBatch):
         yield conv_id, base[i], closes[i], Word(every[at], sizes[at], base[i], b1[i], b2[i])
 
 
-def _tries(batches):
-    """Expanded nodes of the tries of each batch of a task's segments."""
-    tries, held = {}, 0
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for conv_id, base, closes, word in _words(batch):
-                key = (base, int(word.h1[0]), int(word.h2[0]))
-                if key not in tries:
-                    tries[key] = ZFastTrie(word)
-                tries[key].insert(word, conv_id, closes)
-                held += word.n + 1
-                if held >= BATCH:
-                    for (b, *_), trie in tries.items():
-                        yield from expanded(trie, b)
-                    tries, held = {}, 0
-        for (b, *_), trie in tries.items():
-            yield from expanded(trie, b)
+def _tries(most: int, range_bits: int):
+    """Expanded nodes of the tries of each batch, of about ``most`` turns, of a task's segments."""
+
+    def run(batches):
+        tries, held = {}, 0
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for conv_id, base, closes, word in _words(batch):
+                    key = (base, int(word.h1[0]), int(word.h2[0]))
+                    if key not in tries:
+                        tries[key] = ZFastTrie(word)
+                    tries[key].insert(word, conv_id, closes)
+                    held += word.n + 1
+                    if held >= most:
+                        for (b, *_), trie in tries.items():
+                            yield from expanded(trie, b, range_bits)
+                        tries, held = {}, 0
+            for (b, *_), trie in tries.items():
+                yield from expanded(trie, b, range_bits)
+
+    return run
 
 
 def _merged(batches):
@@ -349,7 +353,7 @@ def path_totals(paths: DataFrame, values: list[str], total: int, rounds: int = 6
 def prefix_nodes(conversations: DataFrame) -> DataFrame:
     """A row for each distinct prefix: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256."""
-    dealt = segments(conversations).mapInArrow(_tries, NODES_DDL)
+    dealt = segments(conversations).mapInArrow(_tries(BATCH, RANGE_BITS), NODES_DDL)
     sorted_ = dealt.repartition(*KEY).sortWithinPartitions(*KEY, F.col("range").asc_nulls_first())
     nodes = sorted_.mapInArrow(_merged, "depth long, h1 long, h2 long, p1 long, p2 long, bytes long, n long, conv_id long, ends_sha256 string")
     nodes = written(nodes, "nodes")
