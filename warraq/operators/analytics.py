@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions.arabic import normalize_arabic
+from warraq.operators.ordering import neighbours, numbered
 from warraq.registry import query
 
 count, distinct = F.count, F.countDistinct
@@ -428,13 +429,14 @@ def _(t):
 
 @query("reading_seq", "SELECT passage_id, edition_id, row_number() OVER (PARTITION BY edition_id ORDER BY passage_id)::INT - 1 AS seq FROM passages")
 def _(t):
-    order = Window.partitionBy("edition_id").orderBy("passage_id")
-    return t.passages.select("passage_id", "edition_id", (F.row_number().over(order) - 1).alias("seq"))
+    rows = numbered(t.passages.select("passage_id", "edition_id"), ["edition_id"], ["passage_id"])
+    return rows.select("passage_id", "edition_id", (F.col("pos") - 1).cast("int").alias("seq"))
 
 
 @query("unit_seq", "SELECT passage_id, row_number() OVER (PARTITION BY edition_id ORDER BY seq)::INT AS unit_seq FROM passages WHERE kind = 'unit'")
 def _(t):
-    return t.passages.where("kind = 'unit'").select("passage_id", F.row_number().over(Window.partitionBy("edition_id").orderBy("seq")).alias("unit_seq"))
+    rows = numbered(t.passages.where("kind = 'unit'").select("passage_id", "edition_id", "seq"), ["edition_id"], ["seq"])
+    return rows.select("passage_id", F.col("pos").cast("int").alias("unit_seq"))
 
 
 @query("position_gaps", "SELECT count_if(np - pos > 1) AS gaps FROM (SELECT pos, lead(pos) OVER (PARTITION BY chain_id ORDER BY pos) AS np FROM links)")
@@ -445,8 +447,7 @@ def _(t):
 
 @query("prev_next", "SELECT passage_id, lag(passage_id) OVER w AS prev_id, lead(passage_id) OVER w AS next_id FROM passages WINDOW w AS (PARTITION BY edition_id ORDER BY seq)")
 def _(t):
-    order = Window.partitionBy("edition_id").orderBy("seq")
-    return t.passages.select("passage_id", F.lag("passage_id").over(order).alias("prev_id"), F.lead("passage_id").over(order).alias("next_id"))
+    return neighbours(t.passages.select("passage_id", "edition_id", "seq"), ["edition_id"], ["seq"], "passage_id").select("passage_id", "prev_id", "next_id")
 
 
 def numbered_page(df: DataFrame, order: list, n: int, offset: int) -> DataFrame:

@@ -86,6 +86,12 @@ def _handed_on(rows: DataFrame, keys: list[str], running: list[str]) -> list[tup
     return out
 
 
+def in_ranges(df: DataFrame, by: list[Column | str]) -> DataFrame:
+    """``df`` dealt by ranges of ``by`` and sorted within them; ties are in the order of reading."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn(TIE, F.monotonically_increasing_id()).repartitionByRange(parts, *by, TIE).sortWithinPartitions(*by, TIE).drop(TIE)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column | str], sums: list[str] = (), position: str = "pos") -> DataFrame:
     """``df`` with the place of each row (from 1) among those of its ``keys``, by ``order``, and with
     ``<name>_so_far``, the sum of each of ``sums`` up to and with the row (nulls count as 0).
@@ -93,9 +99,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], sums: li
     Without ``keys`` all rows are one group.  Ties come in the order of reading.  Nulls are a group
     like any other.  An empty table gives an empty result."""
     spark, sums = df.sparkSession, list(sums)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = [*keys, *order, TIE]
-    dealt = df.withColumn(TIE, F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop(TIE)
+    dealt = in_ranges(df, [*keys, *order])
     running = [position, *(f"{s}_so_far" for s in sums)]
     added = [*(StructField(c, LongType()) for c in running), StructField(RANGE, IntegerType()), StructField(AT, LongType()), StructField(FIRST, BooleanType())]
     schema = StructType([*dealt.schema.fields, *added])
@@ -106,8 +110,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], sums: li
     rows = spark.read.schema(schema).parquet(path)
     handed = _handed_on(rows, list(keys) or [F.lit(0).alias("all")], running)
     if handed:
-        more = spark.createDataFrame(handed, f"{RANGE} int, " + ", ".join(f"_{c} long" for c in running))
+        more = spark.createDataFrame(handed, f"{RANGE} int, " + ", ".join(f"_more_{c} long" for c in running))
         rows = rows.join(F.broadcast(more.withColumn(FIRST, F.lit(True))), [RANGE, FIRST], "left")
         for c in running:
-            rows = rows.withColumn(c, F.col(c) + F.coalesce(f"_{c}", F.lit(0)))
+            rows = rows.withColumn(c, F.col(c) + F.coalesce(f"_more_{c}", F.lit(0)))
     return rows.select(*df.columns, *running)
+
+
+def neighbours(df: DataFrame, keys: list[str], order: list[Column | str], of: str) -> DataFrame:
+    """``df`` with prev_id and next_id, the value of ``of`` in the rows before and after each row of its
+    ``keys`` (not null) by ``order``: places are numbered by ranges and met by (keys, place), of which
+    no two rows have the same."""
+    rows = numbered(df, keys, order, position="_place")
+    at = lambda name, shift: rows.select(*keys, (F.col("_place") + shift).alias("_place"), F.col(of).alias(name))
+    by = [*keys, "_place"]
+    return rows.join(at("prev_id", 1), by, "left").join(at("next_id", -1), by, "left").select(*df.columns, "prev_id", "next_id")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions.arabic import normalize_arabic
-from warraq.operators.rules import heading_classify, heading_level, lines_of, number_head, number_reconcile, synthetic_pages
+from warraq.operators.ordering import in_ranges, numbered
+from warraq.operators.rules import heading_classify, heading_level, lines_of, may_head, number_head, number_reconcile, synthetic_pages
 from warraq.functions.vectorized import once
 from warraq.registry import query
+from warraq.sources.folders import fresh_folder
 
 
 def heading_lines(pages: DataFrame) -> DataFrame:
     """The heading lines of pages, with kind and title.  ``inline`` keeps the filter above the rules,
     which are then evaluated once a line and not once more to filter."""
-    lines = lines_of(pages).where(F.length(F.trim("line")) <= 160)
+    lines = lines_of(pages, keep=may_head)
     return lines.select("*", F.inline(F.array(heading_classify(F.col("line"))))).where("kind is not null and title <> ''")
 
 
@@ -96,40 +100,51 @@ def streamed(scan, schema: str):
 
 
 def _units(rows):
-    """Units from the candidate lines of editions, in order; the gate looks at accepted numbers, so it is a
-    scan, and it holds the open unit and the last number."""
-    edition = opened = last = None
-    n = 0
-    for of, passage, local, whole, again, start, heading, page_end, final in rows:
-        if of != edition:
-            edition, opened, last, n = of, None, None, 0
+    """Units of parts, from their lines in order; a part begins with a line whose number holds whatever was
+    before it, so parts need nothing of each other."""
+    part = opened = last = None
+    for edition, of, at, passage, local, whole, again, start, heading, page_end, final in rows:
+        if (edition, of) != part:
+            part, opened, last = (edition, of), None, None
         number, repeat = (local if whole is None else whole), False
         if number is None and again is not None and last is not None and abs(again - last) <= NEAR:
             number, repeat = again, True
         if opened and (number is not None or heading or final):
-            n += 1
-            yield (edition, n, *opened[:3], passage, page_end if final else start, *opened[3:])
+            yield (edition, *opened[:4], passage, page_end if final else start, *opened[4:])
             opened = None
         if number is not None:
             last = number
-            opened = (str(number), passage, start, str(local) if whole is not None else None, repeat)
+            opened = (at, str(number), passage, start, str(local) if whole is not None else None, repeat)
+
+
+PART = "edition_id int, at long, unit_num string, start_passage_id long, start_off int, end_passage_id long, end_off int, local_num string, repeat boolean"
 
 
 def segment_units_pages(pages: DataFrame) -> DataFrame:
     """Units across the pages of an edition.
 
-    Only lines that can open or close a unit go to the scan, as numbers and places without their
-    text, and a row for the end of each edition's last page; they are sorted by edition and stream
-    through a task, however many an edition has."""
-    lines = lines_of(pages.select("edition_id", "seq", "passage_id", "text_raw"))
-    able = F.col("line").rlike(r"^\s*[0-9٠-٩]+\s*[-–—]|^\s*\(\s*[0-9٠-٩]+\s*\)\s*\S")
-    kept = once(lines, able=able, heading=heading_classify(F.col("line")).isNotNull()).where("able or heading")
+    Only lines that can open or close a unit count, as numbers and places without their text, and a
+    row for the end of each edition's last page.  A number of its own sets the state whatever it was,
+    so a scan in ranges numbers the parts that begin with one, a part is also told where the next
+    begins, and tasks resolve parts: an edition with a third of all lines lies in very many."""
+    able = lambda line: line.rlike(r"^\s*[0-9٠-٩]+\s*[-–—]|^\s*\(\s*[0-9٠-٩]+\s*\)\s*\S")
+    lines = lines_of(pages.select("edition_id", "seq", "passage_id", "text_raw"), keep=lambda line: able(line) | may_head(line))
+    kept = once(lines.drop("text_raw"), able=able(F.col("line")), heading=heading_classify(F.col("line")).isNotNull()).where("able or heading")
     none = F.lit(None).cast("long")
     marks = kept.select("edition_id", "seq", "line_no", "passage_id", number_in(F.col("line"), NUMBER, 1).alias("local"), number_in(F.col("line"), NUMBER, 2).alias("whole"), number_in(F.col("line"), REPEAT, 1).alias("again"), "start", "heading", F.lit(0).alias("page_end"), F.lit(False).alias("final"))
     last = pages.groupBy("edition_id").agg(F.max(F.struct("seq", "passage_id", F.length("text_raw").alias("page_end"))).alias("x"))
     ends = last.select("edition_id", "x.seq", F.lit(2**31 - 1).alias("line_no"), "x.passage_id", none.alias("local"), none.alias("whole"), none.alias("again"), F.lit(0).alias("start"), F.lit(False).alias("heading"), "x.page_end", F.lit(True).alias("final"))
-    rows = marks.unionByName(ends).repartition("edition_id").sortWithinPartitions("edition_id", "seq", "line_no").drop("seq", "line_no")
-    return rows.mapInArrow(streamed(_units, UNIT), UNIT)
+    rows = once(marks.unionByName(ends), opens=F.coalesce("whole", "local").isNotNull().cast("long"))
+    placed = numbered(rows, ["edition_id"], ["seq", "line_no"], ["opens"], "at")
+    part = F.col("opens_so_far")
+    columns = ["at", "passage_id", "local", "whole", "again", "start", "heading", "page_end", "final"]
+    own = placed.where(part > 0).select("edition_id", part.alias("part"), *columns)
+    # the line that begins a part closes the one before
+    closing = {"local": none, "whole": none, "again": none, "heading": F.lit(True)}
+    before = placed.where((F.col("opens") == 1) & (part > 1)).withColumns(closing).select("edition_id", (part - 1).alias("part"), *columns)
+    rows = own.unionByName(before).repartition("edition_id", "part").sortWithinPartitions("edition_id", "part", "at")
+    units = numbered(rows.mapInArrow(streamed(_units, PART), PART), ["edition_id"], ["at"], position="unit_seq")
+    return units.select("edition_id", F.col("unit_seq").cast("int").alias("unit_seq"), *(c.split()[0] for c in UNIT.split(", ")[2:]))
 
 
 OPENER = r"^(حدثنا|حدثني|اخبرنا|اخبرني|انبانا|سمعت|عن|قال\s+رسول|وحدثنا|وحدثني|واخبرنا|واخبرني)(\s|$)"
@@ -169,23 +184,98 @@ def sanad_end_from_spans(units: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 ACCEPTED = "edition_id int, seq long, number int, until int, accepted boolean"
+#: Heads of a block.
+BLOCK = 1 << 16
+BLOCKED = "edition_id int, block long, at long, seq long, numbers array<int>, opens boolean, before binary, after binary"
+
+
+def run_of(numbers: list[int] | None) -> tuple[int, int] | None:
+    """First and last of numbers that follow each other."""
+    if numbers and numbers[0] > 0 and numbers == list(range(numbers[0], numbers[0] + len(numbers))):
+        return numbers[0], numbers[-1]
+    return None
+
+
+def summed_up(heads) -> dict[int, int]:
+    """The last accepted number after a block of heads (numbers, opens), by that before it; a number that
+    is not in the result stays as it is.  From the last head to the first: a head that continues
+    ``x`` leads on to what the heads after it make of its own last number."""
+    after: dict[int, int] = {}
+    for numbers, opens in reversed(heads):
+        run = run_of(numbers)
+        if run and (run[0] > 1 or opens):
+            after[run[0] - 1] = after.get(run[1], run[1])
+    return after
+
+
+def _blocked(most: int):
+    """Heads with the block that they are in, and a row for each block with what it does to the last number."""
+
+    def run(rows):
+        task, k, held, own = TaskContext.get().partitionId() << 32, 0, [], None
+
+        def closed():
+            found = sorted(summed_up([(numbers, opens) for _, numbers, opens in held]).items())
+            packed = [np.array(x, dtype=np.int64).tobytes() for x in zip(*found)] or [b"", b""]
+            return (own, task + k, None, None, None, None, *packed)
+
+        for edition, seq, numbers, opens in rows:
+            if held and (edition != own or len(held) == most):
+                yield closed()
+                held, k = [], k + 1
+            own = edition
+            held.append((seq, numbers, bool(opens)))
+            yield (edition, task + k, len(held), seq, numbers, bool(opens), None, None)
+        if held:
+            yield closed()
 
+    return run
 
-def _accepted(rows):
-    edition, last = None, 0
-    for of, seq, numbers, opens in rows:
+
+def _entered(rows):
+    """For each block, in order, the number that was accepted last before it."""
+    edition, last = object(), 0
+    for of, block, before, after in rows:
         if of != edition:
             edition, last = of, 0
-        good = bool(numbers) and numbers[0] == last + 1 and numbers == list(range(numbers[0], numbers[0] + len(numbers))) and bool(last > 0 or opens)
-        if good:
-            last = numbers[-1]
-        yield (of, seq, numbers[0] if numbers else None, numbers[-1] if numbers else None, good)
+        yield block, last
+        keys = np.frombuffer(before, np.int64)
+        at = int(np.searchsorted(keys, last))
+        if at < len(keys) and keys[at] == last:
+            last = int(np.frombuffer(after, np.int64)[at])
 
 
-def accept_sequence(heads: DataFrame) -> DataFrame:
+def _accepted(rows):
+    """Heads of blocks, each behind the row with the number that was accepted last before it."""
+    last = 0
+    for edition, at, seq, numbers, opens, entered in rows:
+        if at == 0:
+            last = entered
+            continue
+        run = run_of(numbers)
+        good = run is not None and run[0] == last + 1 and bool(last > 0 or opens)
+        last = run[1] if good else last
+        yield (edition, seq, numbers[0] if numbers else None, numbers[-1] if numbers else None, good)
+
+
+def accept_sequence(heads: DataFrame, block: int = BLOCK) -> DataFrame:
     """Heads (edition_id, seq, numbers, opens): numbers, one or a run of several, are accepted only in turn,
-    the first only where a chain opens it.  Heads stream through a task in order, which holds the last number."""
-    rows = heads.select("edition_id", F.col("seq").cast("long").alias("seq"), "numbers", "opens").repartition("edition_id").sortWithinPartitions("edition_id", "seq")
+    the first only where a chain opens it.
+
+    A scan in blocks: heads are dealt by ranges of (edition, seq); each block is summed up as a function
+    of the number accepted before it; one row a block is enough to know what enters each block, by
+    a binary search a block; then blocks are resolved, each in a task of its own."""
+    spark = heads.sparkSession
+    rows = heads.select(F.col("edition_id").cast("int").alias("edition_id"), F.col("seq").cast("long").alias("seq"), F.col("numbers").cast("array<int>").alias("numbers"), F.col("opens").cast("boolean").alias("opens"))
+    dealt = in_ranges(rows, ["edition_id", "seq"])
+    path = fresh_folder(spark, "blocks")
+    dealt.mapInArrow(streamed(_blocked(block), BLOCKED), BLOCKED).write.parquet(path)
+    blocks = spark.read.schema(BLOCKED).parquet(path)
+    sums = blocks.where("before is not null").select("edition_id", "block", "before", "after")
+    entered = sums.repartition("edition_id").sortWithinPartitions("edition_id", "block").mapInArrow(streamed(_entered, "block long, entered long"), "block long, entered long")
+    first = entered.select("block", F.lit(None).cast("int").alias("edition_id"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("array<int>").alias("numbers"), F.lit(None).cast("boolean").alias("opens"), "entered")
+    own = blocks.where("before is null").select("block", "edition_id", "at", "seq", "numbers", "opens", F.lit(None).cast("long").alias("entered"))
+    rows = own.unionByName(first).repartition("block").sortWithinPartitions("block", "at").drop("block")
     return rows.mapInArrow(streamed(_accepted, ACCEPTED), ACCEPTED)
 
 

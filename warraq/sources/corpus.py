@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warraq.functions.arabic import normalize_arabic
+from warraq.operators.ordering import numbered
 
 #: Fixed value: how the source calls the number of a unit.
 UNIT_NUMBER = "unit_num"
@@ -30,32 +31,16 @@ def read_source(spark: SparkSession, source: str, table: str, *, path: str | Non
 
 def archive_passages(pages: DataFrame, edition: int) -> DataFrame:
     """Archive pages (slug, url, section, ord, title, text, html) as passages, numbered from 0 in (ord,
-    slug) order over the whole edition.
-
-    The numbers are sums of two levels: pages are dealt by ranges of the order, a range's size is
-    counted, and only a range goes through a window."""
-    # ``ord`` first, then ranges by slug within it: cells are (ord, first letters of the slug)
-    cell = F.struct(F.col("ord").alias("o"), F.left("slug", F.lit(CELL_LETTERS)).alias("s"))
-    dealt = pages.withColumn("cell", cell)
-    counts = dealt.groupBy("cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("cell.o").orderBy("cell.s").rowsBetween(Window.unboundedPreceding, -1)
-    wide = counts.groupBy(F.col("cell.o").alias("o")).agg(F.sum("n").alias("m"))
-    first = wide.select("o", F.coalesce(F.sum("m").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    starts = counts.withColumn("within", F.coalesce(F.sum("n").over(before), F.lit(0))).join(first, F.col("cell.o").eqNullSafe(F.col("o")))
-    starts = starts.select(F.struct(F.col("cell.o"), F.col("cell.s")).alias("of"), (F.col("base") + F.col("within")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("slug")) - 1
-    rows = dealt.withColumn("rank", rank).join(starts, F.col("cell").eqNullSafe(F.col("of")))
+    slug) order over the whole edition, by a scan in ranges of that order."""
+    rows = numbered(pages.select("slug", "url", "section", "ord", "title", "text", "html"), [], ["ord", "slug"], position="place")
+    place = F.col("place") - 1
     text = F.coalesce("text", F.lit(""))
     return rows.select(
-        F.lit(edition).alias("edition_id"), (F.col("start") + F.col("rank")).alias("source_page_id"), (F.col("start") + F.col("rank")).alias("seq"), F.lit("page").alias("kind"),
+        F.lit(edition).alias("edition_id"), place.alias("source_page_id"), place.alias("seq"), F.lit("page").alias("kind"),
         text.alias("text_raw"), normalize_arabic(text).alias("text_norm"), "html", F.to_json(F.struct("slug", "url", "section", "title")).alias("meta"),
     )
 
 
-#: Letters of a slug that part the pages of one ``ord`` into ranges.
-CELL_LETTERS = 24
-
-
 RECORD = r"(?s)^([^,]*),([^,]*),(.*),([^,]*),([^,]*)\r?$"
 
 
