@@ -89,3 +89,33 @@ def test_neighbourhoods_of_many_starts(spark, hops, cap):
     starts = [*range(40), 77]
     got = graph.bounded_subgraph(spark.createDataFrame(edges, "student long, teacher long, weight long"), spark.createDataFrame([(i,) for i in [*starts, 3]], "start long"), hops, cap)
     assert sorted(map(tuple, got.collect())) == sorted(r for i in starts for r in around(edges, i, hops, cap))
+
+
+@pytest.mark.parametrize("hot, n", [(5, 3), (1, 2), (10_000, 4)])
+def test_passages_that_share_the_most_pairs(spark, hot, n):
+    """One pair is in a third of all chains, others in many, and some passages have two chains."""
+    rng = random.Random(hot)
+    rows, of = [], {}
+    for chain in range(160):
+        of[chain] = rng.randrange(110)
+        people = [1, 2] if chain % 3 == 0 else [rng.choice([3, 4])]
+        people += [rng.randrange(3, 8) for _ in range(rng.randrange(0, 4))]
+        rows += [(chain, pos, person) for pos, person in enumerate(people)]
+    pairs = {}
+    for (c, pos, s), (d, _, t) in zip(rows, rows[1:]):
+        if c == d and s != t:
+            key = (of[c], s, t)
+            pairs[key] = pairs.get(key, 0) + 1
+    asked = [p for p in range(110) if p % 4 == 0]
+    want = set()
+    for p in asked:
+        shared = {}
+        for (a, s, t), k in pairs.items():
+            if a == p:
+                for (b, s2, t2), m in pairs.items():
+                    if b != p and (s, t) == (s2, t2):
+                        shared[b] = shared.get(b, 0) + k * m
+        want |= {(p, q, w, i + 1) for i, (q, w) in enumerate(sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:n])}
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    got = graph.mutabaat(frame(rows, "chain_id long, pos int, narrator_id long"), frame(list(of.items()), "chain_id long, passage_id long"), frame([(p,) for p in [*asked, 0, 500]], "passage_id long"), n, hot)
+    assert {(r.passage_id, r.other_id, r.shared, r["rank"]) for r in got.collect()} == want

@@ -321,14 +321,54 @@ def _(t):
     return consecutive_pairs(t.links).where("student = 3 and teacher = 5").join(t.chains, "chain_id").select("passage_id").distinct()
 
 
-def mutabaat(links: DataFrame, chains: DataFrame, passages: DataFrame, n: int = 10) -> DataFrame:
-    """For each passage of ``passages`` the others that share the most (student, teacher) rows with it.
-
-    The stated passages' pairs are filtered first, so only their pairs are joined, in both directions."""
-    pairs = consecutive_pairs(links).join(chains.select("chain_id", "passage_id"), "chain_id").select("passage_id", "student", "teacher")
-    asked = pairs.join(passages.select("passage_id"), "passage_id", "left_semi").groupBy("passage_id", "student", "teacher").agg(F.count("*").alias("k"))
-    other = pairs.groupBy(F.col("passage_id").alias("other_id"), "student", "teacher").agg(F.count("*").alias("m"))
-    shared = asked.join(other, ["student", "teacher"]).where("passage_id <> other_id").groupBy("passage_id", "other_id").agg(F.sum(F.col("k") * F.col("m")).alias("shared"))
+#: Passages of a (student, teacher) from which it is hot.
+HOT_PAIR = 10_000
+
+
+def mutabaat(links: DataFrame, chains: DataFrame, passages: DataFrame, n: int = 10, hot: int = HOT_PAIR) -> DataFrame:
+    """For each passage of ``passages`` the others that share the most (student, teacher) rows with it:
+    passage_id, other_id, shared, rank.
+
+    Pairs with at most ``hot`` passages are joined.  What a passage has of the hot pairs is its
+    signature: others that share nothing else with it are worth the same where their signatures are
+    the same, so of each signature only the n + 1 smallest ids can be among the best n, and the best
+    of all signatures are found once for each signature that is asked for.  So no hot pair is ever
+    listed with its passages, and the result is exact: a passage of equal signature and smaller id
+    shares as much at least, and is ahead."""
+    spark = links.sparkSession
+    stored = lambda df, what: spark.read.schema(df.schema).parquet(_put(df, fresh_folder(spark, what)))
+    rows = consecutive_pairs(links).join(chains.select("chain_id", "passage_id"), "chain_id")
+    each = stored(rows.groupBy("passage_id", "student", "teacher").agg(F.count("*").alias("m")), "pairs")
+    pair = ["student", "teacher"]
+    often = each.groupBy(*pair).agg(F.count("*").alias("c")).where(F.col("c") > hot).select(*pair, F.lit(True).alias("hot"))
+    each = stored(each.join(often, pair, "left"), "flagged")
+    asked = passages.select("passage_id").distinct()
+    cold = each.where("hot is null").drop("hot")
+    own = cold.join(asked, "passage_id", "left_semi").withColumnRenamed("m", "k")
+    other = cold.withColumnRenamed("passage_id", "other_id")
+    joined = own.join(other, pair).where("passage_id <> other_id").groupBy("passage_id", "other_id").agg(F.sum(F.col("k") * F.col("m")).alias("shared"))
+
+    signed = each.where("hot").groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct(*pair, "m"))).alias("signature"))
+    smallest = F.row_number().over(Window.partitionBy("signature").orderBy("passage_id"))
+    first = signed.withColumn("place", smallest).where(F.col("place") <= n + 1)
+    kinds = stored(first.groupBy("signature").agg(F.collect_list("passage_id").alias("ids")).withColumn("kind", F.monotonically_increasing_id()), "signatures")
+    signed = stored(signed.join(kinds.select("signature", "kind"), "signature"), "signed")
+    wanted = signed.join(asked, "passage_id", "left_semi")
+    parts = kinds.select("kind", F.inline("signature"))
+    asking = parts.join(wanted.select("kind").distinct(), "kind", "left_semi").withColumnsRenamed({"kind": "asking", "m": "k"})
+    alike = asking.join(parts, pair).groupBy("asking", "kind").agg(F.sum(F.col("k") * F.col("m")).alias("shared"))
+    best = Window.partitionBy("asking").orderBy(F.desc("shared"), "other_id")
+    listed = alike.join(kinds.select("kind", F.explode("ids").alias("other_id")), "kind")
+    listed = listed.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n + 1).select(F.col("asking").alias("kind"), "other_id", "shared")
+    hot_only = wanted.select("passage_id", "kind").join(listed, "kind").where("passage_id <> other_id").select("passage_id", "other_id", "shared")
+
+    # others that share a cold pair also get what they share of the hot ones
+    signature = lambda name, of: signed.select(F.col("passage_id").alias(name), F.col("signature").alias(of))
+    both = joined.join(signature("passage_id", "a"), "passage_id", "left").join(signature("other_id", "b"), "other_id", "left")
+    same = lambda x: F.filter("b", lambda y: (y["student"] == x["student"]) & (y["teacher"] == x["teacher"]))
+    more = F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["m"] * F.coalesce(F.get(same(x), F.lit(0))["m"], F.lit(0)))
+    exact = both.select("passage_id", "other_id", (F.col("shared") + F.coalesce(more, F.lit(0))).alias("shared"))
+    shared = exact.unionByName(hot_only).groupBy("passage_id", "other_id").agg(F.max("shared").alias("shared"))
     rank = Window.partitionBy("passage_id").orderBy(F.desc("shared"), "other_id")
     return shared.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
 

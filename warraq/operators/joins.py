@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions.text import canonical_tokens, ordered_token_hit, token_overlap, words
 from warraq.registry import query
+from warraq.sources.folders import fresh_folder
 
 
 def wire_parents(nodes: DataFrame) -> DataFrame:
@@ -243,22 +244,40 @@ def _(t):
     return t.editions.groupBy("work_id").agg(of("units"), of("pages"), F.countDistinct("source").alias("k")).where("k >= 2").drop("k")
 
 
-def near_token_sets(a: DataFrame, b: DataFrame, overlap: float, per_salt: int = 10_000) -> DataFrame:
+def near_token_sets(a: DataFrame, b: DataFrame, overlap: float, per_salt: int = 10_000, common: int = 4) -> DataFrame:
     """The token sets (w) of ``a`` that share at least ``overlap`` of the smaller set with one of ``b``.
 
-    Exact: of a smaller set of n tokens at least one of its n - needed + 1 rarest is in the other, so
-    these are joined with all tokens of the others that are not smaller, and pairs are verified.
-    Tokens of more than ``per_salt`` sets are dealt over several keys."""
-    both = a.select("w", F.lit(0).alias("side")).unionByName(b.select("w", F.lit(1).alias("side"))).distinct()
-    tokens = both.select("side", "w", F.explode("w").alias("x"))
-    ranked = tokens.join(tokens.groupBy("x").agg(F.count("*").alias("c")), "x").withColumn("salts", (F.col("c") / per_salt).cast("int") + 1)
-    n = F.size("w")
-    order = F.row_number().over(Window.partitionBy("side", "w").orderBy("c", "x"))
-    rare = ranked.withColumn("place", order).where(F.col("place") <= n - F.ceil(n * overlap - 1e-9) + 1)
-    probes = rare.select("side", "x", F.col("w").alias("small"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    index = ranked.select((1 - F.col("side")).alias("side"), "x", F.col("w").alias("large"), F.pmod(F.xxhash64("w"), F.col("salts")).cast("int").alias("salt"))
-    pairs = probes.join(index, ["side", "x", "salt"]).where(F.size("small") <= F.size("large")).where(token_overlap(F.col("small"), F.col("large")) >= overlap)
-    return pairs.select(F.when(F.col("side") == 0, F.col("small")).otherwise(F.col("large")).alias("w")).distinct()
+    Exact, on hashes of tokens and numbers of sets; the sets themselves are fetched once, for pairs that
+    are left.  Tokens that only one side has cannot be shared: of a smaller set of n tokens, r of them
+    on the other side, ``needed`` of these r must be common, so of its r - needed + c rarest at least
+    c are (c: ``common``, or what is needed).  These are joined with the tokens of sets that are not
+    smaller, and pairs that share c of them are verified.  Tokens of more than ``per_salt`` sets are
+    dealt over several keys."""
+    spark = a.sparkSession
+
+    def stored(df, what):
+        path = fresh_folder(spark, what)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    both = a.select("w", F.lit(0).alias("side")).unionByName(b.select("w", F.lit(1).alias("side"))).where(F.size("w") > 0).distinct()
+    sets = stored(both.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    tokens = sets.select("sid", "side", F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("x"))
+    counts = tokens.groupBy("x").agg(F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1")).where("c0 > 0 and c1 > 0")
+    kept = tokens.join(counts, "x").groupBy("sid", "side", "n").agg(F.array_sort(F.collect_list(F.struct((F.col("c0") + F.col("c1")).alias("c"), "x", "c0", "c1"))).alias("t"))
+    needed, r = F.ceil(F.col("n") * overlap - 1e-9).cast("int"), F.size("t")
+    kept = stored(kept.select("sid", "side", "n", "t", needed.alias("needed"), F.least(needed, F.lit(common)).alias("least")), "ordered")
+    salts = lambda c: (c / per_salt).cast("int") + 1
+    probes = kept.where(r >= F.col("needed")).select("sid", "side", "n", "least", F.explode(F.slice("t", F.lit(1), r - F.col("needed") + F.col("least"))).alias("t"))
+    other = F.when(F.col("side") == 0, F.col("t.c1")).otherwise(F.col("t.c0"))  # as often as the other side has it
+    probes = probes.select("side", F.col("sid").alias("small"), "n", "least", F.col("t.x").alias("x"), F.explode(F.sequence(F.lit(0), salts(other) - 1)).alias("salt"))
+    own = F.when(F.col("side") == 0, F.col("t.c0")).otherwise(F.col("t.c1"))
+    index = kept.select("sid", "side", "n", F.explode("t").alias("t"))
+    index = index.select((1 - F.col("side")).alias("side"), F.col("sid").alias("large"), F.col("n").alias("m"), F.col("t.x").alias("x"), F.pmod(F.xxhash64("sid"), salts(own)).cast("int").alias("salt"))
+    met = probes.join(index, ["side", "x", "salt"]).where("n <= m").groupBy("side", "small", "large", "least").agg(F.count("*").alias("k")).where("k >= least")
+    fetched = lambda name: sets.select(F.col("sid").alias(name), F.col("w").alias(f"{name}_w"))
+    pairs = met.select("side", "small", "large").join(fetched("small"), "small").join(fetched("large"), "large").where(token_overlap(F.col("small_w"), F.col("large_w")) >= overlap)
+    return pairs.select(F.when(F.col("side") == 0, F.col("small_w")).otherwise(F.col("large_w")).alias("w")).distinct()
 
 
 def near_duplicate_gate(new: DataFrame, corpus: DataFrame, mapped: DataFrame, overlap: float = 0.9) -> DataFrame:
