@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions.arabic import normalize_arabic
 from warraq.operators.ordering import neighbours, numbered
+from warraq.operators.rules import EVENTS
 from warraq.registry import query
 
 count, distinct = F.count, F.countDistinct
@@ -188,11 +189,16 @@ def _(t):
     return t.dates.where("year_best is not null").groupBy("year_best").agg(count("*").alias("n"))
 
 
-@query("timeline_events", "SELECT e.event_key, e.year_ah, count(d.passage_id) AS n FROM (VALUES ('badr', 2), ('uhud', 3), ('tabuk', 9), ('khaybar', 7)) e(event_key, year_ah) LEFT JOIN dates d USING (event_key) GROUP BY 1, 2 HAVING count(d.passage_id) > 0")
+def timeline_events(dates: DataFrame, events: DataFrame) -> DataFrame:
+    """Dated passages (event_key) by event of a rule table (key, year, ...): event_key, year_ah, n; events
+    that nothing is dated by are left out."""
+    counted = dates.where("event_key is not null").groupBy("event_key").agg(count("*").alias("n"))
+    return events.select(F.col("key").alias("event_key"), F.col("year").alias("year_ah")).join(counted, "event_key")
+
+
+@query("timeline_events", f"SELECT e.event_key, e.year_ah, count(d.passage_id) AS n FROM (VALUES {', '.join(f'({k!r}, {y})' for k, y, _, _ in EVENTS)}) e(event_key, year_ah) LEFT JOIN dates d USING (event_key) GROUP BY 1, 2 HAVING count(d.passage_id) > 0")
 def _(t):
-    known = t.spark.createDataFrame([("badr", 2), ("uhud", 3), ("tabuk", 9), ("khaybar", 7)], "event_key string, year_ah int")
-    counted = t.dates.where("event_key is not null").groupBy("event_key").agg(count("*").alias("n"))
-    return known.join(counted, "event_key", "left").where("n > 0")
+    return timeline_events(t.dates, t.spark.createDataFrame(list(EVENTS), "key string, year int, pattern string, confidence double"))
 
 
 @query("timeline_seasons", "SELECT season, count(*) AS n FROM dates WHERE season IS NOT NULL GROUP BY 1")
