@@ -17,32 +17,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from warraq.llm import exact_dedup, mixture, packing, quality, shingle_join
-from warraq.llm.common import small_batches, written
+from warraq.llm.common import ARROW_KEY, ARROW_ROWS, written
+
+#: Where the session's own bound of batches is kept while the quality stage is written.
+OWN_ROWS = "warraq.own.maxRecordsPerBatch"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, written while batches of texts are small."""
-    with small_batches(spark):
-        return written(quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "accepted")
+    """Documents that the quality classifier accepts.
+
+    Texts go to Python in the stage's own, later job, so the bound of its batches is the session's
+    until the next stage begins, which puts back what the session had."""
+    if spark.conf.get(OWN_ROWS, None) is None:
+        spark.conf.set(OWN_ROWS, spark.conf.get(ARROW_KEY))
+    spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def own_batches(spark: SparkSession) -> None:
+    """The bound of batches that the session had before the quality stage."""
+    own = spark.conf.get(OWN_ROWS, None)
+    if own is not None:
+        spark.conf.set(ARROW_KEY, own)
+        spark.conf.unset(OWN_ROWS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    own_batches(spark)
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id."""
+    own_batches(spark)
     return shingle_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens meet the source, language and topic targets."""
+    own_batches(spark)
     return mixture.sampled(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in training sequences."""
+    own_batches(spark)
     return packing.packed_sequences(docs)
 
 
