@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from warraq.functions.arabic import normalize_arabic
 from warraq.functions.text import canonical_tokens
 from warraq.registry import query
-from warraq.sources.folders import fresh_folder
+from warraq.sources.folders import written
 
 
 def consecutive_pairs(links: DataFrame, same: bool = False) -> DataFrame:
@@ -78,16 +78,14 @@ def bounded_subgraph(graph: DataFrame, starts: DataFrame, hops: int = 3, cap: in
     What a start has seen, taken and not yet left is a row of a written table, and bounded by ``cap``.
     A hop joins all frontiers with the heaviest 3 * cap edges of each node, which are all that a
     frontier can take of it, so a node with very many edges is as cheap as any other."""
-    spark = graph.sparkSession
-    stored = lambda df, what: spark.read.schema(df.schema).parquet(_put(df, fresh_folder(spark, what)))
     order = [F.desc("weight"), F.col("student"), F.col("teacher")]
     of = lambda end: graph.select(F.col(end).alias("node"), "student", "teacher", "weight")
     both = of("student").unionByName(of("teacher").where("student <> teacher"))
     most = F.row_number().over(Window.partitionBy("node").orderBy(*order))
-    heaviest = stored(both.withColumn("rank", most).where(F.col("rank") <= 3 * cap).drop("rank"), "heaviest")
+    heaviest = written(both.withColumn("rank", most).where(F.col("rank") <= 3 * cap).drop("rank"), "heaviest")
     own = F.array("start")
     first = starts.select(F.col("start").cast("long").alias("start")).distinct().select("start", own.alias("seen"), own.alias("frontier"), F.array().alias("taken"))
-    state = stored(spark.createDataFrame([], SUBGRAPH).unionByName(first), "subgraph")
+    state = written(graph.sparkSession.createDataFrame([], SUBGRAPH).unionByName(first), "subgraph")
     for _ in range(hops):
         able = (F.size("frontier") > 0) & (F.size("seen") < cap)
         going = state.where(able)
@@ -98,15 +96,10 @@ def bounded_subgraph(graph: DataFrame, starts: DataFrame, hops: int = 3, cap: in
         rank = F.row_number().over(Window.partitionBy("start").orderBy(*order))
         found = found.withColumn("rank", rank).where(F.col("rank") <= 3 * cap)
         moved = going.groupBy("start").cogroup(found.withColumnRenamed("start", "of").groupBy("of")).applyInArrow(_hop(cap), SUBGRAPH)
-        state = stored(state.where(~able).unionByName(moved), "subgraph")
+        state = written(state.where(~able).unionByName(moved), "subgraph")
     return state.select("start", F.inline("taken"))
 
 
-def _put(df: DataFrame, path: str) -> str:
-    df.write.parquet(path)
-    return path
-
-
 def expand_nodes(graph: DataFrame, nodes: list[int], cap: int = 300) -> DataFrame:
     return graph.where(F.col("student").isin(nodes) | F.col("teacher").isin(nodes)).orderBy(F.desc("weight"), "student", "teacher").limit(cap)
 
@@ -153,15 +146,13 @@ def parents_of(nodes: DataFrame) -> DataFrame:
     Cycles are found by pointer doubling: round k knows who is 2 ** k steps above a node, and the
     smallest node on the way.  Nodes with an end above them leave; when a round loses none, those that
     are left lead into cycles, and once a jump is as long as there are nodes left it ends on one."""
-    spark = nodes.sparkSession
-    stored = lambda df: spark.read.parquet(_put(df, fresh_folder(spark, "jumps")))
     known = nodes.select(F.col("node_id").alias("parent_id")).distinct()
     up = nodes.where("parent_id >= 0").join(known, "parent_id", "left_semi").select("node_id", "parent_id")
-    live = stored(up.select("node_id", F.col("parent_id").alias("jump"), F.col("node_id").alias("least")))
+    live = written(up.select("node_id", F.col("parent_id").alias("jump"), F.col("node_id").alias("least")), "jumps")
     left, reach, closed = live.count(), 1, False
     while left and not (closed and reach >= left):
         ahead = live.select(F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("least").alias("low"))
-        live = stored(live.join(ahead, "jump").select("node_id", F.col("next").alias("jump"), F.least("least", "low").alias("least")))
+        live = written(live.join(ahead, "jump").select("node_id", F.col("next").alias("jump"), F.least("least", "low").alias("least")), "jumps")
         before, left, reach = left, live.count(), 2 * reach
         closed = closed or left == before
     if not left:
@@ -174,11 +165,10 @@ def parents_of(nodes: DataFrame) -> DataFrame:
 def tree_depth(nodes: DataFrame) -> DataFrame:
     """(node_id, depth): steps to the root (see ``parents_of`` for cycles), in as many rounds as the
     logarithm of the depth: each round doubles how far a node looks.  Rounds are written tables."""
-    spark = nodes.sparkSession
     up = parents_of(nodes).select("node_id", F.col("parent_id").alias("jump"))
     state = nodes.select("node_id").distinct().join(up, "node_id", "left").withColumn("depth", F.col("jump").isNotNull().cast("int"))
     while True:
-        state = spark.read.parquet(_put(state, fresh_folder(spark, "depths")))
+        state = written(state, "depths")
         live = state.where("jump is not null")
         if live.isEmpty():
             return state.select("node_id", "depth")
@@ -193,17 +183,15 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
     Pointer doubling: round k adds those from 2 ** k to 2 ** (k + 1) - 1 steps above a node, which
     are what the node 2 ** k above it has so far; rounds are as many as the logarithm of the depth."""
-    spark, path = nodes.sparkSession, fresh_folder(nodes.sparkSession, "ancestors")
-    jump = parents_of(nodes).select("node_id", F.col("parent_id").alias("jump"))
-    _put(nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("up")).distinct(), f"{path}/0")
-    k = 0
+    jump, k = parents_of(nodes).select("node_id", F.col("parent_id").alias("jump")), 0
+    so_far = written(nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("up")).distinct(), "ancestors")
     while True:
-        so_far = spark.read.parquet(*(f"{path}/{i}" for i in range(k + 1)))
-        jump = spark.read.parquet(_put(jump, f"{path}-jumps/{k}"))
+        jump = written(jump, "jumps")
         if jump.isEmpty():
             return so_far
         above = so_far.select(F.col("node_id").alias("jump"), "ancestor_id", "up")
-        _put(jump.join(above, "jump").select("node_id", "ancestor_id", (F.col("up") + (1 << k)).alias("up")), f"{path}/{k + 1}")
+        more = jump.join(above, "jump").select("node_id", "ancestor_id", (F.col("up") + (1 << k)).alias("up"))
+        so_far = so_far.unionByName(written(more, "ancestors"))
         jump = jump.join(jump.select(F.col("node_id").alias("jump"), F.col("jump").alias("next")), "jump").select("node_id", F.col("next").alias("jump"))
         k += 1
 
@@ -335,13 +323,11 @@ def mutabaat(links: DataFrame, chains: DataFrame, passages: DataFrame, n: int =
     of all signatures are found once for each signature that is asked for.  So no hot pair is ever
     listed with its passages, and the result is exact: a passage of equal signature and smaller id
     shares as much at least, and is ahead."""
-    spark = links.sparkSession
-    stored = lambda df, what: spark.read.schema(df.schema).parquet(_put(df, fresh_folder(spark, what)))
     rows = consecutive_pairs(links).join(chains.select("chain_id", "passage_id"), "chain_id")
-    each = stored(rows.groupBy("passage_id", "student", "teacher").agg(F.count("*").alias("m")), "pairs")
+    each = written(rows.groupBy("passage_id", "student", "teacher").agg(F.count("*").alias("m")), "pairs")
     pair = ["student", "teacher"]
     often = each.groupBy(*pair).agg(F.count("*").alias("c")).where(F.col("c") > hot).select(*pair, F.lit(True).alias("hot"))
-    each = stored(each.join(often, pair, "left"), "flagged")
+    each = written(each.join(often, pair, "left"), "flagged")
     asked = passages.select("passage_id").distinct()
     cold = each.where("hot is null").drop("hot")
     own = cold.join(asked, "passage_id", "left_semi").withColumnRenamed("m", "k")
@@ -351,8 +337,8 @@ def mutabaat(links: DataFrame, chains: DataFrame, passages: DataFrame, n: int =
     signed = each.where("hot").groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct(*pair, "m"))).alias("signature"))
     smallest = F.row_number().over(Window.partitionBy("signature").orderBy("passage_id"))
     first = signed.withColumn("place", smallest).where(F.col("place") <= n + 1)
-    kinds = stored(first.groupBy("signature").agg(F.collect_list("passage_id").alias("ids")).withColumn("kind", F.monotonically_increasing_id()), "signatures")
-    signed = stored(signed.join(kinds.select("signature", "kind"), "signature"), "signed")
+    kinds = written(first.groupBy("signature").agg(F.collect_list("passage_id").alias("ids")).withColumn("kind", F.monotonically_increasing_id()), "signatures")
+    signed = written(signed.join(kinds.select("signature", "kind"), "signature"), "signed")
     wanted = signed.join(asked, "passage_id", "left_semi")
     parts = kinds.select("kind", F.inline("signature"))
     asking = parts.join(wanted.select("kind").distinct(), "kind", "left_semi").withColumnsRenamed({"kind": "asking", "m": "k"})

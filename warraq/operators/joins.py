@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions.text import canonical_tokens, ordered_token_hit, token_overlap, words
 from warraq.registry import query
-from warraq.sources.folders import fresh_folder
+from warraq.sources.folders import written
 
 
 def wire_parents(nodes: DataFrame) -> DataFrame:
@@ -253,20 +253,13 @@ def near_token_sets(a: DataFrame, b: DataFrame, overlap: float, per_salt: int =
     c are (c: ``common``, or what is needed).  These are joined with the tokens of sets that are not
     smaller, and pairs that share c of them are verified.  Tokens of more than ``per_salt`` sets are
     dealt over several keys."""
-    spark = a.sparkSession
-
-    def stored(df, what):
-        path = fresh_folder(spark, what)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     both = a.select("w", F.lit(0).alias("side")).unionByName(b.select("w", F.lit(1).alias("side"))).where(F.size("w") > 0).distinct()
-    sets = stored(both.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    sets = written(both.withColumn("sid", F.monotonically_increasing_id()), "sets")
     tokens = sets.select("sid", "side", F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("x"))
     counts = tokens.groupBy("x").agg(F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1")).where("c0 > 0 and c1 > 0")
     kept = tokens.join(counts, "x").groupBy("sid", "side", "n").agg(F.array_sort(F.collect_list(F.struct((F.col("c0") + F.col("c1")).alias("c"), "x", "c0", "c1"))).alias("t"))
     needed, r = F.ceil(F.col("n") * overlap - 1e-9).cast("int"), F.size("t")
-    kept = stored(kept.select("sid", "side", "n", "t", needed.alias("needed"), F.least(needed, F.lit(common)).alias("least")), "ordered")
+    kept = written(kept.select("sid", "side", "n", "t", needed.alias("needed"), F.least(needed, F.lit(common)).alias("least")), "ordered")
     salts = lambda c: (c / per_salt).cast("int") + 1
     probes = kept.where(r >= F.col("needed")).select("sid", "side", "n", "least", F.explode(F.slice("t", F.lit(1), r - F.col("needed") + F.col("least"))).alias("t"))
     other = F.when(F.col("side") == 0, F.col("t.c1")).otherwise(F.col("t.c0"))  # as often as the other side has it

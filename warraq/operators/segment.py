@@ -12,7 +12,7 @@ from warraq.operators.ordering import in_ranges, numbered
 from warraq.operators.rules import heading_classify, heading_level, lines_of, may_head, number_head, number_reconcile, synthetic_pages
 from warraq.functions.vectorized import once
 from warraq.registry import query
-from warraq.sources.folders import fresh_folder
+from warraq.sources.folders import fresh_folder, written
 
 
 def heading_lines(pages: DataFrame) -> DataFrame:
@@ -134,7 +134,8 @@ def segment_units_pages(pages: DataFrame) -> DataFrame:
     marks = kept.select("edition_id", "seq", "line_no", "passage_id", number_in(F.col("line"), NUMBER, 1).alias("local"), number_in(F.col("line"), NUMBER, 2).alias("whole"), number_in(F.col("line"), REPEAT, 1).alias("again"), "start", "heading", F.lit(0).alias("page_end"), F.lit(False).alias("final"))
     last = pages.groupBy("edition_id").agg(F.max(F.struct("seq", "passage_id", F.length("text_raw").alias("page_end"))).alias("x"))
     ends = last.select("edition_id", "x.seq", F.lit(2**31 - 1).alias("line_no"), "x.passage_id", none.alias("local"), none.alias("whole"), none.alias("again"), F.lit(0).alias("start"), F.lit(False).alias("heading"), "x.page_end", F.lit(True).alias("final"))
-    rows = once(marks.unionByName(ends), opens=F.coalesce("whole", "local").isNotNull().cast("long"))
+    # written before it is numbered: dealing by ranges looks at what it deals twice
+    rows = written(marks.unionByName(ends), "marks").withColumn("opens", F.coalesce("whole", "local").isNotNull().cast("long"))
     placed = numbered(rows, ["edition_id"], ["seq", "line_no"], ["opens"], "at")
     part = F.col("opens_so_far")
     columns = ["at", "passage_id", "local", "whole", "again", "start", "heading", "page_end", "final"]
@@ -143,7 +144,7 @@ def segment_units_pages(pages: DataFrame) -> DataFrame:
     closing = {"local": none, "whole": none, "again": none, "heading": F.lit(True)}
     before = placed.where((F.col("opens") == 1) & (part > 1)).withColumns(closing).select("edition_id", (part - 1).alias("part"), *columns)
     rows = own.unionByName(before).repartition("edition_id", "part").sortWithinPartitions("edition_id", "part", "at")
-    units = numbered(rows.mapInArrow(streamed(_units, PART), PART), ["edition_id"], ["at"], position="unit_seq")
+    units = numbered(written(rows.mapInArrow(streamed(_units, PART), PART), "units"), ["edition_id"], ["at"], position="unit_seq")
     return units.select("edition_id", F.col("unit_seq").cast("int").alias("unit_seq"), *(c.split()[0] for c in UNIT.split(", ")[2:]))
 
 
