@@ -36,8 +36,8 @@ def test_blocks_of_a_page(spark):
     parts = [(i, pages[i][a:b], kind) for i, a, b, kind in got]
     assert parts == [
         (0, "كتاب الإيمان", "h"),
-        (0, "سطر أول من المتن\nسطر ثان من المتن", "p"),
-        (0, "سطر بعد فراغ", "p"),
+        (0, "سطر أول من المتن\nسطر ثان من المتن\n", "p"),
+        (0, "سطر بعد فراغ\n", "p"),
         (0, "باب بدء الوحي", "h"),
         (0, "باب آخر", "h"),
         (0, "آخر سطر من المتن", "p"),
@@ -85,3 +85,47 @@ def test_graph_of_texts(spark):
     narrators = spark.createDataFrame(list(names.items()), "narrator_id long, canonical_norm string")
     got = {(names[r.student], names[r.teacher]): r.weight for r in chains.graph_from_texts(passages, narrators).collect()}
     assert got == {("مالك", "نافع"): 2, ("نافع", "سالم"): 1}
+
+
+def test_headings_that_a_page_shows(spark):
+    lines = ["§ زيادة من المحقق", "[تنبيه مهم]", "[ص: 12]", "كِتَابُ الإيمَان", "*** باب النية ***", "فصل", "سطر عادي", "§§", "[12]", "x" * 170, "سورة البقرة"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    got = {r.i: r.k for r in rows.select("i", rules.display_heading(F.col("t")).alias("k")).collect()}
+    assert got == {0: 3, 1: 3, 2: None, 3: 1, 4: 2, 5: 3, 6: None, 7: None, 8: None, 9: None, 10: 1}
+
+
+def test_engine_output_by_token(spark):
+    rows = spark.createDataFrame([(1, "والقلم وما كتب", "و+ال+قلم/NOUN و+ما/P/X"), (2, "a b", "a/T b+c d"), (3, "", "")], "passage_id long, text string, output string")
+    got = {(r.passage_id, r.idx): (r.token, r.tag, r.parts) for r in datasets.aligned_output(rows).collect()}
+    assert got == {
+        (1, 0): ("والقلم", "NOUN", ["و", "ال", "قلم"]), (1, 1): ("وما", "X", ["و", "ما/P"]),
+        (2, 0): ("a", "T", None), (2, 1): ("b", None, ["b", "c"]), (3, 0): ("", None, None),
+    }
+
+
+def test_analyses_whose_form_agrees(spark):
+    forms = [(1, "كُتُب", 0, "كَتَبَ"), (1, "كُتُب", 1, "كُتِب"), (2, "قلم", 1, "قَلَمٌ"), (2, "قلم", 0, "قلما"), (3, "x", 2, "y"), (3, "x", 1, None), (4, "أحمد", 0, "حمد"), (4, "أحمد", 5, "احمد")]
+    rows = spark.createDataFrame(forms, "token int, word string, place int, diac string")
+    assert {r.token: r.place for r in datasets.picked_analyses(rows, ["token"]).collect()} == {1: 0, 2: 1, 3: 1, 4: 5}
+
+
+def test_pages_that_name_a_text(spark):
+    from warraq.operators import joins
+
+    frame = spark.createDataFrame
+    pages = frame([(1, "view_bookid_5_x_mainid_70_y"), (2, "view_bookid_5_x_mainid_71_y"), (3, "bookid_6_mainid_70_"), (4, "about"), (5, None), (6, "bookid_99999999999999999999_mainid_1_")], "page_id long, slug string")
+    matn = frame([(5, 70, "t70"), (5, 71, "t71"), (6, 70, "u70")], "book_id long, main_id long, text_plain string")
+    toc = frame([(5, 70, "h70"), (6, 70, "h6")], "book_id long, node_id long, title string")
+    got = joins.page_refs(pages, matn, toc, frame([(5, "five")], "id long, name string")).collect()
+    assert list(map(tuple, got)) == [(1, 5, 70, "t70", "h70", "five")]
+
+
+def test_layers_get_the_ids_of_this_corpus(spark):
+    from warraq.sources import sinks
+
+    frame = spark.createDataFrame
+    staged = frame([("a", 1, 3, "x"), ("a", 1, 3, "y"), ("a", 2, 3, "x"), ("b", 1, 3, "x"), ("a", 1, 4, "x")], "source string, source_book_id int, seq long, layer string")
+    editions, passages = frame([("a", 1, 10), ("b", 1, 20)], "source string, source_book_id int, edition_id int"), frame([(10, 3, 777), (20, 4, 778)], "edition_id int, seq long, passage_id long")
+    mapped = sinks.mapped_by_natural_key(staged, editions, passages)
+    assert sorted(map(tuple, mapped.collect())) == [(777, "a", 1, 3, "x"), (777, "a", 1, 3, "y")]
+    assert tuple(sinks.mapping_counts(staged, mapped).first()) == (5, 2, 3)

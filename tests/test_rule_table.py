@@ -35,7 +35,9 @@ def test_the_first_rule_that_holds(spark, name):
 
 def test_strings_of_patterns():
     assert R.literals("(يوم|عام) بدر|ببدر") == ["ببدر", "بدر"]
-    assert R.literals("xy?z") == ["x"] and R.literals("a[bc]") == [""] and R.literals("(ab|)c") == ["c"] and "" in R.literals("a|(b|c)")
+    assert R.literals("xy?z") == ["x"] and R.literals("a[bc]") == ["a"] and R.literals("(ab|)c") == ["c"] and R.literals("a|(b|c)") == ["a", "b", "c"]
+    assert R.literals("(يوم|عام) (الخندق|الاحزاب)|حفر") == ["الاحزاب", "الخندق", "حفر"]
+    assert R.literals(r"(?:^|\s)abc\s*[x.]?\s*$|d{2}ef+g") == ["abc", "ef"] and R.literals("(?=abc)d") == ["d"] and R.literals(r"\d+|a") == ["", "a"]
     tree = R.prefix_tree(sorted(set(R.shortest({"بدر", "بدر الكبري", "بني النضير", "بني قريظه"}).values())))
     assert all(re.search(tree, f"x{s}y") for s in ("بدر", "بني النضير", "بني قريظه")) and not re.search(tree, "بني كذا")
 

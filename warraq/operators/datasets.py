@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warraq.functions.arabic import vocalised_window
+from warraq.functions.arabic import normalize_arabic, vocalised_window
 from warraq.functions.text import hash_split, strip_junk, word_windows, ws_tokenize
 from warraq.registry import query
 
@@ -146,20 +146,52 @@ def _(t):
     return merge_bio_entities(t.links.select(F.col("chain_id").alias("passage_id"), F.col("pos").alias("idx"), F.col("mention_norm").alias("token"), tag.alias("tag")))
 
 
+def aligned_output(texts: DataFrame, mark: str = "/") -> DataFrame:
+    """Engine output over texts (passage_id, text, output) by token: passage_id, idx, token, made, tag, parts.
+
+    The output has a word for each token, by position; words without a token and tokens without a word
+    are left out.  ``tag`` is what follows the last ``mark`` of a word, ``parts`` what the plus signs
+    of the rest part; null without a mark, or without a plus sign."""
+    pairs = F.arrays_zip(F.split("text", " ").alias("token"), F.split("output", " ").alias("made"))
+    both = F.least(F.size(F.split("text", " ")), F.size(F.split("output", " ")))
+    rows = texts.select("passage_id", F.posexplode(F.slice(pairs, F.lit(1), both)).alias("idx", "x")).select("passage_id", "idx", "x.token", "x.made")
+    tagged = F.instr("made", mark) > 0
+    word = F.when(tagged, F.substring(F.col("made"), F.lit(1), F.length("made") - F.length(F.substring_index("made", mark, -1)) - len(mark))).otherwise(F.col("made"))
+    return rows.withColumns({"tag": F.when(tagged, F.substring_index("made", mark, -1)), "parts": F.when(F.instr(word, "+") > 0, F.split(word, r"\+"))})
+
+
 @query("align_word_tags", "SELECT passage_id, i - 1 AS idx, w[i] AS token, substr(w[i], 1, 2) AS tag FROM (SELECT passage_id, string_split(text_norm, ' ') AS w FROM passages) p, range(1, 400) r(i) WHERE i <= len(w) AND i <= len(w) - passage_id % 2")
-def align_word_tags(t):
-    """Engine output 'word/TAG ...' joined to the tokens by position; extra or missing ones are ignored."""
-    tokens = t.passages.select("passage_id", F.posexplode(F.split("text_norm", " ")).alias("idx", "token"))
-    output = F.array_join(F.transform(F.slice(F.split("text_norm", " "), F.lit(1), F.size(F.split("text_norm", " ")) - (F.col("passage_id") % 2).cast("int")), lambda w: F.concat(w, F.lit("/"), F.substring(w, 1, 2))), " ")
-    tags = t.passages.select("passage_id", F.posexplode(F.split(output, " ")).alias("idx", "pair")).select("passage_id", "idx", F.substring_index("pair", "/", -1).alias("tag"))
-    return tokens.join(tags, ["passage_id", "idx"]).select("passage_id", F.col("idx").cast("long").alias("idx"), "token", "tag")
-
-
-@query("pick_analysis", "SELECT chain_id, max_by(pos, (CASE WHEN verb = 'عن' THEN 1000 ELSE 0 END) - pos) AS pos FROM links GROUP BY 1")
-def pick_analysis(t):
-    """Of a token's candidates the one whose form agrees, else the first."""
-    best = Window.partitionBy("chain_id").orderBy(F.desc(F.col("verb") == "عن"), "pos")
-    return t.links.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("chain_id", "pos")
+def _(t):
+    """Words with their first letters as tags; every other text has a word less."""
+    words = F.split("text_norm", " ")
+    made = F.array_join(F.transform(F.slice(words, F.lit(1), F.size(words) - (F.col("passage_id") % 2).cast("int")), lambda w: F.concat(w, F.lit("/"), F.substring(w, 1, 2))), " ")
+    rows = aligned_output(t.passages.where(F.size(words) > F.col("passage_id") % 2).select("passage_id", F.col("text_norm").alias("text"), made.alias("output")))
+    return rows.select("passage_id", F.col("idx").cast("long").alias("idx"), "token", "tag")
+
+
+@query("align_word_parts", "SELECT passage_id, i - 1 AS idx, w[i] AS token, CASE WHEN w[i][1:2] = 'ال' AND len(w[i]) > 2 THEN ['ال', w[i][3:]] END AS parts FROM (SELECT passage_id, string_split(text_norm, ' ') AS w FROM passages) p, range(1, 400) r(i) WHERE i <= len(w)")
+def _(t):
+    """The article parted from its word."""
+    made = F.array_join(F.transform(F.split("text_norm", " "), lambda w: F.regexp_replace(w, "^ال(?=.)", "ال+")), " ")
+    rows = aligned_output(t.passages.select("passage_id", F.col("text_norm").alias("text"), made.alias("output")))
+    return rows.select("passage_id", F.col("idx").cast("long").alias("idx"), "token", "parts")
+
+
+def picked_analyses(analyses: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the analyses (``keys``, word, place, diac, ...) of each token the first by place whose normalised
+    form is that of the word, else the first."""
+    agrees = normalize_arabic(F.col("diac")) == normalize_arabic(F.col("word"))
+    order = F.struct((~agrees).cast("int").alias("unlike"), F.col("place"))
+    rest = [c for c in analyses.columns if c not in keys]
+    return analyses.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*")
+
+
+@query("pick_analysis", "WITH l AS (SELECT *, first_value(mention_norm) OVER (PARTITION BY chain_id ORDER BY pos DESC) AS word FROM links) SELECT chain_id, pos FROM (SELECT chain_id, pos, row_number() OVER (PARTITION BY chain_id ORDER BY CASE WHEN mention_norm = word THEN 0 ELSE 1 END, pos) AS rn FROM l) WHERE rn = 1")
+def _(t):
+    """The links of a chain as analyses of its last mention, with marks that the comparison takes away."""
+    last = t.links.groupBy("chain_id").agg(F.max_by("mention_norm", "pos").alias("word"))
+    forms = t.links.join(last, "chain_id").select("chain_id", "word", F.col("pos").alias("place"), F.replace("mention_norm", F.lit("ن"), F.lit("نُ")).alias("diac"))
+    return picked_analyses(forms, ["chain_id"]).select("chain_id", F.col("place").alias("pos"))
 
 
 @query("usable_spans", "SELECT passage_id FROM chains WHERE sanad_end_raw >= 30 AND passage_id IN (SELECT passage_id FROM passages p WHERE length(text_norm) - (SELECT sanad_end_raw FROM chains c WHERE c.passage_id = p.passage_id) >= 40)")

@@ -312,11 +312,33 @@ def _(t):
     return fragment_verify(rows.where("edition_id % 2 = 1"), rows.where("edition_id % 2 = 0"))
 
 
-@query("page_refs", "SELECT page_id, lang, num, n_name FROM (SELECT page_id, regexp_extract(url, 'com/([a-z]+)/([0-9]+)', 1) AS lang, TRY_CAST(regexp_extract(url, 'com/([a-z]+)/([0-9]+)', 2) AS INT) AS num FROM pages) JOIN nation ON n_nationkey = num % 25")
+#: Fixed value: how a page's slug names a text of the live corpus.
+PAGE_REFERENCE = r"bookid_(\d+)_.*?mainid_(\d+)_"
+
+
+def page_refs(pages: DataFrame, matn: DataFrame, toc: DataFrame, books: DataFrame, pattern: str = PAGE_REFERENCE) -> DataFrame:
+    """Pages (page_id, slug) that name a text of the corpus, with it: page_id, book_id, main_id, text_plain, title, name.
+
+    The slug's ``pattern`` gives book and text; it is resolved in ``matn`` (book_id, main_id, text_plain),
+    ``toc`` (book_id, node_id, title) and ``books`` (id, name).  What isn't in all three is left out."""
+    number = lambda k: F.expr(f"try_cast(regexp_extract(slug, '{pattern.replace(chr(92), chr(92) * 2)}', {k}) as long)")
+    refs = pages.select("page_id", number(1).alias("book_id"), number(2).alias("main_id")).where("book_id is not null and main_id is not null")
+    found = refs.join(matn.select("book_id", "main_id", "text_plain"), ["book_id", "main_id"])
+    found = found.join(toc.select("book_id", F.col("node_id").alias("main_id"), "title"), ["book_id", "main_id"])
+    return found.join(books.select(F.col("id").alias("book_id"), "name"), "book_id").select("page_id", "book_id", "main_id", "text_plain", "title", "name")
+
+
+@query("page_refs", """SELECT page_id, p.edition_id::BIGINT AS book_id, p.seq AS main_id, p.text_raw AS text_plain, concat('باب ', p.unit_num) AS title, e.title_ar AS name
+  FROM pages g JOIN passages o ON o.passage_id = g.page_id JOIN passages p ON p.seq = o.seq AND p.edition_id = o.edition_id + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END
+  JOIN editions e ON e.edition_id = p.edition_id WHERE p.kind = 'unit'""")
 def _(t):
-    ref = lambda k: F.regexp_extract("url", "com/([a-z]+)/([0-9]+)", k)
-    refs = t.pages.select("page_id", ref(1).alias("lang"), F.expr("try_cast(regexp_extract(url, 'com/([a-z]+)/([0-9]+)', 2) as int)").alias("num"))
-    return refs.join(t.nation, F.col("n_nationkey") == F.col("num") % 25).select("page_id", "lang", "num", "n_name")
+    """Slugs of the passages that have a page's number, every third with another book."""
+    book = F.col("edition_id") + F.when(F.col("page_id") % 3 == 0, 1).otherwise(0)
+    slug = F.concat(F.lit("viewpage_bookid_"), book, F.lit("_x_mainid_"), F.col("seq"), F.lit("_1"))
+    pages = t.pages.join(t.passages, F.col("page_id") == F.col("passage_id")).select("page_id", slug.alias("slug"))
+    matn = t.passages.select(F.col("edition_id").cast("long").alias("book_id"), F.col("seq").alias("main_id"), F.col("text_raw").alias("text_plain"))
+    toc = t.passages.where("kind = 'unit'").select(F.col("edition_id").cast("long").alias("book_id"), F.col("seq").alias("node_id"), F.concat(F.lit("باب "), F.col("unit_num")).alias("title"))
+    return page_refs(pages, matn, toc, t.editions.select(F.col("edition_id").cast("long").alias("id"), F.col("title_ar").alias("name")))
 
 
 @query("name_bridge", "SELECT s_suppkey, work_id FROM (SELECT s_suppkey, lower(trim(concat('  كتاب  NATION_', s_nationkey))) AS n FROM supplier) JOIN works ON replace(n, '  ', ' ') = title_norm")

@@ -9,7 +9,6 @@ pattern, in order, and the first that holds decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,17 +27,57 @@ def rules_of(table: DataFrame, order: Column | None = None, most: int = MOST_RUL
 
 
 def literals(pattern: str) -> list[str]:
-    """For each alternative of a pattern the longest string that it must contain, '' if none can be told.
-
-    Groups, anchors and white space end a string, and so does a letter that may be missing; patterns
-    with classes, counts or other signs have none."""
-    plain = re.sub(r"\\s[+*?]?|\(\?:", lambda m: "(" if m[0] == "(?:" else "\1", pattern)
-    if re.search(r"[\\\[\]{}.]|\(\?", plain):
-        return [""]
-    flat = plain
-    while (inner := re.sub(r"\([^()]*\)[?*+]?", "\0", flat)) != flat:
-        flat = inner
-    return sorted({max(re.split(r"\x00|\x01|.[?*]|[$^+]", part), key=len).strip() for part in flat.split("|")})
+    """Strings of which one at least is in whatever the pattern is found in; '' is among them if none can be told.
+
+    Each alternative gives the longest run of its letters, or the strings of one of its groups.  A
+    letter, group or class that may be missing gives none, nor do classes, counts and anchors."""
+    at = 0
+
+    def counted() -> str:
+        """The count after an item, which is passed over."""
+        nonlocal at
+        if pattern[at : at + 1] in ("?", "*", "+") and at < len(pattern):
+            at += 1
+            return pattern[at - 1]
+        if pattern[at : at + 1] == "{":
+            at = pattern.index("}", at) + 1
+            return "{"
+        return ""
+
+    def one() -> set[str]:
+        nonlocal at
+        known, run = [], ""
+        while at < len(pattern) and pattern[at] not in "|)":
+            c = pattern[at]
+            at += 1
+            if c == "(":
+                looks = pattern[at : at + 1] == "?" and pattern[at : at + 2] != "?:"
+                at += 2 if pattern[at : at + 1] == "?" else 0
+                group = every()
+                at += 1
+                if counted() in ("", "+") and not looks:
+                    known.append(group)
+            elif c in "[\\.^$":
+                at = pattern.index("]", at + 1) + 1 if c == "[" else at + (c == "\\")
+                counted()
+            else:
+                how = counted()
+                run += c if how in ("", "+") else ""
+                if not how:
+                    continue
+            known.append({run.strip()})
+            run = ""
+        return max([*known, {run.strip()}], key=lambda x: (min(map(len, x)), -len(x)))
+
+    def every() -> set[str]:
+        nonlocal at
+        found = one()
+        while pattern[at : at + 1] == "|":
+            at += 1
+            found |= one()
+        return found
+
+    return sorted(every())
 
 
 def prefix_tree(strings: Sequence[str]) -> str:

@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from warraq.functions.arabic import normalize_arabic
 from warraq.operators.ordering import in_ranges, numbered
-from warraq.operators.rules import heading_classify, heading_level, lines_of, may_head, number_head, number_reconcile, synthetic_pages
+from warraq.operators.rules import classified, heading_level, lines_of, may_head, number_head, number_reconcile, synthetic_pages
 from warraq.functions.vectorized import once
 from warraq.registry import query
 from warraq.sources.folders import fresh_folder, written
 
 
 def heading_lines(pages: DataFrame) -> DataFrame:
-    """The heading lines of pages, with kind and title.  ``inline`` keeps the filter above the rules,
-    which are then evaluated once a line and not once more to filter."""
-    lines = lines_of(pages, keep=may_head)
-    return lines.select("*", F.inline(F.array(heading_classify(F.col("line"))))).where("kind is not null and title <> ''")
+    """The heading lines of pages, with kind and title."""
+    lines = classified(lines_of(pages, keep=may_head).drop("text_raw"))
+    return lines.select("*", "head.kind", "head.title").drop("head").where("kind is not null and title <> ''")
 
 
 def toc_nodes(pages: DataFrame) -> DataFrame:
@@ -129,7 +128,7 @@ def segment_units_pages(pages: DataFrame) -> DataFrame:
     begins, and tasks resolve parts: an edition with a third of all lines lies in very many."""
     able = lambda line: line.rlike(r"^\s*[0-9٠-٩]+\s*[-–—]|^\s*\(\s*[0-9٠-٩]+\s*\)\s*\S")
     lines = lines_of(pages.select("edition_id", "seq", "passage_id", "text_raw"), keep=lambda line: able(line) | may_head(line))
-    kept = once(lines.drop("text_raw"), able=able(F.col("line")), heading=heading_classify(F.col("line")).isNotNull()).where("able or heading")
+    kept = once(classified(lines.drop("text_raw")), able=able(F.col("line")), heading=F.col("head").isNotNull()).where("able or heading")
     none = F.lit(None).cast("long")
     marks = kept.select("edition_id", "seq", "line_no", "passage_id", number_in(F.col("line"), NUMBER, 1).alias("local"), number_in(F.col("line"), NUMBER, 2).alias("whole"), number_in(F.col("line"), REPEAT, 1).alias("again"), "start", "heading", F.lit(0).alias("page_end"), F.lit(False).alias("final"))
     last = pages.groupBy("edition_id").agg(F.max(F.struct("seq", "passage_id", F.length("text_raw").alias("page_end"))).alias("x"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.operators.analytics import JOBS, jobs
@@ -111,11 +111,24 @@ def _(t):
     return jobs(t).orderBy(F.desc("passage_id")).limit(5).select("passage_id", "status")
 
 
-@query("sync_by_natural_key", "SELECT e.edition_id IS NOT NULL AS mapped, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'other' ELSE 'units' END AS source, o_custkey % 30 AS book FROM orders) s LEFT JOIN editions e ON e.source = s.source AND e.source_book_id = s.book GROUP BY 1")
+STAGED = "SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'other' ELSE 'units' END AS source, (o_custkey % 30)::INT AS source_book_id, o_orderkey AS seq, concat('layer', o_orderkey % 3) AS layer FROM orders"
+MAPPED = f"SELECT p.passage_id, s.* FROM ({STAGED}) s JOIN editions e ON e.source = s.source AND e.source_book_id = s.source_book_id JOIN passages p ON p.edition_id = e.edition_id AND p.seq = s.seq"
+
+
+def staged_layers(t) -> DataFrame:
+    source = F.when(F.col("o_orderkey") % 9 == 0, "other").otherwise("units")
+    return t.orders.select(source.alias("source"), (F.col("o_custkey") % 30).cast("int").alias("source_book_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("layer"), F.col("o_orderkey") % 3).alias("layer"))
+
+
+@query("sync_by_natural_key", MAPPED)
+def _(t):
+    return S.mapped_by_natural_key(staged_layers(t), t.editions, t.passages)
+
+
+@query("sync_skipped", f"SELECT *, staged - mapped AS skipped FROM (SELECT (SELECT count(*) FROM ({STAGED})) AS staged, (SELECT count(*) FROM ({MAPPED})) AS mapped)")
 def _(t):
-    staged = t.orders.select(F.when(F.col("o_orderkey") % 9 == 0, "other").otherwise("units").alias("source"), (F.col("o_custkey") % 30).cast("int").alias("source_book_id"))
-    found = staged.join(t.editions.select("source", "source_book_id", "edition_id"), ["source", "source_book_id"], "left")
-    return found.groupBy(F.col("edition_id").isNotNull().alias("mapped")).agg(F.count("*").alias("n"))
+    staged = staged_layers(t)
+    return S.mapping_counts(staged, S.mapped_by_natural_key(staged, t.editions, t.passages))
 
 
 @query("sync_mirror", "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'insert' WHEN c_custkey % 2 <> 0 THEN 'delete' ELSE 'update' END AS action, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0 GROUP BY 1")

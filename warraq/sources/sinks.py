@@ -47,3 +47,18 @@ def mirror_actions(target: DataFrame, staged: DataFrame, keys: list[str], value:
 def replace_by_edition(df: DataFrame, path: str) -> None:
     """The editions of ``df`` replace their own partitions of the table at ``path``; others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("edition_id").parquet(path)
+
+
+def mapped_by_natural_key(staged: DataFrame, editions: DataFrame, passages: DataFrame) -> DataFrame:
+    """Staged rows (source, source_book_id, seq, ...) with the passage_id that this corpus has for them;
+    rows without one are left out."""
+    books = editions.select("source", "source_book_id", "edition_id")
+    places = passages.select("edition_id", "seq", "passage_id")
+    found = staged.join(books, ["source", "source_book_id"]).join(places, ["edition_id", "seq"])
+    return found.select("passage_id", *staged.columns)
+
+
+def mapping_counts(staged: DataFrame, mapped: DataFrame) -> DataFrame:
+    """One row: staged, mapped, and skipped, the staged rows that have no passage here."""
+    both = staged.agg(F.count("*").alias("staged")).crossJoin(mapped.agg(F.count("*").alias("mapped")))  # a row each
+    return both.withColumn("skipped", F.col("staged") - F.col("mapped"))
