@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from warraq.operators.analytics import TRANSMISSION
 from warraq.operators.postings import fts_match
 from warraq.registry import query
+from warraq.sources.folders import written
 
 
 def parse_search(text: str) -> tuple[list[list[list[str]]], list[list[str]]]:
@@ -278,8 +279,8 @@ def _(t):
     return t.passages.where((F.length("text_raw") > 40) & F.col("unit_num").rlike("^[0-9]+$") & F.col("seq").between(100, 5000)).select("passage_id")
 
 
-#: Vectors of a block of queries or of the corpus, about, and queries that are scored at once.
-KNN_BLOCK, KNN_SLICE = 4096, 256
+#: Vectors of a part of the corpus, about; cells at most; queries that are scored at once; what rounding can add to a similarity.
+KNN_PART, KNN_CELLS, KNN_SLICE, KNN_SLACK = 4096, 4096, 256, 1e-4
 
 
 def vector_scope(corpus: DataFrame, *, source=None, edition=None, kind=None) -> DataFrame:
@@ -298,39 +299,139 @@ def best_chunks(found: DataFrame, chunks: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "passage_id")))
 
 
-def vector_knn(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = KNN_BLOCK) -> DataFrame:
-    """Exact cosine top-k for any number of queries: each block of queries meets each block of the
-    corpus in one task, and only each meeting's best go on to the merge.  Null vectors, or those
-    with a null in them, are left out on both sides."""
+def unit_rows(column) -> np.ndarray:
+    """Vectors of an Arrow column with length 1; zero ones stay."""
+    m = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def _celled(pivots):
+    """Rows (id, embedding) with the nearest pivot and the angle to it; zero vectors have cell -1."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                unit = unit_rows(batch.column(1))
+                away = angles(unit, pivots)
+                cell = np.where(np.abs(unit).sum(axis=1) > 0, away.argmin(axis=1), -1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away.min(axis=1))], names=["id", "embedding", "cell", "angle"])
+
+    return run
+
+
+def _sent(pivots, cells, first_round):
+    """Queries for the parts that they have to meet: those of their own cell, or those of other cells that
+    can hold something as near as the k-th so far, by the triangle inequality of angles."""
+    number, nearest, farthest, start, many = cells
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("cell").to_numpy()[:, None] == number[None, :]
+            if first_round:
+                sent = own
+            else:
+                to = angles(unit_rows(batch.column("embedding")), pivots)
+                to = np.where(number >= 0, to[:, np.maximum(number, 0)], 0.0)
+                least = np.maximum(0, np.maximum(to - farthest, nearest - to))
+                kth = batch.column("kth").fill_null(-9.0).to_numpy()
+                open_ = (np.cos(least) >= kth[:, None] - KNN_SLACK) | (number < 0) | (batch.column("cell").to_numpy() < 0)[:, None]
+                sent = open_ & ~own
+            row, at = np.nonzero(sent)
+            times = many[at]
+            row, part = np.repeat(row, times), np.repeat(start[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            for i in range(0, len(row), 4096):
+                taken = batch.take(pa.array(row[i : i + 4096]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[i : i + 4096].astype(np.int32)), pa.array(np.ones(len(taken), np.int32)), taken.column("id"), taken.column("embedding")], names=["part", "side", "id", "embedding"])
+
+    return run
+
+
+def _nearest(k):
+    """Vectors of a part, then the queries that were sent to it: the best k of each; parts come one after another."""
+
+    def run(batches):
+        part, held, ids, rows = None, [], None, None
+        for batch in batches:
+            key = batch.column("part").to_numpy().astype(np.int64) * 2 + batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                own = batch.slice(a, b - a)
+                if b == a:
+                    continue
+                if key[a] // 2 != part:
+                    part, held, rows = key[a] // 2, [], None
+                if key[a] % 2 == 0:
+                    held.append((own.column("id").to_numpy(), unit_rows(own.column("embedding"))))
+                    continue
+                if rows is None and held:
+                    ids, rows = (np.concatenate(x) for x in zip(*held))
+                if rows is None:
+                    continue
+                asked, unit = own.column("id").to_numpy(), unit_rows(own.column("embedding"))
+                for i in range(0, len(asked), KNN_SLICE):
+                    scores = np.round(unit[i : i + KNN_SLICE] @ rows.T, 4)
+                    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                    found = np.repeat(asked[i : i + KNN_SLICE], order.shape[1]), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "similarity"])
+
+    return run
+
+
+def knn_meetings(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = KNN_PART):
+    """The two rounds of ``vector_knn``: (found, meetings, every), where found is (query_id, vec_id,
+    similarity) from all parts, meetings the number of (query, part) rows and every that of all pairs."""
+    spark = corpus.sparkSession
     whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
-    corpus, queries = corpus.where(whole), queries.where(whole)
-    blocks = lambda df: -(-df.count() // block) or 1
-    many_q, many_c = blocks(queries), blocks(corpus)
-    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", "embedding", part("query_id", many_q).alias("q"), every(many_c).alias("c"))
-    right = corpus.select("vec_id", "embedding", part("vec_id", many_c).alias("c"), every(many_q).alias("q"))
-
-    def matrix(table):
-        m = np.stack(table.column("embedding").to_numpy()).astype(np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-    def best(asked, table):
-        found = []
-        if asked.num_rows and table.num_rows:
-            ids, own = asked.column("query_id").to_numpy(), table.column("vec_id").to_numpy()
-            unit, rows = matrix(asked), matrix(table)
-            for i in range(0, len(ids), KNN_SLICE):
-                scores = np.round(unit[i : i + KNN_SLICE] @ rows.T, 4)
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                found.append((np.repeat(ids[i : i + KNN_SLICE], order.shape[1]), own[order].ravel(), np.take_along_axis(scores, order, 1).ravel()))
-        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0)] * 3
-        types = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(x).cast(t) for x, t in zip(columns, types)], names=["query_id", "vec_id", "similarity"])
-
-    local = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(best, "query_id long, vec_id long, similarity double")
+    corpus = corpus.where(whole).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    queries = queries.where(whole).select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    found = "query_id long, vec_id long, similarity double"
+    total = corpus.count()
+    if not total or queries.isEmpty():
+        return spark.createDataFrame([], found), 0, 0
+    # pivots are drawn by hash, KNN_CELLS at most, whatever the corpus
+    wanted = min(KNN_CELLS, -(-total // block))
+    drawn = corpus.orderBy(F.xxhash64("id"), "id").limit(wanted).select("embedding").toArrow()
+    pivots = unit_rows(drawn.column("embedding"))
+    schema = "id long, embedding array<double>, cell int, angle double"
+    placed = written(corpus.mapInArrow(_celled(pivots), schema), "cells")
+    asked = written(queries.mapInArrow(_celled(pivots), schema), "queries")
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("nearest"), F.max("angle").alias("farthest")).orderBy("cell").collect()  # a row for each pivot
+    many = np.array([-(-c.n // block) for c in cells])
+    start = np.cumsum(many) - many
+    known = (np.array([c.cell for c in cells]), np.array([c.nearest for c in cells]), np.array([c.farthest for c in cells]), start, many)
+    sizes = spark.createDataFrame([(c.cell, int(s), int(m)) for c, s, m in zip(cells, start, many)], "cell int, start int, many int")
+    parts = placed.join(F.broadcast(sizes), "cell").select((F.col("start") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int").alias("part"), F.lit(0).alias("side"), "id", "embedding")
+
+    def round_(queries_, first):
+        sent = queries_.mapInArrow(_sent(pivots, known, first), "part int, side int, id long, embedding array<double>")
+        sent = written(sent, "sent")
+        rows = parts.unionByName(sent).repartition("part").sortWithinPartitions("part", "side", "id")
+        return written(rows.mapInArrow(_nearest(k), found), "near"), sent.count()
+
+    near, met = round_(asked.withColumn("kth", F.lit(None).cast("double")), True)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    kth = near.withColumn("rank", best).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("similarity").alias("kth"))
+    far, more = round_(asked.join(kth, "id", "left").select("id", "embedding", "cell", "angle", "kth"), False)
+    return near.unionByName(far), met + more, asked.count() * int(many.sum())
+
+
+def vector_knn(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = KNN_PART) -> DataFrame:
+    """Exact cosine top-k for any number of queries.  Null vectors, or those with a null in them, are left
+    out on both sides.
+
+    Vectors lie in the cells of their nearest pivots, large cells in several parts, and are not copied;
+    queries are sent to parts.  A query meets its own cell first, and with its k-th best from there only
+    cells that may hold something as near: an angle to a pivot and the angles in its cell bound those
+    between (zero vectors, which have no angle, are met by all)."""
+    found, _, _ = knn_meetings(corpus, queries, k, block)
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
 KNN = "SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label <> 0)) WHERE rank <= 10"
