@@ -129,3 +129,19 @@ def test_layers_get_the_ids_of_this_corpus(spark):
     mapped = sinks.mapped_by_natural_key(staged, editions, passages)
     assert sorted(map(tuple, mapped.collect())) == [(777, "a", 1, 3, "x"), (777, "a", 1, 3, "y")]
     assert tuple(sinks.mapping_counts(staged, mapped).first()) == (5, 2, 3)
+
+
+def test_snippets_from_each_boundary(spark):
+    long = "قال رسول الله " + "كلمه " * 25
+    rows = [
+        (0, "عن زيد قال كذا وكذا", 7, [(0, 3, "ISNAD"), (8, 12, "MATN")]),  # the chain's end
+        (1, "عن زيد قال كذا وكذا", 99, [(50, 60, "MATN"), (11, 19, "MATN"), (0, 3, "MATN")]),  # the first span within
+        (2, "عن زيد § قال § كذا", None, [(0, 3, "ISNAD")]),  # the section sign
+        (3, "يقول كذا " + long, 0, []),  # the last marker
+        (4, "عن زيد يقول كذا", -1, None),  # a marker with too little behind it
+        (5, "", 3, None),
+        (6, None, 3, None),
+    ]
+    data = spark.createDataFrame([(i, t, e, s and [dict(zip(("start", "end", "label"), x)) for x in s]) for i, t, e, s in rows], "i int, t string, e int, s array<struct<start: int, end: int, label: string>>")
+    got = {r.i: r.x for r in data.select("i", rules.matn_snippet(F.col("t"), F.col("e"), F.col("s")).alias("x")).collect()}
+    assert got == {0: "قال كذا وكذا", 1: "كذا وكذا", 2: "قال كذا", 3: "قال رسول الله " + " ".join(["كلمه"] * 17) + " …", 4: "عن زيد يقول كذا", 5: "", 6: None}
