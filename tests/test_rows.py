@@ -145,3 +145,18 @@ def test_snippets_from_each_boundary(spark):
     data = spark.createDataFrame([(i, t, e, s and [dict(zip(("start", "end", "label"), x)) for x in s]) for i, t, e, s in rows], "i int, t string, e int, s array<struct<start: int, end: int, label: string>>")
     got = {r.i: r.x for r in data.select("i", rules.matn_snippet(F.col("t"), F.col("e"), F.col("s")).alias("x")).collect()}
     assert got == {0: "قال كذا وكذا", 1: "كذا وكذا", 2: "قال كذا", 3: "قال رسول الله " + " ".join(["كلمه"] * 17) + " …", 4: "عن زيد يقول كذا", 5: "", 6: None}
+
+
+def test_a_narrator_goes_and_its_links_stay(spark):
+    from warraq.operators import maintenance
+
+    frame = spark.createDataFrame
+    narrators, links = frame([(1, "a"), (2, "b"), (3, "c")], "narrator_id long, name string"), frame([(9, 0, 1), (9, 1, 2), (9, 2, None)], "chain_id long, pos int, narrator_id long")
+    left, unresolved = maintenance.delete_entity(frame([(2,), (2,), (7,)], "narrator_id long"), narrators, links)
+    assert {r.narrator_id for r in left.collect()} == {1, 3} and sorted(map(tuple, unresolved.collect())) == [(9, 0, 1), (9, 1, None), (9, 2, None)]
+
+
+def test_spans_with_enough_of_both_parts(spark):
+    rows = [(0, [(0, 20, "ISNAD"), (20, 30, "ISNAD"), (30, 70, "MATN")]), (1, [(0, 29, "ISNAD"), (30, 90, "MATN")]), (2, [(0, 40, "ISNAD"), (40, 79, "MATN")]), (3, [])]
+    data = spark.createDataFrame([(i, [dict(zip(("start", "end", "label"), x)) for x in s]) for i, s in rows], "i int, s array<struct<start: int, end: int, label: string>>")
+    assert [r.i for r in data.where(datasets.usable_spans(F.col("s"))).collect()] == [0] and data.where(datasets.usable_spans(F.col("s"), 29, 39)).count() == 3

@@ -194,13 +194,18 @@ def _(t):
     return picked_analyses(forms, ["chain_id"]).select("chain_id", F.col("place").alias("pos"))
 
 
+def usable_spans(spans: F.Column, isnad: int = 30, matn: int = 40) -> F.Column:
+    """Whether spans (start, end, label) have so many characters of each of the two parts, at least."""
+    chars = lambda label: F.aggregate(F.filter(spans, lambda s: s["label"] == label), F.lit(0), lambda x, s: x + s["end"] - s["start"])
+    return (chars("ISNAD") >= isnad) & (chars("MATN") >= matn)
+
+
 @query("usable_spans", "SELECT passage_id FROM chains WHERE sanad_end_raw >= 30 AND passage_id IN (SELECT passage_id FROM passages p WHERE length(text_norm) - (SELECT sanad_end_raw FROM chains c WHERE c.passage_id = p.passage_id) >= 40)")
-def usable_spans(t):
+def _(t):
     rows = t.passages.join(t.chains.select("passage_id", "sanad_end_raw"), "passage_id").where("sanad_end_raw is not null")
     span = lambda a, b, label: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(label).alias("label"))
     spans = F.array(span(F.lit(0), F.col("sanad_end_raw"), "ISNAD"), span(F.col("sanad_end_raw"), F.length("text_norm"), "MATN"))
-    chars = lambda label: F.aggregate(F.filter("spans", lambda s: s["label"] == label), F.lit(0), lambda x, s: x + s["end"] - s["start"])
-    return rows.select("passage_id", spans.alias("spans")).where((chars("ISNAD") >= 30) & (chars("MATN") >= 40)).select("passage_id")
+    return rows.select("passage_id", spans.alias("spans")).where(usable_spans(F.col("spans"))).select("passage_id")
 
 
 def tagger_eval(pairs: DataFrame) -> DataFrame:

@@ -104,10 +104,18 @@ def _(t):
     return find_name_variants(t.narrators, mentions, "مالك بن", ["انس", "عمر", "دينار"])
 
 
-@query("delete_entity", "SELECT chain_id, pos, CASE WHEN narrator_id IN (3, 4) THEN NULL ELSE narrator_id END AS narrator_id FROM links")
-def delete_entity(t):
-    gone = t.narrators.where("narrator_id in (3, 4)").select("narrator_id", F.lit(True).alias("gone"))
-    return t.links.join(gone, "narrator_id", "left").select("chain_id", "pos", F.when(F.col("gone").isNull(), F.col("narrator_id")).alias("narrator_id"))
+def delete_entity(gone: DataFrame, narrators: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(narrators, links) without the narrators of ``gone`` (narrator_id): their links stay, unresolved."""
+    gone = gone.select("narrator_id").distinct()
+    marked = links.join(gone.withColumn("_gone", F.lit(True)), "narrator_id", "left")
+    unresolved = marked.withColumn("narrator_id", F.when(F.col("_gone").isNull(), F.col("narrator_id")))
+    return narrators.join(gone, "narrator_id", "left_anti"), unresolved.select(links.columns)
+
+
+@query("delete_entity", "SELECT 'link' AS kind, chain_id, pos, CASE WHEN narrator_id IN (3, 4) THEN NULL ELSE narrator_id END AS narrator_id FROM links UNION ALL SELECT 'narrator', NULL, NULL, narrator_id FROM narrators WHERE narrator_id NOT IN (3, 4)")
+def _(t):
+    left, links = delete_entity(t.narrators.where("narrator_id in (3, 4)"), t.narrators, t.links)
+    return links.select(F.lit("link").alias("kind"), "chain_id", "pos", "narrator_id").unionByName(left.select(F.lit("narrator").alias("kind"), "narrator_id"), allowMissingColumns=True)
 
 
 def remove_edition_cascade(edition: int, editions: DataFrame, passages: DataFrame, dependents: dict[str, DataFrame], source: str, most: int, works: DataFrame | None = None) -> dict[str, DataFrame]:
