@@ -458,12 +458,14 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
+    own = spark.conf.get(common.ARROW_KEY)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         columns, before = docs.columns, {r.doc_id for r in docs.collect()}
         docs = stage(spark, docs, SF)
         assert docs.columns == columns and {r.doc_id for r in docs.collect()} <= before
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert spark.conf.get(common.ARROW_KEY) == own  # the quality stage's bound has gone with it
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     got = Counter()
     for r in packed:
