@@ -64,32 +64,43 @@ def hash_split(key: Column) -> Column:
     return F.when(place < 90, "train").when(place < 95, "dev").otherwise("test")
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an array of one, whose element the body gets."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def chunk_text(text: Column, size: int = 1500, overlap: int = 200, slack: int = 300) -> Column:
     """Stripped chunks of at most ``size`` characters for embedding, none of them empty.
 
     A chunk ends at the last space of its final ``slack`` characters if there is one, and the next begins
     ``overlap`` characters before that end.  A fold over as many steps as a text can have chunks."""
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    whole = strip(text)
-    n = F.length(whole)
-    many = F.ceil(n / max(1, size - slack - overlap)).cast("int")
-
-    def step(state, _):
-        start = state["next"]
-        full = F.least(start + size, n)
-        tail = F.reverse(F.substring(whole, full - slack + 1, F.lit(slack)))  # the last characters of a full chunk
-        space = full - F.instr(tail, " ")
-        end = F.when((full < n) & (F.instr(tail, " ") > 0) & (space > start), space).otherwise(full)
-        piece = F.struct(start.alias("at"), (end - start).alias("n"))
-        more = F.greatest(end - overlap, start + 1)
-        return F.when(start >= n, state).otherwise(
-            F.struct(F.when(end >= n, n).otherwise(more).alias("next"), F.concat(state["pieces"], F.array(piece)).alias("pieces"))
-        )
 
-    none = F.array().cast("array<struct<at: int, n: int>>")
-    pieces = F.aggregate(F.sequence(F.lit(1), many), F.struct(F.lit(0).alias("next"), none.alias("pieces")), step, lambda s: s["pieces"])
-    cut = F.filter(F.transform(pieces, lambda p: strip(F.substring(whole, p["at"] + 1, p["n"]))), lambda c: c != "")
-    return F.when(whole == "", F.array().cast("array<string>")).when(n <= size, F.array(whole)).otherwise(cut)
+    def chunks(x):
+        whole, n = x["whole"], x["n"]
+        many = F.ceil(n / max(1, size - slack - overlap)).cast("int")
+
+        def step(state, _):
+            start = state["next"]
+            full = F.least(start + size, n)
+
+            def cut(back):
+                """The chunk that ends ``back`` characters before the end of a full one, and where the next begins."""
+                end = F.when((full < n) & (back > 0) & (full - back > start), full - back).otherwise(full)
+                piece = F.struct(start.alias("at"), (end - start).alias("n"))
+                following = F.when(end >= n, n).otherwise(F.greatest(end - overlap, start + 1))
+                return F.struct(following.alias("next"), F.concat(state["pieces"], F.array(piece)).alias("pieces"))
+
+            last_space = F.instr(F.reverse(F.substring(whole, full - slack + 1, F.lit(slack))), " ")
+            return F.when(start >= n, state).otherwise(bound(last_space, cut))
+
+        none = F.array().cast("array<struct<at: int, n: int>>")
+        pieces = F.aggregate(F.sequence(F.lit(1), many), F.struct(F.lit(0).alias("next"), none.alias("pieces")), step, lambda s: s["pieces"])
+        cuts = F.filter(F.transform(pieces, lambda p: strip(F.substring(whole, p["at"] + 1, p["n"]))), lambda c: c != "")
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(whole)).otherwise(cuts)
+
+    measured = lambda w: F.struct(w.alias("whole"), F.length(w).alias("n"))
+    return F.when(text.isNotNull(), bound(bound(strip(text), measured), chunks))
 
 
 def word_windows(text: Column, size: int = 380) -> Column:
