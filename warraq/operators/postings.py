@@ -68,11 +68,14 @@ def matched(postings: DataFrame, groups: list[list[list[str]]], excluded: list[l
     return found.where(holds).select("passage_id", "n", "hits")
 
 
-def fts_match(postings: DataFrame, search: str, n: int | None = 50) -> DataFrame:
+def fts_match(table: DataFrame, search: str, n: int | None = 50) -> DataFrame:
     """The ``n`` best passages (None: all, in no order) that match a search line (see ``parse_search``), by
-    score and id.  The score is the hits of the wanted words over 1 + log of the length."""
+    score and id.  The score is the hits of the wanted words over 1 + log of the length.
+
+    ``table``: postings, or passages (passage_id, text_norm), whose postings are then written first."""
     from warraq.operators.search import parse_search
 
+    postings = table if "term" in table.columns else text_postings(table)
     groups, excluded = parse_search(search)
     if not groups:
         return postings.where("false").select("passage_id", F.lit(0.0).alias("score"))
