@@ -201,6 +201,78 @@ def test_families_of_many_sizes_in_small_blocks(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == Counter(near_by_hand(rows))
 
 
+def test_shuffles_of_small_tables(spark):
+    """Without adaptive merging each shuffle is so many tasks: graphs that a task can hold take none,
+    and what is known of blocks is not shuffled again (49 shuffled stages before, 14 now)."""
+    rows = clashing_rows()
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    sc, tracker, group = spark.sparkContext, spark.sparkContext.statusTracker(), f"shuffles-{random.random()}"
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sc.setJobGroup(group, group)
+        got = shingle_join.shingle_classes(frame(spark, rows).coalesce(2)).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    shuffled = [s for s in stages if (i := tracker.getStageInfo(s)) and i.numTasks == 13 and i.numCompletedTasks]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == Counter(near_by_hand(rows))
+    assert 0 < len(shuffled) <= 25
+
+
+def test_blocks_meet_by_shuffle_and_by_broadcast(spark, monkeypatch):
+    """Size classes and meetings of blocks give the same whether they are few enough to be broadcast or not."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 300)
+    monkeypatch.setattr(shingle_join, "SMALL", 20)
+    rng, rows = random.Random(5), []
+    for k in range(60):
+        w = [f"w{i}" for i in range(rng.randrange(40, 75))]
+        w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, f"pair {k // 2} of a small family that fits in one block by itself") for k in range(6)]
+    want = Counter(near_by_hand(rows))
+    for few in (0, 100_000):
+        monkeypatch.setattr(shingle_join, "FEW", few)
+        monkeypatch.setattr(shingle_join, "few", lambda df, few=few: common.few(df, few))
+        got = shingle_join.shingle_classes(frame(spark, rows).repartition(6)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == want
+
+
+def test_graphs_beyond_one_task(spark, monkeypatch):
+    """Graphs of more edges than a task takes: the same components by rounds."""
+    rng = random.Random(7)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)] + [(-5, 600), (600, -9), (3, 3)]
+    label = {i: i for e in edges for i in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    alone = {i for i in label if not any(i in e and e[0] != e[1] for e in edges)}
+    want = {i: c for i, c in label.items() if i not in alone}
+    for most in (40, 1_000_000):
+        monkeypatch.setattr(common, "EDGES", most)
+        got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_forest_in_slices():
+    """A task's edges in slices keep together what they join, whatever it may hold at once."""
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-500, 500, (2, 900))
+    edges = [common.pa.RecordBatch.from_arrays([common.pa.array(x), common.pa.array(y)], names=["a", "b"]) for x, y in zip(np.split(a, 30), np.split(b, 30))]
+
+    def pieces(x, y):
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        label = common.joined_labels(at[: len(x)], at[len(x) :], len(nodes))
+        return {n: nodes[c] for n, c in zip(nodes.tolist(), label.tolist()) if n != nodes[c] or (label == c).sum() > 1}
+
+    for most in (50, 300, 10_000):
+        out = [(r.column(0).to_numpy(), r.column(1).to_numpy()) for r in common._forest(iter(edges), most)]
+        assert pieces(*(np.concatenate(x) for x in zip(*out))) == pieces(a, b)
+        assert most < 10_000 or len(out) == 1
+
+
 # fingerprints
 
 

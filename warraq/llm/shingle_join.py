@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warraq.llm.common import components, documents, joined_by_size, marked, released, small_batches, text_of, thinned, without, written
+from warraq.llm.common import FEW, components, documents, few, joined_by_size, joined_labels, marked, released, small_batches, text_of, thinned, without, written
 from warraq.llm.shingles import shingle_sets
 
 #: Links have NUMERATOR / DENOMINATOR of their union in common, at least.
@@ -154,20 +154,6 @@ def possible(n1, p1, n2, p2):
     return (DENOMINATOR * np.minimum(n1, n2) >= NUMERATOR * np.maximum(n1, n2)) & (reach >= needed(n1, n2))
 
 
-def joined_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least number that each of n can reach over the edges."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def group_pairs(start: np.ndarray, length: np.ndarray, n: np.ndarray, p: np.ndarray):
     """Arrays (i, j) of the possible pairs of each group of postings (equal shingle, in order of
     size); a group beyond LARGE is joined in a row, which keeps together all that could be pairs."""
@@ -420,35 +406,55 @@ def _once(batches):
         yield batch.filter(pa.array(new))
 
 
-def seated(families: DataFrame, classes: DataFrame, weight: F.Column, limit: int, total: int) -> DataFrame:
+def seated(families: DataFrame, classes: DataFrame, weight: F.Column, limit: int, total: int) -> tuple[DataFrame, DataFrame]:
     """The classes of each family in blocks of about ``limit`` by ``weight``, in order of size, once
-    for each block that theirs can have links with: rows (node, rep, rep_h, n_shingles, copies, block, side).
+    for each block that theirs can have links with: rows (node, rep, rep_h, n_shingles, copies, block,
+    side); and the classes of all families, each once.
 
-    A family is cut by size classes (each a twentieth wider than the one before, so there are some
-    hundreds at most), whose weights are partial sums; only these go through a window.  A size class
-    that is too large for a block is dealt by hash."""
+    A family within the limit is one block.  A larger one is cut by size classes (each a twentieth
+    wider than the one before, so there are some hundreds at most), whose weights are partial sums; only
+    these go through a window.  A size class that is too large for a block is dealt by hash."""
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(1.05))).cast("int")
     own = families.select("node", F.col("component").alias("family")).join(classes.select("node", "rep", "rep_h", "n_shingles", "copies"), "node")
     members = written(own.withColumn("step", step), "members")
-    steps = members.groupBy("family", "step").agg(F.sum(weight).alias("w"), F.count("*").alias("size"))
-    so_far = Window.partitionBy("family").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    cut = steps.withColumn("from", F.floor(F.coalesce(F.sum("w").over(so_far), F.lit(0)) / limit)).withColumn("many", F.ceil(F.col("w") / limit))
-    placed = joined_by_size(members, written(cut.select("family", "step", "from", "many", "size"), "steps"), ["family", "step"], "size", total)
-    dealt = F.col("from") + F.when(F.col("many") > 1, F.pmod(F.xxhash64("node"), F.col("many")) + 1).otherwise(0)
-    members = written(placed.select("family", "node", "rep", "rep_h", "n_shingles", "copies", dealt.alias("b")), "members")
-    blocks = members.groupBy("family", "b").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.count("*").alias("size"))
+    lo, hi = F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")
+    steps = members.groupBy("family", "step").agg(F.sum(weight).alias("w"), F.count("*").alias("size"), lo, hi)
+    family = Window.partitionBy("family")
+    so_far = F.sum("w").over(family.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+    cut = steps.withColumn("from", F.floor(F.coalesce(so_far, F.lit(0)) / limit)).withColumn("many", F.ceil(F.col("w") / limit))
+    cut = cut.withColumn("all", F.sum("w").over(family)).where(F.col("all") > limit)
+    cut = written(cut.select("family", "step", "from", "many", "size", "lo", "hi"), "steps")
+    seat = lambda *key: F.concat_ws("-", *key).alias("block")
+    columns = ["node", "rep", "rep_h", "n_shingles", "copies"]
+    if cut.isEmpty():
+        return written(members.select(*columns, seat("family", F.lit(0), F.lit(0)), F.lit(0).alias("side")), "seats"), members
+
+    # blocks and their meetings follow from the size classes, without the members
+    dealt = F.col("many") > 1
+    places = F.when(dealt, F.sequence(F.col("from") + 1, F.col("from") + F.col("many"))).otherwise(F.array("from"))
+    blocks = cut.select("family", F.explode(places).alias("b"), "lo", "hi", F.when(dealt, F.lit(2)).otherwise(F.col("size")).alias("size"))
+    blocks = blocks.repartition("family").groupBy("family", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size"))
     other = blocks.select("family", F.col("b").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     near = (F.col("hi") * DENOMINATOR >= F.col("lo2") * NUMERATOR) & (F.col("hi2") * DENOMINATOR >= F.col("lo") * NUMERATOR)
     meets = blocks.join(other, "family").where((F.col("b") < F.col("b2")) & near | (F.col("b") == F.col("b2")) & (F.col("size") > 1))
-    key = F.concat_ws("-", "family", "b", "b2")
-    left = meets.select("family", "b", key.alias("block"), F.lit(0).alias("side"))
-    right = meets.where("b <> b2").select("family", F.col("b2").alias("b"), key.alias("block"), F.lit(1).alias("side"))
-    return written(members.join(left.unionByName(right), ["family", "b"]).select("node", "rep", "rep_h", "n_shingles", "copies", "block", "side"), "seats")
+    ends = F.when(F.col("b") == F.col("b2"), F.array(F.struct("b", F.lit(0).alias("side"))))
+    ends = ends.otherwise(F.array(F.struct("b", F.lit(0).alias("side")), F.struct(F.col("b2").alias("b"), F.lit(1).alias("side"))))
+    meets = meets.select("family", F.col("b").alias("b1"), "b2", F.explode(ends).alias("end")).select("family", "end.b", "b1", "b2", "end.side")
+
+    keys = ["family", "step"]
+    if cut.count() <= FEW:
+        placed = members.join(F.broadcast(cut.select(*keys, "from", "many")), keys, "left")
+    else:
+        placed = joined_by_size(members, cut.select(*keys, "from", "many", "size"), keys, "size", total)
+    whole = placed.where("many is null").select(*columns, seat("family", F.lit(0), F.lit(0)), F.lit(0).alias("side"))
+    b = F.col("from") + F.when(dealt, F.pmod(F.xxhash64("node"), F.col("many")) + 1).otherwise(0)
+    parted = placed.where("many is not null").withColumn("b", b).join(few(written(meets, "meets")), ["family", "b"])
+    return written(whole.unionByName(parted.select(*columns, seat("family", "b1", "b2"), "side")), "seats"), members
 
 
-def wanted_rows(rows: DataFrame, seats: DataFrame) -> DataFrame:
-    """Rows whose doc_id may be a class's representative; a join with them must follow."""
-    return thinned(rows, F.xxhash64("doc_id"), seats.select(F.xxhash64("rep").alias("h")).distinct())
+def wanted_rows(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be a class's representative; a join with their seats must follow."""
+    return thinned(rows, F.xxhash64("doc_id"), members.select(F.xxhash64("rep").alias("h")))
 
 
 def labelled_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -481,15 +487,15 @@ def labelled_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     families = components(written(stars, "stars"))
 
     heavy = F.greatest("n_shingles", F.lit(SMALL))
-    seats = seated(families, classes, heavy, 8 * BLOCK, total)
-    bits = wanted_rows(texts, seats).mapInArrow(released(_bitmaps), "rep long, node long, bits binary")
+    seats, members = seated(families, classes, heavy, 8 * BLOCK, total)
+    bits = wanted_rows(texts, members).mapInArrow(released(_bitmaps), "rep long, node long, bits binary")
     placed = bits.join(seats, ["rep", "node"]).select("block", "side", "node", "n_shingles", "bits")
     placed = placed.repartition("block").sortWithinPartitions("block", "side", "node")
     families = components(written(placed.mapInArrow(released(_refined), "a long, b long"), "refined"))
 
-    seats = seated(families, classes, heavy, BLOCK, total)
+    seats, members = seated(families, classes, heavy, BLOCK, total)
     own = (F.col("doc_id") == F.col("rep")) & (F.col("h") == F.col("rep_h"))
-    placed = wanted_rows(rows, seats).join(seats, own).select("block", "side", "node", "copies", "body")
+    placed = wanted_rows(rows, members).join(seats, own).select("block", "side", "node", "copies", "body")
     if not again.isEmpty():  # rows are repeated: a task sends each once
         placed = placed.mapInArrow(_once, placed.schema)
     placed = placed.repartition("block").sortWithinPartitions("block", "side", "node")
