@@ -60,12 +60,17 @@ def read_broken_csv(spark: SparkSession, path: str) -> DataFrame:
     return repaired_csv(lines.where(~F.col("value").startswith("hno,")))
 
 
+#: What no text holds (characters that Unicode keeps out of interchange): an unquoted empty field is read as this, and so as null.
+NO_TEXT = "\ufdd0\uffff"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """RFC-4180 files with a header: blanks at the ends of a text are its own, an empty text is quoted, a null one is not."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', nullValue=NO_TEXT if len(df.columns) == 1 else "", emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True, nullValue=NO_TEXT, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_jsonl_split(df: DataFrame, path: str) -> DataFrame:

@@ -46,8 +46,10 @@ def _(t):
     path, rows = fresh_folder(t.spark, "csv"), t.documents.select("doc_id", "lang", "text")
     C.write_csv(rows, path)
     back = C.read_csv(t.spark, path, rows.schema)
-    one = lambda df, name: df.agg(F.count("*").cast("int").alias(name))
-    return rows.agg(F.count("*").alias("n_rows")).crossJoin(one(rows.exceptAll(back), "lost")).crossJoin(one(back.exceptAll(rows), "made"))
+    both = rows.withColumn("n", F.lit(1)).unionByName(back.withColumn("n", F.lit(-1)))
+    left = both.groupBy(*rows.columns).agg(F.sum("n").alias("n"))  # how many more of a row were written than read
+    sides = left.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).cast("int").alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).cast("int").alias("made"))
+    return rows.agg(F.count("*").alias("n_rows")).crossJoin(sides)
 
 
 @query("sink_jsonl_split", "SELECT CASE WHEN m < 90 THEN 'train' WHEN m < 95 THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM (SELECT ((('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT % 100) * 16 + ('0x' || substr(md5(doc_id::VARCHAR), 17, 16))::UBIGINT % 100) % 100 AS m FROM documents) GROUP BY 1")
