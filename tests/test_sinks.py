@@ -25,3 +25,14 @@ def test_csv_roundtrip_counts_what_is_lost_and_made(spark, tmp_path, monkeypatch
     read = corpus.read_csv
     monkeypatch.setattr(corpus, "read_csv", lambda *a: read(*a).distinct().union(spark.createDataFrame([(3, "en", "c")], "doc_id long, lang string, text string")))
     assert registry.queries()["sink_csv_roundtrip"](spark, str(tmp_path)).collect() == [(3, 1, 1)]
+
+
+def test_archive_pages_with_equal_addresses_come_by_page(spark, tmp_path):
+    """Larger files are read first, so pages of the same address and order lay in the order of files before."""
+    page = lambda i, size: (i, f"http://a.com/en/{i // 14}", f"<p>{i}</p>" + "x" * size)
+    for name, first, size in (("a", 0, 1), ("b", 7, 40), ("c", 14, 900), ("d", 21, 9000)):
+        spark.createDataFrame([page(first + i, size) for i in range(7)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet/k={name}")
+    got = registry.queries()["src_archive_pages"](spark, str(tmp_path)).orderBy("seq").collect()
+    want = sorted(range(28), key=lambda i: (i % 7, i // 14, i))
+    assert [r.seq for r in got] == list(range(28))
+    assert [int(r.html[3 : r.html.index("</p>")]) for r in got] == want

@@ -29,10 +29,12 @@ def read_source(spark: SparkSession, source: str, table: str, *, path: str | Non
     return reader.load().select(*columns)
 
 
-def archive_passages(pages: DataFrame, edition: int) -> DataFrame:
+def archive_passages(pages: DataFrame, edition: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """Archive pages (slug, url, section, ord, title, text, html) as passages, numbered from 0 in (ord,
-    slug) order over the whole edition, by a scan in ranges of that order."""
-    rows = numbered(pages.select("slug", "url", "section", "ord", "title", "text", "html"), [], ["ord", "slug"], position="place")
+    slug) order over the whole edition, by a scan in ranges of that order.  Pages that are alike in both
+    come by ``ties``, the columns that tell them apart, and not as files happen to be read."""
+    columns = ["slug", "url", "section", "ord", "title", "text", "html"]
+    rows = numbered(pages.select(*columns, *ties), [], ["ord", "slug", *ties], position="place")
     place = F.col("place") - 1
     text = F.coalesce("text", F.lit(""))
     return rows.select(

@@ -27,8 +27,8 @@ def _(t):
 
 @query("src_archive_pages", "SELECT row_number() OVER (ORDER BY page_id % 7, url)::BIGINT - 1 AS seq, 'page' AS kind, html AS text_raw, html, url AS slug, regexp_extract(url, 'com/([a-z]+)/', 1) AS section FROM pages")
 def _(t):
-    pages = t.pages.select(F.col("url").alias("slug"), "url", F.regexp_extract("url", "com/([a-z]+)/", 1).alias("section"), (F.col("page_id") % 7).alias("ord"), F.lit("t").alias("title"), F.col("html").alias("text"), "html")
-    return C.archive_passages(pages, 1).select("seq", "kind", "text_raw", "html", F.get_json_object("meta", "$.slug").alias("slug"), F.get_json_object("meta", "$.section").alias("section"))
+    pages = t.pages.select(F.col("url").alias("slug"), "url", F.regexp_extract("url", "com/([a-z]+)/", 1).alias("section"), (F.col("page_id") % 7).alias("ord"), F.lit("t").alias("title"), F.col("html").alias("text"), "html", "page_id")
+    return C.archive_passages(pages, 1, ("page_id",)).select("seq", "kind", "text_raw", "html", F.get_json_object("meta", "$.slug").alias("slug"), F.get_json_object("meta", "$.section").alias("section"))
 
 
 @query("src_broken_csv", "SELECT CAST(doc_id AS VARCHAR) AS id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS segments FROM documents")
