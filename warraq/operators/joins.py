@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions.text import canonical_tokens, ordered_token_hit, token_overlap, words
 from warraq.registry import query
-from warraq.sources.folders import written
+from warraq.sources.folders import shuffled, written
 
 
 def wire_parents(nodes: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def near_token_sets(a: DataFrame, b: DataFrame, overlap: float, per_salt: int =
     sets = written(both.withColumn("sid", F.monotonically_increasing_id()), "sets")
     tokens = sets.select("sid", "side", F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("x"))
     counts = tokens.groupBy("x").agg(F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1")).where("c0 > 0 and c1 > 0")
-    kept = tokens.join(counts, "x").groupBy("sid", "side", "n").agg(F.array_sort(F.collect_list(F.struct((F.col("c0") + F.col("c1")).alias("c"), "x", "c0", "c1"))).alias("t"))
+    kept = tokens.join(shuffled(counts), "x").groupBy("sid", "side", "n").agg(F.array_sort(F.collect_list(F.struct((F.col("c0") + F.col("c1")).alias("c"), "x", "c0", "c1"))).alias("t"))
     needed, r = F.ceil(F.col("n") * overlap - 1e-9).cast("int"), F.size("t")
     kept = written(kept.select("sid", "side", "n", "t", needed.alias("needed"), F.least(needed, F.lit(common)).alias("least")), "ordered")
     salts = lambda c: (c / per_salt).cast("int") + 1
@@ -267,9 +267,9 @@ def near_token_sets(a: DataFrame, b: DataFrame, overlap: float, per_salt: int =
     own = F.when(F.col("side") == 0, F.col("t.c0")).otherwise(F.col("t.c1"))
     index = kept.select("sid", "side", "n", F.explode("t").alias("t"))
     index = index.select((1 - F.col("side")).alias("side"), F.col("sid").alias("large"), F.col("n").alias("m"), F.col("t.x").alias("x"), F.pmod(F.xxhash64("sid"), salts(own)).cast("int").alias("salt"))
-    met = probes.join(index, ["side", "x", "salt"]).where("n <= m").groupBy("side", "small", "large", "least").agg(F.count("*").alias("k")).where("k >= least")
+    met = probes.join(shuffled(index), ["side", "x", "salt"]).where("n <= m").groupBy("side", "small", "large", "least").agg(F.count("*").alias("k")).where("k >= least")
     fetched = lambda name: sets.select(F.col("sid").alias(name), F.col("w").alias(f"{name}_w"))
-    pairs = met.select("side", "small", "large").join(fetched("small"), "small").join(fetched("large"), "large").where(token_overlap(F.col("small_w"), F.col("large_w")) >= overlap)
+    pairs = met.select("side", "small", "large").join(shuffled(fetched("small")), "small").join(shuffled(fetched("large")), "large").where(token_overlap(F.col("small_w"), F.col("large_w")) >= overlap)
     return pairs.select(F.when(F.col("side") == 0, F.col("small_w")).otherwise(F.col("large_w")).alias("w")).distinct()
 
 
@@ -278,11 +278,11 @@ def near_duplicate_gate(new: DataFrame, corpus: DataFrame, mapped: DataFrame, ov
     ``overlap`` of the tokens of the shorter of two texts with one, wherever these stand.  A text whose
     tokens another of its own work contains to that share is among those: the corpus holds all works,
     and the share of the new text is never above that of the shorter one."""
-    left = new.join(mapped.select("passage_id"), "passage_id", "left_anti").withColumn("h", F.xxhash64("text_norm"))
-    left = left.join(corpus.select(F.xxhash64("text_norm").alias("h")).distinct(), "h", "left_anti")
+    left = new.join(shuffled(mapped.select("passage_id")), "passage_id", "left_anti").withColumn("h", F.xxhash64("text_norm"))
+    left = left.join(shuffled(corpus.select(F.xxhash64("text_norm").alias("h")).distinct()), "h", "left_anti")
     tokens = F.array_sort(F.array_distinct(words(F.col("text_norm")))).alias("w")
     near = near_token_sets(left.select(tokens), corpus.select(tokens), overlap)
-    return left.select("passage_id", tokens).join(near, "w", "left_anti").select("passage_id")
+    return left.select("passage_id", tokens).join(shuffled(near), "w", "left_anti").select("passage_id")
 
 
 @query("near_duplicate_gate")
