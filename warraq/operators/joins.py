@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions.text import canonical_tokens, ordered_token_hit, token_overlap, words
+from warraq.functions.vectorized import once
 from warraq.registry import query
-from warraq.sources.folders import shuffled, written
+from warraq.sources.folders import few, shuffled, written
 
 
 def wire_parents(nodes: DataFrame) -> DataFrame:
@@ -358,13 +359,20 @@ def grams_of(words_: F.Column, sizes: list[int]) -> F.Column:
 
 def ground_mentions(questions: DataFrame, aliases: DataFrame, mentions: DataFrame, most: int = 4, top: int = 5) -> DataFrame:
     """Narrators whose alias is a 1- to ``most``-gram of a question, as it stands or in canonical form (one
-    form of 'son', one case of 'father of'), the most mentioned first."""
-    text = words(F.col("text"))
-    both = F.array_union(F.transform(grams_of(text, range(1, most + 1)), lambda g: g["gram"]), F.transform(grams_of(canonical_tokens(F.col("text")), range(1, most + 1)), lambda g: g["gram"]))
-    grams = questions.select("question_id", F.explode(F.array_distinct(both)).alias("alias_norm"))
-    found = grams.join(aliases, "alias_norm").select("question_id", "narrator_id").distinct().join(mentions, "narrator_id", "left").fillna(0, ["mentions"])
-    best = Window.partitionBy("question_id").orderBy(F.desc("mentions"), "narrator_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("question_id", "narrator_id", "mentions", "rank")
+    form of 'son', one case of 'father of'), the most mentioned first.
+
+    Of the narrators of one alias only the ``top`` most mentioned can be among a question's, so a question
+    meets no more, however many share a name."""
+    told = once(questions.select("question_id", "text"), own=words(F.col("text")), other=canonical_tokens(F.col("text")))
+    both = F.array_union(*(F.transform(grams_of(F.col(c), range(1, most + 1)), lambda g: g["gram"]) for c in ("own", "other")))
+    grams = told.select("question_id", F.explode(F.array_distinct(both)).alias("alias_norm"))
+    first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("mentions"), "narrator_id"))
+    named = aliases.select("alias_norm", "narrator_id").distinct().join(shuffled(mentions), "narrator_id", "left").fillna(0, ["mentions"])
+    named = named.withColumn("rank", first("alias_norm")).where(F.col("rank") <= top).drop("rank")
+    listed = few(written(named.groupBy("alias_norm").agg(F.collect_list(F.struct("narrator_id", "mentions")).alias("of")), "named"))
+    found = grams.join(listed, "alias_norm").select("question_id", F.explode("of").alias("n")).select("question_id", "n.*")
+    found = found.repartition("question_id").distinct()  # both steps by one exchange
+    return found.withColumn("rank", first("question_id")).where(F.col("rank") <= top).select("question_id", "narrator_id", "mentions", "rank")
 
 
 def ground_frames(questions: DataFrame, aliases: DataFrame, stop_words: list[str] = (), sizes: tuple[int, ...] = (4, 3, 2), top: int = 3) -> DataFrame:
