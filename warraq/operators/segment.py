@@ -7,10 +7,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from warraq.bindings import MARKS
 from warraq.functions.arabic import normalize_arabic
 from warraq.operators.ordering import in_ranges, numbered
-from warraq.operators.rules import classified, heading_level, lines_of, may_head, number_head, number_reconcile, synthetic_pages
-from warraq.functions.vectorized import once
+from warraq.operators.rules import classified, heading_level, heading_level_of, line_starts, lines_of, may_head, number_head, reconciled, synthetic_pages
+from warraq.functions.vectorized import once, vectorized
 from warraq.registry import query
 from warraq.sources.folders import fresh_folder, written
 
@@ -148,6 +149,28 @@ def segment_units_pages(pages: DataFrame) -> DataFrame:
 
 
 OPENER = r"^(حدثنا|حدثني|اخبرنا|اخبرني|انبانا|سمعت|عن|قال\s+رسول|وحدثنا|وحدثني|واخبرنا|واخبرني)(\s|$)"
+#: How a line begins, in front of its first letter, that may be a heading or open a chain: only these are normalised.
+MAY_OPEN = rf"(?U)^[\s{MARKS}]*[كاأإآٱبفمحسعقو]"
+#: Letters from the start of a unit that mostly tell whether it is long enough.
+HEAD_LETTERS = 64
+
+
+@vectorized("array<int>")
+def numbers_kept(numbers):
+    """Each list with 0 in the place of numbers that the others don't fit; 0 is no number."""
+
+    def kept(x):
+        at = [i for i, n in enumerate(x) if n]
+        stay = {at[i] for i in reconciled([int(x[i]) for i in at])}
+        return [int(n) if i in stay else 0 for i, n in enumerate(x)]
+
+    return numbers.map(lambda x: kept(x) if x is not None else None)
+
+
+def long_enough(unit, least: int = 20):
+    """Whether a normalised text has ``least`` letters: that of its first letters is never longer than its own."""
+    size = lambda c: F.length(normalize_arabic(c))
+    return F.when(size(F.left(unit, F.lit(HEAD_LETTERS))) >= least, True).otherwise(size(unit) >= least)
 
 
 def segment_units_flat(pages: DataFrame) -> DataFrame:
@@ -155,22 +178,34 @@ def segment_units_flat(pages: DataFrame) -> DataFrame:
     heads and lines that open a chain; a unit runs to the next boundary.
 
     Of a page's numbers only those of a roughly rising run open units (years and page numbers break
-    it), and such a unit starts at its number."""
-    lines = lines_of(pages.withColumn("size", F.length("text_raw")))
-    marks = once(lines, level=heading_level(F.col("line")), number=number_head(F.col("line")), opens=normalize_arabic(F.col("line")).rlike(OPENER))
-    marks = marks.where("level is not null or number is not null or opens")
-    listed = marks.where("number is not null").groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "number"))).alias("x"))
-    stays = once(listed, kept=number_reconcile(F.transform("x", lambda r: r["number"])))
-    stays = stays.select("passage_id", F.explode(F.transform("kept", lambda i: F.get("x", i)["line_no"])).alias("line_no"), F.lit(True).alias("stays"))
-    marks = marks.join(stays, ["passage_id", "line_no"], "left").withColumn("number", F.when(F.col("stays"), F.col("number")))
-    marks = marks.where("level is not null or number is not null or opens")
-    digit = F.regexp_instr("line", F.lit("[0-9٠-٩]")) - 1
-    marks = marks.withColumn("start", F.when(F.col("number").isNotNull(), F.col("start") + digit).otherwise(F.col("start")))
-    order = Window.partitionBy("passage_id").orderBy("line_no")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    marks = marks.withColumns({"end": F.coalesce(F.lead("start").over(order), F.col("size")), "heading": F.last(F.when(F.col("level").isNotNull(), F.trim("line")), ignorenulls=True).over(so_far)})
-    text = F.substring("text_raw", F.col("start") + 1, F.col("end") - F.col("start"))
-    return marks.where("level is null").withColumn("unit", F.trim(text)).where(F.length(normalize_arabic(F.col("unit"))) >= 20).select("passage_id", "start", "end", "number", "heading", "unit")
+    it), and such a unit starts at its number.  A page is a row of its own: its boundaries are an array, in
+    as many steps as it has lines, and nothing is shuffled."""
+    each = lambda of, c: F.transform(c, of)
+    rows = once(pages.select("passage_id", "text_raw"), lines=F.split("text_raw", "\n"))
+    rows = once(rows, starts=line_starts(each(lambda x: F.length(x) + 1, "lines")), numbers=each(number_head, "lines"), norms=each(lambda x: F.when(x.rlike(MAY_OPEN), normalize_arabic(x)), "lines"))
+    rows = once(rows, levels=each(heading_level_of, "norms"), opens=each(lambda n: n.rlike(OPENER), "norms"))
+    zipped = F.transform("lines", lambda x, i: F.struct(
+        F.get("starts", i).alias("start"), x.alias("line"), F.get("levels", i).alias("level"), F.coalesce(F.get("numbers", i), F.lit(0)).alias("number"), F.coalesce(F.get("opens", i), F.lit(False)).alias("opens")))
+    bounds = lambda m: m["level"].isNotNull() | (m["number"] > 0) | m["opens"]
+    rows = once(rows, marks=F.filter(zipped, bounds)).select("passage_id", "text_raw", "marks").where(F.size("marks") > 0)
+    # two numbers are a run of their own
+    many = F.size(F.filter("marks", lambda m: m["number"] > 0)) >= 3
+    rows = rows.withColumn("kept", numbers_kept(F.when(many, each(lambda m: m["number"], "marks"))))
+    digit = lambda m: F.regexp_instr(m["line"], F.lit("[0-9٠-٩]")) - 1
+    number = lambda m, i: F.when(F.col("kept").isNull(), m["number"]).otherwise(F.get("kept", i))
+    marks = F.transform("marks", lambda m, i: F.struct(m["start"].alias("start"), m["line"].alias("line"), m["level"].alias("level"), number(m, i).alias("number"), m["opens"].alias("opens")))
+    marks = F.transform(F.filter(marks, bounds), lambda m: F.struct(F.when(m["number"] > 0, m["start"] + digit(m)).otherwise(m["start"]).alias("start"), m["level"].alias("level"), F.when(m["number"] > 0, m["number"]).alias("number"), F.when(m["level"].isNotNull(), F.trim(m["line"])).alias("title")))
+    rows = once(rows, marks2=marks).drop("marks", "kept")
+    rows = once(rows, heads=F.filter(F.transform("marks2", lambda m, i: F.when(m["level"].isNotNull(), i)), lambda i: i.isNotNull()))
+    # a heading stands for all marks up to the next one
+    spans = F.transform("heads", lambda p, j: F.array_repeat(p, F.coalesce(F.get("heads", j + 1), F.size("marks2")) - p))
+    none = F.array_repeat(F.lit(None).cast("int"), F.coalesce(F.get("heads", F.lit(0)), F.size("marks2")))
+    rows = once(rows, under=F.concat(none, F.flatten(spans)), size=F.length("text_raw"))
+    listed = F.transform("marks2", lambda m, i: F.struct(
+        m["start"].alias("start"), F.coalesce(F.get("marks2", i + 1)["start"], F.col("size")).alias("end"), m["number"].alias("number"), F.get("marks2", F.get("under", i))["title"].alias("heading"), m["level"].alias("level")))
+    units = rows.select("passage_id", "text_raw", F.inline(F.filter(listed, lambda m: m["level"].isNull())))
+    units = once(units, unit=F.trim(F.substring("text_raw", F.col("start") + 1, F.col("end") - F.col("start"))))
+    return units.where(long_enough(F.col("unit"))).select("passage_id", "start", "end", "number", "heading", "unit")
 
 
 def sanad_end_from_spans(units: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -327,7 +362,7 @@ def _(t):
     concat(passage_id % 3000 + 1, ' - ', text_raw, CASE WHEN passage_id % 5 = 0 THEN concat(chr(10), '(3) حاشية') ELSE '' END) AS body FROM passages)
   SELECT passage_id, coalesce(length(head) + 1, 0)::INT AS start, (coalesce(length(head) + 1, 0) + length(body))::INT AS "end", (passage_id % 3000 + 1)::INT AS number, CASE WHEN passage_id % 7 = 0 OR passage_id % 3 = 0 THEN head END AS heading FROM h""")
 def _(t):
-    return segment_units_flat(synthetic_pages(t)).select("passage_id", "start", "end", "number", "heading")
+    return segment_units_flat(synthetic_pages(t, t.unkept("passages"))).select("passage_id", "start", "end", "number", "heading")
 
 
 @query("sanad_end_from_spans")
