@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from warraq.bindings import MARKS
 from warraq.functions.arabic import normalize_arabic
 from warraq.operators.ordering import in_ranges, numbered
-from warraq.operators.rules import classified, heading_level, heading_level_of, line_starts, lines_of, may_head, number_head, reconciled, synthetic_pages
+from warraq.operators.rules import NUMBER_HEAD, classified, heading_level, heading_level_of, line_starts, lines_of, may_head, reconciled, synthetic_pages
 from warraq.functions.vectorized import once, vectorized
 from warraq.registry import query
 from warraq.sources.folders import fresh_folder, written
@@ -151,8 +151,8 @@ def segment_units_pages(pages: DataFrame) -> DataFrame:
 OPENER = r"^(حدثنا|حدثني|اخبرنا|اخبرني|انبانا|سمعت|عن|قال\s+رسول|وحدثنا|وحدثني|واخبرنا|واخبرني)(\s|$)"
 #: How a line begins, in front of its first letter, that may be a heading or open a chain: only these are normalised.
 MAY_OPEN = rf"(?U)^[\s{MARKS}]*[كاأإآٱبفمحسعقو]"
-#: Letters from the start of a unit that mostly tell whether it is long enough.
-HEAD_LETTERS = 64
+#: So many letters that normalisation keeps, in front of anything else.
+LONG = rf"(?U)^(?:[\s{MARKS}]*+[^\s{MARKS}]){{20}}"
 
 
 @vectorized("array<int>")
@@ -167,12 +167,6 @@ def numbers_kept(numbers):
     return numbers.map(lambda x: kept(x) if x is not None else None)
 
 
-def long_enough(unit, least: int = 20):
-    """Whether a normalised text has ``least`` letters: that of its first letters is never longer than its own."""
-    size = lambda c: F.length(normalize_arabic(c))
-    return F.when(size(F.left(unit, F.lit(HEAD_LETTERS))) >= least, True).otherwise(size(unit) >= least)
-
-
 def segment_units_flat(pages: DataFrame) -> DataFrame:
     """Units (passage_id, start, end, number, heading) of flat pages: boundaries are headings, number
     heads and lines that open a chain; a unit runs to the next boundary.
@@ -182,8 +176,9 @@ def segment_units_flat(pages: DataFrame) -> DataFrame:
     as many steps as it has lines, and nothing is shuffled."""
     each = lambda of, c: F.transform(c, of)
     rows = once(pages.select("passage_id", "text_raw"), lines=F.split("text_raw", "\n"))
-    rows = once(rows, starts=line_starts(each(lambda x: F.length(x) + 1, "lines")), numbers=each(number_head, "lines"), norms=each(lambda x: F.when(x.rlike(MAY_OPEN), normalize_arabic(x)), "lines"))
-    rows = once(rows, levels=each(heading_level_of, "norms"), opens=each(lambda n: n.rlike(OPENER), "norms"))
+    rows = once(rows, starts=line_starts(each(lambda x: F.length(x) + 1, "lines")), digits=each(lambda x: F.regexp_extract(x, NUMBER_HEAD, 1), "lines"), norms=each(lambda x: F.when(x.rlike(MAY_OPEN), normalize_arabic(x)), "lines"))
+    number = lambda d: F.when(d != "", F.translate(d, "٠١٢٣٤٥٦٧٨٩", "0123456789").cast("int"))
+    rows = once(rows, numbers=each(number, "digits"), levels=each(heading_level_of, "norms"), opens=each(lambda n: n.rlike(OPENER), "norms"))
     zipped = F.transform("lines", lambda x, i: F.struct(
         F.get("starts", i).alias("start"), x.alias("line"), F.get("levels", i).alias("level"), F.coalesce(F.get("numbers", i), F.lit(0)).alias("number"), F.coalesce(F.get("opens", i), F.lit(False)).alias("opens")))
     bounds = lambda m: m["level"].isNotNull() | (m["number"] > 0) | m["opens"]
@@ -192,8 +187,8 @@ def segment_units_flat(pages: DataFrame) -> DataFrame:
     many = F.size(F.filter("marks", lambda m: m["number"] > 0)) >= 3
     rows = rows.withColumn("kept", numbers_kept(F.when(many, each(lambda m: m["number"], "marks"))))
     digit = lambda m: F.regexp_instr(m["line"], F.lit("[0-9٠-٩]")) - 1
-    number = lambda m, i: F.when(F.col("kept").isNull(), m["number"]).otherwise(F.get("kept", i))
-    marks = F.transform("marks", lambda m, i: F.struct(m["start"].alias("start"), m["line"].alias("line"), m["level"].alias("level"), number(m, i).alias("number"), m["opens"].alias("opens")))
+    left = lambda m, i: F.when(F.col("kept").isNull(), m["number"]).otherwise(F.get("kept", i))
+    marks = F.transform("marks", lambda m, i: F.struct(m["start"].alias("start"), m["line"].alias("line"), m["level"].alias("level"), left(m, i).alias("number"), m["opens"].alias("opens")))
     marks = F.transform(F.filter(marks, bounds), lambda m: F.struct(F.when(m["number"] > 0, m["start"] + digit(m)).otherwise(m["start"]).alias("start"), m["level"].alias("level"), F.when(m["number"] > 0, m["number"]).alias("number"), F.when(m["level"].isNotNull(), F.trim(m["line"])).alias("title")))
     rows = once(rows, marks2=marks).drop("marks", "kept")
     rows = once(rows, heads=F.filter(F.transform("marks2", lambda m, i: F.when(m["level"].isNotNull(), i)), lambda i: i.isNotNull()))
@@ -205,7 +200,7 @@ def segment_units_flat(pages: DataFrame) -> DataFrame:
         m["start"].alias("start"), F.coalesce(F.get("marks2", i + 1)["start"], F.col("size")).alias("end"), m["number"].alias("number"), F.get("marks2", F.get("under", i))["title"].alias("heading"), m["level"].alias("level")))
     units = rows.select("passage_id", "text_raw", F.inline(F.filter(listed, lambda m: m["level"].isNull())))
     units = once(units, unit=F.trim(F.substring("text_raw", F.col("start") + 1, F.col("end") - F.col("start"))))
-    return units.where(long_enough(F.col("unit"))).select("passage_id", "start", "end", "number", "heading", "unit")
+    return units.where(F.when(F.col("unit").rlike(LONG), True).otherwise(F.length(normalize_arabic(F.col("unit"))) >= 20)).select("passage_id", "start", "end", "number", "heading", "unit")
 
 
 def sanad_end_from_spans(units: DataFrame, annotations: DataFrame) -> DataFrame:
