@@ -258,7 +258,8 @@ def near_token_sets(a: DataFrame, b: DataFrame, overlap: float, per_salt: int =
     sets = written(both.withColumn("sid", F.monotonically_increasing_id()), "sets")
     tokens = sets.select("sid", "side", F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("x"))
     counts = tokens.groupBy("x").agg(F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1")).where("c0 > 0 and c1 > 0")
-    kept = tokens.join(shuffled(counts), "x").groupBy("sid", "side", "n").agg(F.array_sort(F.collect_list(F.struct((F.col("c0") + F.col("c1")).alias("c"), "x", "c0", "c1"))).alias("t"))
+    # read from files, so that the join can split the rows of a token that very many sets have
+    kept = tokens.join(shuffled(written(counts, "counts")), "x").groupBy("sid", "side", "n").agg(F.array_sort(F.collect_list(F.struct((F.col("c0") + F.col("c1")).alias("c"), "x", "c0", "c1"))).alias("t"))
     needed, r = F.ceil(F.col("n") * overlap - 1e-9).cast("int"), F.size("t")
     kept = written(kept.select("sid", "side", "n", "t", needed.alias("needed"), F.least(needed, F.lit(common)).alias("least")), "ordered")
     salts = lambda c: (c / per_salt).cast("int") + 1
